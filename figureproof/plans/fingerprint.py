@@ -70,8 +70,10 @@ def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells:
                       F.lit(None).cast("string").alias("dim"),
                       F.lit(None).cast("string").alias("dim_value"), "reported", "figure_id"))
     pts = bp.unionByName(pp)
+    # an unbound breakdown label is not evaluable (computed stays NULL)
+    bound_pts = bp.where(F.col("dim").isNotNull()).unionByName(pp)
     ev = S.evaluate(surv.select("cid", *S.CAND_COLS),
-                    pts.select("cid", "pid", "snap_as_of", "dim", "dim_value"), cells)
+                    bound_pts.select("cid", "pid", "snap_as_of", "dim", "dim_value"), cells)
     rest = (pts.join(ev, ["cid", "pid"], "left")
                .join(surv.select("cid", "report_id", "metric"), "cid")
                .join(points.select("figure_id", "kind").distinct(), "figure_id")

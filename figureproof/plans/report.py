@@ -9,9 +9,9 @@ a renamed metric and an unmappable percentage. Everything is a DataFrame
 computed from the tables, so its size and cost grow with them.
 
 Planted traps (fixed values):
-* ``o_totalprice_v1`` — a deprecated twin of ``o_totalprice``: 0.3 % high
-  overall, and 5 % high/low on priorities 1-4 alternately, so it passes the
-  grand total but fails breakdowns.
+* ``o_totalprice_v1`` — a deprecated twin of ``o_totalprice``: 1 % high/low
+  on priorities 1-4 alternately, equal on priority 5, so it passes the grand
+  total (the shifts nearly cancel) but fails most breakdowns.
 * "Shipped Quantity" is silently redefined in the second edition to exclude
   returned lines (``l_returnflag <> 'R'``).
 * "Order Value" is renamed "Booked Order Value" in the second edition.
@@ -31,8 +31,10 @@ from ..operators.joins import bounded_broadcast
 from ..session import materialize
 
 # Fixed values of the fixture.
-TWIN_FACTORS = {"1-URGENT": 1.053, "2-HIGH": 0.953, "3-MEDIUM": 1.053, "4-NOT SPECIFIED": 0.953}
-TWIN_DEFAULT = 1.003
+# Two-decimal factors keep price x factor exact at four decimals (no rounding
+# ties when the cube casts to DECIMAL(20,4)).
+TWIN_FACTORS = {"1-URGENT": 1.01, "2-HIGH": 0.99, "3-MEDIUM": 1.01, "4-NOT SPECIFIED": 0.99}
+TWIN_DEFAULT = 1.00
 UNMAPPABLE_VALUE = "12.5"
 EDITION_IDS = ("rpt_q1", "rpt_q2")
 
@@ -46,7 +48,7 @@ def orders_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     factor = F.lit(TWIN_DEFAULT)
     for k, v in TWIN_FACTORS.items():
         factor = F.when(F.col("o_orderpriority") == k, F.lit(v)).otherwise(factor)
-    twin = F.round(F.col("o_totalprice") * factor, 2)
+    twin = F.col("o_totalprice") * factor
     return (o.join(bounded_broadcast(c), on="o_custkey", how="left")
              .select(quarter_end("o_orderdate").alias("as_of"), "o_orderkey", "o_custkey",
                      "o_totalprice", twin.alias("o_totalprice_v1"),
@@ -84,7 +86,9 @@ def edition_dates(spark: SparkSession, sf_dir: str):
 
 
 def _mm(x):
-    return F.round(F.col(x) / F.lit(1_000_000), 3).cast("decimal(38,6)")
+    """Millions with three decimals (exact: round the decimal sum to
+    thousands, then shift)."""
+    return (F.round(F.col(x), -3) / F.lit(1_000_000)).cast("decimal(38,6)")
 
 
 def _exact(x):

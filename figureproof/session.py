@@ -28,6 +28,9 @@ def get_spark(app: str = "figureproof", master: str | None = None,
     for k, v in _REQUIRED.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false")
+    if (master or "").startswith("local"):
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
