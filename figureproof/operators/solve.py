@@ -353,3 +353,90 @@ def band_rank(col: str) -> F.Column:
     for k, v in BAND_RANK.items():
         e = F.when(F.col(col) == k, F.lit(v)).otherwise(e)
     return e
+
+
+NEIGHBOURS = 3
+
+
+def two_term_nearest(gp: DataFrame, cells: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """W5 for two-term candidates: the closest *failing* pairs, without
+    enumerating all pairs.
+
+    For ``a + b`` / ``a - b`` the error is monotone in ``|b - t|`` with
+    ``t = r - a`` / ``a - r``; for ``a / b`` it is unimodal in ``b`` around
+    ``a / r`` within a sign class of ``b`` and decreasing in ``|b|`` in the
+    other class. So the best partners of ``a`` are its ``k`` sorted
+    neighbours on each side of the target (log scale for ``/``) plus the
+    largest ``|b|`` of each sign. Neighbours are found by rank: each target
+    gets the number of partner values below it (a running count over the
+    union, partitioned by (metric, table) — catalog-sized partitions), and
+    the partners are equi-joined on rank. ``k`` neighbours per side keep the
+    result exact unless ``k`` or more partners of one ``a`` on one side pass
+    the tolerance (those are hits, reported by ``two_term_hits``).
+    """
+    v = (cells.where("dim IS NULL AND fcol IS NULL AND measure <> '*' AND s IS NOT NULL")
+              .select("table", F.col("as_of").alias("snap_as_of"), "measure",
+                      F.col("s").cast("decimal(38,6)").alias("v")))
+    gv = gp.select("report_id", "metric", "table", "snap_as_of", "reported").join(
+        v, ["table", "snap_as_of"])
+    keys = ["report_id", "metric", "table", "cls"]
+    r = F.col("reported").cast("double")
+    x = F.col("v").cast("double")
+
+    def neighbours(points, queries):
+        allv = (points.select(*keys, F.col("pv").alias("val"), F.lit(1).alias("is_p"))
+                .unionByName(queries.select(*keys, F.col("tv").alias("val"), F.lit(0).alias("is_p"))))
+        w = Window.partitionBy(*keys).orderBy("val", F.col("is_p").desc())
+        below = (queries.join(
+            allv.withColumn("below", F.sum("is_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .where("is_p = 0").select(*keys, F.col("val").alias("tv"), "below").distinct(),
+            keys + ["tv"]))
+        pr = points.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pv", "rhs_col")))
+        q = below.withColumn("rank", F.explode(F.sequence(F.col("below") - (k - 1), F.col("below") + k)))
+        return q.join(pr, keys + ["rank"]).drop("rank", "below")
+
+    base = gv.select("report_id", "metric", "table", "reported", "measure", "v")
+    pts_lin = gv.select("report_id", "metric", "table", F.lit(0).alias("cls"),
+                        F.col("measure").alias("rhs_col"), F.col("v").alias("rv"),
+                        F.col("v").cast("double").alias("pv"))
+    outs = []
+    for op, t in (("+", r - x), ("-", x - r)):
+        q = base.select("report_id", "metric", "table", F.lit(0).alias("cls"), "measure", "v",
+                        "reported", t.alias("tv"))
+        outs.append(neighbours(pts_lin, q).withColumn("op", F.lit(op)))
+    # division: partners by sign class on log|b|
+    nzb = gv.where(F.col("v") != 0)
+    pts_log = nzb.select("report_id", "metric", "table",
+                         F.signum(F.col("v").cast("double")).cast("int").alias("cls"),
+                         F.col("measure").alias("rhs_col"), F.col("v").alias("rv"),
+                         F.log(F.abs(F.col("v").cast("double"))).alias("pv"))
+    qd = (base.where((F.col("reported") != 0) & (F.col("v") != 0))
+              .select("report_id", "metric", "table",
+                      (F.signum(x) * F.signum(r)).cast("int").alias("cls"), "measure", "v", "reported",
+                      (F.log(F.abs(x)) - F.log(F.abs(r))).alias("tv")))
+    outs.append(neighbours(pts_log, qd).withColumn("op", F.lit("/")))
+    # largest |b| of each sign class, for every a
+    wmax = Window.partitionBy("report_id", "metric", "table", "cls").orderBy(F.col("pv").desc(), "rhs_col")
+    top = pts_log.withColumn("rk", F.row_number().over(wmax)).where("rk = 1").drop("rk", "cls", "pv")
+    outs.append(base.join(top, ["report_id", "metric", "table"]).withColumn("op", F.lit("/")))
+
+    cols = ["report_id", "metric", "table", "measure", "v", "rhs_col", "rv", "op", "reported"]
+    allp = outs[0].select(*cols)
+    for o in outs[1:]:
+        allp = allp.unionByName(o.select(*cols))
+    a, b = F.col("v"), F.col("rv")
+    comp = (F.when(F.col("op") == "+", a + b).when(F.col("op") == "-", a - b)
+             .otherwise(F.try_divide(a, b))).cast("decimal(38,6)")
+    lo = F.least("measure", "rhs_col")
+    hi = F.greatest("measure", "rhs_col")
+    pairs = (allp.where(F.col("measure") != F.col("rhs_col"))
+                 .withColumn("computed", comp)
+                 .withColumn("c1", F.when(F.col("op") == "+", lo).otherwise(F.col("measure")))
+                 .withColumn("c2", F.when(F.col("op") == "+", hi).otherwise(F.col("rhs_col")))
+                 .where(~within_tolerance("computed", "reported"))
+                 .dropDuplicates(["report_id", "metric", "table", "c1", "c2", "op"]))
+    return pairs.select(
+        "report_id", "metric", "table", F.lit("SUM").alias("lhs_agg"), F.col("c1").alias("lhs_col"),
+        "op", F.col("table").alias("rhs_table"), F.lit("SUM").alias("rhs_agg"),
+        F.col("c2").alias("rhs_col"), _null().alias("pred_col"), _null().alias("pred_op"),
+        _null().alias("pred_val"), "computed", "reported")

@@ -144,12 +144,17 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
             .withColumn("ok", within_tolerance("computed", "reported"))
             .withColumn("err", relative_error("computed", "reported")))
     t3 = materialize(_cid(t3), "tier3")
+    # closest failing two-term pairs (for the near miss of unresolved metrics)
+    tn = (S.two_term_nearest(gp, cells).withColumn("tier", F.lit(3))
+            .withColumn("ok", F.lit(False))
+            .withColumn("err", relative_error("computed", "reported")))
+    tn = _cid(tn)
     surv3 = t3.where("ok")
     cons3, scored3 = score_survivors(surv3, points, snaps, cells, col_order)
     ranked3 = materialize(pick_best(scored3), "ranked3")
     cons3 = materialize(cons3, "cons3")
 
-    hits = t2.unionByName(t3)
+    hits = t2.unionByName(t3).unionByName(tn)
     ranked = ranked2.unionByName(ranked3)
     constraints = cons2.unionByName(cons3)
     best = ranked.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))

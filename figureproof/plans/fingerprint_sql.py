@@ -245,3 +245,164 @@ def two_term_candidates_sql() -> str:
 SELECT report_id, metric, key, round(CAST(computed AS DOUBLE), 4) AS computed,
        round(CAST(reported AS DOUBLE), 4) AS reported
 FROM pe WHERE ok"""
+
+
+# Column binding order of each mart: own string columns in schema order, then
+# the one-hop joined column (fixed by the mart definitions).
+COLORDER_SQL = """
+colorder AS (SELECT * FROM (VALUES
+  ('orders', 'o_orderstatus', 0, 5), ('orders', 'o_orderpriority', 0, 6), ('orders', 'c_mktsegment', 1, 7),
+  ('lineitem', 'l_returnflag', 0, 9), ('lineitem', 'l_linestatus', 0, 10)) t("table", "column", hop, ordinal))"""
+
+VERDICT_SQL = """
+pts AS (
+  SELECT f.report_id, f.metric, f.dim, f.label, f.raw AS reported,
+         CASE WHEN f.dim IS NOT NULL THEN 'breakdown' WHEN f.as_of < g.as_of THEN 'prior_period'
+              ELSE 'grand_total' END AS kind,
+         CASE WHEN f.dim IS NOT NULL THEN g.as_of ELSE f.as_of END AS eval_as_of, f.pos
+  FROM figs f JOIN groups g USING (report_id, metric)
+  WHERE f.dim IS NOT NULL OR f.as_of <= g.as_of),
+psnap AS (SELECT p.*, s."table", max(s.as_of) AS snap_as_of
+          FROM pts p JOIN snaps s ON abs(datediff('day', p.eval_as_of, s.as_of)) <= 3 GROUP BY ALL),
+cand2 AS (SELECT report_id, metric, "table", key, 2 AS tier, 'plain' AS kind,
+                 CASE WHEN key LIKE 'COUNT(%' THEN 'COUNT' ELSE 'SUM' END AS agg,
+                 CASE WHEN key LIKE 'COUNT(%' THEN '*' ELSE lower(split_part(split_part(key, '.', 2), ')', 1)) END AS c1,
+                 CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS fcol,
+                 CAST(NULL AS VARCHAR) AS fop, CAST(NULL AS VARCHAR) AS fval
+          FROM t2e WHERE ok),
+vals AS (SELECT "table", as_of, dim AS "column", dim_value AS value FROM cells
+         WHERE fcol IS NULL AND dim IS NOT NULL AND measure = '*'),
+lm0 AS (SELECT p.report_id, p.metric, p.dim, p."table", p.label, v."column", v.value,
+               CASE WHEN lower(p.label) = lower(v.value) THEN 1 ELSE 2 END AS pri
+        FROM psnap p JOIN vals v ON v."table" = p."table" AND v.as_of = p.snap_as_of
+        WHERE p.kind = 'breakdown' AND (lower(p.label) = lower(v.value)
+              OR (length(v.value) >= 3 AND strpos(lower(p.label), lower(v.value)) > 0))),
+lm AS (SELECT * FROM lm0 QUALIFY row_number() OVER (
+         PARTITION BY report_id, metric, dim, "table", label, "column" ORDER BY pri, value) = 1),
+nl AS (SELECT report_id, metric, dim, "table", count(DISTINCT label) AS nl FROM psnap
+       WHERE kind = 'breakdown' GROUP BY ALL),
+cover AS (SELECT lm.report_id, lm.metric, lm.dim, lm."table", lm."column"
+          FROM lm JOIN nl USING (report_id, metric, dim, "table")
+          GROUP BY lm.report_id, lm.metric, lm.dim, lm."table", lm."column", nl.nl
+          HAVING count(DISTINCT label) = nl.nl AND count(DISTINCT value) = nl.nl),
+bestcol AS (SELECT c.* FROM cover c JOIN colorder o USING ("table", "column")
+            QUALIFY row_number() OVER (PARTITION BY c.report_id, c.metric, c.dim, c."table"
+                                       ORDER BY o.hop, o.ordinal, c."column") = 1),
+bound AS (SELECT lm.* FROM lm JOIN bestcol USING (report_id, metric, dim, "table", "column")),
+cpts AS (SELECT c.*, p.kind AS ckind, p.reported, p.snap_as_of, p.label, p.pos,
+                b."column" AS bdim, b.value AS bval, p.dim AS pdim
+         FROM cand c JOIN psnap p ON p.report_id = c.report_id AND p.metric = c.metric AND p."table" = c."table"
+         LEFT JOIN bound b ON b.report_id = p.report_id AND b.metric = p.metric AND b.dim = p.dim
+                           AND b."table" = p."table" AND b.label = p.label),
+cev AS (
+  SELECT cp.*,
+    CASE WHEN cp.ckind = 'breakdown' AND cp.bdim IS NULL THEN NULL
+         WHEN cp.kind = 'plain' THEN (SELECT CAST(CASE WHEN cp.agg = 'COUNT' THEN x.n ELSE x.s END AS DECIMAL(38,6))
+              FROM cells x WHERE x."table" = cp."table" AND x.as_of = cp.snap_as_of AND x.fcol IS NULL
+              AND x.dim IS NOT DISTINCT FROM cp.bdim AND x.dim_value IS NOT DISTINCT FROM cp.bval AND x.measure = cp.c1)
+         WHEN cp.kind = 'filter' AND cp.fop = '=' THEN (SELECT CAST(x.s AS DECIMAL(38,6))
+              FROM cells x WHERE x."table" = cp."table" AND x.as_of = cp.snap_as_of AND x.fcol = cp.fcol
+              AND x.fvalue = cp.fval
+              AND x.dim IS NOT DISTINCT FROM cp.bdim AND x.dim_value IS NOT DISTINCT FROM cp.bval AND x.measure = cp.c1)
+         WHEN cp.kind = 'filter' THEN (SELECT CAST(CASE WHEN sum(x.n) > 0 THEN sum(x.s) END AS DECIMAL(38,6))
+              FROM cells x WHERE x."table" = cp."table" AND x.as_of = cp.snap_as_of AND x.fcol = cp.fcol
+              AND x.fvalue <> cp.fval
+              AND x.dim IS NOT DISTINCT FROM cp.bdim AND x.dim_value IS NOT DISTINCT FROM cp.bval AND x.measure = cp.c1)
+         ELSE (SELECT CAST(CASE cp.op WHEN '+' THEN a.s + b.s WHEN '-' THEN a.s - b.s
+                                 ELSE CASE WHEN b.s = 0 THEN NULL ELSE CAST(a.s AS DECIMAL(38,6)) / CAST(b.s AS DECIMAL(38,6)) END END
+                            AS DECIMAL(38,6))
+               FROM cells a JOIN cells b ON b."table" = a."table" AND b.as_of = a.as_of
+                 AND b.dim IS NOT DISTINCT FROM a.dim AND b.dim_value IS NOT DISTINCT FROM a.dim_value
+                 AND b.fcol IS NULL AND b.measure = cp.c2
+               WHERE a."table" = cp."table" AND a.as_of = cp.snap_as_of AND a.fcol IS NULL
+                 AND a.dim IS NOT DISTINCT FROM cp.bdim AND a.dim_value IS NOT DISTINCT FROM cp.bval
+                 AND a.measure = cp.c1)
+    END AS computed
+  FROM cpts cp),
+cons AS (SELECT *, COALESCE(CASE WHEN reported = 0 THEN computed = 0
+                                 ELSE abs(computed - reported) <= 0.005 * abs(reported) END, FALSE) AS ok
+         FROM cev),
+scored AS (
+  SELECT report_id, metric, "table", key, tier, kind, count_if(ok) AS satisfied, count(*) AS total,
+         bool_or(ok AND ckind = 'grand_total') AS grand_ok,
+         (CASE WHEN op IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN fcol IS NOT NULL THEN 1 ELSE 0 END) AS complexity
+  FROM cons GROUP BY report_id, metric, "table", key, tier, kind, op, fcol),
+banded AS (
+  SELECT *, CASE WHEN NOT grand_ok THEN 'REJECTED' WHEN total = 1 THEN 'WEAK'
+                 WHEN satisfied >= 4 AND satisfied / total >= 0.9 THEN 'CONFIRMED'
+                 WHEN satisfied >= 2 AND satisfied / total >= 0.75 THEN 'PROBABLE' ELSE 'REJECTED' END AS band,
+            satisfied / total AS score
+  FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY report_id, metric ORDER BY
+     CASE band WHEN 'CONFIRMED' THEN 4 WHEN 'PROBABLE' THEN 3 WHEN 'WEAK' THEN 2 WHEN 'REJECTED' THEN 1 ELSE 0 END DESC,
+     score DESC, complexity, key) AS rk
+  FROM banded)"""
+
+
+def _verdict_ctes() -> str:
+    tier2 = base_ctes() + "," + GROUPS_SQL + "," + TIER2_SQL + "," + FILTER_SQL + "," + PAIRS_SQL + "," + COLORDER_SQL
+    # tier 2 pass
+    v2 = VERDICT_SQL.replace("JOIN psnap p ON p.report_id = c.report_id", "JOIN psnap p ON p.report_id = c.report_id")
+    stage2 = "cand AS (SELECT * FROM cand2)," + v2.replace("cand2 AS (", "cand2x AS (", 1)
+    # rename stage-2 CTEs so the stage-3 copy can reuse the same text
+    names = ["pts", "psnap", "cand2x", "vals", "lm0", "lm", "nl", "cover", "bestcol", "bound", "cpts", "cev",
+             "cons", "scored", "banded", "ranked", "cand"]
+    import re
+
+    def suffix(text, suf):
+        for n in sorted(names, key=len, reverse=True):
+            text = re.sub(rf"\b{n}\b", n + suf, text)
+        return text
+    cand2_def = ("cand2 AS (SELECT report_id, metric, \"table\", key, 2 AS tier, 'plain' AS kind,"
+                 " CASE WHEN key LIKE 'COUNT(%' THEN 'COUNT' ELSE 'SUM' END AS agg,"
+                 " CASE WHEN key LIKE 'COUNT(%' THEN '*' ELSE lower(split_part(split_part(key, '.', 2), ')', 1)) END AS c1,"
+                 " CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS fcol,"
+                 " CAST(NULL AS VARCHAR) AS fop, CAST(NULL AS VARCHAR) AS fval FROM t2e WHERE ok)")
+    s2 = suffix(stage2, "_a")
+    scope = """
+resolved AS (SELECT DISTINCT "table" FROM ranked_a WHERE rk = 1 AND band IN ('CONFIRMED', 'PROBABLE', 'WEAK')),
+opened AS (SELECT report_id, metric FROM groups EXCEPT SELECT DISTINCT report_id, metric FROM t2e WHERE ok),
+scope AS (SELECT o.report_id, o.metric, r."table" FROM opened o, resolved r
+          UNION SELECT t.report_id, t.metric, t."table" FROM t2e t JOIN opened o USING (report_id, metric)
+                WHERE NOT t.ok AND t.err <= 0.6),
+cand3 AS (
+  SELECT f.report_id, f.metric, f."table", f.key, 3 AS tier, 'filter' AS kind, 'SUM' AS agg, f.measure AS c1,
+         CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, f.fcol, f.op AS fop, f.fvalue AS fval
+  FROM (SELECT fh.*, fhe.key, fhe.ok FROM fh JOIN fhe ON fhe.report_id = fh.report_id AND fhe.metric = fh.metric
+          AND fhe.key = upper('SUM(' || fh."table" || '.' || fh.measure || ') WHERE ' || fh.fcol || fh.op || '''' || fh.fvalue || '''')) f
+  JOIN scope s USING (report_id, metric, "table") WHERE f.ok
+  UNION ALL
+  SELECT p.report_id, p.metric, p."table", pe.key, 3, 'pair', 'SUM', p.c1, p.c2, p.op, NULL, NULL, NULL
+  FROM pairs p JOIN pe ON pe.report_id = p.report_id AND pe.metric = p.metric
+    AND pe.key = upper('SUM(' || p."table" || '.' || p.c1 || ') ' || p.op || ' SUM(' || p."table" || '.' || p.c2 || ')')
+  JOIN scope s ON s.report_id = p.report_id AND s.metric = p.metric AND s."table" = p."table"
+  WHERE pe.ok),"""
+    stage3 = suffix("cand AS (SELECT * FROM cand3)," + v2.replace("cand2 AS (", "cand2x AS (", 1), "_b")
+    tail = """
+allranked AS (SELECT * FROM ranked_a UNION ALL SELECT * FROM ranked_b),
+best AS (SELECT * FROM allranked WHERE rk = 1 AND band IN ('CONFIRMED', 'PROBABLE', 'WEAK')),
+misses AS (
+  SELECT report_id, metric, key, err FROM t2e WHERE NOT ok AND err IS NOT NULL
+  UNION ALL SELECT f.report_id, f.metric, f.key, f.err FROM fhe f JOIN scope s USING (report_id, metric, "table")
+            WHERE NOT f.ok AND f.err IS NOT NULL
+  UNION ALL SELECT p.report_id, p.metric, p.key, p.err FROM pe p JOIN scope s USING (report_id, metric, "table")
+            WHERE NOT p.ok AND p.err IS NOT NULL),
+near AS (SELECT report_id, metric, key AS near_key, err AS near_err FROM misses
+         QUALIFY row_number() OVER (PARTITION BY report_id, metric ORDER BY err, key) = 1)"""
+    return tier2 + "," + cand2_def + "," + s2 + "," + scope + stage3 + "," + tail
+
+
+def resolve_metrics_sql() -> str:
+    return "WITH RECURSIVE_PLACEHOLDER" if False else _verdict_ctes() + """
+SELECT g.report_id, g.metric, g.as_of, COALESCE(b.band, 'UNMAPPABLE') AS band, b.key, b.tier,
+       CAST(b.satisfied AS BIGINT) AS satisfied, CAST(b.total AS BIGINT) AS total,
+       n.near_key, round(n.near_err, 6) AS near_err
+FROM groups g LEFT JOIN best b USING (report_id, metric) LEFT JOIN near n USING (report_id, metric)"""
+
+
+def constraint_bands_sql() -> str:
+    return _verdict_ctes() + """
+SELECT report_id, metric, key, tier, CAST(satisfied AS BIGINT) AS satisfied, CAST(total AS BIGINT) AS total,
+       band, CAST(rk AS BIGINT) AS rank
+FROM allranked"""

@@ -25,4 +25,6 @@ def oracle_sql():
         "value_space_hits": FS.value_space_hits_sql(),
         "filtered_candidates": FS.filtered_candidates_sql(),
         "two_term_candidates": FS.two_term_candidates_sql(),
+        "resolve_metrics": FS.resolve_metrics_sql(),
+        "constraint_bands": FS.constraint_bands_sql(),
     }
