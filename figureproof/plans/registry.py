@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from . import catalog_queries as CQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
 
+# Any scale factor has the same schemas; the oracle reads only the footers.
+SCHEMA_DIR = "/root/testdata/sf0.001"
+
 
 def queries():
     return {
@@ -15,11 +19,18 @@ def queries():
         "two_term_candidates": FQ.two_term_candidates,
         "constraint_bands": FQ.constraint_bands,
         "resolve_metrics": FQ.resolve_metrics,
+        "column_profile": CQ.column_profile,
+        "approx_profile": CQ.approx_profile,
+        "key_heuristic": CQ.key_heuristic,
+        "column_roles": CQ.column_roles,
+        "join_edges": CQ.join_edges,
+        "snapshot_as_of": CQ.snapshot_as_of,
     }
 
 
 def oracle_sql():
     return {
+        **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),
