@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import catalog_queries as CQ
+from . import log_queries as LQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
 
@@ -25,12 +26,16 @@ def queries():
         "column_roles": CQ.column_roles,
         "join_edges": CQ.join_edges,
         "snapshot_as_of": CQ.snapshot_as_of,
+        "query_shapes": LQ.query_shapes,
+        "log_aggregates": LQ.log_aggregates,
+        "log_dimensions": LQ.log_dimensions,
     }
 
 
 def oracle_sql():
     return {
         **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
+        **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),
