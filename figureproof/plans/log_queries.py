@@ -171,3 +171,90 @@ SELECT tbl AS "table", col AS "column", CAST(count(DISTINCT (stmt_id, pos)) AS B
        CAST(count(DISTINCT user_id) AS BIGINT) AS users
 FROM resolved GROUP BY ALL"""
     return out
+
+
+# ----------------------------------------------------------------------- evidence and trust
+
+# Fixed value: the scoring clock of the fixture.
+TRUST_NOW = "2024-02-15 00:00:00"
+
+
+def _evidence(spark, sf_dir):
+    from ..operators import trust as TR
+    from .catalog_queries import column_roles
+    st = L.statements(log_table(spark, sf_dir))
+    calls = L.aggregate_calls(st, _catalog(spark, sf_dir))
+    ev = TR.log_evidence(calls, st).unionByName(TR.role_evidence(column_roles(spark, sf_dir)))
+    return TR.bundle(ev)
+
+
+def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _evidence(spark, sf_dir)
+    return b.select("table", "column", "agg", F.col("executions").cast("bigint").alias("executions"),
+                    F.col("users").cast("bigint").alias("users"), "last_seen",
+                    F.array_join("sources", ",").alias("sources"))
+
+
+def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import trust as TR
+    s = TR.score(_evidence(spark, sf_dir), TRUST_NOW)
+    return s.select("table", "column", "agg", F.round("authority", 6).alias("authority"),
+                    F.round("usage", 6).alias("usage"), F.round("agreement", 6).alias("agreement"),
+                    F.round("recency", 6).alias("recency"), F.round("certified", 6).alias("certified"),
+                    F.round("total", 6).alias("total"), "review_required", "kept")
+
+
+def oracle_evidence(schema) -> dict[str, str]:
+    from ..operators import trust as TR
+    from .catalog_queries import oracle as cat_oracle
+    base = _log_ctes(schema)
+    calls = oracle(schema)["log_aggregates"]
+    # reuse the resolved-call CTEs of the log oracle up to 'resolved'
+    head = calls[:calls.rindex("SELECT tbl AS")]
+    roles = cat_oracle(schema)["column_roles"]
+    auth = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TR.SOURCE_AUTHORITY.items())
+    ev = head + f""",
+cx AS (SELECT stmt_id, pos, count(DISTINCT (agg, tbl, col)) >= {TR.COMPLEX_MIN_KEYS} AS complex
+       FROM resolved GROUP BY stmt_id, pos),
+rl AS ({roles}),
+ev AS (
+  SELECT r.tbl AS "table", r.col AS "column", r.agg,
+         CASE WHEN cx.complex THEN 'query_log_complex' ELSE 'query_log_simple' END AS source,
+         r.user_id, s.ts, r.stmt_id
+  FROM resolved r JOIN cx USING (stmt_id, pos) JOIN st s USING (stmt_id, pos)
+  UNION ALL
+  SELECT lower("table"), lower("column"), 'SUM', 'ddl_naming_convention', NULL, NULL, NULL
+  FROM rl WHERE role = 'measure_input'),
+b AS (SELECT "table", "column", agg, count(stmt_id) AS executions, count(DISTINCT user_id) AS users,
+             max(ts) AS last_seen, list_sort(list_distinct(list(source))) AS sources
+      FROM ev GROUP BY ALL)"""
+    out = {}
+    out["evidence_bundle"] = ev + """
+SELECT "table", "column", agg, CAST(executions AS BIGINT) AS executions, CAST(users AS BIGINT) AS users,
+       last_seen, array_to_string(sources, ',') AS sources FROM b"""
+    w = TR.WEIGHTS
+    out["trust_score"] = ev + f""",
+sc AS (
+  SELECT *,
+    CAST(coalesce(list_max(list_transform(sources, lambda s: CASE s {auth} ELSE 0.0 END)), 0.0) AS DOUBLE) AS authority,
+    CASE WHEN max(executions) OVER (PARTITION BY "table") > 0
+         THEN ln(1 + executions) / ln(1 + max(executions) OVER (PARTITION BY "table")) ELSE 0.0 END AS usage,
+    CAST(least(len(sources) / 4.0, 1.0) AS DOUBLE) AS agreement,
+    CAST(CASE WHEN last_seen IS NULL THEN 0.0
+         WHEN floor((epoch(TIMESTAMP '{TRUST_NOW}') - epoch(last_seen)) / 86400) <= 7 THEN 1.0
+         WHEN floor((epoch(TIMESTAMP '{TRUST_NOW}') - epoch(last_seen)) / 86400) <= 30 THEN 0.8
+         WHEN floor((epoch(TIMESTAMP '{TRUST_NOW}') - epoch(last_seen)) / 86400) <= 90 THEN 0.5
+         WHEN floor((epoch(TIMESTAMP '{TRUST_NOW}') - epoch(last_seen)) / 86400) <= 365 THEN 0.2
+         ELSE 0.0 END AS DOUBLE) AS recency,
+    CAST(0.0 AS DOUBLE) AS certified
+  FROM b)
+SELECT "table", "column", agg, round(authority, 6) AS authority, round(usage, 6) AS usage,
+       round(agreement, 6) AS agreement, round(recency, 6) AS recency, round(certified, 6) AS certified,
+       round(authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
+             + recency * {w['recency']} + certified * {w['certified']}, 6) AS total,
+       authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
+             + recency * {w['recency']} + certified * {w['certified']} < {TR.AUTO_MERGE} AS review_required,
+       authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
+             + recency * {w['recency']} + certified * {w['certified']} > {TR.DROP} AS kept
+FROM sc"""
+    return out

@@ -29,6 +29,8 @@ def queries():
         "query_shapes": LQ.query_shapes,
         "log_aggregates": LQ.log_aggregates,
         "log_dimensions": LQ.log_dimensions,
+        "evidence_bundle": LQ.evidence_bundle,
+        "trust_score": LQ.trust_score,
     }
 
 
@@ -36,6 +38,7 @@ def oracle_sql():
     return {
         **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
+        **LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR)),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),
