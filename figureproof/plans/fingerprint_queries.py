@@ -86,3 +86,40 @@ def constraint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.col("satisfied").cast("bigint").alias("satisfied"),
                              F.col("total").cast("bigint").alias("total"), "band",
                              F.col("rk").cast("bigint").alias("rank"))
+
+
+def drift_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 over the two editions of the report fixture, with documentation
+    hits counted over every document of ``documents``."""
+    from ..operators import drift as D
+    from ..sources.tables import read_table
+    figs = R.report_figures(spark, sf_dir)
+    cells = R.report_cube(spark, sf_dir)
+    res = resolve(figs, cells, R.column_order(spark, sf_dir))
+    eds = res.figures.select("report_id", "edition_as_of").distinct()
+    verd = materialize(res.verdicts.join(eds, "report_id")
+                       .select("report_id", "edition_as_of", "metric", "key"), "verdicts")
+    side = D.last_two_editions(verd)
+    best = (res.scored.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
+               .join(side.where("side = 'old'"), "report_id")
+               .select("metric", "cid", *S.CAND_COLS))
+    new_g = res.groups.join(side.where("side = 'new'"), "report_id").select(
+        "metric", F.col("as_of").alias("eval_as_of"), "reported")
+    snaps = S.bind_snapshots(new_g, S.snapshot_registry(cells))
+    pts = (best.join(new_g, "metric").join(snaps, ["eval_as_of", "table"])
+               .select("cid", F.col("metric").alias("pid"), "snap_as_of",
+                       F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("dim_value")))
+    ev = S.evaluate(best.select("cid", *S.CAND_COLS), pts, cells)
+    recheck = materialize(ev.join(best.select("cid", "metric"), "cid").join(new_g, "metric")
+                            .select("metric", within_tolerance("computed", "reported").alias("still_ok")),
+                          "recheck")
+    found = materialize(D.diff(verd, recheck), "drift")
+    names = (found.select(F.col("old_name").alias("name")).unionByName(found.select(F.col("new_name").alias("name")))
+                  .where(F.col("name").isNotNull()))
+    hits = D.documentation_hits(names, read_table(spark, sf_dir, "documents"))
+    h_old = hits.select(F.col("name").alias("old_name"), F.col("doc_hits").alias("h1"))
+    h_new = hits.select(F.col("name").alias("new_name"), F.col("doc_hits").alias("h2"))
+    out = (found.join(h_old, "old_name", "left").join(h_new, "new_name", "left")
+                .withColumn("doc_hits", (F.coalesce("h1", F.lit(0)) + F.coalesce("h2", F.lit(0))).cast("bigint")))
+    return out.select("kind", "old_name", "new_name", "old_key", "new_key", "doc_hits",
+                      (F.col("doc_hits") == 0).alias("undocumented"))

@@ -406,3 +406,45 @@ def constraint_bands_sql() -> str:
 SELECT report_id, metric, key, tier, CAST(satisfied AS BIGINT) AS satisfied, CAST(total AS BIGINT) AS total,
        band, CAST(rk AS BIGINT) AS rank
 FROM allranked"""
+
+
+def drift_register_sql() -> str:
+    return _verdict_ctes() + """,
+ed2 AS (SELECT report_id, edition_as_of FROM (SELECT DISTINCT report_id, edition_as_of FROM figs)
+        QUALIFY row_number() OVER (ORDER BY edition_as_of DESC, report_id DESC) <= 2),
+side AS (SELECT report_id, edition_as_of,
+                CASE WHEN row_number() OVER (ORDER BY edition_as_of DESC, report_id DESC) = 1 THEN 'new' ELSE 'old' END AS side
+         FROM ed2),
+v AS (SELECT s.side, g.metric AS name, b.key FROM groups g JOIN side s USING (report_id)
+      LEFT JOIN best b USING (report_id, metric)),
+old AS (SELECT name, key AS old_key FROM v WHERE side = 'old'),
+new AS (SELECT name, key AS new_key FROM v WHERE side = 'new'),
+gone AS (SELECT * FROM old WHERE name NOT IN (SELECT name FROM new)),
+came AS (SELECT * FROM new WHERE name NOT IN (SELECT name FROM old)),
+g AS (SELECT *, row_number() OVER (PARTITION BY old_key ORDER BY name) AS r FROM gone WHERE old_key IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY new_key ORDER BY name) AS r FROM came WHERE new_key IS NOT NULL),
+ren AS (SELECT 'renamed' AS kind, g.name AS old_name, c.name AS new_name, g.old_key, c.new_key
+        FROM g JOIN c ON g.old_key = c.new_key AND g.r = c.r),
+allc AS (SELECT report_id, metric, key, ok FROM t2e UNION ALL SELECT report_id, metric, key, ok FROM fhe
+         UNION ALL SELECT report_id, metric, key, ok FROM pe),
+newrep AS (SELECT report_id FROM side WHERE side = 'new'),
+recheck AS (SELECT a.metric, a.key, a.ok AS still_ok FROM allc a WHERE a.report_id IN (SELECT report_id FROM newrep)),
+kept AS (SELECT o.name, o.old_key, n.new_key, r.still_ok FROM old o JOIN new n USING (name)
+         LEFT JOIN recheck r ON r.metric = o.name AND r.key = o.old_key),
+redef AS (SELECT 'redefined' AS kind, name AS old_name, name AS new_name, old_key, new_key FROM kept
+          WHERE old_key IS NOT NULL AND ((new_key IS NOT NULL AND old_key <> new_key)
+                OR ((new_key IS NULL OR old_key = new_key) AND still_ok = FALSE))),
+found AS (
+  SELECT * FROM ren UNION ALL SELECT * FROM redef
+  UNION ALL SELECT 'appeared', NULL, name, NULL, new_key FROM came WHERE name NOT IN (SELECT new_name FROM ren)
+  UNION ALL SELECT 'disappeared', name, NULL, old_key, NULL FROM gone WHERE name NOT IN (SELECT old_name FROM ren)),
+names AS (SELECT old_name AS name FROM found WHERE old_name IS NOT NULL
+          UNION SELECT new_name FROM found WHERE new_name IS NOT NULL),
+dn AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
+hits AS (SELECT n.name, count(DISTINCT d.doc_id) AS h FROM names n
+         LEFT JOIN dn d ON strpos(d.t, ' ' || trim(regexp_replace(lower(n.name), '[^a-z0-9]+', ' ', 'g')) || ' ') > 0
+         GROUP BY n.name)
+SELECT f.kind, f.old_name, f.new_name, f.old_key, f.new_key,
+       CAST(coalesce(h1.h, 0) + coalesce(h2.h, 0) AS BIGINT) AS doc_hits,
+       coalesce(h1.h, 0) + coalesce(h2.h, 0) = 0 AS undocumented
+FROM found f LEFT JOIN hits h1 ON h1.name = f.old_name LEFT JOIN hits h2 ON h2.name = f.new_name"""

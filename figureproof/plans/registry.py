@@ -20,6 +20,7 @@ def queries():
         "two_term_candidates": FQ.two_term_candidates,
         "constraint_bands": FQ.constraint_bands,
         "resolve_metrics": FQ.resolve_metrics,
+        "drift_register": FQ.drift_register,
         "column_profile": CQ.column_profile,
         "approx_profile": CQ.approx_profile,
         "key_heuristic": CQ.key_heuristic,
@@ -46,4 +47,5 @@ def oracle_sql():
         "two_term_candidates": FS.two_term_candidates_sql(),
         "resolve_metrics": FS.resolve_metrics_sql(),
         "constraint_bands": FS.constraint_bands_sql(),
+        "drift_register": FS.drift_register_sql(),
     }
