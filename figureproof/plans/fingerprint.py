@@ -78,9 +78,9 @@ def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells:
                .join(surv.select("cid", "report_id", "metric"), "cid")
                .join(points.select("figure_id", "kind").distinct(), "figure_id")
                .select("cid", "report_id", "metric", "kind", "figure_id", "reported", "computed"))
-    cons = (grand.unionByName(rest)
-                 .withColumn("ok", within_tolerance("computed", "reported"))
-                 .withColumn("err", relative_error("computed", "reported")))
+    cons = materialize(grand.unionByName(rest)
+                       .withColumn("ok", within_tolerance("computed", "reported"))
+                       .withColumn("err", relative_error("computed", "reported")), "constraints")
     tally = cons.groupBy("cid").agg(
         F.count_if("ok").alias("satisfied"), F.count(F.lit(1)).alias("total"),
         F.max(F.when(F.col("kind") == "grand_total", F.col("ok"))).alias("grand_ok"))
@@ -119,7 +119,6 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
     surv2 = t2.where("ok")
     cons2, scored2 = score_survivors(surv2, points, snaps, cells, col_order)
     ranked2 = materialize(pick_best(scored2), "ranked2")
-    cons2 = materialize(cons2, "cons2")
     accepted2 = ranked2.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
 
     # ---- tier-3 scope: resolved tables (all metrics) + this metric's near misses
@@ -152,7 +151,6 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
     surv3 = t3.where("ok")
     cons3, scored3 = score_survivors(surv3, points, snaps, cells, col_order)
     ranked3 = materialize(pick_best(scored3), "ranked3")
-    cons3 = materialize(cons3, "cons3")
 
     hits = t2.unionByName(t3).unionByName(tn)
     ranked = ranked2.unionByName(ranked3)
@@ -168,9 +166,9 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
     near_best = (nm.withColumn("r", F.row_number().over(wn)).where("r = 1")
                    .select("report_id", "metric", F.col("key").alias("near_key"),
                            F.col("err").alias("near_err")))
-    verdicts = (groups.join(best.select("report_id", "metric", "band", "key", "table", "tier",
+    verdicts = materialize(groups.join(best.select("report_id", "metric", "band", "key", "table", "tier",
                                         "satisfied", "total", "score"),
                             ["report_id", "metric"], "left")
                       .join(near_best, ["report_id", "metric"], "left")
-                      .withColumn("band", F.coalesce("band", F.lit("UNMAPPABLE"))))
+                      .withColumn("band", F.coalesce("band", F.lit("UNMAPPABLE"))), "verdicts")
     return Resolution(figs, groups, hits, constraints, ranked, verdicts)

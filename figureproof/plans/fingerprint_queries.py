@@ -33,7 +33,7 @@ def measure_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _setup(spark, sf_dir):
     cells = R.report_cube(spark, sf_dir)
-    figs = materialize(S.prepare(R.report_figures(spark, sf_dir)), "figures")
+    figs = S.prepare(R.report_figures(spark, sf_dir))
     groups = S.metric_groups(figs)
     points = materialize(S.constraint_points(figs, groups), "points")
     snaps = materialize(S.bind_snapshots(points, S.snapshot_registry(cells)), "snaps")
@@ -69,9 +69,14 @@ def two_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _d("reported").alias("reported"))
 
 
+def _resolution(spark: SparkSession, sf_dir: str):
+    from ..session import shared
+    return shared(spark, ("resolution", sf_dir), lambda: resolve(
+        R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir)))
+
+
 def resolve_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = resolve(R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir),
-                  R.column_order(spark, sf_dir))
+    res = _resolution(spark, sf_dir)
     v = res.verdicts
     return v.select("report_id", "metric", "as_of", "band", "key", "tier",
                     F.col("satisfied").cast("bigint").alias("satisfied"),
@@ -80,8 +85,7 @@ def resolve_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constraint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = resolve(R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir),
-                  R.column_order(spark, sf_dir))
+    res = _resolution(spark, sf_dir)
     return res.scored.select("report_id", "metric", "key", "tier",
                              F.col("satisfied").cast("bigint").alias("satisfied"),
                              F.col("total").cast("bigint").alias("total"), "band",
@@ -93,9 +97,8 @@ def drift_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits counted over every document of ``documents``."""
     from ..operators import drift as D
     from ..sources.tables import read_table
-    figs = R.report_figures(spark, sf_dir)
     cells = R.report_cube(spark, sf_dir)
-    res = resolve(figs, cells, R.column_order(spark, sf_dir))
+    res = _resolution(spark, sf_dir)
     eds = res.figures.select("report_id", "edition_as_of").distinct()
     verd = materialize(res.verdicts.join(eds, "report_id")
                        .select("report_id", "edition_as_of", "metric", "key"), "verdicts")

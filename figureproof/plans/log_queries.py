@@ -40,7 +40,11 @@ def _render(template: str) -> F.Column:
 
 
 def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return render_events(read_table(spark, sf_dir, "events"))
+
+
+def render_events(ev: DataFrame) -> DataFrame:
+    """One log entry per event (works on batch and streaming frames)."""
     text = None
     for t, tpl in TEMPLATES.items():
         text = (F.when(F.col("event_type") == t, _render(tpl)) if text is None
@@ -258,3 +262,19 @@ SELECT "table", "column", agg, round(authority, 6) AS authority, round(usage, 6)
              + recency * {w['recency']} + certified * {w['certified']} > {TR.DROP} AS kept
 FROM sc"""
     return out
+
+
+# ----------------------------------------------------------------------- streaming
+
+def signal_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file read as a stream (availableNow), statements
+    deduplicated by shape in checkpointed state, merged by foreachBatch into
+    a Parquet table; the query returns the table's final state."""
+    from ..streaming.signals import run_available
+    schema = read_table(spark, sf_dir, "events").schema
+    sink = run_available(spark, f"{sf_dir}/events*.parquet", schema, render_events)
+    return spark.read.parquet(sink).select("shape_hash", "class")
+
+
+def oracle_stream(schema) -> dict[str, str]:
+    return {"signal_dedup_stream": _log_ctes(schema) + "\nSELECT DISTINCT shape_hash, class FROM st"}

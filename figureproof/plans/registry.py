@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import catalog_queries as CQ
 from . import log_queries as LQ
+from . import report_text as RT
+from . import text_queries as TQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
 
@@ -32,6 +34,16 @@ def queries():
         "log_dimensions": LQ.log_dimensions,
         "evidence_bundle": LQ.evidence_bundle,
         "trust_score": LQ.trust_score,
+        "signal_dedup_stream": LQ.signal_dedup_stream,
+        "figure_extract": RT.figure_extract,
+        "figure_text_check": RT.figure_text_check,
+        "figure_consistency": RT.figure_consistency,
+        "extraction_recall": RT.extraction_recall,
+        "formula_mining": TQ.formula_mining,
+        "statement_mining": TQ.statement_mining,
+        "glossary_mining": TQ.glossary_mining,
+        "approval_flags": TQ.approval_flags,
+        "contradictions": TQ.contradictions,
     }
 
 
@@ -40,6 +52,9 @@ def oracle_sql():
         **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR)),
+        **LQ.oracle_stream(CQ.parquet_schema(SCHEMA_DIR)),
+        **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
+        **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),

@@ -76,3 +76,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "figureproof", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build):
+    """Build a derived table once per session and reuse it.
+
+    The measure cube, the published figures and the resolution are written
+    tables (see ``materialize``); every query of the same session over the
+    same data folder reads them instead of re-scanning the facts.
+    """
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    if k not in _SHARED:
+        _SHARED[k] = build()
+    return _SHARED[k]
