@@ -189,16 +189,16 @@ flat AS (SELECT doc, kind, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
     parts = []
     for i, (pat, structure) in enumerate(PR.FORMULA_PATTERNS):
         binary = " B" in structure
-        gs = [f"regexp_extract_all(flat, {_sq(pat)}, {g})" for g in ((1, 2, 3) if binary else (1, 2))]
+        gs = [f"regexp_extract_all(flat, {_sq(pat)}, {g})" for g in ((1, 2, 3) if binary else (1, 2, 2))]
         parts.append(f"""SELECT doc, {i} AS pattern, generate_subscripts(z, 1) AS k, unnest(z) AS p, '{structure}' AS structure,
-                        {'TRUE' if binary else 'FALSE'} AS binary FROM (SELECT doc, list_zip({', '.join(gs)}) AS z FROM flat)""")
+                        {'TRUE' if binary else 'FALSE'} AS is_binary FROM (SELECT doc, list_zip({', '.join(gs)}) AS z FROM flat)""")
     struct_case = "CASE " + " ".join(
         f"WHEN regexp_matches(s, {_sq(pat)}) THEN '{st}'" for pat, st in PR.FORMULA_PATTERNS) + " END"
     out = {}
     fm = base + f""",
 raw AS ({' UNION ALL '.join(parts)}),
 fm AS (SELECT doc, pattern, k, {clean_name('p[1]')} AS metric_name, structure, {clean_term('p[2]')} AS term_a,
-              CASE WHEN binary THEN {clean_term('p[3]')} END AS term_b FROM raw)
+              CASE WHEN is_binary THEN {clean_term('p[3]')} END AS term_b FROM raw)
 SELECT doc, metric_name, structure, term_a, term_b FROM fm
 QUALIFY row_number() OVER (PARTITION BY doc, metric_name, structure ORDER BY pattern, k) = 1"""
     out["formula_mining"] = fm
