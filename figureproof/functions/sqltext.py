@@ -30,7 +30,9 @@ def _c(x) -> Column:
 def split_statements(text) -> Column:
     """Drop ``--`` comment lines, split on ``;``, trim, drop blanks."""
     body = F.regexp_replace(_c(text), COMMENT_LINE, "")
-    return F.filter(F.transform(F.split(body, ";"), lambda s: F.trim(s)), lambda s: s != "")
+    # strip all whitespace (trim() removes only spaces)
+    return F.filter(F.transform(F.split(body, ";"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
+                    lambda s: s != "")
 
 
 def shape(sql) -> Column:

@@ -106,7 +106,7 @@ def _log_ctes(schema) -> str:
     return f"""
 WITH log AS (SELECT event_id AS stmt_id, user_id, ts, CASE event_type {cases} END AS text FROM events),
 body AS (SELECT stmt_id, user_id, ts, regexp_replace(text, {_sq(Q.COMMENT_LINE)}, '', 'g') AS body FROM log),
-parts AS (SELECT stmt_id, user_id, ts, list_filter(list_transform(string_split(body, ';'), lambda x: trim(x)), lambda x: x <> '') AS arr FROM body),
+parts AS (SELECT stmt_id, user_id, ts, list_filter(list_transform(string_split(body, ';'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS arr FROM body),
 st0 AS (SELECT stmt_id, user_id, ts, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS sql FROM parts),
 st AS (SELECT *,
          CASE WHEN trim(sql) = '' THEN 'noise'
