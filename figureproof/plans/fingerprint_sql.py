@@ -448,3 +448,92 @@ SELECT f.kind, f.old_name, f.new_name, f.old_key, f.new_key,
        CAST(coalesce(h1.h, 0) + coalesce(h2.h, 0) AS BIGINT) AS doc_hits,
        coalesce(h1.h, 0) + coalesce(h2.h, 0) = 0 AS undocumented
 FROM found f LEFT JOIN hits h1 ON h1.name = f.old_name LEFT JOIN hits h2 ON h2.name = f.new_name"""
+
+
+def _publish_ctes() -> str:
+    return _verdict_ctes() + """,
+eds3 AS (SELECT DISTINCT report_id, edition_as_of FROM figs),
+cands AS (SELECT * FROM cand_a UNION ALL SELECT * FROM cand_b),
+acc AS (SELECT b.*, c.agg, c.c1, c.c2, c.op, c.fcol, c.fval, e.edition_as_of
+        FROM best b JOIN cands c ON c.report_id = b.report_id AND c.metric = b.metric AND c.key = b.key
+        JOIN eds3 e ON e.report_id = b.report_id),
+latest AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY metric ORDER BY edition_as_of DESC, report_id DESC) = 1),
+mtype AS (SELECT *, CASE WHEN op = '/' THEN 'ratio' WHEN op IN ('+', '-') THEN 'derived'
+                         WHEN agg = 'COUNT' THEN 'count' WHEN agg = 'AVG' THEN 'average' ELSE 'sum' END AS metric_type,
+                    CASE band WHEN 'CONFIRMED' THEN 0.97 WHEN 'PROBABLE' THEN 0.85 WHEN 'WEAK' THEN 0.60 END AS trust,
+                    'm_' || regexp_replace(regexp_replace(lower(metric), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+             FROM latest)"""
+
+
+def publish_sql() -> dict[str, str]:
+    base = _publish_ctes()
+    out = {}
+    out["glossary_terms"] = base + """
+SELECT metric, slug, key AS definition, band, CAST(trust AS DOUBLE) AS trust, trust < 0.85 AS review_required,
+       metric_type, report_id FROM mtype"""
+    out["column_tags"] = base + """,
+tg AS (SELECT "table", c1 AS "column", 'measure' AS tag FROM acc WHERE c1 <> '*'
+       UNION ALL SELECT "table", c2, 'measure' FROM acc WHERE c2 IS NOT NULL
+       UNION ALL SELECT "table", fcol, 'filter' FROM acc WHERE fcol IS NOT NULL)
+SELECT "table", "column", array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags FROM tg GROUP BY ALL"""
+    out["semantic_model_rows"] = base + """,
+ms AS (SELECT DISTINCT "table", agg, c1 AS "column" FROM mtype
+       UNION SELECT "table", 'SUM', c2 FROM mtype WHERE c2 IS NOT NULL)
+SELECT "table", 'measure' AS kind,
+       CASE WHEN "column" = '*' THEN 'row_count' ELSE lower(agg) || '_' || "column" END AS name, agg,
+       CASE WHEN "column" = '*' THEN '1' ELSE "column" END AS expr, CAST(NULL AS DOUBLE) AS trust FROM ms
+UNION ALL
+SELECT "table", 'metric', slug, metric_type, key, CAST(trust AS DOUBLE) FROM mtype"""
+    out["conflict_tables"] = base + """,
+allcons AS (SELECT * FROM cons_a UNION ALL SELECT * FROM cons_b),
+top AS (SELECT * FROM allranked WHERE rk = 1),
+brk AS (SELECT t.report_id, t.metric,
+               count_if(c.ckind = 'breakdown' AND c.ok) AS bok, count_if(c.ckind = 'breakdown') AS bn,
+               count_if(c.ckind = 'prior_period' AND c.ok) AS pok
+        FROM top t JOIN allcons c ON c.report_id = t.report_id AND c.metric = t.metric AND c.key = t.key
+        GROUP BY ALL)
+SELECT g.report_id, g.metric,
+       CASE WHEN b.band IS NULL THEN 'unmappable' ELSE lower(b.band) END AS section, b.key, n.near_key,
+       CAST(coalesce(k.bok, 0) AS BIGINT) AS breakdowns_ok, CAST(coalesce(k.bn, 0) AS BIGINT) AS breakdowns,
+       CAST(coalesce(k.pok, 0) AS BIGINT) AS priors_ok
+FROM groups g LEFT JOIN best b USING (report_id, metric) LEFT JOIN near n USING (report_id, metric)
+LEFT JOIN brk k USING (report_id, metric)"""
+    out["lineage_edges"] = base + """,
+allcons AS (SELECT * FROM cons_a UNION ALL SELECT * FROM cons_b),
+prov AS (SELECT report_id, metric, key, count(*) AS n, list_sort(list_distinct(list(ckind))) AS kinds
+         FROM allcons WHERE ok GROUP BY ALL),
+cols AS (SELECT report_id, metric, key, "table", c1 AS "column" FROM acc
+         UNION ALL SELECT report_id, metric, key, "table", c2 FROM acc WHERE c2 IS NOT NULL)
+SELECT c.report_id, c.metric, c."table", c."column", CAST(p.n AS BIGINT) AS n_satisfied,
+       array_to_string(p.kinds, ',') AS kinds
+FROM cols c JOIN prov p USING (report_id, metric, key)"""
+    return out
+
+
+def scorecard_sql(gold, traps, gold_drift) -> str:
+    def lit(x):
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    g = ", ".join(f"({lit(r)}, {lit(m)}, {lit(k)})" for r, m, k in gold)
+    t = ", ".join(lit(k) for k in traps)
+    d = ", ".join(f"({lit(k)}, {lit(o)}, {lit(n)})" for k, o, n in gold_drift)
+    drift = drift_register_sql()
+    head, tail = drift[:drift.rindex("SELECT f.kind")], drift[drift.rindex("SELECT f.kind"):]
+    return head + f""",
+dr AS ({tail}),
+gold AS (SELECT * FROM (VALUES {g}) v(report_id, metric, gold_key)),
+j AS (SELECT gold.*, v.band, v.key FROM gold LEFT JOIN (
+        SELECT g.report_id, g.metric, COALESCE(b.band, 'UNMAPPABLE') AS band, b.key
+        FROM groups g LEFT JOIN best b USING (report_id, metric)) v USING (report_id, metric)),
+m AS (SELECT count_if(gold_key IS NOT NULL AND key = gold_key AND band IN ('CONFIRMED', 'PROBABLE'))
+               / count_if(gold_key IS NOT NULL) AS mapping_recall,
+             count_if(band = 'CONFIRMED' AND key = gold_key) / count_if(band = 'CONFIRMED') AS precision_confirmed,
+             count_if(gold_key IS NULL AND band = 'UNMAPPABLE') / count_if(gold_key IS NULL) AS unmappable_accuracy,
+             count_if(key IN ({t})) AS traps_chosen FROM j),
+gd AS (SELECT * FROM (VALUES {d}) v(kind, old_name, new_name)),
+dh AS (SELECT count(*) AS n FROM gd WHERE EXISTS (SELECT 1 FROM dr WHERE dr.kind = gd.kind
+        AND dr.old_name IS NOT DISTINCT FROM gd.old_name AND dr.new_name IS NOT DISTINCT FROM gd.new_name))
+SELECT 'mapping_recall' AS "check", round(CAST(mapping_recall AS DOUBLE), 6) AS value, mapping_recall = 1 AS passed FROM m
+UNION ALL SELECT 'precision_confirmed', round(CAST(precision_confirmed AS DOUBLE), 6), precision_confirmed = 1 FROM m
+UNION ALL SELECT 'unmappable_accuracy', round(CAST(unmappable_accuracy AS DOUBLE), 6), unmappable_accuracy = 1 FROM m
+UNION ALL SELECT 'traps_rejected', CAST({len(traps)} - traps_chosen AS DOUBLE), traps_chosen = 0 FROM m
+UNION ALL SELECT 'drift_found', CAST(n AS DOUBLE), n = {len(gold_drift)} FROM dh"""

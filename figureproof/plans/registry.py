@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import catalog_queries as CQ
 from . import log_queries as LQ
 from . import report_text as RT
+from . import naming_queries as NQ
+from . import publish_queries as PQ
 from . import text_queries as TQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
@@ -44,6 +46,15 @@ def queries():
         "glossary_mining": TQ.glossary_mining,
         "approval_flags": TQ.approval_flags,
         "contradictions": TQ.contradictions,
+        "name_shortlist": NQ.name_shortlist,
+        "token_similarity": NQ.token_similarity,
+        "prose_candidates": NQ.prose_candidates,
+        "glossary_terms": PQ.glossary_terms,
+        "lineage_edges": PQ.lineage_edges,
+        "column_tags": PQ.column_tags,
+        "semantic_model_rows": PQ.semantic_model_rows,
+        "conflict_tables": PQ.conflict_tables,
+        "scorecard": PQ.scorecard,
     }
 
 
@@ -55,6 +66,8 @@ def oracle_sql():
         **LQ.oracle_stream(CQ.parquet_schema(SCHEMA_DIR)),
         **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
+        **NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
+                    {"orders": FS.ORDERS_MEASURES, "lineitem": FS.LINE_MEASURES}),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),
@@ -63,4 +76,6 @@ def oracle_sql():
         "resolve_metrics": FS.resolve_metrics_sql(),
         "constraint_bands": FS.constraint_bands_sql(),
         "drift_register": FS.drift_register_sql(),
+        **FS.publish_sql(),
+        "scorecard": FS.scorecard_sql(PQ.GOLD, PQ.TRAP_KEYS, PQ.GOLD_DRIFT),
     }
