@@ -66,3 +66,13 @@ def approximate(sql) -> Column:
     """Subqueries / CTEs are outside the single-level grammar."""
     s = _c(sql)
     return s.rlike(r"(?is)^\s*with\b") | s.rlike(r"(?is)\(\s*select\b")
+
+# Fixed value: a JOIN clause with its first ON equality.
+JOIN_ON = (r"(?i)\b((left|right|full|inner|cross)\s+(outer\s+)?)?join\s+([a-z_][a-z0-9_]*)"
+           r"(\s+(as\s+)?([a-z_][a-z0-9_]*))?\s+on\s+([a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)\s*=\s*"
+           r"([a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)")
+# A candidate key ``AGG(T.C) [op AGG(T.C)] [WHERE C op 'V']``
+# (F20), read as the expression before `` WHERE `` and the predicate after.
+KEY_EXPR = (r"^(SUM|COUNT|AVG)\(([A-Z0-9_]+)\.([A-Z0-9_]+|\*)\)"
+            r"(?: ([-+/]) (SUM|COUNT|AVG)\(([A-Z0-9_]+)\.([A-Z0-9_]+|\*)\))?$")
+KEY_PRED = r"^([A-Z0-9_]+)(=|<>)'(.*)'$"

@@ -103,3 +103,37 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
                  .agg(F.count(F.lit(1)).alias("calls"),
                       F.countDistinct("stmt_id", "pos").alias("statements"),
                       F.countDistinct("user_id").alias("users")))
+
+
+def join_conditions(stmts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``a.x = b.y`` of each JOIN ... ON, both sides resolved through
+    the aliases, oriented from the existing table to the introduced one.
+    Only the first equality of an ON clause is read (single-level grammar)."""
+    s = stmts.where("class = 'analytical'")
+    pat = F.lit(Q.JOIN_ON)
+    g = {i: F.regexp_extract_all("sql", pat, i) for i in (2, 4, 7, 8, 9, 10, 11)}
+    z = s.select("stmt_id", "pos", F.posexplode(F.arrays_zip(*[g[i].alias(f"g{i}") for i in g])).alias("j", "z"))
+    q = lambda c: F.when(F.col(c) == "", None).otherwise(F.lower(F.regexp_replace(c, r"\.$", "")))
+    base = z.select("stmt_id", "pos", "j",
+                    F.upper(F.when(F.col("z.g2") == "", "INNER").otherwise(F.col("z.g2"))).alias("join_type"),
+                    F.lower("z.g4").alias("introduced"), q("z.g8").alias("lq"), F.lower("z.g9").alias("lc"),
+                    q("z.g10").alias("rq"), F.lower("z.g11").alias("rc"))
+    al = _aliases(s)
+    left = _resolve(base.select("stmt_id", "pos", "j", F.col("lq").alias("qual"), F.col("lc").alias("col")), al, catalog)
+    right = _resolve(base.select("stmt_id", "pos", "j", F.col("rq").alias("qual"), F.col("rc").alias("col")), al, catalog)
+    j = (base.join(left.select("stmt_id", "pos", "j", F.col("tbl").alias("lt")), ["stmt_id", "pos", "j"])
+             .join(right.select("stmt_id", "pos", "j", F.col("tbl").alias("rt")), ["stmt_id", "pos", "j"]))
+    flip = F.col("rt") != F.col("introduced")
+    return j.select("stmt_id", "pos", "join_type",
+                    F.when(flip, F.col("rt")).otherwise(F.col("lt")).alias("from_table"),
+                    F.when(flip, F.col("rc")).otherwise(F.col("lc")).alias("from_column"),
+                    F.when(flip, F.col("lt")).otherwise(F.col("rt")).alias("to_table"),
+                    F.when(flip, F.col("lc")).otherwise(F.col("rc")).alias("to_column"))
+
+
+def join_rollup(joins: DataFrame) -> DataFrame:
+    """A10: one row per join edge with the statements it was seen in; the
+    join type of its first occurrence."""
+    return (joins.groupBy("from_table", "from_column", "to_table", "to_column")
+                 .agg(F.min_by("join_type", F.struct("stmt_id", "pos")).alias("join_type"),
+                      F.countDistinct("stmt_id", "pos").alias("statements")))

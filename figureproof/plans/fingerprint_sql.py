@@ -537,3 +537,50 @@ UNION ALL SELECT 'precision_confirmed', round(CAST(precision_confirmed AS DOUBLE
 UNION ALL SELECT 'unmappable_accuracy', round(CAST(unmappable_accuracy AS DOUBLE), 6), unmappable_accuracy = 1 FROM m
 UNION ALL SELECT 'traps_rejected', CAST({len(traps)} - traps_chosen AS DOUBLE), traps_chosen = 0 FROM m
 UNION ALL SELECT 'drift_found', CAST(n AS DOUBLE), n = {len(gold_drift)} FROM dh"""
+
+
+def eval_metrics_sql(gold) -> str:
+    """Gold vs found expression at every snapshot, by brute-force
+    evaluation of both keys over the cube cells."""
+    def lit(x):
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    g = ", ".join(f"({lit(r)}, {lit(m)}, {lit(k)})" for r, m, k in gold if k)
+    from ..functions.sqltext import KEY_EXPR, KEY_PRED
+    kp = "'" + KEY_EXPR.replace("'", "''") + "'"
+    pp = "'" + KEY_PRED.replace("'", "''") + "'"
+    return _verdict_ctes() + f""",
+gold AS (SELECT * FROM (VALUES {g}) v(report_id, metric, gold_key)),
+gpairs AS (SELECT gold.*, b.key FROM gold JOIN best b USING (report_id, metric)),
+sides AS (SELECT report_id, metric, 'gold' AS side, gold_key AS k FROM gpairs
+          UNION ALL SELECT report_id, metric, 'found', key FROM gpairs),
+sk AS (SELECT *, split_part(k, ' WHERE ', 1) AS e,
+              CASE WHEN strpos(k, ' WHERE ') > 0 THEN split_part(k, ' WHERE ', 2) END AS pr FROM sides),
+pk AS (SELECT *, nullif(regexp_extract(e, {kp}, 1), '') AS agg, lower(regexp_extract(e, {kp}, 2)) AS tbl,
+              lower(regexp_extract(e, {kp}, 3)) AS c1, nullif(regexp_extract(e, {kp}, 4), '') AS op,
+              nullif(lower(regexp_extract(e, {kp}, 7)), '') AS c2, nullif(lower(regexp_extract(pr, {pp}, 1)), '') AS fcol,
+              nullif(regexp_extract(pr, {pp}, 2), '') AS fop, nullif(regexp_extract(pr, {pp}, 3), '') AS fval FROM sk),
+sn AS (SELECT DISTINCT "table", as_of FROM cells),
+ev AS (
+  SELECT p.report_id, p.metric, p.side, sq.as_of,
+    CASE WHEN p.op IS NULL AND p.fcol IS NULL THEN (SELECT CAST(CASE WHEN p.agg = 'COUNT' THEN x.n ELSE x.s END AS DECIMAL(38,6))
+              FROM cells x WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol IS NULL AND x.dim IS NULL AND x.measure = p.c1)
+         WHEN p.fcol IS NOT NULL AND p.fop = '=' THEN (SELECT CAST(x.s AS DECIMAL(38,6)) FROM cells x
+              WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol = p.fcol AND x.fvalue = p.fval AND x.dim IS NULL AND x.measure = p.c1)
+         WHEN p.fcol IS NOT NULL THEN (SELECT CAST(CASE WHEN sum(x.n) > 0 THEN sum(x.s) END AS DECIMAL(38,6)) FROM cells x
+              WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol = p.fcol AND x.fvalue <> p.fval AND x.dim IS NULL AND x.measure = p.c1)
+         ELSE (SELECT CAST(CASE p.op WHEN '+' THEN a.s + b.s WHEN '-' THEN a.s - b.s
+                              ELSE CASE WHEN b.s = 0 THEN NULL ELSE CAST(a.s AS DECIMAL(38,6)) / CAST(b.s AS DECIMAL(38,6)) END END
+                          AS DECIMAL(38,6))
+               FROM cells a JOIN cells b ON b."table" = a."table" AND b.as_of = a.as_of AND b.dim IS NULL AND b.fcol IS NULL
+                 AND b.measure = p.c2
+               WHERE a."table" = p.tbl AND a.as_of = sq.as_of AND a.dim IS NULL AND a.fcol IS NULL AND a.measure = p.c1)
+    END AS v
+  FROM pk p JOIN sn sq ON sq."table" = p.tbl),
+r AS (SELECT report_id, metric, side, as_of, round(CAST(v AS DOUBLE), 2) AS v FROM ev),
+gs AS (SELECT report_id, metric, as_of, v FROM r WHERE side = 'gold'),
+fs AS (SELECT report_id, metric, as_of, v FROM r WHERE side = 'found'),
+d AS (SELECT report_id, metric, count(*) AS n FROM ((SELECT * FROM gs EXCEPT ALL SELECT * FROM fs)
+                                                   UNION ALL (SELECT * FROM fs EXCEPT ALL SELECT * FROM gs)) GROUP BY ALL),
+n AS (SELECT report_id, metric, count(*) AS n FROM gs GROUP BY ALL)
+SELECT p.report_id, p.metric, CAST(coalesce(n.n, 0) AS BIGINT) AS n_points, coalesce(d.n, 0) = 0 AS equal
+FROM gpairs p LEFT JOIN n USING (report_id, metric) LEFT JOIN d USING (report_id, metric)"""

@@ -278,3 +278,58 @@ def signal_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_stream(schema) -> dict[str, str]:
     return {"signal_dedup_stream": _log_ctes(schema) + "\nSELECT DISTINCT shape_hash, class FROM st"}
+
+
+def log_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = L.statements(log_table(spark, sf_dir))
+    j = L.join_rollup(L.join_conditions(st, _catalog(spark, sf_dir)))
+    return j.select("from_table", "from_column", "to_table", "to_column", "join_type",
+                    F.col("statements").cast("bigint").alias("statements"))
+
+
+def oracle_joins(schema) -> dict[str, str]:
+    base = _log_ctes(schema)
+    pat = _sq(Q.JOIN_ON)
+    ex = ", ".join(f"regexp_extract_all(sql, {pat}, {i})" for i in (2, 4, 7, 8, 9, 10, 11))
+    refs = """
+jb AS (SELECT stmt_id, pos, j, upper(CASE WHEN coalesce(p[1], '') = '' THEN 'INNER' ELSE p[1] END) AS join_type,
+              lower(p[2]) AS introduced,
+              CASE WHEN coalesce(p[4], '') = '' THEN NULL ELSE lower(regexp_replace(p[4], '\\.$', '')) END AS lq,
+              lower(p[5]) AS lc,
+              CASE WHEN coalesce(p[6], '') = '' THEN NULL ELSE lower(regexp_replace(p[6], '\\.$', '')) END AS rq,
+              lower(p[7]) AS rc
+       FROM j1),"""
+    def resolve(side):
+        q, c = (("lq", "lc") if side == "l" else ("rq", "rc"))
+        return _resolve_sql(f"(SELECT stmt_id, pos, j, {q} AS qual, {c} AS col FROM jb)",
+                            "r.stmt_id, r.pos, r.j, r.qual, r.col").replace("byalias", f"byalias_{side}") \
+            .replace("unq", f"unq_{side}").replace("star", f"star_{side}").replace("resolved", f"res_{side}")
+    return {"log_joins": base + f""",
+j0 AS (SELECT stmt_id, pos, list_zip({ex}) AS z FROM an),
+j1 AS (SELECT stmt_id, pos, generate_subscripts(z, 1) AS j, unnest(z) AS p FROM j0),
+{refs}
+{resolve('l')},
+{resolve('r')},
+jj AS (SELECT jb.*, l.tbl AS lt, r.tbl AS rt FROM jb JOIN res_l l USING (stmt_id, pos, j) JOIN res_r r USING (stmt_id, pos, j)),
+ori AS (SELECT stmt_id, pos, join_type,
+               CASE WHEN rt <> introduced THEN rt ELSE lt END AS from_table,
+               CASE WHEN rt <> introduced THEN rc ELSE lc END AS from_column,
+               CASE WHEN rt <> introduced THEN lt ELSE rt END AS to_table,
+               CASE WHEN rt <> introduced THEN lc ELSE rc END AS to_column FROM jj)
+SELECT from_table, from_column, to_table, to_column, arg_min(join_type, (stmt_id, pos)) AS join_type,
+       CAST(count(DISTINCT (stmt_id, pos)) AS BIGINT) AS statements
+FROM ori GROUP BY from_table, from_column, to_table, to_column"""}
+
+
+def usage_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.signals import latest_usage, run_usage_window
+    schema = read_table(spark, sf_dir, "events").schema
+    sink = run_usage_window(spark, f"{sf_dir}/events*.parquet", schema, render_events)
+    return latest_usage(spark, sink).select("window_start", "shape_hash",
+                                            F.col("executions").cast("bigint").alias("executions"))
+
+
+def oracle_usage(schema) -> dict[str, str]:
+    return {"usage_window_stream": _log_ctes(schema) + """
+SELECT date_trunc('hour', ts) AS window_start, shape_hash, CAST(count(*) AS BIGINT) AS executions
+FROM st GROUP BY ALL"""}

@@ -179,3 +179,48 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("drift_found").cast("double").alias("value"),
                                          (F.col("drift_found") == len(GOLD_DRIFT)).alias("passed")))
     return checks.select("check", F.round("value", 6).alias("value"), "passed")
+
+
+def parse_keys(df: DataFrame, key_col: str) -> DataFrame:
+    """candidate key text -> structured candidate columns."""
+    from ..functions.sqltext import KEY_EXPR, KEY_PRED
+    e = F.substring_index(F.col(key_col), " WHERE ", 1)
+    p = F.when(F.instr(F.col(key_col), " WHERE ") > 0, F.substring_index(F.col(key_col), " WHERE ", -1))
+    g = lambda i: F.nullif(F.regexp_extract(e, KEY_EXPR, i), F.lit(""))
+    h = lambda i: F.nullif(F.regexp_extract(p, KEY_PRED, i), F.lit(""))
+    return df.select("*", g(1).alias("lhs_agg"), F.lower(g(2)).alias("table"), F.lower(g(3)).alias("lhs_col"),
+                     g(4).alias("op"), g(5).alias("rhs_agg"), F.lower(g(6)).alias("rhs_table"),
+                     F.lower(g(7)).alias("rhs_col"), F.lower(h(1)).alias("pred_col"), h(2).alias("pred_op"),
+                     h(3).alias("pred_val"))
+
+
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved expression of every mappable gold metric against
+    the gold expression, evaluated at every snapshot of its table; the
+    result sets (values rounded to 2) must be equal as multisets."""
+    res = _resolution(spark, sf_dir)
+    cells = R.report_cube(spark, sf_dir)
+    gold = spark.createDataFrame([g for g in GOLD if g[2]], "report_id string, metric string, gold_key string")
+    v = res.verdicts.select("report_id", "metric", "key").where(F.col("key").isNotNull())
+    pairs = gold.join(v, ["report_id", "metric"])
+    sides = (pairs.select("report_id", "metric", F.lit("gold").alias("side"), F.col("gold_key").alias("k"))
+                  .unionByName(pairs.select("report_id", "metric", F.lit("found").alias("side"),
+                                            F.col("key").alias("k"))))
+    c = parse_keys(sides, "k").withColumn("cid", F.sha2(F.concat_ws("|", "report_id", "metric", "side"), 256))
+    snaps = cells.select("table", F.col("as_of").alias("snap_as_of")).distinct()
+    pts = (c.select("cid", "table").join(snaps, "table")
+            .select("cid", F.col("snap_as_of").cast("string").alias("pid"), "snap_as_of",
+                    F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("dim_value")))
+    from ..operators.solve import CAND_COLS, evaluate
+    ev = evaluate(c.select("cid", *CAND_COLS), pts, cells)
+    vals = (ev.join(c.select("cid", "report_id", "metric", "side"), "cid")
+              .select("report_id", "metric", "side", "pid", F.round(F.col("computed").cast("double"), 2).alias("v")))
+    g_ = vals.where("side = 'gold'").select("report_id", "metric", "pid", "v")
+    f_ = vals.where("side = 'found'").select("report_id", "metric", "pid", "v")
+    diff = g_.exceptAll(f_).unionByName(f_.exceptAll(g_))
+    bad = diff.groupBy("report_id", "metric").agg(F.count(F.lit(1)).alias("n_diff"))
+    n = g_.groupBy("report_id", "metric").agg(F.count(F.lit(1)).alias("n_points"))
+    return (pairs.select("report_id", "metric").join(n, ["report_id", "metric"], "left")
+                 .join(bad, ["report_id", "metric"], "left")
+                 .select("report_id", "metric", F.coalesce("n_points", F.lit(0)).cast("bigint").alias("n_points"),
+                         (F.coalesce("n_diff", F.lit(0)) == 0).alias("equal")))

@@ -34,9 +34,11 @@ def queries():
         "query_shapes": LQ.query_shapes,
         "log_aggregates": LQ.log_aggregates,
         "log_dimensions": LQ.log_dimensions,
+        "log_joins": LQ.log_joins,
         "evidence_bundle": LQ.evidence_bundle,
         "trust_score": LQ.trust_score,
         "signal_dedup_stream": LQ.signal_dedup_stream,
+        "usage_window_stream": LQ.usage_window_stream,
         "figure_extract": RT.figure_extract,
         "figure_text_check": RT.figure_text_check,
         "figure_consistency": RT.figure_consistency,
@@ -55,6 +57,7 @@ def queries():
         "semantic_model_rows": PQ.semantic_model_rows,
         "conflict_tables": PQ.conflict_tables,
         "scorecard": PQ.scorecard,
+        "eval_metrics": PQ.eval_metrics,
     }
 
 
@@ -64,6 +67,8 @@ def oracle_sql():
         **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_stream(CQ.parquet_schema(SCHEMA_DIR)),
+        **LQ.oracle_joins(CQ.parquet_schema(SCHEMA_DIR)),
+        **LQ.oracle_usage(CQ.parquet_schema(SCHEMA_DIR)),
         **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
@@ -78,4 +83,5 @@ def oracle_sql():
         "drift_register": FS.drift_register_sql(),
         **FS.publish_sql(),
         "scorecard": FS.scorecard_sql(PQ.GOLD, PQ.TRAP_KEYS, PQ.GOLD_DRIFT),
+        "eval_metrics": FS.eval_metrics_sql(PQ.GOLD),
     }

@@ -35,7 +35,7 @@ def shape_signals(stream: DataFrame, render) -> DataFrame:
 def bounded_shape_signals(stream: DataFrame, render, delay: str = "1 day") -> DataFrame:
     """T1 with bounded state: duplicates are only suppressed within the
     watermark delay, so state does not grow with the history."""
-    st = L.statements(render(stream))
+    st = L.statements(render(stream)).withColumn("ts", F.col("ts").cast("timestamp"))
     return (st.withWatermark("ts", delay)
               .select("shape_hash", "class", "stmt_id", "pos", "ts")
               .dropDuplicatesWithinWatermark(["shape_hash"]))
@@ -43,7 +43,8 @@ def bounded_shape_signals(stream: DataFrame, render, delay: str = "1 day") -> Da
 
 def hourly_usage(stream: DataFrame, render) -> DataFrame:
     """T3 extension: executions per shape per hour (tumbling window)."""
-    st = L.statements(render(stream))
+    # event time must be a zoned TIMESTAMP for watermarks (session zone UTC)
+    st = L.statements(render(stream)).withColumn("ts", F.col("ts").cast("timestamp"))
     return (st.withWatermark("ts", "1 hour")
               .groupBy(F.window("ts", "1 hour"), "shape_hash")
               .agg(F.count(F.lit(1)).alias("executions")))
@@ -68,3 +69,31 @@ def run_available(spark: SparkSession, source_dir: str, schema, render, sink_dir
     if not continuous:
         q.awaitTermination()
     return sink_dir
+
+
+def run_usage_window(spark: SparkSession, source_dir: str, schema, render) -> str:
+    """Hourly executions per shape from the stream (T3 extension), merged
+    into a Parquet table by ``foreachBatch`` in update mode (each batch
+    carries the windows it changed; the last write of a window wins)."""
+    base = os.path.join(checkpoint_dir(spark), "figureproof-stream")
+    sink_dir = os.path.join(base, "usage-" + uuid.uuid4().hex)
+    src = (spark.readStream.schema(schema).option("ignoreCorruptFiles", "true")
+                .option("maxFilesPerTrigger", 1).parquet(source_dir))
+
+    def merge(batch: DataFrame, batch_id: int):
+        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "shape_hash",
+                      "executions")
+              .withColumn("batch_id", F.lit(batch_id))
+              .write.mode("append").parquet(sink_dir))
+
+    q = (hourly_usage(src, render).writeStream.outputMode("update").foreachBatch(merge)
+         .option("checkpointLocation", sink_dir + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink_dir
+
+
+def latest_usage(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Final state of the usage table: the last batch's value per window."""
+    u = spark.read.parquet(sink_dir)
+    return (u.groupBy("window_start", "shape_hash")
+             .agg(F.max_by("executions", "batch_id").alias("executions")))
