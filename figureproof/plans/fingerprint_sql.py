@@ -116,7 +116,9 @@ def cells_sql() -> str:
                                        ("lineitem", "lm", LINE_DIMS, LINE_MEASURES)):
         for d, f in _readings(dims, dims):
             keys = ["as_of"] + [c for c in (d, f) if c]
-            where = " AND ".join(f"{c} IS NOT NULL" for c in (d, f) if c) or "TRUE"
+            where = " AND ".join([f"{c} IS NOT NULL" for c in (d, f) if c]
+                                 + ["EXISTS (SELECT 1 FROM figs WHERE abs(datediff('day', figs.as_of, "
+                                    f"{src}.as_of)) <= 3)"])
             dv = f"CAST({d} AS VARCHAR)" if d else "CAST(NULL AS VARCHAR)"
             fv = f"CAST({f} AS VARCHAR)" if f else "CAST(NULL AS VARCHAR)"
             for m in measures + ["*"]:

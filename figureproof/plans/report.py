@@ -39,10 +39,12 @@ UNMAPPABLE_VALUE = "12.5"
 EDITION_IDS = ("rpt_q1", "rpt_q2")
 
 
-def orders_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_mart(spark: SparkSession, sf_dir: str, snaps=None) -> DataFrame:
     """Orders with their quarter snapshot, the planted twin and the
     customer's market segment (one-hop dimension, J1)."""
     o = read_table(spark, sf_dir, "orders")
+    if snaps is not None:
+        o = o.where(snapshot_predicate("o_orderdate", snaps))
     c = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     factor = F.lit(TWIN_DEFAULT)
@@ -55,8 +57,10 @@ def orders_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "o_orderstatus", "o_orderpriority", "c_mktsegment"))
 
 
-def lineitem_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_mart(spark: SparkSession, sf_dir: str, snaps=None) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
+    if snaps is not None:
+        li = li.where(snapshot_predicate("l_shipdate", snaps))
     return li.select(quarter_end("l_shipdate").alias("as_of"), "l_orderkey", "l_partkey",
                      "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -70,8 +74,8 @@ MART_DIMS = {
 JOINED_COLUMNS = {"orders": ["c_mktsegment"]}
 
 
-def marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"orders": orders_mart(spark, sf_dir), "lineitem": lineitem_mart(spark, sf_dir)}
+def marts(spark: SparkSession, sf_dir: str, snaps=None) -> dict[str, DataFrame]:
+    return {"orders": orders_mart(spark, sf_dir, snaps), "lineitem": lineitem_mart(spark, sf_dir, snaps)}
 
 
 def edition_dates(spark: SparkSession, sf_dir: str):
@@ -127,12 +131,12 @@ def _publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     q0, q1, q2 = edition_dates(spark, sf_dir)
     dates = [q0, q1, q2]
-    o = _grouped(orders_mart(spark, sf_dir).where(F.col("as_of").isin(*dates)),
+    o = _grouped(orders_mart(spark, sf_dir, dates).where(F.col("as_of").isin(*dates)),
                  ["o_orderpriority", "c_mktsegment", "o_orderstatus"],
                  [F.sum(F.col("o_totalprice").cast("decimal(20,4)")).alias("price"),
                   F.count(F.lit(1)).alias("n")])
     qty = F.col("l_quantity").cast("decimal(20,4)")
-    li = _grouped(lineitem_mart(spark, sf_dir).where(F.col("as_of").isin(*dates)),
+    li = _grouped(lineitem_mart(spark, sf_dir, dates).where(F.col("as_of").isin(*dates)),
                   ["l_linestatus", "l_returnflag"],
                   [F.sum(qty).alias("qty"),
                    F.sum(F.when(F.col("l_returnflag") != "R", qty)).alias("qty_kept"),
@@ -204,10 +208,42 @@ def report_cube(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataF
     return _build_cube(spark, sf_dir, False)
 
 
+MART_DATE = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
+def needed_snapshots(spark: SparkSession, sf_dir: str):
+    """Quarter snapshots any printed figure can bind to (within the snapshot
+    window of its date). Report-sized: a handful of dates."""
+    import datetime as dt
+    from ..sources.snapshots import SNAPSHOT_WINDOW_DAYS
+    dates = [r["as_of"] for r in report_figures(spark, sf_dir).select("as_of").distinct().collect()]
+    out = set()
+    for d in dates:
+        for k in range(-SNAPSHOT_WINDOW_DAYS, SNAPSHOT_WINDOW_DAYS + 1):
+            s = d + dt.timedelta(days=k)
+            if (s + dt.timedelta(days=1)).day == 1 and s.month in (3, 6, 9, 12):
+                out.add(s)
+    return sorted(out)
+
+
+def snapshot_predicate(date_col: str, snaps) -> F.Column:
+    """Rows of the given quarter snapshots as ranges on the raw date column,
+    so the Parquet scan prunes row groups (a filter on the derived quarter
+    end could not be pushed)."""
+    import datetime as dt
+    cond = F.lit(False)
+    for s in snaps:
+        start = dt.date(s.year, s.month - 2, 1)
+        cond = cond | ((F.col(date_col) >= F.lit(start).cast("timestamp"))
+                       & (F.col(date_col) < F.lit(s + dt.timedelta(days=1)).cast("timestamp")))
+    return cond
+
+
 def _build_cube(spark: SparkSession, sf_dir: str, persist: bool) -> DataFrame:
     from ..operators.cube import measure_cube
     cells = None
-    for t, df in marts(spark, sf_dir).items():
+    snaps = needed_snapshots(spark, sf_dir)
+    for t, df in marts(spark, sf_dir, snaps).items():
         c = measure_cube(df, t, "as_of", MART_DIMS[t], MART_DIMS[t], persist=persist)
         cells = c if cells is None else cells.unionByName(c)
     return materialize(cells, "cells") if persist else cells
