@@ -197,3 +197,36 @@ SELECT r."table", r.as_of AS requested, m.snap_as_of, CAST(m.seq AS BIGINT) AS s
        CASE WHEN m.seq IS NULL THEN 'no snapshot within window' END AS error
 FROM req r LEFT JOIN m ON m."table" = r."table" AND m.requested = r.as_of"""
     return out
+
+
+# The legacy names the older lineitem snapshot is stored under.
+LEGACY_NAMES = {"l_extprice": "l_extendedprice", "l_qty": "l_quantity"}
+
+
+def schema_rename_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two report quarters of ``lineitem``; the older snapshot is
+    stored under legacy column names and without ``l_tax`` (added later). It
+    is read under current names and stacked with the newer one
+    (``unionByName(allowMissingColumns)``); the sums are then per snapshot."""
+    from . import report as R
+    _, q1, q2 = R.edition_dates(spark, sf_dir)
+    li = R.lineitem_mart(spark, sf_dir, [q1, q2])
+    legacy = {v: k for k, v in LEGACY_NAMES.items()}
+    old = li.where(F.col("as_of") == F.lit(q1)).drop("l_tax").withColumnsRenamed(legacy)
+    new = li.where(F.col("as_of") == F.lit(q2))
+    u = SN.rename_union([(old, LEGACY_NAMES), (new, {})])
+    return (u.groupBy("as_of").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+        F.round(F.sum(F.col("l_extendedprice").cast("decimal(20,4)")).cast("double"), 2).alias("sum_extendedprice"),
+        F.round(F.sum(F.col("l_quantity").cast("decimal(20,4)")).cast("double"), 2).alias("sum_quantity"),
+        F.count("l_tax").cast("bigint").alias("tax_non_null")))
+
+
+def oracle_rename() -> dict[str, str]:
+    from . import fingerprint_sql as FS
+    return {"schema_rename_union": "WITH " + FS.MARTS_SQL + """
+SELECT lm.as_of, CAST(count(*) AS BIGINT) AS n_rows,
+       round(CAST(sum(CAST(l_extendedprice AS DECIMAL(20,4))) AS DOUBLE), 2) AS sum_extendedprice,
+       round(CAST(sum(CAST(l_quantity AS DECIMAL(20,4))) AS DOUBLE), 2) AS sum_quantity,
+       CAST(count(CASE WHEN lm.as_of = eds.q2 THEN l_tax END) AS BIGINT) AS tax_non_null
+FROM lm, eds WHERE lm.as_of IN (eds.q1, eds.q2) GROUP BY lm.as_of"""}

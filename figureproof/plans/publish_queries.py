@@ -224,3 +224,25 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .join(bad, ["report_id", "metric"], "left")
                  .select("report_id", "metric", F.coalesce("n_points", F.lit(0)).cast("bigint").alias("n_points"),
                          (F.coalesce("n_diff", F.lit(0)) == 0).alias("equal")))
+
+
+def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column a proposal names (semantic-model measures, mined
+    glossary lines, mined log aggregates) must exist in a physical table;
+    offenders are dropped and their table is flagged for review."""
+    from ..operators import profile as P
+    from ..sources.tables import read_tables
+    from .log_queries import log_aggregates
+    from .text_queries import glossary_mining
+    cat = P.column_catalog(spark, read_tables(spark, sf_dir)).select(
+        F.lower("table").alias("table"), F.lower("column").alias("column"), F.lit(True).alias("known"))
+    sm = semantic_model_rows(spark, sf_dir).where("kind = 'measure' AND expr <> '1'").select(
+        F.lit("semantic_model").alias("source"), "table", F.col("expr").alias("column"))
+    gl = glossary_mining(spark, sf_dir).select(F.lit("glossary").alias("source"), F.lower("table").alias("table"),
+                                               F.lower("column").alias("column"))
+    lg = log_aggregates(spark, sf_dir).where(F.col("column") != "*").select(
+        F.lit("query_log").alias("source"), "table", "column")
+    refs = sm.unionByName(gl).unionByName(lg).distinct()
+    j = refs.join(cat, ["table", "column"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    flag = j.groupBy("table").agg((F.count_if(~F.col("known")) > 0).alias("review_required"))
+    return j.join(flag, "table").select("source", "table", "column", "known", "review_required")

@@ -31,6 +31,7 @@ def queries():
         "column_roles": CQ.column_roles,
         "join_edges": CQ.join_edges,
         "snapshot_as_of": CQ.snapshot_as_of,
+        "schema_rename_union": CQ.schema_rename_union,
         "query_shapes": LQ.query_shapes,
         "log_aggregates": LQ.log_aggregates,
         "log_dimensions": LQ.log_dimensions,
@@ -48,6 +49,7 @@ def queries():
         "glossary_mining": TQ.glossary_mining,
         "approval_flags": TQ.approval_flags,
         "contradictions": TQ.contradictions,
+        "ground_definitions": TQ.ground_definitions,
         "name_shortlist": NQ.name_shortlist,
         "token_similarity": NQ.token_similarity,
         "prose_candidates": NQ.prose_candidates,
@@ -58,12 +60,37 @@ def queries():
         "conflict_tables": PQ.conflict_tables,
         "scorecard": PQ.scorecard,
         "eval_metrics": PQ.eval_metrics,
+        "guardrail": PQ.guardrail,
     }
 
 
+def _guardrail_sql(sqls: dict, schema: dict) -> str:
+    cat = ", ".join(f"('{t}', '{c}')" for t, cs in schema.items() for c, _ in cs)
+    return f"""
+WITH sm AS ({sqls['semantic_model_rows']}),
+gl AS ({sqls['glossary_mining']}),
+lg AS ({sqls['log_aggregates']}),
+cat AS (SELECT lower(t) AS "table", lower(c) AS "column" FROM (VALUES {cat}) v(t, c)),
+refs AS (SELECT DISTINCT * FROM (
+  SELECT 'semantic_model' AS source, "table", expr AS "column" FROM sm WHERE kind = 'measure' AND expr <> '1'
+  UNION ALL SELECT 'glossary', lower("table"), lower("column") FROM gl
+  UNION ALL SELECT 'query_log', "table", "column" FROM lg WHERE "column" <> '*')),
+j AS (SELECT r.*, c."table" IS NOT NULL AS known FROM refs r
+      LEFT JOIN cat c ON c."table" = r."table" AND c."column" = r."column")
+SELECT j.source, j."table", j."column", j.known, f.review_required
+FROM j JOIN (SELECT "table", count_if(NOT known) > 0 AS review_required FROM j GROUP BY "table") f USING ("table")"""
+
+
 def oracle_sql():
+    out = _oracle_sql()
+    out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
+    return out
+
+
+def _oracle_sql():
     return {
         **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
+        **CQ.oracle_rename(),
         **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_stream(CQ.parquet_schema(SCHEMA_DIR)),
@@ -71,6 +98,7 @@ def oracle_sql():
         **LQ.oracle_usage(CQ.parquet_schema(SCHEMA_DIR)),
         **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
+        **TQ.oracle_grounding("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
                     {"orders": FS.ORDERS_MEASURES, "lineitem": FS.LINE_MEASURES}),
         "report_figures": FS.report_figures_sql(),

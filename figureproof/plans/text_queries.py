@@ -26,6 +26,7 @@ COMMENTARY = {
     ("rpt_q2", "Shipped Quantity"): "Shipped Quantity is defined as shipped quantity less returned quantity.",
     ("rpt_q2", "Average Unit Price"): "Average Unit Price is calculated as extended price divided by quantity.",
     ("rpt_q1", "Line Count"): "Line Count represents shipped lines measured before returns.",
+    ("rpt_q2", "Order Count"): "Order Count is defined as the number of o_orderkey values per quarter.",
 }
 # The glossary appendix of every edition.
 GLOSSARY_LINES = [
@@ -233,3 +234,72 @@ SELECT gkey AS metric, CAST(count(*) AS BIGINT) AS n_statements,
        array_to_string(list_sort(list_distinct(list(doc))), ', ') AS sources
 FROM g GROUP BY gkey HAVING count(DISTINCT structure) > 1"""
     return out
+
+
+# ----------------------------------------------------------------------- grounding
+
+# Aggregation keywords and the confidence floor.
+COUNT_WORDS = ["count", "number of", "how many"]
+AVG_WORDS = ["average", "avg", "mean"]
+GROUNDING_FLOOR = 0.6
+
+
+def ground_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each mined definition that name a physical
+    column (equi-join on the word), the confidence (matched / words), the
+    most frequent table (first match on ties), the inferred aggregation."""
+    from ..operators import profile as P
+    from ..sources.tables import read_tables
+    st = statements(corpus(spark, sf_dir))
+    cat = P.column_catalog(spark, read_tables(spark, sf_dir))
+    # a column name in several tables maps to the last table in name order
+    colmap = (cat.select(F.lower("column").alias("word"), "table")
+                 .groupBy("word").agg(F.max("table").alias("table")))
+    words = st.select("doc", "k", "metric_name", "sentence",
+                      F.posexplode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\b[a-z_]+\b"), 0))
+                       .alias("wpos", "word"))
+    nw = words.groupBy("doc", "k").agg(F.count(F.lit(1)).alias("n_words"))
+    m = words.join(colmap, "word")
+    per_table = (m.groupBy("doc", "k", "table").agg(F.count(F.lit(1)).alias("c"), F.min("wpos").alias("first")))
+    wt = Window.partitionBy("doc", "k").orderBy(F.col("c").desc(), "first")
+    top = per_table.withColumn("r", F.row_number().over(wt)).where("r = 1").select("doc", "k", "table")
+    agg = m.groupBy("doc", "k", "metric_name", "sentence").agg(
+        F.count(F.lit(1)).alias("n_matched"), F.min_by("word", "wpos").alias("best_col"))
+    low = F.lower("sentence")
+    kind = (F.when(F.exists(F.array(*[F.lit(w) for w in COUNT_WORDS]), lambda w: F.instr(low, w) > 0), "COUNT")
+             .when(F.exists(F.array(*[F.lit(w) for w in AVG_WORDS]), lambda w: F.instr(low, w) > 0), "AVG")
+             .otherwise("SUM"))
+    out = agg.join(nw, ["doc", "k"]).join(top, ["doc", "k"])
+    conf = F.least(F.col("n_matched") / F.col("n_words"), F.lit(1.0))
+    expr = F.when(kind == "COUNT", F.concat(F.lit("COUNT(DISTINCT "), F.col("best_col"), F.lit(")"))) \
+            .otherwise(F.concat(kind, F.lit("("), F.col("best_col"), F.lit(")")))
+    return out.select("doc", "metric_name", F.col("n_words").cast("bigint").alias("n_words"),
+                      F.col("n_matched").cast("bigint").alias("n_matched"), F.round(conf, 6).alias("confidence"),
+                      expr.alias("expression"), "table", (conf < GROUNDING_FLOOR).alias("ambiguous"))
+
+
+def oracle_grounding(figures_ctes: str, schema: dict) -> dict[str, str]:
+    base = oracle(figures_ctes)["statement_mining"]
+    head = base[:base.rindex("SELECT doc, metric_name, sentence, structure FROM stx")]
+    cols = ", ".join(f"('{t}', '{c}')" for t, cs in schema.items() for c, _ in cs)
+    cw = " OR ".join(f"strpos(lower(sentence), '{w}') > 0" for w in COUNT_WORDS)
+    aw = " OR ".join(f"strpos(lower(sentence), '{w}') > 0" for w in AVG_WORDS)
+    return {"ground_definitions": head.replace("stm AS (SELECT doc, kind,", "stm AS (SELECT doc, kind, k,")
+            .replace("s1 AS (SELECT doc, kind, unnest(z) AS p FROM s0)",
+                     "s1 AS (SELECT doc, kind, generate_subscripts(z, 1) AS k, unnest(z) AS p FROM s0)") + f""",
+colmap AS (SELECT lower(c) AS word, max(t) AS "table" FROM (VALUES {cols}) v(t, c) GROUP BY lower(c)),
+w0 AS (SELECT doc, k, metric_name, sentence, regexp_extract_all(lower(sentence), '\\b[a-z_]+\\b', 0) AS ws FROM stx),
+w1 AS (SELECT doc, k, metric_name, sentence, generate_subscripts(ws, 1) AS wpos, unnest(ws) AS word FROM w0),
+nw AS (SELECT doc, k, count(*) AS n_words FROM w1 GROUP BY ALL),
+m AS (SELECT w1.*, colmap."table" FROM w1 JOIN colmap USING (word)),
+top AS (SELECT doc, k, "table" FROM (SELECT doc, k, "table", count(*) AS c, min(wpos) AS f FROM m GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY doc, k ORDER BY c DESC, f) = 1),
+ag AS (SELECT doc, k, metric_name, sentence, count(*) AS n_matched, arg_min(word, wpos) AS best_col FROM m GROUP BY ALL),
+r AS (SELECT ag.*, nw.n_words, top."table", least(n_matched / n_words, 1.0) AS conf,
+             CASE WHEN {cw} THEN 'COUNT' WHEN {aw} THEN 'AVG' ELSE 'SUM' END AS kind
+      FROM ag JOIN nw USING (doc, k) JOIN top USING (doc, k))
+SELECT doc, metric_name, CAST(n_words AS BIGINT) AS n_words, CAST(n_matched AS BIGINT) AS n_matched,
+       round(CAST(conf AS DOUBLE), 6) AS confidence,
+       CASE WHEN kind = 'COUNT' THEN 'COUNT(DISTINCT ' || best_col || ')' ELSE kind || '(' || best_col || ')' END AS expression,
+       "table", conf < {GROUNDING_FLOOR} AS ambiguous
+FROM r"""}
