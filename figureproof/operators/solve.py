@@ -309,7 +309,8 @@ def label_matches(labels: DataFrame, values: DataFrame) -> DataFrame:
     pri = (F.when(ll == lv, 1)
             .when((F.length("value") >= 3) & (F.instr(ll, lv) > 0), 2))
     j = j.withColumn("pri", pri)
-    fuzzy = j.where(F.col("pri").isNull()).withColumn("ratio", seq_ratio(ll, lv)).where(
+    # label x value pairs are report-sized: one Python task scores them all
+    fuzzy = j.where(F.col("pri").isNull()).coalesce(1).withColumn("ratio", seq_ratio(ll, lv)).where(
         F.col("ratio") >= FUZZY_LABEL_FLOOR).withColumn("pri", F.lit(3))
     exact = j.where(F.col("pri").isNotNull()).withColumn("ratio", F.lit(1.0))
     m = exact.unionByName(fuzzy)

@@ -94,7 +94,8 @@ def pick_best(scored: DataFrame) -> DataFrame:
     """Band, score, fewer parts, name similarity, key."""
     sc = scored.withColumn("complexity", F.col("op").isNotNull().cast("int")
                            + F.col("pred_col").isNotNull().cast("int"))
-    sc = sc.withColumn("name_sim", similarity(F.col("metric"),
+    # survivors are report-sized: one Python task computes the similarity
+    sc = sc.coalesce(1).withColumn("name_sim", similarity(F.col("metric"),
                                               F.concat_ws(".", "table", "lhs_col")))
     w = Window.partitionBy("report_id", "metric").orderBy(
         S.band_rank("band").desc(), F.col("score").desc(), F.col("complexity"),

@@ -92,3 +92,4 @@ def shared(spark: SparkSession, key: tuple, build):
     if k not in _SHARED:
         _SHARED[k] = build()
     return _SHARED[k]
+
