@@ -100,4 +100,18 @@ def score(b: DataFrame, now, certified: DataFrame | None = None) -> DataFrame:
              + F.col("certified") * WEIGHTS["certified"])
     return (out.withColumn("total", total)
                .withColumn("review_required", F.col("total") < AUTO_MERGE)
-               .withColumn("kept", F.col("total") > DROP))
+               .withColumn("kept", F.col("total") > DROP)
+               .withColumn("summary", summary()))
+
+
+def summary() -> F.Column:
+    """one line of justification per scored expression."""
+    r2 = lambda c: F.round(F.col(c), 2).cast("string")
+    return F.concat(
+        F.when(F.size("sources") > 0, F.array_join("sources", ", ")).otherwise(F.lit("no sources")),
+        F.lit(" ("), F.when(F.col("certified") > 0, "certified").otherwise("not certified"), F.lit("); "),
+        F.col("executions").cast("string"), F.lit(" executions across "), F.col("users").cast("string"),
+        F.lit(" distinct users; last seen "),
+        F.coalesce(F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"), F.lit("never")),
+        F.lit("; source_authority="), r2("authority"), F.lit(", usage_frequency="), r2("usage"),
+        F.lit(", recency="), r2("recency"))

@@ -205,7 +205,7 @@ def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("table", "column", "agg", F.round("authority", 6).alias("authority"),
                     F.round("usage", 6).alias("usage"), F.round("agreement", 6).alias("agreement"),
                     F.round("recency", 6).alias("recency"), F.round("certified", 6).alias("certified"),
-                    F.round("total", 6).alias("total"), "review_required", "kept")
+                    F.round("total", 6).alias("total"), "review_required", "kept", "summary")
 
 
 def oracle_evidence(schema) -> dict[str, str]:
@@ -259,7 +259,14 @@ SELECT "table", "column", agg, round(authority, 6) AS authority, round(usage, 6)
        authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
              + recency * {w['recency']} + certified * {w['certified']} < {TR.AUTO_MERGE} AS review_required,
        authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
-             + recency * {w['recency']} + certified * {w['certified']} > {TR.DROP} AS kept
+             + recency * {w['recency']} + certified * {w['certified']} > {TR.DROP} AS kept,
+       CASE WHEN len(sources) > 0 THEN array_to_string(sources, ', ') ELSE 'no sources' END || ' (' ||
+       CASE WHEN certified > 0 THEN 'certified' ELSE 'not certified' END || '); ' ||
+       CAST(executions AS VARCHAR) || ' executions across ' || CAST(users AS VARCHAR) ||
+       ' distinct users; last seen ' || coalesce(strftime(last_seen, '%Y-%m-%d %H:%M:%S'), 'never') ||
+       '; source_authority=' || CAST(round(authority, 2) AS VARCHAR) ||
+       ', usage_frequency=' || CAST(round(usage, 2) AS VARCHAR) ||
+       ', recency=' || CAST(round(recency, 2) AS VARCHAR) AS summary
 FROM sc"""
     return out
 

@@ -84,6 +84,9 @@ FROM j JOIN (SELECT "table", count_if(NOT known) > 0 AS review_required FROM j G
 def oracle_sql():
     out = _oracle_sql()
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
+    out["contradictions"] = f"""
+WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
+SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
     return out
 
 

@@ -146,9 +146,14 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_statements"),
         F.array_join(F.array_sort(F.collect_set("structure")), ", ").alias("structures"),
         F.array_join(F.array_sort(F.collect_set("doc")), ", ").alias("sources")))
-    return (out.where("n_structures > 1")
-               .select(F.col("gkey").alias("metric"), F.col("n_statements").cast("bigint").alias("n_statements"),
-                       "structures", "sources"))
+    found = (out.where("n_structures > 1")
+                .select(F.col("gkey").alias("metric"), F.col("n_statements").cast("bigint").alias("n_statements"),
+                        "structures", "sources"))
+    # What fingerprinting found for the same metric (latest edition)
+    from .publish_queries import glossary_terms
+    emp = glossary_terms(spark, sf_dir).select(F.lower("metric").alias("metric"),
+                                               F.col("definition").alias("empirical_key"))
+    return found.join(emp, "metric", "left")
 
 
 # ----------------------------------------------------------------------- oracle
