@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import catalog_queries as CQ
 from . import log_queries as LQ
 from . import report_text as RT
+from . import manifest_queries as MQ
 from . import naming_queries as NQ
 from . import publish_queries as PQ
 from . import text_queries as TQ
@@ -61,6 +62,8 @@ def queries():
         "scorecard": PQ.scorecard,
         "eval_metrics": PQ.eval_metrics,
         "guardrail": PQ.guardrail,
+        "manifest_models": MQ.manifest_models,
+        "manifest_metrics": MQ.manifest_metrics,
     }
 
 
@@ -84,6 +87,7 @@ FROM j JOIN (SELECT "table", count_if(NOT known) > 0 AS review_required FROM j G
 def oracle_sql():
     out = _oracle_sql()
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
+    out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
     out["contradictions"] = f"""
 WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
 SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
