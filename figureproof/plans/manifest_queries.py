@@ -102,3 +102,37 @@ SELECT lower(agg) || CASE WHEN is_distinct THEN '_distinct' ELSE '' END || '_' |
             ELSE agg || '(' || CASE WHEN is_distinct THEN 'DISTINCT ' ELSE '' END || "column" || ')' END AS expr,
        "table" AS model
 FROM a"""}
+
+
+def certified_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence is certified when a manifest metric has the same
+    whitespace-free lower-case expression and the same model (or none);
+    the trust score is recomputed with the certification signal."""
+    from ..operators import trust as TR
+    from .log_queries import TRUST_NOW, _evidence
+    b = _evidence(spark, sf_dir)
+    norm = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    ev_expr = F.concat(F.col("agg"), F.lit("("), F.col("column"), F.lit(")"))
+    m = manifest_metrics(spark, sf_dir).select(norm(F.col("expr")).alias("nexpr"), F.col("model").alias("m_table"))
+    ev = b.withColumn("nexpr", norm(ev_expr))
+    cert = (ev.join(m, "nexpr")
+              .where(F.col("m_table").isNull() | (F.col("m_table") == "") | (F.col("m_table") == F.col("table")))
+              .select("table", "column", "agg").distinct())
+    s = TR.score(b, TRUST_NOW, cert)
+    return s.select("table", "column", "agg", F.round("certified", 6).alias("certified"),
+                    F.round("total", 6).alias("total"), "review_required")
+
+
+def oracle_certified(trust_sql: str, metrics_sql: str) -> str:
+    from ..operators import trust as TR
+    w = TR.WEIGHTS
+    head = trust_sql[:trust_sql.rindex('SELECT "table", "column", agg, round(authority')]
+    return head.replace("    CAST(0.0 AS DOUBLE) AS certified\n  FROM b)", f"""    CAST(CASE WHEN EXISTS (
+      SELECT 1 FROM ({metrics_sql}) mm
+      WHERE regexp_replace(lower(mm.expr), '\\s+', '', 'g') = regexp_replace(lower(b.agg || '(' || b."column" || ')'), '\\s+', '', 'g')
+        AND (mm.model IS NULL OR mm.model = '' OR mm.model = b."table")) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS certified
+  FROM b)""") + f"""
+SELECT "table", "column", agg, round(certified, 6) AS certified,
+       round(authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']} + recency * {w['recency']} + certified * {w['certified']}, 6) AS total,
+       authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']} + recency * {w['recency']} + certified * {w['certified']} < {TR.AUTO_MERGE} AS review_required
+FROM sc"""

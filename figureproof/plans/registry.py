@@ -64,6 +64,7 @@ def queries():
         "guardrail": PQ.guardrail,
         "manifest_models": MQ.manifest_models,
         "manifest_metrics": MQ.manifest_metrics,
+        "certified_trust": MQ.certified_trust,
     }
 
 
@@ -88,6 +89,7 @@ def oracle_sql():
     out = _oracle_sql()
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
+    out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
     out["contradictions"] = f"""
 WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
 SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
