@@ -9,6 +9,7 @@ from . import manifest_queries as MQ
 from . import naming_queries as NQ
 from . import publish_queries as PQ
 from . import text_queries as TQ
+from . import workbook_queries as WQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
 
@@ -65,6 +66,7 @@ def queries():
         "manifest_models": MQ.manifest_models,
         "manifest_metrics": MQ.manifest_metrics,
         "certified_trust": MQ.certified_trust,
+        "bi_formula": WQ.bi_formula,
     }
 
 
@@ -90,6 +92,7 @@ def oracle_sql():
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
+    out.update(WQ.oracle())
     out["contradictions"] = f"""
 WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
 SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
