@@ -145,10 +145,13 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("structure").alias("n_structures"),
         F.count(F.lit(1)).alias("n_statements"),
         F.array_join(F.array_sort(F.collect_set("structure")), ", ").alias("structures"),
-        F.array_join(F.array_sort(F.collect_set("doc")), ", ").alias("sources")))
+        # the documents of a metric are unbounded: count them, keep the first and last
+        F.countDistinct("doc").alias("n_sources"), F.min("doc").alias("first_source"),
+        F.max("doc").alias("last_source")))
     found = (out.where("n_structures > 1")
                 .select(F.col("gkey").alias("metric"), F.col("n_statements").cast("bigint").alias("n_statements"),
-                        "structures", "sources"))
+                        "structures", F.col("n_sources").cast("bigint").alias("n_sources"), "first_source",
+                        "last_source"))
     # What fingerprinting found for the same metric (latest edition)
     from .publish_queries import glossary_terms
     emp = glossary_terms(spark, sf_dir).select(F.lower("metric").alias("metric"),
@@ -236,7 +239,7 @@ suf AS (SELECT a.lname, arg_min(b.lname, (length(b.lname), b.lname)) AS gkey FRO
 g AS (SELECT sv.*, suf.gkey FROM sv JOIN suf ON suf.lname = lower(sv.metric_name))
 SELECT gkey AS metric, CAST(count(*) AS BIGINT) AS n_statements,
        array_to_string(list_sort(list_distinct(list(structure))), ', ') AS structures,
-       array_to_string(list_sort(list_distinct(list(doc))), ', ') AS sources
+       CAST(count(DISTINCT doc) AS BIGINT) AS n_sources, min(doc) AS first_source, max(doc) AS last_source
 FROM g GROUP BY gkey HAVING count(DISTINCT structure) > 1"""
     return out
 

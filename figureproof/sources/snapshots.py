@@ -40,6 +40,7 @@ def registry(df: DataFrame, table: str, date_col: str) -> DataFrame:
     """
     snaps = (df.select(quarter_end(date_col).alias("as_of"))
                .groupBy("as_of").agg(F.count(F.lit(1)).alias("n_rows")))
+    # one row per snapshot (catalog-sized): a global order is cheap
     w = Window.orderBy("as_of")
     return (snaps.withColumn("seq", F.row_number().over(w))
                  .withColumn("table", F.lit(table))
