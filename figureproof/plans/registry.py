@@ -46,6 +46,7 @@ def queries():
         "figure_text_check": RT.figure_text_check,
         "figure_consistency": RT.figure_consistency,
         "extraction_recall": RT.extraction_recall,
+        "cell_evidence": RT.cell_evidence,
         "formula_mining": TQ.formula_mining,
         "statement_mining": TQ.statement_mining,
         "glossary_mining": TQ.glossary_mining,
@@ -109,6 +110,7 @@ def _oracle_sql():
         **LQ.oracle_joins(CQ.parquet_schema(SCHEMA_DIR)),
         **LQ.oracle_usage(CQ.parquet_schema(SCHEMA_DIR)),
         **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
+        **RT.oracle_cells("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle_grounding("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),

@@ -163,3 +163,91 @@ FROM kids k JOIN par p USING (report_id, metric)"""
 SELECT report_id, CAST(count(*) AS BIGINT) AS published, CAST(count(*) AS BIGINT) AS found, 1.0 AS recall
 FROM figs GROUP BY report_id"""
     return out
+
+
+# The cross-check cell every workbook carries (names real columns).
+CROSS_CHECK_LABEL = "Filled order value (check)"
+CROSS_CHECK_FORMULA = '=AVERAGEIF(o_orderstatus,"F",o_totalprice)'
+INTERNAL_NAMES = ["_xlnm.Print_Area", "Print_Titles"]
+
+
+def workbook_cells(spark: SparkSession, sf_dir: str):
+    """The report tables as spreadsheet cells (one sheet per table; the
+    Total row is a SUM formula over the rows above) plus named ranges."""
+    _, grid, _ = _extracted(spark, sf_dir)
+    g = grid.where(F.col("table_no") > 0)
+    sheet = F.concat(F.col("report_id"), F.lit("_p"), F.col("page_no").cast("string"), F.lit("_t"),
+                     F.col("table_no").cast("string"))
+    n = g.groupBy("report_id", "page_no", "table_no").agg(F.max("row_no").alias("last"))
+    gg = g.join(n, ["report_id", "page_no", "table_no"])
+    file = F.concat(F.col("report_id"), F.lit(".xlsx"))
+    labels = gg.select(file.alias("file"), sheet.alias("sheet"), (F.col("row_no") + 1).alias("row"),
+                       F.lit(1).alias("col"), F.col("c0").alias("value"))
+    total = F.lower("c0") == "total"
+    vals = gg.select(file.alias("file"), sheet.alias("sheet"), (F.col("row_no") + 1).alias("row"),
+                     F.lit(2).alias("col"),
+                     F.when(total, F.concat(F.lit("=SUM(B2:B"), F.col("row_no").cast("string"), F.lit(")")))
+                      .otherwise(F.col("c1")).alias("value"))
+    reports = grid.select("report_id").distinct()
+    check = reports.select(file.alias("file"), F.lit("checks").alias("sheet"), F.explode(F.array(
+        F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit(CROSS_CHECK_LABEL).alias("value")),
+        F.struct(F.lit(1).alias("row"), F.lit(2).alias("col"), F.lit(CROSS_CHECK_FORMULA).alias("value")))).alias("c")) \
+        .select("file", "sheet", "c.row", "c.col", "c.value")
+    cells = labels.unionByName(vals).unionByName(check)
+    tables = g.select("report_id", "page_no", "table_no", "title").distinct()
+    nm = tables.select(file.alias("file"),
+                       F.regexp_replace(F.regexp_extract("title", r"^(.+?) \(", 1), "[^A-Za-z0-9]+", "_").alias("name"),
+                       F.concat(sheet, F.lit("!B2")).alias("ref"))
+    internal = reports.select(file.alias("file"), F.explode(F.array(*[F.lit(x) for x in INTERNAL_NAMES])).alias("name"),
+                              F.lit("").alias("ref"))
+    return cells, nm.unionByName(internal)
+
+
+def cell_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from formula cells and named ranges."""
+    from ..operators import profile as Pf
+    from ..sources import cells as CL
+    from ..sources.tables import read_tables
+    cells, names = workbook_cells(spark, sf_dir)
+    cols = Pf.column_catalog(spark, read_tables(spark, sf_dir))
+    ev = CL.formula_evidence(cells, cols).unionByName(CL.named_evidence(names))
+    return ev.select("file", "source_type", "raw_name", "definition", "resolved_expression",
+                     F.round("confidence", 6).alias("confidence"), "ambiguous")
+
+
+def oracle_cells(figures_ctes: str, schema: dict) -> dict[str, str]:
+    from ..sources import cells as CL
+    cols = ", ".join(f"('{c}')" for t, cs in schema.items() for c, _ in cs)
+    chk = CROSS_CHECK_FORMULA.replace("'", "''")
+    aggmap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CL.AGGREGATES.items())
+    aggpat = CL.AGG_CALL.replace("'", "''")
+    return {"cell_evidence": figures_ctes + f""",
+pg AS (SELECT report_id, metric, dense_rank() OVER (PARTITION BY report_id ORDER BY min(pos), metric) AS page_no
+       FROM figs GROUP BY report_id, metric),
+bt AS (SELECT f.report_id, f.metric, f.dim, f.unit, p.page_no, count(*) AS n
+       FROM figs f JOIN pg p USING (report_id, metric) WHERE f.dim IS NOT NULL AND f.as_of = f.edition_as_of
+       GROUP BY ALL),
+tb AS (SELECT *, dense_rank() OVER (PARTITION BY report_id, metric ORDER BY dim) AS table_no FROM bt),
+fc AS (SELECT report_id || '.xlsx' AS file, report_id || '_p' || page_no || '_t' || table_no AS sheet,
+              '=SUM(B2:B' || (n + 1) || ')' AS value, 'total' AS raw_name FROM tb
+       UNION ALL SELECT DISTINCT report_id || '.xlsx', 'checks', '{chk}',
+              lower(regexp_replace(trim(regexp_replace('{CROSS_CHECK_LABEL}', '[^a-zA-Z0-9\\s_]', '', 'g')), '\\s+', '_', 'g'))
+       FROM figs),
+cc AS (SELECT DISTINCT lower(c) AS word FROM (VALUES {cols}) v(c)),
+w AS (SELECT fc.*, generate_subscripts(regexp_extract_all(lower(value), '\\b[a-z_]+\\b', 0), 1) AS p,
+             unnest(regexp_extract_all(lower(value), '\\b[a-z_]+\\b', 0)) AS word FROM fc),
+nw AS (SELECT file, sheet, value, count(*) AS n_words FROM w GROUP BY ALL),
+m AS (SELECT file, sheet, value, count(*) AS n_matched, arg_min(word, p) AS first_col
+      FROM w JOIN cc USING (word) GROUP BY ALL),
+fa AS (SELECT *, CASE upper(regexp_extract(value, '{aggpat}', 1)) {aggmap} END AS agg FROM fc
+       WHERE regexp_matches(value, '{aggpat}'))
+SELECT fc.file, 'excel_formula' AS source_type, fc.raw_name,
+       'Excel formula: ' || fc.value || ' (sheet: ' || fc.sheet || ')' AS definition,
+       CASE WHEN m.first_col IS NOT NULL THEN fc.agg || '(' || m.first_col || ')' END AS resolved_expression,
+       round(CASE WHEN m.first_col IS NOT NULL THEN least(m.n_matched / nw.n_words, 1.0) ELSE 0.1 END, 6) AS confidence,
+       m.first_col IS NULL AS ambiguous
+FROM fa fc LEFT JOIN nw USING (file, sheet, value) LEFT JOIN m USING (file, sheet, value)
+UNION ALL
+SELECT report_id || '.xlsx', 'excel_named', regexp_replace(metric || ' by ' || dim, '[^A-Za-z0-9]+', '_', 'g'),
+       'Named range: ' || regexp_replace(metric || ' by ' || dim, '[^A-Za-z0-9]+', '_', 'g'), NULL, 0.3, TRUE
+FROM tb"""}
