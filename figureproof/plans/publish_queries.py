@@ -246,3 +246,28 @@ def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = refs.join(cat, ["table", "column"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     flag = j.groupBy("table").agg((F.count_if(~F.col("known")) > 0).alias("review_required"))
     return j.join(flag, "table").select("source", "table", "column", "known", "review_required")
+
+
+def _question() -> F.Column:
+    return F.concat(F.lit("What was "), F.col("metric"),
+                    F.when(F.col("label").isNotNull(), F.concat(F.lit(" for "), F.col("label"))).otherwise(F.lit("")),
+                    F.lit(" as of "), F.date_format("as_of", "yyyy-MM-dd"), F.lit("?"))
+
+
+def question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure of the report asked as a question, matched to the
+    published glossary metric with the best token Jaccard overlap (> 0).
+    Pairs are joined on shared tokens, so only overlapping pairs are formed."""
+    toks = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[a-zA-Z0-9]+"), 0),
+                                                  lambda t: F.lower(t)))
+    q = (R.report_figures(spark, sf_dir).select(_question().alias("question")).distinct()
+          .withColumn("qt", toks(F.col("question"))))
+    g = glossary_terms(spark, sf_dir).select(F.col("metric").alias("name"), "definition")
+    g = g.withColumn("bag", F.array_union(toks(F.col("name")), toks(F.col("definition"))))
+    qw = q.select("question", "qt", F.explode("qt").alias("tok"))
+    gw = g.select("name", "bag", F.explode("bag").alias("tok"))
+    pairs = qw.join(gw, "tok").select("question", "qt", "name", "bag").distinct()
+    scored = pairs.withColumn("jaccard", F.size(F.array_intersect("qt", "bag")) / F.size(F.array_union("qt", "bag")))
+    w = Window.partitionBy("question").orderBy(F.col("jaccard").desc(), "name")
+    return (scored.withColumn("r", F.row_number().over(w)).where("r = 1")
+                  .select("question", F.col("name").alias("metric"), F.round("jaccard", 6).alias("jaccard")))

@@ -64,6 +64,7 @@ def queries():
         "scorecard": PQ.scorecard,
         "eval_metrics": PQ.eval_metrics,
         "guardrail": PQ.guardrail,
+        "question_metrics": PQ.question_metrics,
         "manifest_models": MQ.manifest_models,
         "manifest_metrics": MQ.manifest_metrics,
         "certified_trust": MQ.certified_trust,
@@ -94,6 +95,18 @@ def oracle_sql():
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
     out.update(WQ.oracle())
+    out["question_metrics"] = f"""
+WITH f AS ({out['report_figures']}), g AS ({out['glossary_terms']}),
+q AS (SELECT DISTINCT 'What was ' || metric || CASE WHEN label IS NOT NULL THEN ' for ' || label ELSE '' END
+                      || ' as of ' || strftime(as_of, '%Y-%m-%d') || '?' AS question FROM f),
+qt AS (SELECT question, list_distinct(list_transform(regexp_extract_all(question, '[a-zA-Z0-9]+', 0), lambda t: lower(t))) AS qt FROM q),
+gb AS (SELECT metric AS name, list_distinct(list_concat(
+          list_transform(regexp_extract_all(metric, '[a-zA-Z0-9]+', 0), lambda t: lower(t)),
+          list_transform(regexp_extract_all(definition, '[a-zA-Z0-9]+', 0), lambda t: lower(t)))) AS bag FROM g),
+sc AS (SELECT question, name, len(list_intersect(qt, bag)) / len(list_distinct(list_concat(qt, bag))) AS jaccard
+       FROM qt, gb WHERE len(list_intersect(qt, bag)) > 0)
+SELECT question, name AS metric, round(jaccard, 6) AS jaccard FROM sc
+QUALIFY row_number() OVER (PARTITION BY question ORDER BY jaccard DESC, name) = 1"""
     out["contradictions"] = f"""
 WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
 SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
