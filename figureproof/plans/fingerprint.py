@@ -135,6 +135,15 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
         scope = scope.unionByName(open_groups.select(
             "report_id", "metric",
             F.explode(F.array(*[F.lit(t) for t in resolved_list])).alias("table")))
+    # One hop along same-name column edges between the fact tables
+    # (the snapshot column is shared by construction and is not an edge)
+    edges = (cells.select("table", F.explode(F.array(F.col("measure"), F.col("dim"), F.col("fcol"))).alias("col"))
+                  .where(F.col("col").isNotNull() & (F.col("col") != "*")).distinct())
+    hop = (edges.alias("a").join(edges.alias("b"), (F.col("a.col") == F.col("b.col"))
+                                 & (F.col("a.table") != F.col("b.table")))
+                .select(F.col("a.table").alias("table"), F.col("b.table").alias("other")).distinct())
+    scope = scope.unionByName(scope.join(hop, "table").select("report_id", "metric",
+                                                              F.col("other").alias("table")))
     scope = scope.distinct()
     gp = (S.grand_points(points, snaps).join(scope, ["report_id", "metric", "table"])
             .select("report_id", "metric", "table", "snap_as_of", "reported"))
