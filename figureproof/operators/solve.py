@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import seq_ratio
-from ..functions.numeric import TOLERANCE, raw_value, relative_error, within_tolerance
+from ..functions.numeric import TOLERANCE, raw_value, within_tolerance
 from ..sources.snapshots import SNAPSHOT_WINDOW_DAYS
 
 # Fixed values.

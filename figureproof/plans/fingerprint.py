@@ -103,8 +103,7 @@ def pick_best(scored: DataFrame) -> DataFrame:
     return sc.withColumn("rk", F.row_number().over(w))
 
 
-def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
-            hinted_metrics: DataFrame | None = None) -> Resolution:
+def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resolution:
     # report-sized inputs are written once so later self-joins start from a scan
     figs = materialize(S.prepare(figures), "figures")
     groups = materialize(S.metric_groups(figs), "groups")
