@@ -116,9 +116,21 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resol
             .withColumn("ok", within_tolerance("computed", "reported"))
             .withColumn("err", relative_error("computed", "reported")))
     t2 = materialize(_cid(t2), "tier2")
+    # ---- tier-3 hits for every (metric, table): cube-sized, and computing
+    # them up front lets one constraint pass score both tiers; the tier rules
+    # (open metrics only, scope from tier-2 acceptances) are applied below
+    gp_all = S.grand_points(points, snaps).select("report_id", "metric", "table", "snap_as_of", "reported")
+    fh = S.filtered_hits(gp_all, cells, S.filter_columns(cells))
+    th = S.two_term_hits(gp_all, cells)
+    t3_all = (fh.unionByName(th).withColumn("tier", F.lit(3))
+                .withColumn("ok", within_tolerance("computed", "reported"))
+                .withColumn("err", relative_error("computed", "reported")))
+    t3_all = materialize(_cid(t3_all), "tier3")
+    surv_all = t2.where("ok").unionByName(t3_all.where("ok"))
+    cons_all, scored_all = score_survivors(surv_all, points, snaps, cells, col_order)
+    scored_all = materialize(scored_all, "scored")
     surv2 = t2.where("ok")
-    cons2, scored2 = score_survivors(surv2, points, snaps, cells, col_order)
-    ranked2 = materialize(pick_best(scored2), "ranked2")
+    ranked2 = materialize(pick_best(scored_all.where("tier = 2")), "ranked2")
     accepted2 = ranked2.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
 
     # ---- tier-3 scope: resolved tables (all metrics) + this metric's near misses
@@ -143,27 +155,20 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resol
                 .select(F.col("a.table").alias("table"), F.col("b.table").alias("other")).distinct())
     scope = scope.unionByName(scope.join(hop, "table").select("report_id", "metric",
                                                               F.col("other").alias("table")))
-    scope = scope.distinct()
-    gp = (S.grand_points(points, snaps).join(scope, ["report_id", "metric", "table"])
-            .select("report_id", "metric", "table", "snap_as_of", "reported"))
-    fh = S.filtered_hits(gp, cells, S.filter_columns(cells))
-    th = S.two_term_hits(gp, cells)
-    t3 = (fh.unionByName(th).withColumn("tier", F.lit(3))
-            .withColumn("ok", within_tolerance("computed", "reported"))
-            .withColumn("err", relative_error("computed", "reported")))
-    t3 = materialize(_cid(t3), "tier3")
+    scope = materialize(scope.distinct(), "scope")
+    keys3 = ["report_id", "metric", "table"]
+    t3 = t3_all.join(scope, keys3, "left_semi")
+    gp = gp_all.join(scope, keys3, "left_semi")
     # closest failing two-term pairs (for the near miss of unresolved metrics)
     tn = (S.two_term_nearest(gp, cells).withColumn("tier", F.lit(3))
             .withColumn("ok", F.lit(False))
             .withColumn("err", relative_error("computed", "reported")))
     tn = _cid(tn)
-    surv3 = t3.where("ok")
-    cons3, scored3 = score_survivors(surv3, points, snaps, cells, col_order)
-    ranked3 = materialize(pick_best(scored3), "ranked3")
+    ranked3 = materialize(pick_best(scored_all.where("tier = 3").join(scope, keys3, "left_semi")), "ranked3")
+    constraints = cons_all.join(ranked2.select("cid").unionByName(ranked3.select("cid")), "cid", "left_semi")
 
     hits = t2.unionByName(t3).unionByName(tn)
     ranked = ranked2.unionByName(ranked3)
-    constraints = cons2.unionByName(cons3)
     best = ranked.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
     # Best near miss among failed totals of the tiers that ran
     tiers_ran = (groups.select("report_id", "metric")
