@@ -51,7 +51,12 @@ def orders_mart(spark: SparkSession, sf_dir: str, snaps=None) -> DataFrame:
     for k, v in TWIN_FACTORS.items():
         factor = F.when(F.col("o_orderpriority") == k, F.lit(v)).otherwise(factor)
     twin = F.col("o_totalprice") * factor
-    return (o.join(bounded_broadcast(c), on="o_custkey", how="left")
+    # the size check runs once per session and data folder
+    from ..session import shared
+    small = shared(spark, ("broadcastable", sf_dir, "customer"),
+                   lambda: bounded_broadcast(c) is not c)
+    cj = F.broadcast(c) if small else c
+    return (o.join(cj, on="o_custkey", how="left")
              .select(quarter_end("o_orderdate").alias("as_of"), "o_orderkey", "o_custkey",
                      "o_totalprice", twin.alias("o_totalprice_v1"),
                      "o_orderstatus", "o_orderpriority", "c_mktsegment"))
