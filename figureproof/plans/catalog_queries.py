@@ -44,7 +44,16 @@ def approx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.key_candidates(_profiles(spark, sf_dir, KEY_TABLES)).select(
+    """Only ``*_id`` columns can qualify, so only they are profiled
+    (the exact distinct count is the expensive part at scale)."""
+    tabs = read_tables(spark, sf_dir, KEY_TABLES)
+    parts = []
+    for t, df in tabs.items():
+        ids = [f.name for f in df.schema.fields if f.name.lower().endswith("_id")]
+        if ids:
+            parts.append(P.profile(df.select(*ids), t, exact=True))
+    prof = reduce(DataFrame.unionByName, parts)
+    return P.key_candidates(prof).select(
         "table", "column", F.col("n_rows").cast("bigint").alias("n_rows"),
         F.col("ndv").cast("bigint").alias("ndv"))
 
@@ -72,13 +81,18 @@ def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabs = read_tables(spark, sf_dir)
     cat = P.column_catalog(spark, tabs).where(F.col("kind") != "string")
     edges = P.join_edges(cat, strip_prefix=True).where(~F.col("name").isin("name", "text"))
+    # uniqueness is checked only for edge targets (catalog-sized list): an
+    # exact distinct count of every column would shuffle every value at scale
+    targets: dict[str, list[str]] = {}
+    for r in edges.select("t2", "c2").distinct().collect():
+        targets.setdefault(r["t2"], []).append(r["c2"])
     uniq = reduce(DataFrame.unionByName, [
-        df.agg(*[F.when(F.count(F.lit(1)) == F.countDistinct(F.col(f.name)), True).otherwise(False)
-                 .alias(f.name) for f in df.schema.fields if P._atomic(f.dataType)])
-          .select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("c2"), F.col(f.name).alias("unique_target"))
-                                      for f in df.schema.fields if P._atomic(f.dataType)])).alias("s"))
-          .select(F.lit(t).alias("t2"), "s.*")
-        for t, df in tabs.items()])
+        tabs[t].agg(*[F.when(F.count(F.lit(1)) == F.countDistinct(F.col(c)), True).otherwise(False).alias(c)
+                      for c in sorted(cs)])
+               .select(F.explode(F.array(*[F.struct(F.lit(c).alias("c2"), F.col(c).alias("unique_target"))
+                                           for c in sorted(cs)])).alias("s"))
+               .select(F.lit(t).alias("t2"), "s.*")
+        for t, cs in sorted(targets.items())])
     return edges.join(uniq, ["t2", "c2"]).select("t1", "c1", "t2", "c2", "name", "unique_target")
 
 
