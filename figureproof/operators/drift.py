@@ -29,12 +29,18 @@ def documentation_hits(names: DataFrame, docs: DataFrame) -> DataFrame:
     nm = (names.select("name").distinct()
                .withColumn("phrase", normalize_words("name"))
                .withColumn("n", F.size(F.split("phrase", " "))))
-    ns = sorted({r["n"] for r in nm.select("n").distinct().collect()})  # catalog-sized
+    # names are report-sized: their lengths and first words drive the scan
+    meta = nm.select("n", F.element_at(F.split("phrase", " "), 1).alias("first")).distinct().collect()
+    ns = sorted({r["n"] for r in meta})
+    firsts = F.array(*[F.lit(w) for w in sorted({r["first"] for r in meta})])
     words = docs.select("doc_id", F.split(normalize_words("text"), " ").alias("w"))
     grams = None
     for n in ns:
+        # only positions whose word starts some name can start a match
+        starts = F.filter(F.sequence(F.lit(0), F.size("w") - n),
+                          lambda i: F.array_contains(firsts, F.element_at("w", i + 1)))
         g = words.where(F.size("w") >= n) \
-                 .select("doc_id", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"), "w") \
+                 .select("doc_id", F.explode(starts).alias("i"), "w") \
                  .select("doc_id", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("phrase")) \
                  .distinct()
         grams = g if grams is None else grams.unionByName(g)
