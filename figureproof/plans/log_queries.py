@@ -185,10 +185,12 @@ TRUST_NOW = "2024-02-15 00:00:00"
 
 def _evidence(spark, sf_dir):
     from ..operators import trust as TR
-    from .catalog_queries import column_roles
     st = L.statements(log_table(spark, sf_dir))
-    calls = L.aggregate_calls(st, _catalog(spark, sf_dir))
-    ev = TR.log_evidence(calls, st).unionByName(TR.role_evidence(column_roles(spark, sf_dir)))
+    cat = _catalog(spark, sf_dir)
+    calls = L.aggregate_calls(st, cat)
+    # roles come from the schemas alone: no table scan
+    roles = cat.withColumn("role", P.role(F.col("column"), F.col("kind")))
+    ev = TR.log_evidence(calls, st).unionByName(TR.role_evidence(roles))
     return TR.bundle(ev)
 
 
