@@ -103,7 +103,11 @@ def pick_best(scored: DataFrame) -> DataFrame:
     return sc.withColumn("rk", F.row_number().over(w))
 
 
-def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resolution:
+def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
+            shortlist: DataFrame | None = None) -> Resolution:
+    """``shortlist`` (``metric, table, column``): tier-1 name candidates.
+    A metric with a tier-1 survivor is decided among its tier-1 survivors
+    only (tiers 2 and 3 are not consulted for it)."""
     # report-sized inputs are written once so later self-joins start from a scan
     figs = materialize(S.prepare(figures), "figures")
     groups = materialize(S.metric_groups(figs), "groups")
@@ -115,7 +119,15 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resol
             .withColumn("tier", F.lit(2))
             .withColumn("ok", within_tolerance("computed", "reported"))
             .withColumn("err", relative_error("computed", "reported")))
+    if shortlist is not None:
+        sl = (shortlist.select("metric", "table", F.col("column").alias("lhs_col"))
+                       .distinct().withColumn("tier1", F.lit(True)))
+        t2 = (t2.join(sl, ["metric", "table", "lhs_col"], "left")
+                .withColumn("tier1", F.coalesce(F.col("tier1") & (F.col("lhs_agg") == "SUM"), F.lit(False))))
+    else:
+        t2 = t2.withColumn("tier1", F.lit(False))
     t2 = materialize(_cid(t2), "tier2")
+    t1_groups = t2.where("tier1 AND ok").select("report_id", "metric").distinct()
     # ---- tier-3 hits for every (metric, table): cube-sized, and computing
     # them up front lets one constraint pass score both tiers; the tier rules
     # (open metrics only, scope from tier-2 acceptances) are applied below
@@ -126,11 +138,15 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resol
                 .withColumn("ok", within_tolerance("computed", "reported"))
                 .withColumn("err", relative_error("computed", "reported")))
     t3_all = materialize(_cid(t3_all), "tier3")
-    surv_all = t2.where("ok").unionByName(t3_all.where("ok"))
+    surv_all = t2.drop("tier1").where("ok").unionByName(t3_all.where("ok"))
     cons_all, scored_all = score_survivors(surv_all, points, snaps, cells, col_order)
     scored_all = materialize(scored_all, "scored")
     surv2 = t2.where("ok")
-    ranked2 = materialize(pick_best(scored_all.where("tier = 2")), "ranked2")
+    # tier 1 decides alone where it has survivors; tier 2 everywhere else
+    s2 = scored_all.where("tier = 2").join(t2.select("cid", "tier1"), "cid")
+    s2 = (s2.join(t1_groups.withColumn("t1g", F.lit(True)), ["report_id", "metric"], "left")
+            .where(F.col("t1g").isNull() | F.col("tier1")).drop("t1g", "tier1"))
+    ranked2 = materialize(pick_best(s2), "ranked2")
     accepted2 = ranked2.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
 
     # ---- tier-3 scope: resolved tables (all metrics) + this metric's near misses
@@ -167,15 +183,20 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame) -> Resol
     ranked3 = materialize(pick_best(scored_all.where("tier = 3").join(scope, keys3, "left_semi")), "ranked3")
     constraints = cons_all.join(ranked2.select("cid").unionByName(ranked3.select("cid")), "cid", "left_semi")
 
-    hits = t2.unionByName(t3).unionByName(tn)
+    hits = t2.drop("tier1").unionByName(t3).unionByName(tn)
     ranked = ranked2.unionByName(ranked3)
     best = ranked.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
     # Best near miss among failed totals of the tiers that ran
     tiers_ran = (groups.select("report_id", "metric")
                  .join(has_surv.withColumn("t3", F.lit(False)), ["report_id", "metric"], "left")
                  .fillna({"t3": True}))
+    t1_misses = t2.select("cid", "tier1")
     nm = (hits.join(tiers_ran, ["report_id", "metric"])
-              .where(~F.col("ok") & F.col("err").isNotNull() & ((F.col("tier") == 2) | F.col("t3"))))
+              .join(t1_groups.withColumn("t1g", F.lit(True)), ["report_id", "metric"], "left")
+              .join(t1_misses, "cid", "left")
+              .where(~F.col("ok") & F.col("err").isNotNull() & ((F.col("tier") == 2) | F.col("t3")))
+              # where tier 1 decided, only tier-1 candidates were tried
+              .where(F.col("t1g").isNull() | F.coalesce(F.col("tier1"), F.lit(False))))
     wn = Window.partitionBy("report_id", "metric").orderBy("err", "key")
     near_best = (nm.withColumn("r", F.row_number().over(wn)).where("r = 1")
                    .select("report_id", "metric", F.col("key").alias("near_key"),

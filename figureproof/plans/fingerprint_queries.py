@@ -126,3 +126,18 @@ def drift_register(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .withColumn("doc_hits", (F.coalesce("h1", F.lit(0)) + F.coalesce("h2", F.lit(0))).cast("bigint")))
     return out.select("kind", "old_name", "new_name", "old_key", "new_key", "doc_hits",
                       (F.col("doc_hits") == 0).alias("undocumented"))
+
+
+def resolve_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C5: the verdicts with the tier-1 name shortlist in front of the
+    value search (rows-only: the name similarity uses the sequence ratio)."""
+    from ..session import shared
+    from .naming_queries import name_shortlist
+    res = shared(spark, ("resolution-names", sf_dir), lambda: resolve(
+        R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir),
+        shortlist=name_shortlist(spark, sf_dir)))
+    v = res.verdicts
+    return v.select("report_id", "metric", "as_of", "band", "key", "tier",
+                    F.col("satisfied").cast("bigint").alias("satisfied"),
+                    F.col("total").cast("bigint").alias("total"), "near_key",
+                    F.round("near_err", 6).alias("near_err"))
