@@ -52,19 +52,27 @@ def render_events(ev: DataFrame) -> DataFrame:
     return ev.select(F.col("event_id").alias("stmt_id"), "user_id", "ts", text.alias("text"))
 
 
+def _statements(spark, sf_dir):
+    """Parsed statements of the log, written once per session and data
+    folder: every log query reads them instead of re-running the regexes."""
+    from ..session import materialize, shared
+    return shared(spark, ("statements", sf_dir),
+                  lambda: materialize(L.statements(log_table(spark, sf_dir)), "statements"))
+
+
 def _catalog(spark, sf_dir):
     return P.column_catalog(spark, read_tables(spark, sf_dir))
 
 
 def query_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = L.statements(log_table(spark, sf_dir))
+    st = _statements(spark, sf_dir)
     return L.shapes(st).select("shape_hash", F.col("execution_count").cast("bigint").alias("execution_count"),
                                F.col("distinct_users").cast("bigint").alias("distinct_users"),
                                "last_executed_at", "first_sql", "class")
 
 
 def log_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = L.statements(log_table(spark, sf_dir))
+    st = _statements(spark, sf_dir)
     calls = L.aggregate_calls(st, _catalog(spark, sf_dir))
     return L.usage_rollup(calls).select(
         F.col("tbl").alias("table"), F.col("col").alias("column"), "agg", "is_distinct",
@@ -73,7 +81,7 @@ def log_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = L.statements(log_table(spark, sf_dir))
+    st = _statements(spark, sf_dir)
     g = L.group_columns(st, _catalog(spark, sf_dir))
     return (g.groupBy(F.col("tbl").alias("table"), F.col("col").alias("column"))
              .agg(F.countDistinct("stmt_id", "pos").cast("bigint").alias("statements"),
@@ -185,7 +193,7 @@ TRUST_NOW = "2024-02-15 00:00:00"
 
 def _evidence(spark, sf_dir):
     from ..operators import trust as TR
-    st = L.statements(log_table(spark, sf_dir))
+    st = _statements(spark, sf_dir)
     cat = _catalog(spark, sf_dir)
     calls = L.aggregate_calls(st, cat)
     # roles come from the schemas alone: no table scan
@@ -290,7 +298,7 @@ def oracle_stream(schema) -> dict[str, str]:
 
 
 def log_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = L.statements(log_table(spark, sf_dir))
+    st = _statements(spark, sf_dir)
     j = L.join_rollup(L.join_conditions(st, _catalog(spark, sf_dir)))
     return j.select("from_table", "from_column", "to_table", "to_column", "join_type",
                     F.col("statements").cast("bigint").alias("statements"))
