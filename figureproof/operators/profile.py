@@ -148,3 +148,35 @@ def join_edges(catalog: DataFrame, strip_prefix: bool = False) -> DataFrame:
                   F.col("b.table").alias("t2"), F.col("b.column").alias("c2"),
                   F.col("a.name").alias("name")))
     return e
+
+
+def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
+    """A11 for many tables in one job: every column of every table is
+    stacked as ``(table, column, value)`` and one grouped aggregate yields
+    row count, non-null count, distinct count (exact, or HyperLogLog), and
+    numeric / string min and max. Partial aggregation keeps the shuffle at
+    one row per (table, column) per task, except the distinct values of an
+    exact count."""
+    parts = []
+    for t, df in tables.items():
+        structs = []
+        for i, f in enumerate(df.schema.fields):
+            c = F.col(f.name)
+            atomic = _atomic(f.dataType)
+            num = isinstance(f.dataType, _NUM)
+            txt = isinstance(f.dataType, T.StringType)
+            structs.append(F.struct(
+                F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), c.isNotNull().alias("nn"),
+                (c.cast("string") if atomic else F.lit(None).cast("string")).alias("v"),
+                (c.cast("double") if num else F.lit(None).cast("double")).alias("num"),
+                (c if txt else F.lit(None).cast("string")).alias("txt")))
+        parts.append(df.select(F.lit(t).alias("table"), F.explode(F.array(*structs)).alias("s"))
+                       .select("table", "s.*"))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    ndv = F.countDistinct("v") if exact else F.approx_count_distinct("v")
+    return (stacked.groupBy("table", "column", "ordinal").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("nn").alias("non_null"), ndv.alias("ndv"),
+        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.min("txt").alias("min_str"), F.max("txt").alias("max_str")))

@@ -29,7 +29,8 @@ def _with_roles(spark, sf_dir, prof, names):
 
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = _with_roles(spark, sf_dir, _profiles(spark, sf_dir, PROFILE_TABLES), PROFILE_TABLES)
+    prof = _with_roles(spark, sf_dir, P.profile_tables(read_tables(spark, sf_dir, PROFILE_TABLES)),
+                       PROFILE_TABLES)
     return prof.select("table", "column", F.col("ordinal").cast("bigint").alias("ordinal"),
                        F.col("n_rows").cast("bigint").alias("n_rows"),
                        F.col("non_null").cast("bigint").alias("non_null"),
@@ -39,7 +40,7 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = _profiles(spark, sf_dir, list(DRIVER_TABLES), exact=False)
+    prof = P.profile_tables(read_tables(spark, sf_dir), exact=False)
     return prof.select("table", "column", "n_rows", "non_null", "ndv")
 
 
