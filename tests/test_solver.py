@@ -82,3 +82,37 @@ def test_documentation_hits_whole_words(spark):
                                   (3, "order\\nvalue, booked order value"), (4, "line")], "doc_id long, text string")
     got = {r["name"]: r["doc_hits"] for r in documentation_hits(names, docs).collect()}
     assert got == {"Order Value": 2, "Line Count": 0, "Booked Order Value": 1}
+
+
+def test_two_term_nearest_is_the_best_failing_pair(spark):
+    """The rank join finds the same smallest error among failing pairs as
+    brute force over all ordered pairs and operators."""
+    rnd = random.Random(11)
+    d = dt.date(2025, 6, 30)
+    vals = {f"m{i}": round(rnd.uniform(-300, 9000), 2) for i in range(10)}
+    cells = [("t", d, None, None, None, None, m, v, 1) for m, v in vals.items()]
+    targets = [round(rnd.uniform(-50, 40), 3) for _ in range(15)] + [0.0]
+    cdf = spark.createDataFrame(cells, "table string, as_of date, dim string, dim_value string, fcol string, "
+                                       "fvalue string, measure string, s double, n long") \
+               .withColumn("s", F.col("s").cast("decimal(38,4)"))
+    gp = spark.createDataFrame([(f"q{i}", "t", d, t) for i, t in enumerate(targets)],
+                               "metric string, table string, snap_as_of date, reported double") \
+              .withColumn("reported", F.col("reported").cast("decimal(38,6)")).withColumn("report_id", F.lit("r"))
+    from figureproof.functions.numeric import relative_error
+    got = (S.two_term_nearest(gp, cdf).withColumn("err", relative_error("computed", "reported"))
+             .groupBy("metric").agg(F.min("err").alias("e")).collect())
+    got = {r["metric"]: r["e"] for r in got}
+    names = sorted(vals)
+    for i, r in enumerate(targets):
+        best = None
+        for a, b in itertools.permutations(names, 2):
+            for op in "+-/":
+                va, vb = vals[a], vals[b]
+                if op == "/" and vb == 0:
+                    continue
+                c = va + vb if op == "+" else va - vb if op == "-" else va / vb
+                e = abs(c) if r == 0 else abs(c - r) / abs(r)
+                ok = (c == 0) if r == 0 else abs(c - r) <= 0.005 * abs(r)
+                if not ok and (best is None or e < best):
+                    best = e
+        assert abs(got[f"q{i}"] - best) < 1e-6 * max(1.0, best), (i, r, got[f"q{i}"], best)
