@@ -31,8 +31,13 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "file", "ordinal", "start", "terminated")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex16, near_duplicates
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op1_elias_fano": op1_elias_fano, "op4_separator_scan": op4_separator_scan}
+    return {f.__name__: f for f in (op1_elias_fano, op4_separator_scan, op5_simhash)}
 
 
 def oracle_sql() -> dict:
