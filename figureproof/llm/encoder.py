@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Entries of the piece table of one Python worker; it starts anew beyond them.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_200_000
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
@@ -35,6 +35,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """The ids of a piece of text; new pieces go to the library's model."""
+
+    def __init__(self, model, letters: dict[int, str], code: str):
+        super().__init__()
+        self._tokenize, self._letters, self._code = model.tokenize, letters, code
+
+    def __missing__(self, piece: str) -> bytes:
+        written = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        ids = self[piece] = array(self._code, [t.id for t in self._tokenize(written)]).tobytes()
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` as numpy."""
 
@@ -58,11 +71,7 @@ class Encoder:
             import regex
             self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._letters = _byte_letters()
-        self._pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        written = piece.encode("utf-8").decode("latin-1").translate(self._letters)
-        return array(self._code, [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        self._pieces = _Pieces(self.tokenizer.model, self._letters, self._code)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids as little-endian integers of ``self.dtype``; null is the empty text."""
@@ -70,16 +79,9 @@ class Encoder:
             return b""
         if self._split is None or any(t in text for t in self._added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        parts, table = self._split(text), self._pieces
-        try:
-            return b"".join([table[p] for p in parts])
-        except KeyError:
-            if len(table) > MAX_PIECES:
-                table.clear()
-            for p in parts:
-                if p not in table:
-                    table[p] = self._piece(p)
-            return b"".join([table[p] for p in parts])
+        if len(self._pieces) > MAX_PIECES:
+            self._pieces.clear()
+        return b"".join(map(self._pieces.__getitem__, self._split(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), self.dtype)

@@ -24,6 +24,11 @@ def op1_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "ordinal")
 
 
+def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gear_chunks import report
+    return report(documents(spark, sf_dir))
+
+
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .separator_scan import named_counts, write_flat_files
     folder = write_flat_files(documents(spark, sf_dir), new_path(spark, "flat-files"), _tokenizer(), SEPARATOR)
@@ -37,7 +42,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op4_separator_scan, op5_simhash)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op4_separator_scan, op5_simhash)}
 
 
 def oracle_sql() -> dict:
