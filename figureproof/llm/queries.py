@@ -29,6 +29,13 @@ def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_index import contaminated, occurrences
+    found = occurrences(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("contaminated", contaminated()).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .separator_scan import named_counts, write_flat_files
     folder = write_flat_files(documents(spark, sf_dir), new_path(spark, "flat-files"), _tokenizer(), SEPARATOR)
@@ -42,8 +49,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op4_separator_scan, op5_simhash)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash)}
+
+
+_WORDS_SQL = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+              r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS k
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+p AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT DISTINCT rid, s, p.n, item FROM p JOIN win ON win.n = p.n AND k = array_to_string(w[s:s + p.n - 1], ' ')),
+cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS q FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_phrase_index": OP3_SQL}
