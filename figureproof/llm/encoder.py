@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Entries of the piece table of one Python worker; it starts anew beyond them.
-MAX_PIECES = 1_200_000
+MAX_PIECES = 900_000
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
 

@@ -48,8 +48,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_min_hash import as_text, likeness, with_edited
+    return with_edited(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", as_text("sig").alias("fingerprint"), as_text("edited_sig").alias("edited_fingerprint"),
+        likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op10_order_min_hash)}
 
 
 _WORDS_SQL = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
