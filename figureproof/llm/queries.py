@@ -48,6 +48,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import report
+    return report(documents(spark, sf_dir))
+
+
 def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_min_hash import as_text, likeness, with_edited
     return with_edited(documents(spark, sf_dir)).select(
@@ -56,7 +61,8 @@ def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op10_order_min_hash)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op9_license_scan,
+                                     op10_order_min_hash)}
 
 
 _WORDS_SQL = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
