@@ -48,6 +48,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .best_fit import best_fit
+    return best_fit(documents(spark, sf_dir))
+
+
+def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import assign
+    return assign(documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import report
     return report(documents(spark, sf_dir))
@@ -61,7 +71,7 @@ def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op9_license_scan,
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op6_best_fit, op7_balanced_shards, op9_license_scan,
                                      op10_order_min_hash)}
 
 
