@@ -71,7 +71,7 @@ def test_constraints(spark, group):
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows = Q.op6_best_fit(spark, SF).collect()
-    check(rows, [(i, len((t or "").encode().split())) for i, t in docs], B.CAPACITY)
+    check(rows, [(i or -1, len((t or "").encode().split())) for i, t in docs], B.CAPACITY)
 
 
 def test_empty_table(spark):
