@@ -33,6 +33,8 @@ MIN_BYTES = 20
 MIN_WORDS = 16
 #: Upper bits that are zero at a cut: at a word start, and elsewhere.
 WORD_BITS, ANY_BITS = 2, 10
+#: Text bytes that are looked at in one go.
+SLICE_BYTES = 4 << 20
 _WINDOW = 16
 _NO_ID = -(1 << 63)
 
@@ -94,8 +96,20 @@ def chunks(column: pa.Array):
 _CHUNK_DDL = "hi bigint, lo int, doc_id bigint, crc int, seq int, pos int, len int, words int"
 
 
-def _chunk_rows(batches):
+def _slices(batches):
+    """Batches of about ``SLICE_BYTES`` of text, so that the arrays over their bytes stay small."""
     for b in batches:
+        _, starts, ends = text_bytes(b.column(1))
+        size, at = np.cumsum(ends - starts), 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def _chunk_rows(batches):
+    for b in _slices(batches):
         got = chunks(b.column(1))
         if got is None:
             continue
