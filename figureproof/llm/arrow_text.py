@@ -7,7 +7,10 @@ import pyarrow as pa
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(data, starts, ends): row i is data[starts[i]:ends[i]] in UTF-8; null rows are empty. Nothing is copied."""
+    """(data, starts, ends): row i is data[starts[i]:ends[i]] in UTF-8; null rows are empty.
+
+    ``data`` holds the bytes of these rows alone, also where the column is a slice of a longer one. Nothing is copied.
+    """
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     valid, offsets, data = column.buffers()
     n, width = len(column), 8 if large else 4
@@ -20,4 +23,5 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         null = column.is_null().to_numpy(zero_copy_only=False)
         ends[null] = starts[null]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw, starts, ends
+    first, last = int(starts[0]), int(at[-1])
+    return raw[first:last], starts - first, ends - first

@@ -69,9 +69,6 @@ class Words:
 
     def __init__(self, column: pa.Array):
         data, starts, ends = text_bytes(column)
-        lo = int(starts[0]) if len(starts) else 0
-        hi = int(ends.max()) if len(ends) else 0
-        data, starts, ends = data[lo:hi], starts - lo, ends - lo
         low = _LOWERED[data]
         inside = low != 0
         edge = np.zeros(len(data) + 1, bool)

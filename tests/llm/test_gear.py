@@ -21,6 +21,9 @@ def test_gear_equals_definition(raw):
         assert int(h[i]) == want
 
 
+LONGER = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
@@ -37,7 +40,8 @@ def test_chunks_of_a_batch_are_those_of_each_text(texts):
                 for i, (r, s, p, n, k) in enumerate(zip(row, seq, pos, length, w))]
     want = [(i, *c[1:]) for i, t in enumerate(texts) for c in of(pa.array([t], pa.string()))]
     assert of(pa.array(texts, pa.string())) == want
-    assert of(pa.array(["x", *texts], pa.string())[1:]) == want
+    longer = pa.array([LONGER, *texts, LONGER], pa.string())
+    assert of(longer[1:-1]) == want, "a slice holds its own rows alone"
     for i, _, pos, length, *_ in want:
         texts[i].encode()[pos:pos + length].decode()  # no character is cut
 
@@ -81,6 +85,15 @@ def test_repeated_passages_are_found_and_left_once(spark):
             assert any(passages[k] in left[i] for i in ids)
 
 
+def test_slices_of_a_batch(monkeypatch):
+    rng = random.Random(2)
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([words(rng, 60) for _ in range(50)]),
+                             pa.array([0] * 50, pa.int32())], names=["doc_id", "text", "crc"])
+    whole = [r for b in G._chunk_rows([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(G, "SLICE_BYTES", 900)
+    assert [r for b in G._chunk_rows([batch]) for r in b.to_pylist()] == whole
+
+
 def test_insertion_moves_no_later_cut():
     rng = random.Random(5)
     a = words(rng, 400)
