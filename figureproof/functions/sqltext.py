@@ -15,10 +15,26 @@ from pyspark.sql import functions as F
 COMMENT_LINE = r"(?m)^\s*--[^\n]*$"
 STRING_LITERAL = r"'([^']|'')*'"
 NUMBER_LITERAL = r"\b[0-9]+(\.[0-9]+)?\b"
-AGG_CALL = r"(?i)\b(sum|count|avg|min|max)\s*\(\s*(distinct\s+)?([a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*|\*)\s*\)"
+AGGREGATES = ["sum", "count", "avg", "min", "max", "median", "mode", "quantile", "percentile_cont", "percentile_disc",
+              "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp", "corr", "covar_pop", "covar_samp",
+              "any_value", "array_agg", "string_agg", "listagg", "approx_count_distinct", "count_if", "bool_and", "bool_or"]
+_AGG = r"(?i)\b(" + "|".join(AGGREGATES) + ")"
+AGG_NAME = _AGG + r"\s*\("
+# a call with its argument text; one level of brackets inside it
+AGG_CALL = _AGG + r"\s*\(\s*(distinct\s+)?((?:[^()]|\([^()]*\))*)\)"
+COLUMN_REF = r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\b(?!\s*[(.])"
 FROM_TABLE = r"(?i)\b(from|join)\s+([a-z_][a-z0-9_]*)(\s+(as\s+)?([a-z_][a-z0-9_]*))?"
-GROUP_BY = r"(?i)\bgroup\s+by\s+(.*?)(\border\s+by\b|\bhaving\b|\blimit\b|$)"
+# clauses of a statement whose white space is flattened
+CLAUSE_END = r"\s*(?:\bgroup by\b|\border by\b|\bhaving\b|\blimit\b|\bunion\b|\bintersect\b|\bexcept\b|$)"
+GROUP_BY = r"(?i)\bgroup by (.*?)" + CLAUSE_END
+WHERE = r"(?i)\bwhere (.*?)" + CLAUSE_END
+SET_OPERATION = r"(?i)\b(union|intersect|except)\b"
+# levels of brackets that are looked into for a set operation
+BRACKET_DEPTH = 12
 SELECT_START = r"(?is)^\s*(with|select)\b"
+# words that stand where a column could
+NO_COLUMN = ["and", "or", "not", "in", "is", "null", "like", "between", "case", "when", "then", "else", "end", "as", "distinct",
+             "true", "false", "asc", "desc", "exists", "select", "from", "date", "timestamp", "interval", "cast"]
 ALIAS_KEYWORDS = ["where", "group", "order", "join", "on", "inner", "left", "right", "full",
                   "cross", "limit", "having", "union"]
 
@@ -51,14 +67,38 @@ def balanced_quotes(sql) -> Column:
     return ~F.instr(stripped, "'").cast("boolean")
 
 
+def flat(sql) -> Column:
+    """White space flattened to single blanks."""
+    return F.trim(F.regexp_replace(_c(sql), r"\s+", " "))
+
+
+def without_literals(sql) -> Column:
+    return F.regexp_replace(_c(sql), STRING_LITERAL, "''")
+
+
+def set_operation(sql) -> Column:
+    """A UNION, INTERSECT or EXCEPT outside of all brackets."""
+    s = without_literals(sql)
+    for _ in range(BRACKET_DEPTH):
+        s = F.regexp_replace(s, r"\([^()]*\)", " ")
+    return s.rlike(SET_OPERATION)
+
+
+def parsable(sql) -> Column:
+    """Not blank, quotes and brackets in pairs."""
+    s = without_literals(sql)
+    pairs = (F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
+             == F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit(""))))
+    return (F.trim(_c(sql)) != "") & balanced_quotes(sql) & pairs
+
+
 def classify(sql) -> Column:
-    """Structural (not a SELECT), noise (no aggregate, unparsable or
-    blank) or analytical."""
+    """Noise (unparsable or blank), structural (not one SELECT, set
+    operations included), analytical (any aggregate call) or noise."""
     s = _c(sql)
-    return (F.when(F.trim(s) == "", "noise")
-             .when(~balanced_quotes(s), "noise")
-             .when(~s.rlike(SELECT_START), "structural")
-             .when(s.rlike(AGG_CALL), "analytical")
+    return (F.when(~parsable(s), "noise")
+             .when(~s.rlike(SELECT_START) | set_operation(s), "structural")
+             .when(without_literals(s).rlike(AGG_NAME), "analytical")
              .otherwise("noise"))
 
 
@@ -67,10 +107,12 @@ def approximate(sql) -> Column:
     s = _c(sql)
     return s.rlike(r"(?is)^\s*with\b") | s.rlike(r"(?is)\(\s*select\b")
 
-# Fixed value: a JOIN clause with its first ON equality.
-JOIN_ON = (r"(?i)\b((left|right|full|inner|cross)\s+(outer\s+)?)?join\s+([a-z_][a-z0-9_]*)"
-           r"(\s+(as\s+)?([a-z_][a-z0-9_]*))?\s+on\s+([a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)\s*=\s*"
-           r"([a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)")
+# A JOIN with its whole ON clause, and the equalities of columns inside.
+JOIN_ON = (r"(?i)\b((?:(?:left|right|full|inner|cross) )?(?:outer )?)join ([a-z_][a-z0-9_]*)"
+           r"(?: (?:as )?(?!on\b|using\b)[a-z_][a-z0-9_]*)? on (.*?)"
+           r"(?=\s+(?:left|right|full|inner|cross|join|where|group|order|having|limit|union)\b|$)")
+EQUALITY = (r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\s*=\s*"
+            r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\b(?!\s*[(.])")
 # A candidate key ``AGG(T.C) [op AGG(T.C)] [WHERE C op 'V']``
 # (F20), read as the expression before `` WHERE `` and the predicate after.
 KEY_EXPR = (r"^(SUM|COUNT|AVG)\(([A-Z0-9_]+)\.([A-Z0-9_]+|\*)\)"

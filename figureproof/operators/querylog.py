@@ -1,13 +1,16 @@
 """Query-log mining (S5, A7, A8, P11, F21-F23, J12): statements -> shapes,
-aggregate calls and grouping columns resolved to catalog columns.
+aggregate calls, dimensions and joins resolved to catalog columns.
 
-All steps are row-local regex expressions plus group-bys keyed by shape or
-by (table, column): no statement list is ever collected into one group.
+The log itself is read once: split, classed, hashed and rolled up by shape with
+partial aggregation. Everything else works on the shapes, one row each, through
+their first statement; counts are weighted by the executions of the shape. The
+tables and aliases of a statement travel with each of its references as an
+array, so a reference is resolved within its row and meets only the catalog.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as Q
@@ -23,117 +26,149 @@ def statements(log: DataFrame) -> DataFrame:
 
 
 def shapes(stmts: DataFrame) -> DataFrame:
-    """Roll-up per literal-stripped shape: executions, first statement in
-    log order, distinct users, last execution time. ``countDistinct`` per
-    shape shuffles on (shape, user) pairs, so a hot shape is spread over its
-    users rather than landing in one task."""
-    return (stmts.groupBy("shape_hash").agg(
+    """Roll-up per literal-stripped shape of the parsable statements:
+    executions, first statement in log order, distinct users, last execution.
+    ``countDistinct`` per shape shuffles on (shape, user) pairs, so a hot shape
+    is spread over its users rather than landing in one task."""
+    return (stmts.where(Q.parsable("sql")).groupBy("shape_hash").agg(
         F.count(F.lit(1)).alias("execution_count"),
         F.min_by("sql", F.struct("stmt_id", "pos")).alias("first_sql"),
         F.countDistinct("user_id").alias("distinct_users"),
         F.max("ts").alias("last_executed_at"),
+        F.min(F.struct("stmt_id", "pos")).alias("first_at"),
         F.min_by("class", F.struct("stmt_id", "pos")).alias("class")))
 
 
-def _aliases(stmts: DataFrame) -> DataFrame:
-    """FROM/JOIN table with optional alias, per statement."""
-    t = F.regexp_extract_all("sql", F.lit(Q.FROM_TABLE), 2)
-    a = F.regexp_extract_all("sql", F.lit(Q.FROM_TABLE), 5)
-    z = stmts.select("stmt_id", "pos", F.posexplode(F.arrays_zip(t.alias("t"), a.alias("a"))).alias("fpos", "z"))
-    alias = F.lower(F.col("z.a"))
-    return z.select("stmt_id", "pos", "fpos", F.lower("z.t").alias("tbl"),
-                    F.when((alias == "") | alias.isin(*Q.ALIAS_KEYWORDS), None).otherwise(alias).alias("alias"))
+SHAPE = ["shape_hash", "execution_count", "distinct_users", "last_executed_at", "first_at"]
 
 
-def _resolve(refs: DataFrame, aliases: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``refs(stmt_id, pos, ..., qual, col)`` -> (table, column).
+def _tables(sql) -> F.Column:
+    """FROM/JOIN tables with their aliases, in order."""
+    t = F.regexp_extract_all(sql, F.lit(Q.FROM_TABLE), 2)
+    a = F.regexp_extract_all(sql, F.lit(Q.FROM_TABLE), 5)
+    return F.transform(F.arrays_zip(t.alias("t"), a.alias("a")), lambda z: F.struct(
+        F.lower(z["t"]).alias("tbl"),
+        F.when((z["a"] != "") & ~F.lower(z["a"]).isin(*Q.ALIAS_KEYWORDS), F.lower(z["a"])).alias("alias")))
 
-    A qualified reference resolves through the alias (or the table name);
-    an unqualified one resolves when exactly one FROM table has the column;
-    the column must exist in the catalog. ``*`` resolves to the first FROM
-    table. Unresolved references are dropped.
+
+def _analytical(shape_rows: DataFrame) -> DataFrame:
+    sql = Q.flat("first_sql")
+    return (shape_rows.where("class = 'analytical'").select(*SHAPE, sql.alias("sql"))
+            .withColumn("tabs", _tables(F.col("sql"))))
+
+
+def _columns_of(text) -> F.Column:
+    """Column references of an expression: (qual, col), literals and keywords left out."""
+    t = F.lower(Q.without_literals(text))
+    q = F.regexp_extract_all(t, F.lit(Q.COLUMN_REF), 1)
+    c = F.regexp_extract_all(t, F.lit(Q.COLUMN_REF), 2)
+    refs = F.transform(F.arrays_zip(q.alias("q"), c.alias("c")), lambda z: F.struct(
+        F.when(z["q"] != "", z["q"]).alias("qual"), z["c"].alias("col")))
+    return F.filter(refs, lambda r: ~r["col"].isin(*Q.NO_COLUMN))
+
+
+def _resolve(refs: DataFrame, keys: list[str], catalog: DataFrame) -> DataFrame:
+    """Rows with ``qual, col, tabs`` -> (tbl, kind) of the catalog.
+
+    A qualified reference resolves through the alias (or the table name); an
+    unqualified one if exactly one FROM table has the column; ``*`` is the
+    first FROM table. Others are dropped. ``keys`` tell the references apart.
     """
-    cat = catalog.select(F.lower("table").alias("tbl"), F.lower("column").alias("col"))
-    keys = [c for c in refs.columns]
-    q = refs.where(F.col("qual").isNotNull() & (F.col("col") != "*"))
-    by_alias = (q.join(aliases, ["stmt_id", "pos"])
-                 .where((F.col("alias") == F.col("qual")) | (F.col("alias").isNull() & (F.col("tbl") == F.col("qual"))))
-                 .select(*keys, "tbl").distinct()
-                 .join(cat, ["tbl", "col"]))
-    u = refs.where(F.col("qual").isNull() & (F.col("col") != "*"))
-    cand = u.join(aliases.select("stmt_id", "pos", "tbl").distinct(), ["stmt_id", "pos"]).join(cat, ["tbl", "col"])
-    one = (cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.min("tbl").alias("tbl"))
-               .where("k = 1").drop("k"))
-    star = (refs.where(F.col("col") == "*")
-                .join(aliases.where("fpos = 0").select("stmt_id", "pos", "tbl"), ["stmt_id", "pos"]))
-    cols = keys + ["tbl"]
-    return by_alias.select(*cols).unionByName(one.select(*cols)).unionByName(star.select(*cols))
-
-
-def aggregate_calls(stmts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``stmt_id, pos, user_id, agg, is_distinct, tbl, col`` for every
-    aggregate call of every analytical statement."""
-    s = stmts.where("class = 'analytical'")
-    parts = [F.regexp_extract_all("sql", F.lit(Q.AGG_CALL), i) for i in (1, 2, 3, 4)]
-    z = s.select("stmt_id", "pos", "user_id",
-                 F.posexplode(F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)])).alias("cpos", "z"))
-    refs = z.select("stmt_id", "pos", "user_id", "cpos",
-                    F.upper("z.g0").alias("agg"), (F.col("z.g1") != "").alias("is_distinct"),
-                    F.when(F.col("z.g2") == "", None).otherwise(F.lower(F.regexp_replace("z.g2", r"\.$", ""))).alias("qual"),
-                    F.lower("z.g3").alias("col"))
-    return _resolve(refs, _aliases(s), catalog)
-
-
-def group_columns(stmts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """columns of the GROUP BY clause, resolved like aggregate columns."""
-    s = stmts.where("class = 'analytical'")
-    clause = F.regexp_extract("sql", Q.GROUP_BY, 1)
-    items = s.select("stmt_id", "pos", "user_id",
-                     F.posexplode(F.split(clause, ",")).alias("gpos", "item")).where(F.trim("item") != "")
-    it = F.lower(F.trim("item"))
-    refs = items.select("stmt_id", "pos", "user_id", "gpos",
-                        F.when(F.instr(it, ".") > 0, F.substring_index(it, ".", 1)).alias("qual"),
-                        F.substring_index(it, ".", -1).alias("col"))
-    return _resolve(refs.where(F.col("col").rlike("^[a-z_][a-z0-9_]*$")), _aliases(s), catalog)
+    cat = catalog.select(F.lower("table").alias("c_tbl"), F.lower("column").alias("c_col"), "kind")
+    cat = cat.unionByName(cat.select("c_tbl", F.lit("*").alias("c_col"), F.lit(None).cast("string").alias("kind")).distinct())
+    cands = (F.when(F.col("col") == "*", F.slice("tabs", 1, 1))
+              .when(F.col("qual").isNotNull(), F.filter("tabs", lambda t: (t["alias"] == F.col("qual"))
+                                                        | (t["alias"].isNull() & (t["tbl"] == F.col("qual")))))
+              .otherwise(F.col("tabs")))
+    x = refs.withColumn("tbl", F.explode(F.array_distinct(F.transform(cands, lambda t: t["tbl"])))).drop("tabs")
+    hit = x.join(cat, (F.col("tbl") == F.col("c_tbl")) & (F.col("col") == F.col("c_col"))).drop("c_tbl", "c_col")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return hit.withColumn("n", n).where(F.col("qual").isNotNull() | (F.col("n") == 1)).drop("n")
+
+
+def aggregate_calls(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """one row per aggregate call of an analytical shape: the shape's
+    counts, ``cpos, agg`` (COUNT_DISTINCT is its own), ``is_distinct, tbl, col``
+    (the first column of the argument; all must resolve) and ``filter``, the
+    WHERE text of the statement (NULL without one)."""
+    s = _analytical(shape_rows)
+    where = F.regexp_extract("sql", Q.WHERE, 1)
+    parts = [F.regexp_extract_all("sql", F.lit(Q.AGG_CALL), i).alias(f"g{i}") for i in (1, 2, 3)]
+    calls = (s.select(*SHAPE, "tabs", F.when(where != "", where).alias("filter"), F.posexplode(F.arrays_zip(*parts)).alias("cpos", "z"))
+              .select(*SHAPE, "tabs", "filter", "cpos", (F.col("z.g2") != "").alias("is_distinct"), F.upper("z.g1").alias("fn"),
+                      F.trim("z.g3").alias("arg")))
+    calls = calls.withColumn("agg", F.when(F.col("is_distinct") & (F.col("fn") == "COUNT"), "COUNT_DISTINCT").otherwise(F.col("fn")))
+    star = F.struct(F.lit(None).cast("string").alias("qual"), F.lit("*").alias("col"))
+    refs = (calls.withColumn("refs", F.when(F.col("arg") == "*", F.array(star)).otherwise(_columns_of("arg")))
+                 .withColumn("n_refs", F.size("refs")))
+    keys = ["shape_hash", "cpos", "rpos"]
+    exploded = refs.select(*SHAPE, "tabs", "filter", "cpos", "agg", "is_distinct", "n_refs", F.posexplode("refs").alias("rpos", "r"))
+    found = _resolve(exploded.select("*", "r.qual", "r.col").drop("r"), keys, catalog)
+    w = Window.partitionBy("shape_hash", "cpos")
+    return (found.withColumn("got", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("rpos")))
+                 .where("got = n_refs AND k = 1")
+                 .select(*SHAPE, "cpos", "agg", "is_distinct", "tbl", "col", "filter"))
+
+
+def dimension_columns(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """columns of GROUP BY and WHERE of an analytical shape, with the time flag."""
+    s = _analytical(shape_rows)
+    text = F.concat_ws(" , ", F.regexp_extract("sql", Q.GROUP_BY, 1), F.regexp_extract("sql", Q.WHERE, 1))
+    refs = s.select(*SHAPE, "tabs", F.posexplode(_columns_of(text)).alias("rpos", "r")).select("*", "r.qual", "r.col").drop("r")
+    return (_resolve(refs, ["shape_hash", "rpos"], catalog)
+            .select(*SHAPE, "tbl", "col", (F.col("kind") == "time").alias("is_time")).distinct())
+
+
+def join_conditions(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every ``a.x = b.y`` of each JOIN ... ON, both sides resolved through
+    the aliases, oriented from the existing table to the introduced one."""
+    s = _analytical(shape_rows)
+    j = [F.regexp_extract_all("sql", F.lit(Q.JOIN_ON), i).alias(f"g{i}") for i in (1, 2, 3)]
+    e = s.select(*SHAPE, "tabs", F.posexplode(F.arrays_zip(*j)).alias("j", "z"))
+    on = F.lower(Q.without_literals("z.g3"))
+    q = [F.regexp_extract_all(on, F.lit(Q.EQUALITY), i).alias(f"e{i}") for i in (1, 2, 3, 4)]
+    base = (e.select(*SHAPE, "tabs", "j", F.upper(F.trim("z.g1")).alias("kind_of"), F.lower("z.g2").alias("introduced"),
+                     F.posexplode(F.arrays_zip(*q)).alias("e", "y"))
+             .withColumn("join_type", F.when(F.col("kind_of") == "", "INNER").otherwise(F.col("kind_of"))))
+    side = lambda x, q_, c: F.struct(F.lit(x).alias("side"), F.when(F.col(q_) != "", F.col(q_)).alias("qual"), F.col(c).alias("col"))
+    sides = (base.select(*SHAPE, "tabs", "j", "e", "join_type", "introduced", F.explode(F.array(
+        side("l", "y.e1", "y.e2"), side("r", "y.e3", "y.e4"))).alias("x")).select("*", "x.side", "x.qual", "x.col").drop("x"))
+    keys = ["shape_hash", "j", "e"]
+    both = (_resolve(sides, [*keys, "side"], catalog)
+            .groupBy(*SHAPE, "j", "e", "join_type", "introduced").agg(
+                *[F.max(F.when(F.col("side") == x, F.col(c))).alias(x + c[0]) for x in ("l", "r") for c in ("tbl", "col")])
+            .where("lt IS NOT NULL AND rt IS NOT NULL"))
+    flip = F.col("rt") != F.col("introduced")
+    return both.select(*SHAPE, "join_type",
+                       F.when(flip, F.col("rt")).otherwise(F.col("lt")).alias("from_table"),
+                       F.when(flip, F.col("rc")).otherwise(F.col("lc")).alias("from_column"),
+                       F.when(flip, F.col("lt")).otherwise(F.col("rt")).alias("to_table"),
+                       F.when(flip, F.col("lc")).otherwise(F.col("rc")).alias("to_column"))
+
+
+def _by_shape(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and shape."""
+    return rows.groupBy(*keys, *SHAPE).agg(F.count(F.lit(1)).alias("n"))
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
-    """A9 (log part): per (table, column, agg): statements, distinct users."""
-    return (calls.groupBy("tbl", "col", "agg", "is_distinct")
-                 .agg(F.count(F.lit(1)).alias("calls"),
-                      F.countDistinct("stmt_id", "pos").alias("statements"),
-                      F.countDistinct("user_id").alias("users")))
-
-
-def join_conditions(stmts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``a.x = b.y`` of each JOIN ... ON, both sides resolved through
-    the aliases, oriented from the existing table to the introduced one.
-    Only the first equality of an ON clause is read (single-level grammar)."""
-    s = stmts.where("class = 'analytical'")
-    pat = F.lit(Q.JOIN_ON)
-    g = {i: F.regexp_extract_all("sql", pat, i) for i in (2, 4, 7, 8, 9, 10, 11)}
-    z = s.select("stmt_id", "pos", F.posexplode(F.arrays_zip(*[g[i].alias(f"g{i}") for i in g])).alias("j", "z"))
-    q = lambda c: F.when(F.col(c) == "", None).otherwise(F.lower(F.regexp_replace(c, r"\.$", "")))
-    base = z.select("stmt_id", "pos", "j",
-                    F.upper(F.when(F.col("z.g2") == "", "INNER").otherwise(F.col("z.g2"))).alias("join_type"),
-                    F.lower("z.g4").alias("introduced"), q("z.g8").alias("lq"), F.lower("z.g9").alias("lc"),
-                    q("z.g10").alias("rq"), F.lower("z.g11").alias("rc"))
-    al = _aliases(s)
-    left = _resolve(base.select("stmt_id", "pos", "j", F.col("lq").alias("qual"), F.col("lc").alias("col")), al, catalog)
-    right = _resolve(base.select("stmt_id", "pos", "j", F.col("rq").alias("qual"), F.col("rc").alias("col")), al, catalog)
-    j = (base.join(left.select("stmt_id", "pos", "j", F.col("tbl").alias("lt")), ["stmt_id", "pos", "j"])
-             .join(right.select("stmt_id", "pos", "j", F.col("tbl").alias("rt")), ["stmt_id", "pos", "j"]))
-    flip = F.col("rt") != F.col("introduced")
-    return j.select("stmt_id", "pos", "join_type",
-                    F.when(flip, F.col("rt")).otherwise(F.col("lt")).alias("from_table"),
-                    F.when(flip, F.col("rc")).otherwise(F.col("lc")).alias("from_column"),
-                    F.when(flip, F.col("lt")).otherwise(F.col("rt")).alias("to_table"),
-                    F.when(flip, F.col("lc")).otherwise(F.col("rc")).alias("to_column"))
+    """A9 (log part): per (table, column, agg): calls, statements, users."""
+    return (_by_shape(calls, ["tbl", "col", "agg", "is_distinct"]).groupBy("tbl", "col", "agg", "is_distinct")
+            .agg(F.sum(F.col("n") * F.col("execution_count")).alias("calls"),
+                 F.sum("execution_count").alias("statements"), F.sum("distinct_users").alias("users")))
+
+
+def dimension_rollup(dims: DataFrame) -> DataFrame:
+    """A10: per column: shapes, statements and users it was seen with."""
+    return (dims.groupBy("tbl", "col", "is_time").agg(
+        F.countDistinct("shape_hash").alias("shapes"), F.sum("execution_count").alias("statements"),
+        F.sum("distinct_users").alias("users")))
 
 
 def join_rollup(joins: DataFrame) -> DataFrame:
     """A10: one row per join edge with the statements it was seen in; the
     join type of its first occurrence."""
-    return (joins.groupBy("from_table", "from_column", "to_table", "to_column")
-                 .agg(F.min_by("join_type", F.struct("stmt_id", "pos")).alias("join_type"),
-                      F.countDistinct("stmt_id", "pos").alias("statements")))
+    edge = ["from_table", "from_column", "to_table", "to_column"]
+    per = joins.groupBy(*edge, "shape_hash", "execution_count", "first_at").agg(F.min("join_type").alias("join_type"))
+    return per.groupBy(*edge).agg(F.min_by("join_type", "first_at").alias("join_type"),
+                                  F.sum("execution_count").alias("statements"), F.count(F.lit(1)).alias("shapes"))

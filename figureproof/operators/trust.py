@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 # Authority of each evidence source.
 SOURCE_AUTHORITY = {
-    "dbt_metric": 1.00, "numeric_fingerprint": 0.98, "brd_approved": 0.90,
-    "tableau_calc": 0.85, "dbt_model": 0.85, "data_dictionary": 0.85,
-    "looker_measure": 0.80, "tableau_field": 0.78, "ddl_constraint": 0.75,
-    "excel_named": 0.70, "brd_draft": 0.65, "confluence_page": 0.60,
-    "query_log_complex": 0.60, "pdf_report": 0.55, "excel_formula": 0.50,
-    "ddl_naming_convention": 0.45, "query_log_simple": 0.40, "ad_hoc": 0.20,
+    "numeric_fingerprint": 0.98, "tableau_calc": 0.85, "dbt_metric": 1.00, "dbt_model": 0.85, "data_dictionary": 0.85,
+    "ddl_constraint": 0.75, "looker_measure": 0.80, "tableau_field": 0.78, "brd_approved": 0.90, "brd_draft": 0.65,
+    "excel_named": 0.70, "excel_formula": 0.50, "pdf_report": 0.55, "confluence_page": 0.60,
+    "ddl_naming_convention": 0.45, "query_log_complex": 0.60, "query_log_simple": 0.40, "ad_hoc": 0.20,
 }
 # Signal weights (must sum to 1) and thresholds.
 WEIGHTS = {"authority": 0.30, "usage": 0.25, "agreement": 0.20, "recency": 0.15, "certified": 0.10}
@@ -31,39 +29,63 @@ def check_weights(w=WEIGHTS):
         raise ValueError("trust weights must sum to 1")
 
 
+EVIDENCE = ["table", "column", "agg", "source", "executions", "users", "last_seen", "filter", "first_at"]
+
+
 def statement_complexity(calls: DataFrame) -> DataFrame:
-    """A statement with at least two distinct aggregate keys is complex."""
-    return (calls.groupBy("stmt_id", "pos")
-                 .agg(F.countDistinct("agg", "tbl", "col").alias("keys"))
-                 .withColumn("complex", F.col("keys") >= COMPLEX_MIN_KEYS))
+    """A shape with at least two distinct aggregate keys on a table is complex for that table."""
+    return (calls.groupBy("shape_hash", "tbl")
+                 .agg((F.countDistinct("agg", "col") >= COMPLEX_MIN_KEYS).alias("complex")))
 
 
-def log_evidence(calls: DataFrame, stmts: DataFrame) -> DataFrame:
-    cx = statement_complexity(calls)
-    st = stmts.select("stmt_id", "pos", "ts")
-    return (calls.join(cx, ["stmt_id", "pos"]).join(st, ["stmt_id", "pos"])
+def log_evidence(calls: DataFrame) -> DataFrame:
+    """One row per aggregate call of a shape, weighted by the shape's executions and users."""
+    return (calls.join(statement_complexity(calls), ["shape_hash", "tbl"])
                  .select(F.col("tbl").alias("table"), F.col("col").alias("column"), "agg",
                          F.when(F.col("complex"), "query_log_complex").otherwise("query_log_simple").alias("source"),
-                         "user_id", "ts", "stmt_id", "pos"))
+                         F.col("execution_count").alias("executions"), F.col("distinct_users").alias("users"),
+                         F.col("last_executed_at").alias("last_seen"), "filter", "first_at"))
+
+
+def _unseen(rows: DataFrame) -> DataFrame:
+    """Evidence that no execution stands behind."""
+    return rows.select("table", "column", "agg", "source", F.lit(0).cast("long").alias("executions"),
+                       F.lit(0).cast("long").alias("users"), F.lit(None).cast("timestamp").alias("last_seen"),
+                       F.lit(None).cast("string").alias("filter"),
+                       F.lit(None).cast("struct<stmt_id:bigint,pos:int>").alias("first_at"))
 
 
 def role_evidence(roles: DataFrame) -> DataFrame:
     """C14: a measure-input column is evidence for SUM(column)."""
-    return (roles.where(F.col("role") == "measure_input")
-                 .select(F.lower("table").alias("table"), F.lower("column").alias("column"),
-                         F.lit("SUM").alias("agg"), F.lit("ddl_naming_convention").alias("source"),
-                         F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("timestamp").alias("ts"),
-                         F.lit(None).cast("long").alias("stmt_id"), F.lit(None).cast("int").alias("pos")))
+    return _unseen(roles.where(F.col("role") == "measure_input")
+                   .select(F.lower("table").alias("table"), F.lower("column").alias("column"),
+                           F.lit("SUM").alias("agg"), F.lit("ddl_naming_convention").alias("source")))
+
+
+def document_evidence(exprs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Expressions ``AGG(column)`` read from documents and workbooks
+    (``expression, source``), attached to every table that has the column."""
+    pat = r"(?i)^\s*([a-z_]+)\s*\(\s*(distinct\s+)?([a-z_][a-z0-9_]*)\s*\)\s*$"
+    e = exprs.select(F.upper(F.regexp_extract("expression", pat, 1)).alias("fn"),
+                     F.regexp_extract("expression", pat, 2).alias("d"),
+                     F.lower(F.regexp_extract("expression", pat, 3)).alias("column"), "source").where("fn <> ''")
+    e = e.withColumn("agg", F.when((F.col("fn") == "COUNT") & (F.col("d") != ""), "COUNT_DISTINCT").otherwise(F.col("fn")))
+    cat = catalog.select(F.lower("table").alias("table"), F.lower("column").alias("column"))
+    return _unseen(e.join(cat, "column").select("table", "column", "agg", "source").distinct())
 
 
 def bundle(evidence: DataFrame) -> DataFrame:
-    """Per (table, column, agg): executions, distinct users, last
-    seen, the sorted set of sources."""
-    return (evidence.groupBy("table", "column", "agg").agg(
-        F.count("stmt_id").alias("executions"),
-        F.countDistinct("user_id").alias("users"),
-        F.max("ts").alias("last_seen"),
-        F.array_sort(F.collect_set("source")).alias("sources")))
+    """Per (table, column, agg): executions, users, last seen, the
+    sorted set of sources, the filters of the statements behind it in log
+    order (NULL for a statement without one)."""
+    variants = (evidence.where("executions > 0").groupBy("table", "column", "agg", "filter").agg(F.min("first_at").alias("at"))
+                .groupBy("table", "column", "agg").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "filter"))),
+                                                                   lambda v: v["filter"]).alias("filters")))
+    b = (evidence.groupBy("table", "column", "agg").agg(
+        F.sum("executions").alias("executions"), F.sum("users").alias("users"),
+        F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set("source")).alias("sources")))
+    return (b.join(variants, ["table", "column", "agg"], "left")
+             .withColumn("filters", F.coalesce("filters", F.array().cast("array<string>"))))
 
 
 def _authority_map():

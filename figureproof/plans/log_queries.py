@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sqltext as Q
 from ..operators import profile as P
 from ..operators import querylog as L
 from ..sources.tables import read_table, read_tables
+from . import log_oracle as O
 
 # The statement templates, one per event type. ``{u}`` user,
 # ``{v}`` value, ``{i}`` event id, ``{d}`` event date.
@@ -64,16 +64,20 @@ def _catalog(spark, sf_dir):
     return P.column_catalog(spark, read_tables(spark, sf_dir))
 
 
+def _shapes(spark, sf_dir):
+    """The log's shapes, one row each: all mining works on them."""
+    from ..session import materialize, shared
+    return shared(spark, ("shapes", sf_dir), lambda: materialize(L.shapes(_statements(spark, sf_dir)), "shapes"))
+
+
 def query_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _statements(spark, sf_dir)
-    return L.shapes(st).select("shape_hash", F.col("execution_count").cast("bigint").alias("execution_count"),
-                               F.col("distinct_users").cast("bigint").alias("distinct_users"),
-                               "last_executed_at", "first_sql", "class")
+    return _shapes(spark, sf_dir).select(
+        "shape_hash", F.col("execution_count").cast("bigint").alias("execution_count"),
+        F.col("distinct_users").cast("bigint").alias("distinct_users"), "last_executed_at", "first_sql", "class")
 
 
 def log_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _statements(spark, sf_dir)
-    calls = L.aggregate_calls(st, _catalog(spark, sf_dir))
+    calls = L.aggregate_calls(_shapes(spark, sf_dir), _catalog(spark, sf_dir))
     return L.usage_rollup(calls).select(
         F.col("tbl").alias("table"), F.col("col").alias("column"), "agg", "is_distinct",
         F.col("calls").cast("bigint").alias("calls"), F.col("statements").cast("bigint").alias("statements"),
@@ -81,108 +85,22 @@ def log_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _statements(spark, sf_dir)
-    g = L.group_columns(st, _catalog(spark, sf_dir))
-    return (g.groupBy(F.col("tbl").alias("table"), F.col("col").alias("column"))
-             .agg(F.countDistinct("stmt_id", "pos").cast("bigint").alias("statements"),
-                  F.countDistinct("user_id").cast("bigint").alias("users")))
+    g = L.dimension_columns(_shapes(spark, sf_dir), _catalog(spark, sf_dir))
+    return L.dimension_rollup(g).select(
+        F.col("tbl").alias("table"), F.col("col").alias("column"), "is_time", F.col("shapes").cast("bigint").alias("shapes"),
+        F.col("statements").cast("bigint").alias("statements"), F.col("users").cast("bigint").alias("users"))
 
 
-# ----------------------------------------------------------------------- oracle
+def log_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = L.join_rollup(L.join_conditions(_shapes(spark, sf_dir), _catalog(spark, sf_dir)))
+    return j.select("from_table", "from_column", "to_table", "to_column", "join_type",
+                    F.col("statements").cast("bigint").alias("statements"), F.col("shapes").cast("bigint").alias("shapes"))
 
-def _duck_render(template: str) -> str:
-    parts = {"u": "CAST(user_id AS VARCHAR)", "v": "CAST(value AS VARCHAR)",
-             "i": "CAST(event_id AS VARCHAR)", "d": "CAST(CAST(ts AS DATE) AS VARCHAR)"}
-    out, rest = [], template
-    while "{" in rest:
-        pre, tail = rest.split("{", 1)
-        key, rest = tail.split("}", 1)
-        out += ["'" + pre.replace("'", "''") + "'", parts[key]]
-    out.append("'" + rest.replace("'", "''") + "'")
-    return " || ".join(out)
-
-
-def _sq(text: str) -> str:
-    """SQL string literal."""
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _log_ctes(schema) -> str:
-    cases = " ".join(f"WHEN '{t}' THEN {_duck_render(tpl)}" for t, tpl in TEMPLATES.items())
-    cat = ", ".join(f"('{t}', '{c}')" for t, cols in schema.items() for c, _ in cols)
-    kw = ", ".join(f"'{k}'" for k in Q.ALIAS_KEYWORDS)
-    return f"""
-WITH log AS (SELECT event_id AS stmt_id, user_id, ts, CASE event_type {cases} END AS text FROM events),
-body AS (SELECT stmt_id, user_id, ts, regexp_replace(text, {_sq(Q.COMMENT_LINE)}, '', 'g') AS body FROM log),
-parts AS (SELECT stmt_id, user_id, ts, list_filter(list_transform(string_split(body, ';'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS arr FROM body),
-st0 AS (SELECT stmt_id, user_id, ts, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS sql FROM parts),
-st AS (SELECT *,
-         CASE WHEN trim(sql) = '' THEN 'noise'
-              WHEN strpos(regexp_replace(sql, {_sq(Q.STRING_LITERAL)}, '', 'g'), '''') > 0 THEN 'noise'
-              WHEN NOT regexp_matches(sql, {_sq(Q.SELECT_START)}) THEN 'structural'
-              WHEN regexp_matches(sql, {_sq(Q.AGG_CALL)}) THEN 'analytical' ELSE 'noise' END AS class,
-         sha256(upper(trim(regexp_replace(regexp_replace(regexp_replace(sql, {_sq(Q.STRING_LITERAL)}, '?', 'g'),
-                {_sq(Q.NUMBER_LITERAL)}, '?', 'g'), '\\s+', ' ', 'g')))) AS shape_hash
-       FROM st0),
-cat AS (SELECT lower(t) AS tbl, lower(c) AS col FROM (VALUES {cat}) v(t, c)),
-an AS (SELECT * FROM st WHERE class = 'analytical'),
-al0 AS (SELECT stmt_id, pos, list_zip(regexp_extract_all(sql, {_sq(Q.FROM_TABLE)}, 2),
-                                      regexp_extract_all(sql, {_sq(Q.FROM_TABLE)}, 5)) AS z FROM an),
-al AS (SELECT stmt_id, pos, generate_subscripts(z, 1) - 1 AS fpos, unnest(z) AS p FROM al0),
-aliases AS (SELECT stmt_id, pos, fpos, lower(p[1]) AS tbl,
-                   CASE WHEN lower(p[2]) = '' OR lower(p[2]) IN ({kw}) THEN NULL ELSE lower(p[2]) END AS alias
-            FROM al)"""
-
-
-def _resolve_sql(refs: str, keys: str) -> str:
-    return f"""
-byalias AS (SELECT DISTINCT {keys}, a.tbl FROM {refs} r JOIN aliases a USING (stmt_id, pos)
-            JOIN cat ON cat.tbl = a.tbl AND cat.col = r.col
-            WHERE r.qual IS NOT NULL AND r.col <> '*'
-              AND (a.alias = r.qual OR (a.alias IS NULL AND a.tbl = r.qual))),
-unq AS (SELECT {keys}, min(a.tbl) AS tbl FROM {refs} r
-        JOIN (SELECT DISTINCT stmt_id, pos, tbl FROM aliases) a USING (stmt_id, pos)
-        JOIN cat ON cat.tbl = a.tbl AND cat.col = r.col
-        WHERE r.qual IS NULL AND r.col <> '*' GROUP BY {keys} HAVING count(*) = 1),
-star AS (SELECT {keys}, a.tbl FROM {refs} r JOIN aliases a USING (stmt_id, pos)
-         WHERE r.col = '*' AND a.fpos = 0),
-resolved AS (SELECT * FROM byalias UNION ALL SELECT * FROM unq UNION ALL SELECT * FROM star)"""
 
+# ----------------------------------------------------------------------- oracle
 
 def oracle(schema) -> dict[str, str]:
-    base = _log_ctes(schema)
-    out = {}
-    out["query_shapes"] = base + """
-SELECT shape_hash, CAST(count(*) AS BIGINT) AS execution_count, CAST(count(DISTINCT user_id) AS BIGINT) AS distinct_users,
-       max(ts) AS last_executed_at, arg_min(sql, (stmt_id, pos)) AS first_sql, arg_min(class, (stmt_id, pos)) AS class
-FROM st GROUP BY shape_hash"""
-    calls = f""",
-c0 AS (SELECT stmt_id, pos, user_id,
-              list_zip(regexp_extract_all(sql, {_sq(Q.AGG_CALL)}, 1), regexp_extract_all(sql, {_sq(Q.AGG_CALL)}, 2),
-                       regexp_extract_all(sql, {_sq(Q.AGG_CALL)}, 3), regexp_extract_all(sql, {_sq(Q.AGG_CALL)}, 4)) AS z
-       FROM an),
-c1 AS (SELECT stmt_id, pos, user_id, generate_subscripts(z, 1) - 1 AS cpos, unnest(z) AS p FROM c0),
-refs AS (SELECT stmt_id, pos, user_id, cpos, upper(p[1]) AS agg, coalesce(p[2], '') <> '' AS is_distinct,
-                CASE WHEN p[3] = '' THEN NULL ELSE lower(regexp_replace(p[3], '\\.$', '')) END AS qual,
-                lower(p[4]) AS col FROM c1),"""
-    out["log_aggregates"] = base + calls + _resolve_sql("refs", "r.stmt_id, r.pos, r.user_id, r.cpos, r.agg, r.is_distinct, r.qual, r.col").replace(
-        "SELECT DISTINCT r.stmt_id", "SELECT DISTINCT r.stmt_id") + """
-SELECT tbl AS "table", col AS "column", agg, is_distinct, CAST(count(*) AS BIGINT) AS calls,
-       CAST(count(DISTINCT (stmt_id, pos)) AS BIGINT) AS statements, CAST(count(DISTINCT user_id) AS BIGINT) AS users
-FROM resolved GROUP BY ALL"""
-    dims = f""",
-g0 AS (SELECT stmt_id, pos, user_id, string_split(regexp_extract(sql, {_sq(Q.GROUP_BY)}, 1), ',') AS items FROM an),
-g1 AS (SELECT stmt_id, pos, user_id, generate_subscripts(items, 1) - 1 AS gpos, unnest(items) AS item FROM g0),
-refs AS (SELECT stmt_id, pos, user_id, gpos,
-                CASE WHEN strpos(lower(trim(item)), '.') > 0 THEN split_part(lower(trim(item)), '.', 1) END AS qual,
-                CASE WHEN strpos(lower(trim(item)), '.') > 0 THEN split_part(lower(trim(item)), '.', -1) ELSE lower(trim(item)) END AS col
-         FROM g1 WHERE trim(item) <> ''),
-refs2 AS (SELECT * FROM refs WHERE regexp_matches(col, '^[a-z_][a-z0-9_]*$')),"""
-    out["log_dimensions"] = base + dims + _resolve_sql("refs2", "r.stmt_id, r.pos, r.user_id, r.gpos, r.qual, r.col") + """
-SELECT tbl AS "table", col AS "column", CAST(count(DISTINCT (stmt_id, pos)) AS BIGINT) AS statements,
-       CAST(count(DISTINCT user_id) AS BIGINT) AS users
-FROM resolved GROUP BY ALL"""
-    return out
+    return O.log_queries()
 
 
 # ----------------------------------------------------------------------- evidence and trust
@@ -191,14 +109,24 @@ FROM resolved GROUP BY ALL"""
 TRUST_NOW = "2024-02-15 00:00:00"
 
 
+def _document_expressions(spark, sf_dir):
+    """Expressions read from spreadsheets and BI workbooks: ``expression, source``."""
+    from .report_text import cell_evidence
+    from .workbook_queries import bi_formula
+    cells = cell_evidence(spark, sf_dir).where("resolved_expression IS NOT NULL AND NOT ambiguous").select(
+        F.col("resolved_expression").alias("expression"), F.col("source_type").alias("source"))
+    bi = bi_formula(spark, sf_dir).where("sql IS NOT NULL").select(F.col("sql").alias("expression"), F.lit("tableau_calc").alias("source"))
+    return cells.unionByName(bi)
+
+
 def _evidence(spark, sf_dir):
     from ..operators import trust as TR
-    st = _statements(spark, sf_dir)
     cat = _catalog(spark, sf_dir)
-    calls = L.aggregate_calls(st, cat)
+    calls = L.aggregate_calls(_shapes(spark, sf_dir), cat)
     # roles come from the schemas alone: no table scan
     roles = cat.withColumn("role", P.role(F.col("column"), F.col("kind")))
-    ev = TR.log_evidence(calls, st).unionByName(TR.role_evidence(roles))
+    ev = (TR.log_evidence(calls).unionByName(TR.role_evidence(roles))
+          .unionByName(TR.document_evidence(_document_expressions(spark, sf_dir), cat)))
     return TR.bundle(ev)
 
 
@@ -206,7 +134,7 @@ def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _evidence(spark, sf_dir)
     return b.select("table", "column", "agg", F.col("executions").cast("bigint").alias("executions"),
                     F.col("users").cast("bigint").alias("users"), "last_seen",
-                    F.array_join("sources", ",").alias("sources"))
+                    F.array_join("sources", ",").alias("sources"), F.array_join("filters", "; ", "-").alias("filters"))
 
 
 def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,35 +146,16 @@ def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("total", 6).alias("total"), "review_required", "kept", "summary")
 
 
-def oracle_evidence(schema) -> dict[str, str]:
-    from ..operators import trust as TR
+def oracle_evidence(schema, cell_sql: str, bi_sql: str) -> dict[str, str]:
     from .catalog_queries import oracle as cat_oracle
-    base = _log_ctes(schema)
-    calls = oracle(schema)["log_aggregates"]
-    # reuse the resolved-call CTEs of the log oracle up to 'resolved'
-    head = calls[:calls.rindex("SELECT tbl AS")]
-    roles = cat_oracle(schema)["column_roles"]
-    auth = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TR.SOURCE_AUTHORITY.items())
-    ev = head + f""",
-cx AS (SELECT stmt_id, pos, count(DISTINCT (agg, tbl, col)) >= {TR.COMPLEX_MIN_KEYS} AS complex
-       FROM resolved GROUP BY stmt_id, pos),
-rl AS ({roles}),
-ev AS (
-  SELECT r.tbl AS "table", r.col AS "column", r.agg,
-         CASE WHEN cx.complex THEN 'query_log_complex' ELSE 'query_log_simple' END AS source,
-         r.user_id, s.ts, r.stmt_id
-  FROM resolved r JOIN cx USING (stmt_id, pos) JOIN st s USING (stmt_id, pos)
-  UNION ALL
-  SELECT lower("table"), lower("column"), 'SUM', 'ddl_naming_convention', NULL, NULL, NULL
-  FROM rl WHERE role = 'measure_input'),
-b AS (SELECT "table", "column", agg, count(stmt_id) AS executions, count(DISTINCT user_id) AS users,
-             max(ts) AS last_seen, list_sort(list_distinct(list(source))) AS sources
-      FROM ev GROUP BY ALL)"""
+    ev = O.evidence_ctes(schema, cat_oracle(schema)["column_roles"], cell_sql, bi_sql)
+    auth = O.AUTHORITY
     out = {}
     out["evidence_bundle"] = ev + """
 SELECT "table", "column", agg, CAST(executions AS BIGINT) AS executions, CAST(users AS BIGINT) AS users,
-       last_seen, array_to_string(sources, ',') AS sources FROM b"""
-    w = TR.WEIGHTS
+       last_seen, array_to_string(sources, ',') AS sources, filters FROM b"""
+    w = {"authority": 0.30, "usage": 0.25, "agreement": 0.20, "recency": 0.15, "certified": 0.10}
+    auto_merge, drop = 0.85, 0.50
     out["trust_score"] = ev + f""",
 sc AS (
   SELECT *,
@@ -267,9 +176,9 @@ SELECT "table", "column", agg, round(authority, 6) AS authority, round(usage, 6)
        round(authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
              + recency * {w['recency']} + certified * {w['certified']}, 6) AS total,
        authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
-             + recency * {w['recency']} + certified * {w['certified']} < {TR.AUTO_MERGE} AS review_required,
+             + recency * {w['recency']} + certified * {w['certified']} < {auto_merge} AS review_required,
        authority * {w['authority']} + usage * {w['usage']} + agreement * {w['agreement']}
-             + recency * {w['recency']} + certified * {w['certified']} > {TR.DROP} AS kept,
+             + recency * {w['recency']} + certified * {w['certified']} > {drop} AS kept,
        CASE WHEN len(sources) > 0 THEN array_to_string(sources, ', ') ELSE 'no sources' END || ' (' ||
        CASE WHEN certified > 0 THEN 'certified' ELSE 'not certified' END || '); ' ||
        CAST(executions AS VARCHAR) || ' executions across ' || CAST(users AS VARCHAR) ||
@@ -293,60 +202,9 @@ def signal_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select("shape_hash", "class")
 
 
-def oracle_stream(schema) -> dict[str, str]:
-    return {"signal_dedup_stream": _log_ctes(schema) + "\nSELECT DISTINCT shape_hash, class FROM st"}
-
-
-def log_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _statements(spark, sf_dir)
-    j = L.join_rollup(L.join_conditions(st, _catalog(spark, sf_dir)))
-    return j.select("from_table", "from_column", "to_table", "to_column", "join_type",
-                    F.col("statements").cast("bigint").alias("statements"))
-
-
-def oracle_joins(schema) -> dict[str, str]:
-    base = _log_ctes(schema)
-    pat = _sq(Q.JOIN_ON)
-    ex = ", ".join(f"regexp_extract_all(sql, {pat}, {i})" for i in (2, 4, 7, 8, 9, 10, 11))
-    refs = """
-jb AS (SELECT stmt_id, pos, j, upper(CASE WHEN coalesce(p[1], '') = '' THEN 'INNER' ELSE p[1] END) AS join_type,
-              lower(p[2]) AS introduced,
-              CASE WHEN coalesce(p[4], '') = '' THEN NULL ELSE lower(regexp_replace(p[4], '\\.$', '')) END AS lq,
-              lower(p[5]) AS lc,
-              CASE WHEN coalesce(p[6], '') = '' THEN NULL ELSE lower(regexp_replace(p[6], '\\.$', '')) END AS rq,
-              lower(p[7]) AS rc
-       FROM j1),"""
-    def resolve(side):
-        q, c = (("lq", "lc") if side == "l" else ("rq", "rc"))
-        return _resolve_sql(f"(SELECT stmt_id, pos, j, {q} AS qual, {c} AS col FROM jb)",
-                            "r.stmt_id, r.pos, r.j, r.qual, r.col").replace("byalias", f"byalias_{side}") \
-            .replace("unq", f"unq_{side}").replace("star", f"star_{side}").replace("resolved", f"res_{side}")
-    return {"log_joins": base + f""",
-j0 AS (SELECT stmt_id, pos, list_zip({ex}) AS z FROM an),
-j1 AS (SELECT stmt_id, pos, generate_subscripts(z, 1) AS j, unnest(z) AS p FROM j0),
-{refs}
-{resolve('l')},
-{resolve('r')},
-jj AS (SELECT jb.*, l.tbl AS lt, r.tbl AS rt FROM jb JOIN res_l l USING (stmt_id, pos, j) JOIN res_r r USING (stmt_id, pos, j)),
-ori AS (SELECT stmt_id, pos, join_type,
-               CASE WHEN rt <> introduced THEN rt ELSE lt END AS from_table,
-               CASE WHEN rt <> introduced THEN rc ELSE lc END AS from_column,
-               CASE WHEN rt <> introduced THEN lt ELSE rt END AS to_table,
-               CASE WHEN rt <> introduced THEN lc ELSE rc END AS to_column FROM jj)
-SELECT from_table, from_column, to_table, to_column, arg_min(join_type, (stmt_id, pos)) AS join_type,
-       CAST(count(DISTINCT (stmt_id, pos)) AS BIGINT) AS statements
-FROM ori GROUP BY from_table, from_column, to_table, to_column"""}
-
-
 def usage_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.signals import latest_usage, run_usage_window
     schema = read_table(spark, sf_dir, "events").schema
     sink = run_usage_window(spark, f"{sf_dir}/events*.parquet", schema, render_events)
     return latest_usage(spark, sink).select("window_start", "shape_hash",
                                             F.col("executions").cast("bigint").alias("executions"))
-
-
-def oracle_usage(schema) -> dict[str, str]:
-    return {"usage_window_stream": _log_ctes(schema) + """
-SELECT date_trunc('hour', ts) AS window_start, shape_hash, CAST(count(*) AS BIGINT) AS executions
-FROM st GROUP BY ALL"""}

@@ -26,8 +26,7 @@ PROJECT = "shop"
 
 def _metric_name() -> F.Column:
     col = F.when(F.col("column") == "*", F.lit("rows")).otherwise(F.col("column"))
-    return F.concat(F.lower("agg"), F.when(F.col("is_distinct"), F.lit("_distinct")).otherwise(F.lit("")),
-                    F.lit("_"), col)
+    return F.concat(F.lower("agg"), F.lit("_"), col)
 
 
 def render_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def render_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("model").alias("resource_type"), F.col("table").alias("name"), "columns")).alias("value")))
     aggs = log_aggregates(spark, sf_dir)
     expr = F.when(F.col("column") == "*", F.lit(None).cast("string")).otherwise(
-        F.concat(F.col("agg"), F.lit("("), F.when(F.col("is_distinct"), F.lit("DISTINCT ")).otherwise(F.lit("")),
+        F.concat(F.regexp_replace("agg", "_DISTINCT$", ""), F.lit("("), F.when(F.col("is_distinct"), F.lit("DISTINCT ")).otherwise(F.lit("")),
                  F.col("column"), F.lit(")")))
     mets = aggs.select(F.to_json(F.struct(
         F.concat(F.lit(f"metric.{PROJECT}."), _metric_name()).alias("unique_id"),
@@ -96,10 +95,9 @@ def oracle(log_aggregates_sql: str, schema_sf_dir: str) -> dict[str, str]:
         "manifest_models": f"SELECT * FROM (VALUES {', '.join(rows)}) v(model, \"column\", data_type)",
         "manifest_metrics": f"""
 WITH a AS ({log_aggregates_sql})
-SELECT lower(agg) || CASE WHEN is_distinct THEN '_distinct' ELSE '' END || '_' ||
-       CASE WHEN "column" = '*' THEN 'rows' ELSE "column" END AS metric,
-       CASE WHEN "column" = '*' THEN lower(agg) || CASE WHEN is_distinct THEN '_distinct' ELSE '' END || '_rows'
-            ELSE agg || '(' || CASE WHEN is_distinct THEN 'DISTINCT ' ELSE '' END || "column" || ')' END AS expr,
+SELECT lower(agg) || '_' || CASE WHEN "column" = '*' THEN 'rows' ELSE "column" END AS metric,
+       CASE WHEN "column" = '*' THEN lower(agg) || '_rows' WHEN is_distinct THEN 'COUNT(DISTINCT ' || "column" || ')'
+            ELSE agg || '(' || "column" || ')' END AS expr,
        "table" AS model
 FROM a"""}
 
@@ -112,7 +110,8 @@ def certified_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .log_queries import TRUST_NOW, _evidence
     b = _evidence(spark, sf_dir)
     norm = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    ev_expr = F.concat(F.col("agg"), F.lit("("), F.col("column"), F.lit(")"))
+    ev_expr = F.when(F.col("agg") == "COUNT_DISTINCT", F.concat(F.lit("COUNT(DISTINCT "), F.col("column"), F.lit(")"))).otherwise(
+        F.concat(F.col("agg"), F.lit("("), F.col("column"), F.lit(")")))
     m = manifest_metrics(spark, sf_dir).select(norm(F.col("expr")).alias("nexpr"), F.col("model").alias("m_table"))
     ev = b.withColumn("nexpr", norm(ev_expr))
     cert = (ev.join(m, "nexpr")
@@ -129,7 +128,7 @@ def oracle_certified(trust_sql: str, metrics_sql: str) -> str:
     head = trust_sql[:trust_sql.rindex('SELECT "table", "column", agg, round(authority')]
     return head.replace("    CAST(0.0 AS DOUBLE) AS certified\n  FROM b)", f"""    CAST(CASE WHEN EXISTS (
       SELECT 1 FROM ({metrics_sql}) mm
-      WHERE regexp_replace(lower(mm.expr), '\\s+', '', 'g') = regexp_replace(lower(b.agg || '(' || b."column" || ')'), '\\s+', '', 'g')
+      WHERE regexp_replace(lower(mm.expr), '\\s+', '', 'g') = CASE WHEN b.agg = 'COUNT_DISTINCT' THEN 'count(distinct' || b."column" || ')' ELSE lower(b.agg || '(' || b."column" || ')') END
         AND (mm.model IS NULL OR mm.model = '' OR mm.model = b."table")) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS certified
   FROM b)""") + f"""
 SELECT "table", "column", agg, round(certified, 6) AS certified,

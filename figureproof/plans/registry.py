@@ -92,6 +92,7 @@ FROM j JOIN (SELECT "table", count_if(NOT known) > 0 AS review_required FROM j G
 
 def oracle_sql():
     out = _oracle_sql()
+    out.update(LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR), out["cell_evidence"], WQ.oracle()["bi_formula"]))
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
@@ -119,10 +120,6 @@ def _oracle_sql():
         **CQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
         **CQ.oracle_rename(),
         **LQ.oracle(CQ.parquet_schema(SCHEMA_DIR)),
-        **LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR)),
-        **LQ.oracle_stream(CQ.parquet_schema(SCHEMA_DIR)),
-        **LQ.oracle_joins(CQ.parquet_schema(SCHEMA_DIR)),
-        **LQ.oracle_usage(CQ.parquet_schema(SCHEMA_DIR)),
         **RT.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **RT.oracle_cells("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
