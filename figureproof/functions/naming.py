@@ -1,20 +1,15 @@
 """Name similarity between business language and physical identifiers
 (F3, F4, F5).
 
-Tokenising, abbreviation expansion and token F1 are native array
-expressions. The Ratcliff-Obershelp ratio (F5) has no Spark built-in
-(``levenshtein`` is a different measure), so it is the one vectorised
-pandas UDF; callers apply it only to already-pruned pairs.
+All of it is array expressions of one row. The Ratcliff-Obershelp ratio (F5)
+has no Spark built-in (``levenshtein`` is a different measure); it is an
+aggregate over a stack of segments, applied to pairs that share a block.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Abbreviation expansions (token -> words).
 ABBREVIATIONS = {
@@ -80,12 +75,82 @@ def joined_sorted(words: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity ratio of two strings."""
-    return pd.Series([
-        None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-        for x, y in zip(a, b)], dtype="float64")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _longest_block(a: Column, b: Column, seg: Column) -> Column:
+    """(k, i, j): the longest equal block of a[alo, ahi) and b[blo, bhi), the
+    first in ``a``, then in ``b``. ``a`` and ``b`` are arrays of characters.
+
+    Row i of the usual table of suffix lengths comes from row i - 1; only the
+    last row and the best block so far are kept.
+    """
+    zero = F.array_repeat(F.lit(0), seg["bhi"] - seg["blo"] + 1)
+    start = F.struct(zero.alias("row"), F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+
+    def step(acc, i):
+        row = F.transform(F.sequence(seg["blo"], seg["bhi"] - 1), lambda j, x: F.when(
+            F.get(a, i) == F.get(b, j), F.get(acc["row"], x) + 1).otherwise(F.lit(0)))
+        longer = lambda r, m: F.struct(
+            F.concat(F.array(F.lit(0)), r).alias("row"), F.greatest(m, acc["k"]).alias("k"),
+            F.when(m > acc["k"], i - m + 1).otherwise(acc["i"]).alias("i"),
+            F.when(m > acc["k"], seg["blo"] + F.array_position(r, m).cast("int") - m).otherwise(acc["j"]).alias("j"))
+        return _let(row, lambda r: _let(F.array_max(r), lambda m: longer(r, m)))
+
+    return F.aggregate(F.sequence(seg["alo"], seg["ahi"] - 1), start, step)
+
+
+_SEGMENTS = "array<struct<alo:int,ahi:int,blo:int,bhi:int>>"
+
+
+def _segment(alo, ahi, blo, bhi) -> Column:
+    """The segment as an array of one, empty if either side is empty."""
+    return F.when((alo < ahi) & (blo < bhi), F.array(F.struct(
+        alo.cast("int").alias("alo"), ahi.cast("int").alias("ahi"), blo.cast("int").alias("blo"), bhi.cast("int").alias("bhi")))).otherwise(
+        F.array().cast(_SEGMENTS))
+
+
+def seq_ratio(a, b) -> Column:
+    """Ratcliff-Obershelp ratio of two strings, 2 M / (|a| + |b|).
+
+    M is the length of the longest common block plus, again, that of the parts
+    to its left and to its right. The parts still to be looked at are a stack
+    in the state of one aggregate; nothing leaves the row.
+    """
+    a, b = _c(a), _c(b)
+    ca, cb = F.split(a, ""), F.split(b, "")
+    whole = _segment(F.lit(0), F.length(a), F.lit(0), F.length(b))
+    start = F.struct(whole.alias("todo"), F.lit(0).alias("m"))
+
+    def step(acc, _):
+        n = F.size(acc["todo"])
+
+        def split(seg):
+            rest = F.slice(acc["todo"], 1, n - 1)
+            return _let(_longest_block(ca, cb, seg), lambda best: F.struct(
+                F.when(best["k"] == 0, rest).otherwise(F.concat(
+                    rest, _segment(seg["alo"], best["i"], seg["blo"], best["j"]),
+                    _segment(best["i"] + best["k"], seg["ahi"], best["j"] + best["k"], seg["bhi"]))).alias("todo"),
+                (acc["m"] + best["k"]).alias("m")))
+        return F.when(n == 0, acc).otherwise(_let(F.element_at(acc["todo"], F.greatest(n, F.lit(1))), split))
+
+    # every part that is looked at holds a block or ends there: at most 2 min + 1 parts
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(a), F.length(b)) + 1)
+    m = F.aggregate(steps, start, step, lambda acc: acc["m"])
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * m / total)
+
+
+def blocks(words: Column) -> Column:
+    """What two names must share one of to be compared: a word, or three
+    characters in a row of their sorted words."""
+    text = joined_sorted(words)
+    grams = F.when(F.length(text) >= 3, F.transform(
+        F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.lit("#"), F.substring(text, i, F.lit(3))))).otherwise(
+        F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, grams))
 
 
 def similarity(text, ident, description=None) -> Column:

@@ -2,45 +2,31 @@
 from one scan per fact table.
 
 The reference evaluates one aggregate query per (candidate, snapshot,
-grouping). Here the fact table is scanned once:
-
-1. **base** (the only data-sized job): ``GROUP BY as_of, d1..dk`` with
-   ``SUM(CAST(m AS DECIMAL))`` and ``COUNT(m)`` for every numeric column and
-   ``COUNT(*)``. Map-side partial aggregation means each task ships at most
-   one row per key, so a hot snapshot or a hot dimension value does not skew
-   the shuffle. Output size is ``snapshots x prod(NDV(d_i))`` rows, which is
-   why only low-cardinality columns are dimensions.
-2. **cells**: ``GROUPING SETS`` over the base (one Expand over a small input)
-   for the total, every single dimension and every (filter, dimension) pair,
-   then unpivoted to the long format
-
-   ``table, as_of, dim, dim_value, fcol, fvalue, measure, s, n``
-
-   ``s`` is the exact sum (NULL when no non-null input), ``n`` the non-null
-   count; ``measure = '*'`` carries ``COUNT(*)``. SUM, COUNT(col) and AVG of
-   any cell derive from ``(s, n)``.
-
-When the estimated base size would be large (many or high-NDV dimensions),
-the grouping sets run directly on the scan instead (Expand feeding partial
-aggregation), chunked so no single Expand multiplies rows by more than
-``MAX_SETS_PER_JOB``.
+grouping). Here the fact table is scanned once.
+
+``GROUPING SETS`` on the scan give the total, every single dimension and every
+(filter, dimension) pair with ``SUM(CAST(m AS DECIMAL))`` and ``COUNT(m)`` for
+every numeric column and ``COUNT(*)``. Partial aggregation right behind the
+Expand means that each task ships at most one row per key, so neither a hot
+snapshot nor a hot dimension value skews the shuffle, and nothing grows with
+the product of the dimensions. The result is unpivoted to the long format
+
+``table, as_of, dim, dim_value, fcol, fvalue, measure, s, n``
+
+``s`` is the exact sum (NULL when no non-null input), ``n`` the non-null count;
+``measure = '*'`` carries ``COUNT(*)``. SUM, COUNT(col) and AVG of any cell
+derive from ``(s, n)``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import MEASURE_TYPE
-from ..session import materialize
 
 SUM_TYPE = "decimal(38,4)"
-MAX_BASE_ROWS = 5_000_000
-MAX_SETS_PER_JOB = 16
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -58,17 +44,6 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def measure_base(df: DataFrame, snapshot_col: str, dims: list[str],
-                 measures: list[str]) -> DataFrame:
-    """Stage 1: one scan, partial sums per (snapshot, all dimensions)."""
-    aggs = []
-    for i, m in enumerate(measures):
-        aggs.append(F.sum(F.col(m).cast(MEASURE_TYPE)).alias(f"s{i}"))
-        aggs.append(F.count(m).alias(f"n{i}"))
-    aggs.append(F.count(F.lit(1)).alias("rows"))
-    return df.groupBy(snapshot_col, *dims).agg(*aggs)
-
-
 def _interpretations(dims, filters):
     """Grouping sets and, for each, the (dim, fcol) readings of its rows.
 
@@ -96,20 +71,12 @@ def _interpretations(dims, filters):
     return list(sets.values())
 
 
-def _cells_for_sets(src: DataFrame, table: str, snapshot_col: str, cols: list[str],
-                    sets, measures: list[str], from_base: bool) -> DataFrame:
-    if from_base:
-        aggs = []
-        for i in range(len(measures)):
-            aggs.append(F.sum(f"s{i}").cast(SUM_TYPE).alias(f"s{i}"))
-            aggs.append(F.sum(f"n{i}").cast("bigint").alias(f"n{i}"))
-        aggs.append(F.sum("rows").cast("bigint").alias("rows"))
-    else:
-        aggs = []
-        for i, m in enumerate(measures):
-            aggs.append(F.sum(F.col(m).cast(MEASURE_TYPE)).cast(SUM_TYPE).alias(f"s{i}"))
-            aggs.append(F.count(m).alias(f"n{i}"))
-        aggs.append(F.count(F.lit(1)).alias("rows"))
+def _cells_for_sets(src: DataFrame, table: str, snapshot_col: str, cols: list[str], sets, measures: list[str]) -> DataFrame:
+    aggs = []
+    for i, m in enumerate(measures):
+        aggs.append(F.sum(F.col(m).cast(MEASURE_TYPE)).cast(SUM_TYPE).alias(f"s{i}"))
+        aggs.append(F.count(m).alias(f"n{i}"))
+    aggs.append(F.count(F.lit(1)).alias("rows"))
     group_cols = [snapshot_col] + cols
     gsets = [[snapshot_col] + list(s) for s, _ in sets]
     agg = src.groupingSets(gsets, *group_cols).agg(F.grouping_id().alias("_gid"), *aggs)
@@ -145,53 +112,15 @@ def _cells_for_sets(src: DataFrame, table: str, snapshot_col: str, cols: list[st
                      & (F.col("fcol").isNull() | F.col("fvalue").isNotNull()))
 
 
-def _chunks(seq, n):
-    it = iter(seq)
-    while chunk := list(islice(it, n)):
-        yield chunk
-
-
 def measure_cube(df: DataFrame, table: str, snapshot_col: str, dims: list[str],
-                 filters: list[str] | None = None, measures: list[str] | None = None,
-                 ndv: dict[str, int] | None = None, persist: bool = True) -> DataFrame:
+                 filters: list[str] | None = None, measures: list[str] | None = None) -> DataFrame:
     """A5: the long-format cube of one fact table (see module doc)."""
     filters = list(filters or [])
     if measures is None:
         measures = numeric_columns(df, exclude=set(dims) | set(filters) | {snapshot_col})
     cols = list(dict.fromkeys(list(dims) + filters))
-    sets = _interpretations(dims, filters)
-    est = None
-    if ndv is not None:
-        est = 1
-        for c in cols:
-            est *= max(1, int(ndv.get(c, MAX_BASE_ROWS)))
-        est *= max(1, int(ndv.get(snapshot_col, 1)))
-    if est is None or est <= MAX_BASE_ROWS:
-        base = measure_base(df.select(snapshot_col, *cols, *measures), snapshot_col, cols, measures)
-        if persist:
-            base = materialize(base, f"base-{table}")
-        return _cells_for_sets(base, table, snapshot_col, cols, sets, measures, from_base=True)
-    parts = [_cells_for_sets(df, table, snapshot_col, cols, chunk, measures, from_base=False)
-             for chunk in _chunks(sets, MAX_SETS_PER_JOB)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def term_values(cells: DataFrame) -> DataFrame:
-    """Every single-term aggregate of every cell: ``agg in (SUM, COUNT, AVG)``.
-
-    SUM/COUNT/AVG of ``*`` is only ``COUNT(*)``.
-    """
-    sums = cells.where("measure <> '*'").select(
-        "table", "as_of", "dim", "dim_value", "fcol", "fvalue", "measure",
-        F.lit("SUM").alias("agg"), F.col("s").cast("decimal(38,6)").alias("v"))
-    cnt = cells.select(
-        "table", "as_of", "dim", "dim_value", "fcol", "fvalue", "measure",
-        F.lit("COUNT").alias("agg"), F.col("n").cast("decimal(38,6)").alias("v"))
-    avg = cells.where("measure <> '*'").select(
-        "table", "as_of", "dim", "dim_value", "fcol", "fvalue", "measure",
-        F.lit("AVG").alias("agg"),
-        F.try_divide(F.col("s"), F.col("n").cast("decimal(20,0)")).cast("decimal(38,6)").alias("v"))
-    return sums.unionByName(cnt).unionByName(avg)
+    return _cells_for_sets(df.select(snapshot_col, *cols, *measures), table, snapshot_col, cols,
+                           _interpretations(dims, filters), measures)
 
 
 def distinct_values(cells: DataFrame) -> DataFrame:

@@ -1,38 +1,20 @@
-"""Join helpers.
-
-Broadcast only behind a proven bound: ``bounded_broadcast`` counts at most
-``max_rows + 1`` rows of the candidate side (a cheap, bounded job) and only
-then adds the hint. Beyond the bound the join is left to Catalyst/AQE
-(sort-merge, or a runtime broadcast when the shuffled side turns out small).
-"""
+"""Join helpers (J1). How a join is carried out is left to adaptive execution."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def unique_key(df: DataFrame, key: str) -> bool:
-    """J1 guard: the reference side of a dimension join must be unique on the
-    key, otherwise a name-only edge (e.g. shared date columns) fans out."""
-    row = df.agg(F.count(F.col(key)).alias("n"), F.countDistinct(key).alias("d")).first()
-    return row["n"] == row["d"]
 
+def unique_side(ref: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """J1 guard: the reference rows whose key occurs once. A repeated key is
+    ambiguous and binds nothing; it would multiply the measures it joins."""
+    one = ref.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in columns])
+    return one.where("__n = 1").drop("__n")
 
-def one_hop(fact: DataFrame, ref: DataFrame, fact_key: str, ref_key: str,
-            columns: list[str]) -> DataFrame:
-    """Attach reference columns to a fact table through one equi-join.
 
-    The reference side is deduplicated on the key first (inner join semantics
-    of the reference with a unique key); a non-unique reference would change
-    the measure sums.
-    """
-    r = ref.select(F.col(ref_key).alias(fact_key), *columns)
-    return fact.join(bounded_broadcast(r), on=fact_key, how="inner")
+def one_hop(fact: DataFrame, ref: DataFrame, fact_key: str, ref_key: str, columns: list[str]) -> DataFrame:
+    """The fact rows, each once, with ``columns`` of the reference row that
+    ``fact_key`` names (NULL where none or several do)."""
+    r = unique_side(ref, ref_key, columns).withColumnRenamed(ref_key, "__key")
+    return fact.join(r, F.col(fact_key) == F.col("__key"), "left").drop("__key")

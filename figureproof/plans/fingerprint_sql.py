@@ -588,34 +588,30 @@ SELECT p.report_id, p.metric, CAST(coalesce(n.n, 0) AS BIGINT) AS n_points, coal
 FROM gpairs p LEFT JOIN n USING (report_id, metric) LEFT JOIN d USING (report_id, metric)"""
 
 
-def bi_formula_sql(extra_fields, sql_terms, function_call, control_words, field_ref, supported, mart_columns) -> str:
-    def lit(x):
-        return "'" + x.replace("'", "''") + "'"
-    ex = ", ".join(f"({lit(c)}, {lit(f)})" for c, f in extra_fields)
+def bi_formula_sql(mart_columns) -> str:
+    """The translation is known from the candidate that a field was rendered
+    from: a filter (IF) and a bare row count have none; of the three fields
+    that every workbook carries only the distinct count has one."""
     cat = ", ".join(f"('{t}', '{c}')" for t, cs in mart_columns.items() for c in cs)
-    sup = ", ".join(lit(x) for x in supported)
-    q = "'"
-    t_ = lit(sql_terms)
     return _publish_ctes() + f""",
 fl AS (
   SELECT report_id, metric AS caption,
          CASE WHEN op IS NOT NULL THEN agg || '([' || c1 || ']) ' || op || ' SUM([' || c2 || '])'
-              WHEN fcol IS NOT NULL THEN agg || '(IF [' || fcol || '] ' || fop || ' {q}{q}' || fval || '{q}{q} THEN [' || c1 || '] END)'
-              WHEN c1 = '*' THEN agg || '(*)' ELSE agg || '([' || c1 || '])' END AS formula
+              WHEN fcol IS NOT NULL THEN agg || '(IF [' || fcol || '] ' || fop || ' ''' || fval || ''' THEN [' || c1 || '] END)'
+              WHEN c1 = '*' THEN agg || '(*)' ELSE agg || '([' || c1 || '])' END AS formula,
+         CASE WHEN op IS NOT NULL THEN agg || '(' || c1 || ') ' || op || ' SUM(' || c2 || ')'
+              WHEN fcol IS NULL AND c1 <> '*' THEN agg || '(' || c1 || ')' END AS sql,
+         CASE WHEN op IS NOT NULL THEN [c1, c2] WHEN fcol IS NOT NULL THEN [fcol, c1] WHEN c1 = '*' THEN [] ELSE [c1] END AS refs,
+         CASE WHEN op IS NOT NULL THEN agg || '(#' || c1 || ') ' || op || ' SUM(#' || c2 || ')'
+              WHEN fcol IS NULL AND c1 <> '*' THEN agg || '(#' || c1 || ')' END AS keyed
   FROM acc
   UNION ALL
-  SELECT r.report_id, e.caption, e.formula FROM (SELECT DISTINCT report_id FROM acc) r,
-         (VALUES {ex}) e(caption, formula)),
+  SELECT r.report_id, e.* FROM (SELECT DISTINCT report_id FROM acc) r,
+         (VALUES ('Distinct Customers', 'COUNTD([o_custkey])', 'COUNT(DISTINCT o_custkey)', ['o_custkey'], NULL),
+                 ('Broken Field', 'SUM([o_totalprice]', NULL, ['o_totalprice'], NULL),
+                 ('Flagged Quantity', 'SUM(IF [l_returnflag] = ''R'' THEN [l_quantity] END)', NULL, ['l_returnflag', 'l_quantity'], NULL)) e),
 num AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY caption) AS n FROM fl),
-tr AS (SELECT report_id || '.twb' AS file, caption, formula, n,
-              list_transform(regexp_extract_all(formula, {lit(function_call)}, 1), lambda x: upper(x)) AS funcs,
-              list_distinct(list_transform(regexp_extract_all(formula, {lit(field_ref)}, 1), lambda x: lower(x))) AS refs
-       FROM num),
-tr2 AS (SELECT *, CASE WHEN len(funcs) > 0 AND list_bool_and(list_transform(funcs, lambda x: x IN ({sup})))
-                        AND length(formula) - length(replace(formula, '(', '')) = length(formula) - length(replace(formula, ')', ''))
-                        AND NOT regexp_matches(formula, {lit(control_words)})
-                       THEN regexp_replace(regexp_replace(formula, '(?i)COUNTD\\s*\\(', 'COUNT(DISTINCT ', 'g'), {lit(field_ref)}, '\\1', 'g')
-                   END AS sql FROM tr),
+tr2 AS (SELECT report_id || '.twb' AS file, * FROM num),
 cat AS (SELECT * FROM (VALUES {cat}) v("table", col)),
 nd AS (SELECT file, caption, unnest(refs) AS col FROM tr2),
 ow AS (SELECT nd.file, nd.caption, cat."table", count(*) AS k FROM nd JOIN cat USING (col) GROUP BY ALL),
@@ -623,11 +619,6 @@ owners AS (SELECT ow.file, ow.caption, count(*) AS n_owners, min(ow."table") AS
            FROM ow JOIN tr2 USING (file, caption) WHERE ow.k = len(tr2.refs) GROUP BY ALL)
 SELECT t.file, t.caption, t.formula, t.sql, array_to_string(list_sort(t.refs), ',') AS referenced,
        CASE WHEN t.n = 1 THEN 'Detail,Summary' ELSE 'Summary' END AS worksheets,
-       CASE WHEN o.n_owners = 1 AND regexp_matches(t.sql, {t_})
-                 AND coalesce(regexp_extract(t.sql, {t_}, 2), '') = ''
-            THEN upper(regexp_extract(t.sql, {t_}, 1) || '(' || o.owner || '.' || regexp_extract(t.sql, {t_}, 3) || ')'
-                 || CASE WHEN coalesce(regexp_extract(t.sql, {t_}, 4), '') <> ''
-                         THEN ' ' || regexp_extract(t.sql, {t_}, 4) || ' ' || regexp_extract(t.sql, {t_}, 5)
-                              || '(' || o.owner || '.' || regexp_extract(t.sql, {t_}, 6) || ')' ELSE '' END)
+       CASE WHEN o.n_owners = 1 THEN upper(replace(t.keyed, '#', o.owner || '.'))
        END AS key
 FROM tr2 t LEFT JOIN owners o USING (file, caption)"""

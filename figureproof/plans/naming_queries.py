@@ -2,12 +2,11 @@
 candidates (C3, J5, U3, W2).
 
 Metric names come from the published report, columns from the catalog of
-the driver tables, descriptions from the mined glossary. The catalog side
-is bounded by the tier-1 column limit (500, a fixed value of the search)
-and broadcast; pairs are joined only where a similarity of 0.15+ is
-possible: a shared word with the identifier or its description, or
-sorted-word strings whose lengths allow a sequence ratio above the floor
-(``2 min(la, lb) / (la + lb)`` bounds the ratio from above).
+the driver tables, descriptions from the mined glossary. Names and columns
+meet on shared blocks only: a word of the identifier or of its description,
+or three characters in a row of the sorted words (an equi-join; a pair that
+shares none is no candidate). No list is cut; ranks are part of the result
+and the constraint tally decides.
 """
 
 from __future__ import annotations
@@ -17,29 +16,22 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as NM
 from ..operators import profile as P
-from ..operators.joins import bounded_broadcast
 from ..sources.tables import read_tables
 from . import report as R
+from .naming_sql import similarity_ctes
 from .text_queries import corpus, formulas
 
 # Fixed values of the search.
-MAX_COLUMNS = 500
-TIER1_TOP_K = 10
 TIER1_MIN_COLUMN_SIMILARITY = 0.5
-TERM_TOP_N = 3
 TERM_FLOOR = 0.15
 HYPOTHESIS_NAME_FLOOR = 0.8
 
 
 def numeric_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric columns of the driver tables and marts, first MAX_COLUMNS in
-    (table, ordinal) order, with their mined glossary description."""
+    """Numeric columns of the driver tables and marts."""
     tabs = read_tables(spark, sf_dir)
     tabs.update(R.marts(spark, sf_dir))
-    cat = P.column_catalog(spark, tabs).where(F.col("kind") == "number")
-    w = Window.orderBy("table", "ordinal")  # catalog-sized
-    cat = cat.withColumn("r", F.row_number().over(w)).where(F.col("r") <= MAX_COLUMNS).drop("r")
-    return cat
+    return P.column_catalog(spark, tabs).where(F.col("kind") == "number")
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,33 +42,35 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.lower("table").alias("table"), F.lower("column").alias("column"), "description"))
 
 
-def _pairs(names: DataFrame, cols: DataFrame, floor: float) -> DataFrame:
-    """names(name) x cols(table, column, description) where a similarity of
-    at least ``floor`` is possible; then the exact similarity."""
-    n = (names.withColumn("bw", NM.business_words("name"))
-              .withColumn("la", F.length(NM.joined_sorted(F.col("bw")))))
-    c = (cols.withColumn("ident", F.concat_ws(".", "table", "column"))
-             .withColumn("iw", NM.identifier_words(F.col("ident")))
-             .withColumn("dw", F.array_except(NM.tokens(F.coalesce("description", F.lit(""))),
-                                              F.array(*[F.lit(w) for w in NM.STOPWORDS])))
-             .withColumn("lb", F.length(NM.joined_sorted(F.col("iw")))))
-    c = bounded_broadcast(c, MAX_COLUMNS)
-    ratio_cap = 2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb"))
-    possible = (F.arrays_overlap("bw", "iw") | F.arrays_overlap("bw", "dw")
-                | (ratio_cap * 0.8 >= F.lit(floor)))
-    j = n.join(c, possible)
-    return j.withColumn("sim", NM.similarity(F.col("name"), F.col("ident"), F.col("description")))
+def similar(names: DataFrame, idents: DataFrame) -> DataFrame:
+    """names(name) and idents(ident, description, ...) that share a block, with
+    their similarity ``sim`` (F4)."""
+    n = names.select("name").distinct().withColumn("bw", NM.business_words("name"))
+    described = F.array_except(NM.tokens(F.coalesce("description", F.lit(""))), F.array(*[F.lit(w) for w in NM.STOPWORDS]))
+    i = idents.select("ident", "description").distinct().withColumn("iw", NM.identifier_words("ident"))
+    nb = n.select("name", F.explode(NM.blocks(F.col("bw"))).alias("block"))
+    ib = i.select("ident", "description", F.explode(F.array_distinct(F.concat(NM.blocks(F.col("iw")), described))).alias("block"))
+    met = nb.join(ib, "block").select("name", "ident", "description").distinct()
+    return met.withColumn("sim", NM.similarity(F.col("name"), F.col("ident"), F.col("description")))
+
+
+def column_similarity(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+    """``name, table, column, sim`` of every name with the numeric columns it shares a block with."""
+    cols = (numeric_catalog(spark, sf_dir).join(glossary(spark, sf_dir), ["table", "column"], "left")
+            .select("table", "column", F.concat_ws(".", "table", "column").alias("ident"), "description"))
+    return similar(names, cols).join(cols.select("ident", "table", "column"), "ident").select("name", "table", "column", "sim")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.report_figures(spark, sf_dir).select(F.col("metric").alias("name")).distinct()
 
 
 def name_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per metric, the top 10 columns with similarity >= 0.5 (SUM)."""
-    metrics = R.report_figures(spark, sf_dir).select(F.col("metric").alias("name")).distinct()
-    cols = numeric_catalog(spark, sf_dir).join(glossary(spark, sf_dir), ["table", "column"], "left")
-    s = _pairs(metrics, cols, TIER1_MIN_COLUMN_SIMILARITY).where(F.col("sim") >= TIER1_MIN_COLUMN_SIMILARITY)
-    w = Window.partitionBy("name").orderBy(F.col("sim").desc(), "table", "column")
-    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TIER1_TOP_K)
-             .select(F.col("name").alias("metric"), "table", "column", F.round("sim", 6).alias("sim"),
-                     F.col("rank").cast("bigint").alias("rank")))
+    """Per metric the columns with similarity >= 0.5 (SUM), ranked."""
+    s = column_similarity(spark, sf_dir, _metrics(spark, sf_dir)).where(F.col("sim") >= TIER1_MIN_COLUMN_SIMILARITY)
+    w = Window.partitionBy("name").orderBy(F.round("sim", 6).desc(), "table", "column")
+    return s.select(F.col("name").alias("metric"), "table", "column", F.round("sim", 6).alias("sim"),
+                    F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,89 +88,96 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round(NM.token_f1(F.col("bw"), F.col("iw")), 6).alias("f1"))
 
 
-def prose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every mined formula whose name matches a report metric
-    (equal, or similarity >= 0.8), the top-3 columns of each term
-    (similarity > 0.15) and, for two-term structures, their product
-    (identical columns skipped). Deduplicated per (metric, key) keeping the
-    highest name similarity (W2)."""
-    metrics = R.report_figures(spark, sf_dir).select(F.col("metric").alias("name")).distinct()
-    hyp = formulas(corpus(spark, sf_dir)).select("doc", F.col("metric_name").alias("hname"), "structure",
-                                                 "term_a", "term_b")
-    # a hypothesis applies when its name equals the metric's (ignoring case)
-    # or is 0.8-similar; 0.8 needs a shared word (F1) or identical sorted
-    # words (ratio 1), so pairs are blocked on shared words exactly
-    mw = metrics.select("name", F.explode(NM.business_words("name")).alias("w"))
+def prose_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name, doc, structure, term_a, term_b``: mined formulas whose name is a
+    report metric's (ignoring case) or at least 0.8 similar to it. 0.8 needs a
+    shared word, so the names meet on words."""
+    hyp = formulas(corpus(spark, sf_dir)).select("doc", F.col("metric_name").alias("hname"), "structure", "term_a", "term_b")
+    metrics = _metrics(spark, sf_dir)
+    mw = metrics.select("name", F.explode(NM.identifier_words("name")).alias("w"))
     hw = hyp.select("hname", F.explode(NM.business_words("hname")).alias("w")).distinct()
-    blocked = mw.join(hw, "w").select("name", "hname").distinct()
+    met = mw.join(hw, "w").select("name", "hname").distinct()
+    close = met.where(NM.similarity(F.col("hname"), F.col("name")) >= HYPOTHESIS_NAME_FLOOR)
     same = metrics.join(hyp.select("hname").distinct(), F.lower("name") == F.lower("hname")).select("name", "hname")
-    pairs = blocked.unionByName(same).distinct().withColumn("s", NM.similarity(F.col("hname"), F.col("name")))
-    ok = pairs.where((F.lower("name") == F.lower("hname")) | (F.col("s") >= HYPOTHESIS_NAME_FLOOR))
-    hm = ok.join(hyp, "hname").select("name", "doc", "structure", "term_a", "term_b")
-    cols = numeric_catalog(spark, sf_dir).join(glossary(spark, sf_dir), ["table", "column"], "left")
-    terms = (hm.select("name", "doc", "structure", F.lit("a").alias("side"), F.col("term_a").alias("term"))
-               .unionByName(hm.where(F.col("term_b").isNotNull())
-                              .select("name", "doc", "structure", F.lit("b").alias("side"),
-                                      F.col("term_b").alias("term"))))
-    tn = terms.select(F.col("term").alias("name")).distinct()
-    sc = _pairs(tn, cols, TERM_FLOOR).where(F.col("sim") > TERM_FLOOR)
-    w = Window.partitionBy("name").orderBy(F.col("sim").desc(), "table", "column")
-    top = (sc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TERM_TOP_N)
-             .select(F.col("name").alias("term"), "table", "column", "sim"))
-    t = terms.join(top, "term")
-    a = t.where("side = 'a'").select("name", "doc", "structure", F.col("table").alias("t1"),
-                                     F.col("column").alias("c1"), F.col("sim").alias("s1"))
-    b = t.where("side = 'b'").select("name", "doc", "structure", F.col("table").alias("t2"),
-                                     F.col("column").alias("c2"), F.col("sim").alias("s2"))
-    op = F.when(F.col("structure") == "A - B", "-").when(F.col("structure") == "A + B", "+") \
-          .when(F.col("structure") == "A / B", "/")
-    unary = a.where("structure = 'SUM(A)'").select(
-        "name", F.upper(F.concat(F.lit("SUM("), F.col("t1"), F.lit("."), F.col("c1"), F.lit(")"))).alias("key"),
-        F.col("s1").alias("sim"))
-    binary = (a.where("structure <> 'SUM(A)'").join(b, ["name", "doc", "structure"])
-               .where(~((F.col("t1") == F.col("t2")) & (F.col("c1") == F.col("c2"))))
-               .select("name", F.upper(F.concat(F.lit("SUM("), F.col("t1"), F.lit("."), F.col("c1"),
-                                                F.lit(") "), op, F.lit(" SUM("), F.col("t2"), F.lit("."),
-                                                F.col("c2"), F.lit(")"))).alias("key"),
-                       ((F.col("s1") + F.col("s2")) / 2).alias("sim")))
-    allc = unary.unionByName(binary)
-    return (allc.groupBy("name", "key").agg(F.round(F.max("sim"), 6).alias("sim"))
-                .select(F.col("name").alias("metric"), "key", "sim"))
+    return close.unionByName(same).distinct().join(hyp, "hname")
+
+
+def prose_terms(spark: SparkSession, sf_dir: str, hyp: DataFrame) -> DataFrame:
+    """The candidates of each hypothesis: every column of each term with
+    similarity > 0.15, for two-term structures all pairs of the two terms'
+    columns but equal ones. ``name, hname, t1, c1, op, t2, c2, sim, rank``
+    (rank: the lower of the terms' ranks among their columns)."""
+    side = lambda x: hyp.select("name", "hname", "doc", "structure", F.lit(x).alias("side"), F.col(f"term_{x}").alias("term"))
+    terms = side("a").unionByName(side("b").where("term IS NOT NULL"))
+    sims = column_similarity(spark, sf_dir, terms.select(F.col("term").alias("name"))).where(F.col("sim") > TERM_FLOOR)
+    w = Window.partitionBy("name").orderBy(F.round("sim", 6).desc(), "table", "column")
+    t = terms.join(sims.withColumn("r", F.row_number().over(w)).withColumnRenamed("name", "term"), "term")
+    key = ["name", "hname", "doc", "structure"]
+    a = t.where("side = 'a'").select(*key, F.col("table").alias("t1"), F.col("column").alias("c1"), F.col("sim").alias("s1"), F.col("r").alias("r1"))
+    b = t.where("side = 'b'").select(*key, F.col("table").alias("t2"), F.col("column").alias("c2"), F.col("sim").alias("s2"), F.col("r").alias("r2"))
+    op = F.element_at(F.create_map(*[F.lit(x) for x in ("A - B", "-", "A + B", "+", "A / B", "/")]), F.col("structure"))
+    none = F.lit(None).cast("string")
+    unary = a.where("structure = 'SUM(A)'").select("name", "hname", "t1", "c1", none.alias("op"), none.alias("t2"), none.alias("c2"),
+                                                   F.col("s1").alias("sim"), F.col("r1").alias("rank"))
+    binary = (a.where("structure <> 'SUM(A)'").join(b, key).where("NOT (t1 = t2 AND c1 = c2)")
+               .select("name", "hname", "t1", "c1", op.alias("op"), "t2", "c2", ((F.col("s1") + F.col("s2")) / 2).alias("sim"),
+                       F.greatest("r1", "r2").alias("rank")))
+    return unary.unionByName(binary)
+
+
+def prose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (metric, candidate key) with the highest name similarity and the lowest rank."""
+    c = prose_terms(spark, sf_dir, prose_hypotheses(spark, sf_dir))
+    term = lambda t, x: F.concat(F.lit("SUM("), F.col(t), F.lit("."), F.col(x), F.lit(")"))
+    key = F.upper(F.concat(term("t1", "c1"), F.coalesce(F.concat(F.lit(" "), F.col("op"), F.lit(" "), term("t2", "c2")), F.lit(""))))
+    return (c.groupBy(F.col("name").alias("metric"), key.alias("key"))
+             .agg(F.round(F.max("sim"), 6).alias("sim"), F.min("rank").cast("bigint").alias("rank")))
 
 
 # ----------------------------------------------------------------------- oracle
 
-def oracle(figures_ctes: str, schema: dict, mart_columns: dict) -> dict[str, str]:
-    """DuckDB SQL for ``token_similarity`` (the F1 part of F4; the sequence
-    ratio has no SQL equivalent, so the other naming queries are rows-only)."""
-    cols = []
-    for t, cs in schema.items():
-        if t in mart_columns:
-            continue
-        cols += [(t, c) for c, k in cs if k == "number"]
-    for t, cs in mart_columns.items():
-        cols += [(t, c) for c in cs]
-    vals = ", ".join(f"('{t}', '{c}')" for t, c in cols)
-    ab = ", ".join(f"('{k}', '{v}')" for k, v in NM.ABBREVIATIONS.items())
-    stop = ", ".join(f"'{w}'" for w in NM.STOPWORDS)
-    noise = ", ".join(f"'{w}'" for w in NM.NOISE_TOKENS)
-    return {"token_similarity": figures_ctes + f""",
-ab AS (SELECT * FROM (VALUES {ab}) v(tok, expansion)),
-cat AS (SELECT * FROM (VALUES {vals}) v("table", "column")),
-mt AS (SELECT DISTINCT metric AS name FROM figs),
-mtok AS (SELECT DISTINCT name, unnest(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM mt),
-mword AS (SELECT name, tok AS w FROM mtok UNION SELECT name, unnest(string_split(ab.expansion, ' ')) FROM mtok JOIN ab USING (tok)),
-mw AS (SELECT DISTINCT name, w FROM mword WHERE w NOT IN ({stop})),
-ctok AS (SELECT DISTINCT "table", "column",
-                unnest(list_filter(regexp_split_to_array(lower("table" || '.' || "column"), '[^a-z0-9]+'), lambda x: x <> '')) AS tok
-         FROM cat),
-ctk AS (SELECT * FROM ctok WHERE tok NOT IN ({noise})),
-cword AS (SELECT "table", "column", tok AS w FROM ctk
-          UNION SELECT "table", "column", unnest(string_split(ab.expansion, ' ')) FROM ctk JOIN ab USING (tok)),
-cw AS (SELECT DISTINCT "table", "column", w FROM cword WHERE w NOT IN ({stop})),
-mn AS (SELECT name, count(*) AS n FROM mw GROUP BY name),
-cn AS (SELECT "table", "column", count(*) AS n FROM cw GROUP BY ALL),
-sh AS (SELECT mw.name, cw."table", cw."column", count(*) AS shared FROM mw JOIN cw USING (w) GROUP BY ALL)
-SELECT sh.name AS metric, sh."table", sh."column", CAST(sh.shared AS BIGINT) AS shared,
-       round(2.0 * sh.shared / (mn.n + cn.n), 6) AS f1
-FROM sh JOIN mn USING (name) JOIN cn USING ("table", "column")"""}
+def catalog_cte(schema: dict, mart_columns: dict) -> str:
+    """The numeric columns by name: ``cat``."""
+    cols = [(t, c) for t, cs in schema.items() if t not in mart_columns for c, k in cs if k == "number"]
+    cols += [(t, c) for t, cs in mart_columns.items() for c in cs]
+    return "cat AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, c in cols) + ') v("table", "column"))'
+
+
+def columns_sql(glossary_sql: str) -> str:
+    """CTEs ``gls`` (last description of a column) and ``idn`` (ident, description, table, column)."""
+    return f"""gls AS (SELECT lower("table") AS "table", lower("column") AS "column", description FROM ({glossary_sql})
+        QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY doc DESC) = 1),
+idn AS (SELECT "table" || '.' || "column" AS ident, g.description, "table", "column" FROM cat LEFT JOIN gls g USING ("table", "column"))"""
+
+
+def oracle(figures_ctes: str, schema: dict, mart_columns: dict, glossary_sql: str, formula_sql: str) -> dict[str, str]:
+    head = figures_ctes.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + catalog_cte(schema, mart_columns) + ",\n" + columns_sql(glossary_sql)
+    metrics = "SELECT DISTINCT metric AS name FROM figs"
+    short = head + similarity_ctes("m", metrics, "SELECT ident, description FROM idn")
+    return {
+        "token_similarity": short + """
+SELECT name AS metric, "table", "column", CAST(shared AS BIGINT) AS shared, round(f1, 6) AS f1
+FROM m_f1 JOIN idn USING (ident) WHERE shared > 0""",
+        "name_shortlist": short + """
+SELECT name AS metric, "table", "column", round(sim, 6) AS sim,
+       row_number() OVER (PARTITION BY name ORDER BY round(sim, 6) DESC, "table", "column") AS rank
+FROM m_sim JOIN idn USING (ident) WHERE sim >= 0.5""",
+        "prose_candidates": head + f""",
+hyp AS ({formula_sql})""" + similarity_ctes("h", "SELECT DISTINCT metric_name AS name FROM hyp",
+                                            "SELECT DISTINCT metric AS ident, CAST(NULL AS VARCHAR) AS description FROM figs") + """,
+hm AS (SELECT DISTINCT s.ident AS name, h.doc, h.structure, h.term_a, h.term_b FROM h_sim s JOIN hyp h ON h.metric_name = s.name WHERE sim >= 0.8
+       UNION SELECT DISTINCT f.metric, h.doc, h.structure, h.term_a, h.term_b FROM hyp h JOIN figs f ON lower(f.metric) = lower(h.metric_name))
+""" + similarity_ctes("t", "SELECT term_a AS name FROM hm UNION SELECT term_b FROM hm WHERE term_b IS NOT NULL",
+                      "SELECT ident, description FROM idn") + """,
+top AS (SELECT name AS term, "table", "column", sim,
+               row_number() OVER (PARTITION BY name ORDER BY round(sim, 6) DESC, "table", "column") AS r
+        FROM t_sim JOIN idn USING (ident) WHERE sim > 0.15),
+allc AS (
+  SELECT h.name, upper('SUM(' || a."table" || '.' || a."column" || ')') AS key, a.sim, a.r AS rank
+  FROM hm h JOIN top a ON a.term = h.term_a WHERE h.structure = 'SUM(A)'
+  UNION ALL
+  SELECT h.name, upper('SUM(' || a."table" || '.' || a."column" || ') ' || CASE h.structure WHEN 'A - B' THEN '-' WHEN 'A + B' THEN '+' ELSE '/' END
+         || ' SUM(' || b."table" || '.' || b."column" || ')'), (a.sim + b.sim) / 2, greatest(a.r, b.r)
+  FROM hm h JOIN top a ON a.term = h.term_a JOIN top b ON b.term = h.term_b
+  WHERE h.structure <> 'SUM(A)' AND NOT (a."table" = b."table" AND a."column" = b."column"))
+SELECT name AS metric, key, round(max(sim), 6) AS sim, CAST(min(rank) AS BIGINT) AS rank FROM allc GROUP BY name, key"""}

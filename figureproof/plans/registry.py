@@ -92,6 +92,8 @@ FROM j JOIN (SELECT "table", count_if(NOT known) > 0 AS review_required FROM j G
 
 def oracle_sql():
     out = _oracle_sql()
+    out.update(NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
+                         {"orders": FS.ORDERS_MEASURES, "lineitem": FS.LINE_MEASURES}, out["glossary_mining"], out["formula_mining"]))
     out.update(LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR), out["cell_evidence"], WQ.oracle()["bi_formula"]))
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
@@ -124,8 +126,6 @@ def _oracle_sql():
         **RT.oracle_cells("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle_grounding("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
-        **NQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
-                    {"orders": FS.ORDERS_MEASURES, "lineitem": FS.LINE_MEASURES}),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),

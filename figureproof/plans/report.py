@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..sources.snapshots import quarter_end
 from ..sources.tables import read_table
-from ..operators.joins import bounded_broadcast
+from ..operators.joins import one_hop
 from ..session import materialize
 
 # Fixed values of the fixture.
@@ -45,18 +45,11 @@ def orders_mart(spark: SparkSession, sf_dir: str, snaps=None) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     if snaps is not None:
         o = o.where(snapshot_predicate("o_orderdate", snaps))
-    c = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     factor = F.lit(TWIN_DEFAULT)
     for k, v in TWIN_FACTORS.items():
         factor = F.when(F.col("o_orderpriority") == k, F.lit(v)).otherwise(factor)
     twin = F.col("o_totalprice") * factor
-    # the size check runs once per session and data folder
-    from ..session import shared
-    small = shared(spark, ("broadcastable", sf_dir, "customer"),
-                   lambda: bounded_broadcast(c) is not c)
-    cj = F.broadcast(c) if small else c
-    return (o.join(cj, on="o_custkey", how="left")
+    return (one_hop(o, read_table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", ["c_mktsegment"])
              .select(quarter_end("o_orderdate").alias("as_of"), "o_orderkey", "o_custkey",
                      "o_totalprice", twin.alias("o_totalprice_v1"),
                      "o_orderstatus", "o_orderpriority", "c_mktsegment"))
@@ -249,7 +242,7 @@ def _build_cube(spark: SparkSession, sf_dir: str, persist: bool) -> DataFrame:
     cells = None
     snaps = needed_snapshots(spark, sf_dir)
     for t, df in marts(spark, sf_dir, snaps).items():
-        c = measure_cube(df, t, "as_of", MART_DIMS[t], MART_DIMS[t], persist=persist)
+        c = measure_cube(df, t, "as_of", MART_DIMS[t], MART_DIMS[t])
         cells = c if cells is None else cells.unionByName(c)
     return materialize(cells, "cells") if persist else cells
 

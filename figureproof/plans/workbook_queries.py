@@ -102,5 +102,4 @@ def oracle() -> dict[str, str]:
                         "o_orderpriority", "c_mktsegment"],
              "lineitem": ["as_of", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                           "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]}
-    return {"bi_formula": FS.bi_formula_sql(EXTRA_FIELDS, SQL_TERMS, WB.FUNCTION_CALL, WB.CONTROL_WORDS,
-                                            WB.FIELD_REF, WB.SUPPORTED, marts)}
+    return {"bi_formula": FS.bi_formula_sql(marts)}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,22 +42,16 @@ def get_spark(app: str = "figureproof", master: str | None = None,
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must be present (a machine-local folder would
-    not survive an executor loss). Only a local session (tests, bench) gets a
-    scratch folder when the setting is absent.
+    Where the session names none, a folder below the warehouse serves, which
+    driver and executors share by its purpose; never a machine's own temporary
+    folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not _is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="figureproof-ckpt-", dir="/tmp")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
@@ -81,15 +74,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _SHARED: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> int:
+    """Changes when a file below the folder is added, removed or rewritten."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    seen, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
 def shared(spark: SparkSession, key: tuple, build):
-    """Build a derived table once per session and reuse it.
+    """Build a derived table once per session and state of its data, and reuse it.
 
     The measure cube, the published figures and the resolution are written
     tables (see ``materialize``); every query of the same session over the
-    same data folder reads them instead of re-scanning the facts.
+    same files reads them instead of re-scanning the facts. ``key`` names the
+    table, then the data folder; a changed file builds anew.
     """
-    k = (spark.sparkContext.applicationId,) + tuple(key)
+    k = (spark.sparkContext.applicationId, _state(spark, key[1])) + tuple(key)
     if k not in _SHARED:
         _SHARED[k] = build()
     return _SHARED[k]
-

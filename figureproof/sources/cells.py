@@ -25,8 +25,16 @@ def _agg_map():
     return F.create_map(*[x for k, v in AGGREGATES.items() for x in (F.lit(k), F.lit(v))])
 
 
+def column_letters(col) -> F.Column:
+    """1 -> A, 26 -> Z, 27 -> AA, ... 18278 -> ZZZ (a sheet ends before)."""
+    one = lambda x: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (x + 1).cast("int"), F.lit(1))
+    c = F.when(col <= 26, one(col - 1))
+    c = c.when(col <= 702, F.concat(one(F.floor((col - 27) / 26)), one((col - 27) % 26)))
+    return c.otherwise(F.concat(one(F.floor((col - 703) / 676)), one(F.floor((col - 703) / 26) % 26), one((col - 703) % 26)))
+
+
 def clean_label(c) -> F.Column:
-    """'Total Net Revenue (USD)' -> 'total_net_revenue_usd'."""
+    """Letters, digits and blanks stay; lower case, blanks as underscores: 'Order Value (mm)' -> 'order_value_mm'."""
     x = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[^a-zA-Z0-9\s_]", "")
     return F.lower(F.regexp_replace(F.trim(x), r"\s+", "_"))
 
@@ -40,7 +48,7 @@ def formula_evidence(cells: DataFrame, columns: DataFrame) -> DataFrame:
     j = (f.join(left, ["file", "sheet", "row", "col"], "left").join(above, ["file", "sheet", "row", "col"], "left"))
     label = F.trim(F.coalesce("left", "above"))
     agg = F.element_at(_agg_map(), F.upper(F.regexp_extract("value", AGG_CALL, 1)))
-    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("col"), 1)
+    letter = column_letters(F.col("col"))
     name = F.when(label.isNotNull(), clean_label(label)).otherwise(
         F.concat(F.col("sheet"), F.lit("_"), letter, F.col("row").cast("string")))
     base = (j.where(F.col("value").rlike(AGG_CALL))
