@@ -22,7 +22,6 @@ from ..sources.snapshots import SNAPSHOT_WINDOW_DAYS
 
 # Fixed values.
 NEAR_MISS_WINDOW = 0.6
-MAX_FILTER_CARDINALITY = 12
 FUZZY_LABEL_FLOOR = 0.85
 BAND_RANK = {"CONFIRMED": 4, "PROBABLE": 3, "WEAK": 2, "REJECTED": 1, "UNMAPPABLE": 0}
 
@@ -139,12 +138,10 @@ def tier2_hits(points: DataFrame, snaps: DataFrame, cells: DataFrame) -> DataFra
         val.alias("computed"), "reported")
 
 
-def filter_columns(cells: DataFrame, max_card: int = MAX_FILTER_CARDINALITY) -> DataFrame:
-    """Low-cardinality string columns and their values (any snapshot)."""
-    vals = (cells.where("fcol IS NOT NULL AND dim IS NULL AND measure = '*'")
-                 .select("table", "fcol", "fvalue").distinct())
-    card = vals.groupBy("table", "fcol").agg(F.count(F.lit(1)).alias("card"))
-    return vals.join(card.where(F.col("card") <= max_card), ["table", "fcol"]).drop("card")
+def filter_columns(cells: DataFrame) -> DataFrame:
+    """String columns and their values (any snapshot); which of them are worth
+    a filter is decided by the tally, not by their number."""
+    return cells.where("fcol IS NOT NULL AND dim IS NULL AND measure = '*'").select("table", "fcol", "fvalue").distinct()
 
 
 def filtered_hits(gp: DataFrame, cells: DataFrame, fcols: DataFrame) -> DataFrame:
@@ -296,27 +293,45 @@ def evaluate(cands: DataFrame, points: DataFrame, cells: DataFrame) -> DataFrame
 
 # --------------------------------------------------------------------------- labels
 
+def _grams(text, n: int) -> F.Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def label_matches(labels: DataFrame, values: DataFrame) -> DataFrame:
     """Best value per (label, column): exact (case-insensitive) first,
     then a value of 3+ chars embedded in the label, then fuzzy ratio >= 0.85.
 
+    All three are equi-joins: on the lower-cased text; of the label's runs of
+    three characters with the value's first three; of runs of two characters,
+    of which a ratio of 0.85 always leaves one in common.
+
     ``labels``: ``key..., table, snap_as_of, label``;
     ``values``: ``table, snap_as_of, column, value``. Returns ``key...,
     table, column, label, value``.
     """
-    j = labels.join(values, ["table", "snap_as_of"])
-    ll, lv = F.lower("label"), F.lower("value")
-    pri = (F.when(ll == lv, 1)
-            .when((F.length("value") >= 3) & (F.instr(ll, lv) > 0), 2))
-    j = j.withColumn("pri", pri)
-    # label x value pairs are report-sized: one Python task scores them all
-    fuzzy = j.where(F.col("pri").isNull()).coalesce(1).withColumn("ratio", seq_ratio(ll, lv)).where(
-        F.col("ratio") >= FUZZY_LABEL_FLOOR).withColumn("pri", F.lit(3))
-    exact = j.where(F.col("pri").isNotNull()).withColumn("ratio", F.lit(1.0))
-    m = exact.unionByName(fuzzy)
+    at = ["table", "snap_as_of"]
+    ll = labels.select(*at, "label").distinct().withColumn("ll", F.lower("label"))
+    vv = values.select(*at, "value").distinct().withColumn("lv", F.lower("value"))
+    exact = ll.join(vv, (ll["ll"] == vv["lv"]) & (ll["table"] == vv["table"]) & (ll["snap_as_of"] == vv["snap_as_of"])) \
+              .select(ll["table"], ll["snap_as_of"], "label", "value", F.lit(1).alias("pri"), F.lit(1.0).alias("ratio"))
+    l3 = ll.select(*at, "label", "ll", F.explode(_grams(F.col("ll"), 3)).alias("g"))
+    v3 = vv.where(F.length("value") >= 3).select(*at, "value", "lv", F.substring("lv", 1, 3).alias("g"))
+    embedded = (l3.join(v3, [*at, "g"]).where((F.instr("ll", F.col("lv")) > 0) & (F.col("ll") != F.col("lv")))
+                  .select(*at, "label", "value", F.lit(2).alias("pri"), F.lit(1.0).alias("ratio")).distinct())
+    l2 = ll.select(*at, "label", "ll", F.explode(_grams(F.col("ll"), 2)).alias("g"))
+    v2 = vv.select(*at, "value", "lv", F.explode(_grams(F.col("lv"), 2)).alias("g"))
+    bound = 2.0 * F.least(F.length("ll"), F.length("lv")) / (F.length("ll") + F.length("lv"))
+    fuzzy = (l2.join(v2, [*at, "g"]).where((bound >= FUZZY_LABEL_FLOOR) & (F.col("ll") != F.col("lv"))
+                                           & ((F.length("value") < 3) | (F.instr("ll", F.col("lv")) == 0)))
+               .select(*at, "label", "value", "ll", "lv").distinct()
+               .withColumn("ratio", seq_ratio("ll", "lv")).where(F.col("ratio") >= FUZZY_LABEL_FLOOR)
+               .select(*at, "label", "value", F.lit(3).alias("pri"), "ratio"))
+    m = labels.join(exact.unionByName(embedded).unionByName(fuzzy), [*at, "label"]).join(values, [*at, "value"])
     keys = [c for c in labels.columns if c not in ("snap_as_of",)]
     w = Window.partitionBy(*keys, "column").orderBy("pri", F.col("ratio").desc(), "value")
-    return m.withColumn("rk", F.row_number().over(w)).where("rk = 1").drop("rk", "pri", "ratio", "snap_as_of")
+    return m.withColumn("rk", F.row_number().over(w)).where("rk = 1").select(*keys, "column", "value")
 
 
 def bind_dimensions(labels: DataFrame, values: DataFrame, col_order: DataFrame) -> DataFrame:
@@ -356,24 +371,25 @@ def band_rank(col: str) -> F.Column:
     return e
 
 
-NEIGHBOURS = 3
+# distinct partner values looked at on each side of the passing interval: the
+# nearest one may be the column itself, another one may lie within rounding of
+# the interval's end and pass
+_SIDE = 3
 
 
-def two_term_nearest(gp: DataFrame, cells: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def two_term_nearest(gp: DataFrame, cells: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """W5 for two-term candidates: the closest *failing* pairs, without
     enumerating all pairs.
 
-    For ``a + b`` / ``a - b`` the error is monotone in ``|b - t|`` with
-    ``t = r - a`` / ``a - r``; for ``a / b`` it is unimodal in ``b`` around
-    ``a / r`` within a sign class of ``b`` and decreasing in ``|b|`` in the
-    other class. So the best partners of ``a`` are its ``k`` sorted
-    neighbours on each side of the target (log scale for ``/``) plus the
-    largest ``|b|`` of each sign. Neighbours are found by rank: each target
-    gets the number of partner values below it (a running count over the
-    union, partitioned by (metric, table) — catalog-sized partitions), and
-    the partners are equi-joined on rank. ``k`` neighbours per side keep the
-    result exact unless ``k`` or more partners of one ``a`` on one side pass
-    the tolerance (those are hits, reported by ``two_term_hits``).
+    For a first term ``a`` the partners ``b`` that pass lie in an interval
+    (``r - a`` or ``a - r`` plus or minus ``tol * |r|``; for ``a / b`` around
+    ``a / r`` on the log scale), and outside of it the error grows with the
+    distance, so the best failing partner is the first distinct value below or
+    above the interval that is not the column itself. Values are found by
+    rank: each end gets the number of distinct values before it (a running
+    count over the union, per metric and table) and values join on rank, with
+    their two first columns by name. For ``/`` the partners of the other sign
+    have an error that falls with ``|b|``: the largest serve.
     """
     v = (cells.where("dim IS NULL AND fcol IS NULL AND measure <> '*' AND s IS NOT NULL")
               .select("table", F.col("as_of").alias("snap_as_of"), "measure",
@@ -384,44 +400,54 @@ def two_term_nearest(gp: DataFrame, cells: DataFrame, k: int = NEIGHBOURS) -> Da
     r = F.col("reported").cast("double")
     x = F.col("v").cast("double")
 
+    def distinct(points):
+        """Distinct partner values, numbered, with their two first columns."""
+        d = points.groupBy(*keys, "pv", "rv").agg(F.slice(F.array_sort(F.collect_set("rhs_col")), 1, 2).alias("cols"))
+        return d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pv", "rv")))
+
     def neighbours(points, queries):
-        allv = (points.select(*keys, F.col("pv").alias("val"), F.lit(1).alias("is_p"))
-                .unionByName(queries.select(*keys, F.col("tv").alias("val"), F.lit(0).alias("is_p"))))
-        w = Window.partitionBy(*keys).orderBy("val", F.col("is_p").desc())
-        below = (queries.join(
-            allv.withColumn("below", F.sum("is_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .where("is_p = 0").select(*keys, F.col("val").alias("tv"), "below").distinct(),
-            keys + ["tv"]))
-        pr = points.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pv", "rhs_col")))
-        q = below.withColumn("rank", F.explode(F.sequence(F.col("below") - (k - 1), F.col("below") + k)))
-        return q.join(pr, keys + ["rank"]).drop("rank", "below")
+        d = distinct(points)
+        ends = (queries.select(*keys, F.col("lo").alias("val"), F.lit(0).alias("hi")).unionByName(
+                queries.select(*keys, F.col("hi").alias("val"), F.lit(1).alias("hi"))).distinct())
+        # a value equal to an end counts as beyond it on both sides
+        line = (d.select(*keys, F.col("pv").alias("val"), F.lit(None).cast("int").alias("hi"), F.lit(1).alias("p"), F.lit(1).alias("o"))
+                .unionByName(ends.select(*keys, "val", "hi", F.lit(0).alias("p"), F.when(F.col("hi") == 0, 2).otherwise(0).alias("o"))))
+        w = Window.partitionBy(*keys).orderBy("val", "o").rowsBetween(Window.unboundedPreceding, 0)
+        n = line.withColumn("n", F.sum("p").over(w)).where("p = 0").select(*keys, "val", "hi", "n").distinct()
+        low = n.where("hi = 0").select(*keys, F.col("val").alias("lo"), F.explode(F.sequence(F.col("n") - (_SIDE - 1), F.col("n"))).alias("rank"))
+        high = n.where("hi = 1").select(*keys, F.col("val").alias("hi"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + _SIDE)).alias("rank"))
+        near = queries.join(low, [*keys, "lo"]).unionByName(queries.join(high, [*keys, "hi"]), allowMissingColumns=False)
+        return near.join(d, [*keys, "rank"]).withColumn("rhs_col", F.explode("cols")).drop("cols", "rank", "lo", "hi")
 
     base = gv.select("report_id", "metric", "table", "reported", "measure", "v")
     pts_lin = gv.select("report_id", "metric", "table", F.lit(0).alias("cls"),
                         F.col("measure").alias("rhs_col"), F.col("v").alias("rv"),
                         F.col("v").cast("double").alias("pv"))
+    inside = F.abs(r) * tol * (1 - 1e-9)
+    cols = ["report_id", "metric", "table", "measure", "v", "rhs_col", "rv", "op", "reported"]
     outs = []
     for op, t in (("+", r - x), ("-", x - r)):
         q = base.select("report_id", "metric", "table", F.lit(0).alias("cls"), "measure", "v",
-                        "reported", t.alias("tv"))
-        outs.append(neighbours(pts_lin, q).withColumn("op", F.lit(op)))
+                        "reported", (t - inside).alias("lo"), (t + inside).alias("hi"))
+        outs.append(neighbours(pts_lin, q).withColumn("op", F.lit(op)).select(*cols))
     # division: partners by sign class on log|b|
     nzb = gv.where(F.col("v") != 0)
     pts_log = nzb.select("report_id", "metric", "table",
                          F.signum(F.col("v").cast("double")).cast("int").alias("cls"),
                          F.col("measure").alias("rhs_col"), F.col("v").alias("rv"),
                          F.log(F.abs(F.col("v").cast("double"))).alias("pv"))
+    mid = F.log(F.abs(x)) - F.log(F.abs(r))
     qd = (base.where((F.col("reported") != 0) & (F.col("v") != 0))
               .select("report_id", "metric", "table",
                       (F.signum(x) * F.signum(r)).cast("int").alias("cls"), "measure", "v", "reported",
-                      (F.log(F.abs(x)) - F.log(F.abs(r))).alias("tv")))
-    outs.append(neighbours(pts_log, qd).withColumn("op", F.lit("/")))
+                      (mid - F.log(F.lit(1 + tol)) * (1 - 1e-9)).alias("lo"), (mid - F.log(F.lit(1 - tol)) * (1 - 1e-9)).alias("hi")))
+    outs.append(neighbours(pts_log, qd).withColumn("op", F.lit("/")).select(*cols))
     # largest |b| of each sign class, for every a
-    wmax = Window.partitionBy("report_id", "metric", "table", "cls").orderBy(F.col("pv").desc(), "rhs_col")
-    top = pts_log.withColumn("rk", F.row_number().over(wmax)).where("rk = 1").drop("rk", "cls", "pv")
-    outs.append(base.join(top, ["report_id", "metric", "table"]).withColumn("op", F.lit("/")))
+    d = distinct(pts_log)
+    top = (d.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("pv").desc(), "rv"))).where(F.col("back") <= _SIDE)
+             .select("report_id", "metric", "table", "rv", F.explode("cols").alias("rhs_col")))
+    outs.append(base.join(top, ["report_id", "metric", "table"]).withColumn("op", F.lit("/")).select(*cols))
 
-    cols = ["report_id", "metric", "table", "measure", "v", "rhs_col", "rv", "op", "reported"]
     allp = outs[0].select(*cols)
     for o in outs[1:]:
         allp = allp.unionByName(o.select(*cols))

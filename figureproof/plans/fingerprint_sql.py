@@ -186,10 +186,8 @@ FROM cells"""
 
 
 FILTER_SQL = """
-fvals AS (SELECT "table", fcol, fvalue FROM (
-            SELECT DISTINCT "table", fcol, fvalue FROM cells
-            WHERE fcol IS NOT NULL AND dim IS NULL AND measure = '*')
-          QUALIFY count(*) OVER (PARTITION BY "table", fcol) <= 12),
+fvals AS (SELECT DISTINCT "table", fcol, fvalue FROM cells
+          WHERE fcol IS NOT NULL AND dim IS NULL AND measure = '*'),
 fcells AS (SELECT * FROM cells WHERE dim IS NULL AND fcol IS NOT NULL AND measure <> '*'),
 fh AS (
   SELECT g.report_id, g.metric, g."table", m.measure, v.fcol, v.fvalue, op.op, g.reported,

@@ -116,3 +116,121 @@ def test_two_term_nearest_is_the_best_failing_pair(spark):
                 if not ok and (best is None or e < best):
                     best = e
         assert abs(got[f"q{i}"] - best) < 1e-6 * max(1.0, best), (i, r, got[f"q{i}"], best)
+
+
+CELLS = ("table string, as_of date, dim string, dim_value string, fcol string, fvalue string, measure string, s double, n long")
+
+
+def test_nearest_failing_pair_beside_passing_twins(spark):
+    from figureproof.functions.numeric import relative_error
+    d = dt.date(2025, 6, 30)
+    vals = {"a": 60.0, "b": 50.0, "c": 50.0, "d": 50.0, "e": 50.0, "f": 49.0}
+    cdf = spark.createDataFrame([("t", d, None, None, None, None, m, v, 1) for m, v in vals.items()], CELLS) \
+               .withColumn("s", F.col("s").cast("decimal(38,4)"))
+    gp = spark.createDataFrame([("r", "q", "t", d)], "report_id string, metric string, table string, snap_as_of date") \
+              .withColumn("reported", F.lit(10).cast("decimal(38,6)"))
+    got = (S.two_term_nearest(gp, cdf).withColumn("err", relative_error("computed", "reported"))
+             .orderBy("err", "lhs_col").first())
+    assert (got["lhs_col"], got["op"], got["rhs_col"], float(got["computed"])) == ("a", "-", "f", 11.0)
+
+
+def test_filters_of_a_column_with_many_values(spark):
+    d = dt.date(2025, 6, 30)
+    rows = [("t", d, None, None, "f", f"v{i}", "m", float(i + 1), 1) for i in range(13)]
+    rows += [("t", d, None, None, "f", f"v{i}", "*", None, 1) for i in range(13)]
+    cdf = spark.createDataFrame(rows, CELLS).withColumn("s", F.col("s").cast("decimal(38,4)"))
+    gp = spark.createDataFrame([("r", "q", "t", d)], "report_id string, metric string, table string, snap_as_of date") \
+              .withColumn("reported", F.lit(10).cast("decimal(38,6)"))
+    got = S.filtered_hits(gp, cdf, S.filter_columns(cdf)).collect()
+    assert len(got) == 26 and {float(r["computed"]) for r in got if r["pred_op"] == "="} == {float(i + 1) for i in range(13)}
+
+
+def test_label_matches_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+    rnd = random.Random(3)
+    d = dt.date(2025, 1, 1)
+    word = lambda: "".join(rnd.choice("abcdeABC ") for _ in range(rnd.randint(1, 9))).strip() or "x"
+    labels = sorted({word() for _ in range(60)})
+    values = sorted({word() for _ in range(60)} | {w[:-1] + "z" for w in labels if len(w) > 6} | {w[1:] for w in labels if len(w) > 7})
+    ldf = spark.createDataFrame([("k", "t", d, w) for w in labels], "metric string, table string, snap_as_of date, label string")
+    vdf = spark.createDataFrame([("t", d, "c", w) for w in values], "table string, snap_as_of date, column string, value string")
+    got = {r["label"]: r["value"] for r in S.label_matches(ldf, vdf).collect()}
+    want = {}
+    for a in labels:
+        best = []
+        for b in values:
+            x, y = a.lower(), b.lower()
+            ratio = SequenceMatcher(None, x, y).ratio()
+            if x == y:
+                best.append((1, -1.0, b))
+            elif len(b) >= 3 and y in x:
+                best.append((2, -1.0, b))
+            elif ratio >= 0.85:
+                best.append((3, -ratio, b))
+        if best:
+            want[a] = min(best)[2]
+    assert got == want and any(True for _ in got)
+
+
+def test_sequence_ratio_equals_the_definition(spark):
+    from difflib import SequenceMatcher
+    from figureproof.functions.naming import seq_ratio
+    rnd = random.Random(5)
+    rows = [("".join(rnd.choice("abc de") for _ in range(rnd.randint(0, 18))), "".join(rnd.choice("abc de") for _ in range(rnd.randint(0, 18))))
+            for _ in range(150)] + [("net exposure amount", "exposure amt net"), ("", ""), ("a", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", seq_ratio("a", "b").alias("r")).collect()
+    assert all(abs(r["r"] - SequenceMatcher(None, r["a"], r["b"]).ratio()) < 1e-12 for r in got)
+
+
+def test_repeated_reference_keys_bind_nothing(spark):
+    from figureproof.operators.joins import one_hop
+    fact = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "k long, v double")
+    ref = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, name string")
+    got = sorted((r["k"], r["v"], r["name"]) for r in one_hop(fact, ref, "k", "id", ["name"]).collect())
+    assert got == [(1, 10.0, "a"), (2, 20.0, None), (3, 30.0, None)]
+
+
+def test_column_letters(spark):
+    from figureproof.sources.cells import column_letters
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in (1, 26, 27, 52, 53, 702, 703, 16384)], "c int").select(column_letters(F.col("c"))).collect()]
+    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "XFD"]
+
+
+def test_shared_tables_follow_their_files(spark, tmp_path):
+    from figureproof.session import shared
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    read = lambda: shared(spark, ("probe", str(tmp_path)), lambda: spark.read.parquet(path).count())
+    assert read() == 3 and read() == 3
+    spark.range(5).write.mode("append").parquet(path)
+    assert read() == 8
+
+
+WORKBOOK = """<workbook>
+  <datasources><datasource name="shop">
+    <column name="[C1]" datatype="real">
+      <calculation class="tableau"
+                   formula="SUM([Net (USD)])" />
+    </column>
+    <column caption="Two" name="[C2]"><calculation formula="COUNTD([shop_id])"/></column>
+    <column caption="Raw" name="[raw]" />
+    <column caption="Three &amp; more" name="[C3]"><calculation formula="COUNT(*)"/></column>
+  </datasource></datasources>
+  <worksheets>
+    <worksheet name="Overview">
+      <datasource-dependencies>
+        <column name="[region]" role="dimension" />
+        <column-instance column="[C1]" />
+      </datasource-dependencies>
+    </worksheet>
+  </worksheets>
+</workbook>"""
+
+
+def test_pretty_printed_workbook(spark):
+    from figureproof.sources import workbook as WB
+    wb = spark.createDataFrame([("a.twb", WORKBOOK)], "file string, xml string")
+    got = {r["name"]: (r["caption"], r["sql"]) for r in WB.calculated_fields(wb).withColumn("sql", WB.to_sql("formula")).collect()}
+    assert got == {"[C1]": ("C1", 'SUM("Net (USD)")'), "[C2]": ("Two", "COUNT(DISTINCT shop_id)"), "[C3]": ("Three & more", None)}
+    assert [(r["name"], r["worksheets"]) for r in WB.worksheet_usage(wb).collect()] == [("[C1]", ["Overview"])]
+    assert [(r["sheet"], r["name"], r["role"]) for r in WB.shelf_roles(wb).collect()] == [("Overview", "[region]", "dimension")]
