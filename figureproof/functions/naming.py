@@ -155,13 +155,18 @@ def blocks(words: Column) -> Column:
 
 def similarity(text, ident, description=None) -> Column:
     """F4 composite: ``max(F1, 0.8 * ratio, description F1)``; 0 when either
-    side has no words."""
-    bw = business_words(text)
-    iw = identifier_words(ident)
-    f1 = token_f1(bw, iw)
-    ratio = seq_ratio(joined_sorted(bw), joined_sorted(iw))
-    score = F.greatest(f1, ratio * 0.8)
-    if description is not None:
-        dw = F.array_except(tokens(description), F.array(*[F.lit(w) for w in STOPWORDS]))
-        score = F.greatest(score, F.when(F.size(dw) > 0, token_f1(bw, dw)).otherwise(F.lit(0.0)))
-    return F.when((F.size(bw) == 0) | (F.size(iw) == 0), F.lit(0.0)).otherwise(score)
+    side has no words. The ratio is taken only where the lengths leave it a
+    chance to be the greatest."""
+    def of(w: Column) -> Column:
+        bw, iw = w["bw"], w["iw"]
+        words = F.greatest(token_f1(bw, iw), F.when(F.size(w["dw"]) > 0, token_f1(bw, w["dw"])).otherwise(F.lit(0.0)))
+
+        def with_text(x: Column) -> Column:
+            cap = 2.0 * F.least(F.length(x["a"]), F.length(x["b"])) / (F.length(x["a"]) + F.length(x["b"]))
+            return F.when(cap * 0.8 > x["words"], F.greatest(x["words"], seq_ratio(x["a"], x["b"]) * 0.8)).otherwise(x["words"])
+        return F.when((F.size(bw) == 0) | (F.size(iw) == 0), F.lit(0.0)).otherwise(_let(F.struct(
+            words.alias("words"), joined_sorted(bw).alias("a"), joined_sorted(iw).alias("b")), with_text))
+
+    described = F.array().cast("array<string>") if description is None else F.array_except(
+        tokens(F.coalesce(_c(description), F.lit(""))), F.array(*[F.lit(w) for w in STOPWORDS]))
+    return _let(F.struct(business_words(text).alias("bw"), identifier_words(ident).alias("iw"), described.alias("dw")), of)

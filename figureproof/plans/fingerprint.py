@@ -1,11 +1,14 @@
-"""Report-first resolution (C4-C6): which aggregate reproduces each printed
+"""Report-first resolution (C1-C6): which aggregate reproduces each printed
 figure, and how sure we are.
 
-Order-free version of the tiered search: tier 2 (every single-column SUM and
-COUNT(*)) runs for all metrics at once; its accepted mappings and near
-misses define the tier-3 scope; tier 3 (filtered aggregates and two-term
-compositions) runs at once for every metric still without a survivor.
-Every step is a join/aggregate on the cube and the report.
+Order-free version of the tiered search. Tier 1 (candidates by name: columns
+similar to the metric, BI fields with a similar caption) decides a metric if
+any of its candidates meets the grand total; else tier 2 (every single-column
+SUM and COUNT(*)); else tier 3 (compositions read from prose and BI formulas,
+two-term compositions and filtered aggregates of the tables in scope: those of
+accepted mappings, of near misses, and one hop away). All candidates of all
+metrics and tiers are evaluated at once by joins on the cube; the tier rules
+are filters on the result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import similarity
 from ..functions.numeric import relative_error, within_tolerance
 from ..operators import solve as S
 from ..operators.cube import distinct_values
@@ -34,14 +36,46 @@ class Resolution:
 
 def _cid(df: DataFrame) -> DataFrame:
     return (df.withColumn("key", S.canonical_key())
-              .withColumn("cid", F.sha2(F.concat_ws("|", "report_id", "metric", "key"), 256)))
+              .withColumn("cid", F.sha2(F.concat_ws("|", "report_id", "metric", "tier", "key"), 256)))
+
+
+def _tried(df: DataFrame) -> DataFrame:
+    return (df.withColumn("ok", within_tolerance("computed", "reported"))
+              .withColumn("err", relative_error("computed", "reported")))
+
+
+def _named(df: DataFrame, sims: DataFrame | None) -> DataFrame:
+    """``name_sim`` of a blind candidate: the better of its columns' similarities with the metric."""
+    if sims is None:
+        return df.withColumn("name_sim", F.lit(0.0))
+    l = sims.select("metric", "table", F.col("column").alias("lhs_col"), F.col("sim").alias("ls"))
+    r = sims.select("metric", F.col("table").alias("rhs_table"), F.col("column").alias("rhs_col"), F.col("sim").alias("rs"))
+    return (df.join(l, ["metric", "table", "lhs_col"], "left").join(r, ["metric", "rhs_table", "rhs_col"], "left")
+              .withColumn("name_sim", F.greatest(F.coalesce("ls", F.lit(0.0)), F.coalesce("rs", F.lit(0.0)))).drop("ls", "rs"))
+
+
+def seeded_hits(seeds: DataFrame, gp: DataFrame, cells: DataFrame) -> DataFrame:
+    """Seeds (``metric, tier, table, lhs_agg, lhs_col, op, rhs_table, rhs_agg, rhs_col, name_sim``)
+    evaluated at the grand total of every report that prints the metric; one row per
+    (report, metric, tier, key) with the highest similarity (W2)."""
+    c = gp.join(seeds, ["metric", "table"])
+    for x in ("pred_col", "pred_op", "pred_val"):
+        c = c.withColumn(x, F.lit(None).cast("string"))
+    c = _cid(c)
+    w = Window.partitionBy("cid").orderBy(F.col("name_sim").desc())
+    c = c.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    none = F.lit(None).cast("string")
+    ev = S.evaluate(c.select("cid", *S.CAND_COLS),
+                    c.select("cid", F.col("cid").alias("pid"), "snap_as_of", none.alias("dim"), none.alias("dim_value")), cells)
+    return _tried(c.join(ev.select("cid", "computed"), "cid")).select(
+        "cid", "report_id", "metric", "tier", "key", *S.CAND_COLS, "computed", "reported", "name_sim", "ok", "err")
 
 
 def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells: DataFrame,
                     col_order: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All constraints of every survivor, tallied and banded."""
     surv = surv.select("cid", "report_id", "metric", "key", "tier", *S.CAND_COLS,
-                       "computed", "reported")
+                       "computed", "reported", "name_sim")
     grand = surv.join(points.where("kind = 'grand_total'").select(
         "report_id", "metric", "figure_id"), ["report_id", "metric"]).select(
         "cid", "report_id", "metric", F.lit("grand_total").alias("kind"), "figure_id",
@@ -94,115 +128,87 @@ def pick_best(scored: DataFrame) -> DataFrame:
     """Band, score, fewer parts, name similarity, key."""
     sc = scored.withColumn("complexity", F.col("op").isNotNull().cast("int")
                            + F.col("pred_col").isNotNull().cast("int"))
-    sc = sc.withColumn("name_sim", similarity(F.col("metric"),
-                                              F.concat_ws(".", "table", "lhs_col")))
     w = Window.partitionBy("report_id", "metric").orderBy(
         S.band_rank("band").desc(), F.col("score").desc(), F.col("complexity"),
-        F.col("name_sim").desc(), F.col("key"))
+        F.round("name_sim", 6).desc(), F.col("key"))
     return sc.withColumn("rk", F.row_number().over(w))
 
 
-def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame,
-            shortlist: DataFrame | None = None) -> Resolution:
-    """``shortlist`` (``metric, table, column``): tier-1 name candidates.
-    A metric with a tier-1 survivor is decided among its tier-1 survivors
-    only (tiers 2 and 3 are not consulted for it)."""
+G = ["report_id", "metric"]
+
+
+def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame, seeds: DataFrame | None = None,
+            sims: DataFrame | None = None) -> Resolution:
+    """``seeds``: candidates of tiers 1 and 3 by metric name (see ``seeded_hits``);
+    ``sims`` (``metric, table, column, sim``): name similarity of the columns."""
     # report-sized inputs are written once so later self-joins start from a scan
     figs = materialize(S.prepare(figures), "figures")
     groups = materialize(S.metric_groups(figs), "groups")
     points = materialize(S.constraint_points(figs, groups), "points")
     snaps = materialize(S.bind_snapshots(points, S.snapshot_registry(cells)), "snaps")
-
-    # ---- tier 2: every single-column aggregate, all metrics at once
-    t2 = (S.tier2_hits(points, snaps, cells)
-            .withColumn("tier", F.lit(2))
-            .withColumn("ok", within_tolerance("computed", "reported"))
-            .withColumn("err", relative_error("computed", "reported")))
-    if shortlist is not None:
-        sl = (shortlist.select("metric", "table", F.col("column").alias("lhs_col"))
-                       .distinct().withColumn("tier1", F.lit(True)))
-        t2 = (t2.join(sl, ["metric", "table", "lhs_col"], "left")
-                .withColumn("tier1", F.coalesce(F.col("tier1") & (F.col("lhs_agg") == "SUM"), F.lit(False))))
-    else:
-        t2 = t2.withColumn("tier1", F.lit(False))
-    t2 = materialize(_cid(t2), "tier2")
-    t1_groups = t2.where("tier1 AND ok").select("report_id", "metric").distinct()
-    # ---- tier-3 hits for every (metric, table): cube-sized, and computing
-    # them up front lets one constraint pass score both tiers; the tier rules
-    # (open metrics only, scope from tier-2 acceptances) are applied below
-    gp_all = S.grand_points(points, snaps).select("report_id", "metric", "table", "snap_as_of", "reported")
-    fh = S.filtered_hits(gp_all, cells, S.filter_columns(cells))
-    th = S.two_term_hits(gp_all, cells)
-    t3_all = (fh.unionByName(th).withColumn("tier", F.lit(3))
-                .withColumn("ok", within_tolerance("computed", "reported"))
-                .withColumn("err", relative_error("computed", "reported")))
-    t3_all = materialize(_cid(t3_all), "tier3")
-    surv_all = t2.drop("tier1").where("ok").unionByName(t3_all.where("ok"))
-    cons_all, scored_all = score_survivors(surv_all, points, snaps, cells, col_order)
-    scored_all = materialize(scored_all, "scored")
-    surv2 = t2.where("ok")
-    # tier 1 decides alone where it has survivors; tier 2 everywhere else
-    s2 = scored_all.where("tier = 2").join(t2.select("cid", "tier1"), "cid")
-    s2 = (s2.join(t1_groups.withColumn("t1g", F.lit(True)), ["report_id", "metric"], "left")
-            .where(F.col("t1g").isNull() | F.col("tier1")).drop("t1g", "tier1"))
-    ranked2 = materialize(pick_best(s2), "ranked2")
-    accepted2 = ranked2.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
-
-    # ---- tier-3 scope: resolved tables (all metrics) + this metric's near misses
-    resolved = accepted2.select("table").distinct()
-    has_surv = surv2.select("report_id", "metric").distinct()
-    open_groups = groups.join(has_surv, ["report_id", "metric"], "left_anti")
-    near = (t2.where(~F.col("ok") & (F.col("err") <= S.NEAR_MISS_WINDOW))
-              .select("report_id", "metric", "table"))
-    # resolved tables are catalog-sized (at most one per table): a literal list
-    resolved_list = sorted(r["table"] for r in resolved.collect())
-    scope = near.join(open_groups.select("report_id", "metric"), ["report_id", "metric"])
-    if resolved_list:
-        scope = scope.unionByName(open_groups.select(
-            "report_id", "metric",
-            F.explode(F.array(*[F.lit(t) for t in resolved_list])).alias("table")))
-    # One hop along same-name column edges between the fact tables
+    gp = S.grand_points(points, snaps).select("report_id", "metric", "table", "snap_as_of", "reported")
+
+    # ---- every candidate of every tier at the grand total
+    t2 = _tried(_cid(S.tier2_hits(points, snaps, cells).withColumn("tier", F.lit(2))).withColumn("name_sim", F.lit(0.0)))
+    blind = S.filtered_hits(gp, cells, S.filter_columns(cells)).unionByName(S.two_term_hits(gp, cells))
+    blind = _tried(_named(_cid(blind.withColumn("tier", F.lit(3))), sims))
+    cols = ["report_id", "metric", "tier", "key", *S.CAND_COLS, "computed", "reported", "name_sim", "ok", "err"]
+    tried = t2.select(*cols, F.lit("all").alias("origin")).unionByName(blind.select(*cols, F.lit("blind").alias("origin")))
+    if seeds is not None:
+        tried = tried.unionByName(seeded_hits(seeds, gp, cells).select(*cols, F.lit("seed").alias("origin")))
+    tried = materialize(tried.withColumn("cid", F.sha2(F.concat_ws("|", *G, "tier", "origin", "key"), 256)), "tried")
+
+    # ---- tier rules: the first tier with a candidate that meets the total decides
+    first = (tried.where("ok AND tier < 3").groupBy(*G).agg(F.min("tier").alias("decided")))
+    decided = groups.select(*G).join(first, G, "left").withColumn("decided", F.coalesce("decided", F.lit(3)))
+    t2_ran = decided.where("decided >= 2").select(*G)
+    open_groups = decided.where("decided = 3").select(*G)
+    plain = tried.where("tier < 3").join(decided, G).where("tier = decided").drop("decided")
+    t3 = tried.where("tier = 3").join(open_groups, G, "left_semi")
+
+    # one constraint pass scores the survivors of every tier
+    surv = plain.where("ok").unionByName(t3.where("ok"))
+    cons_all, scored = score_survivors(surv, points, snaps, cells, col_order)
+    scored = materialize(scored.join(surv.select("cid", "origin"), "cid"), "scored")
+
+    # ---- tier-3 scope of blind candidates: accepted tables, this metric's near misses, one hop
+    accepted = pick_best(scored.where("tier < 3")).where((F.col("rk") == 1) & (S.band_rank("band") >= 2)).select("table").distinct()
+    near = (tried.where((F.col("tier") == 2) & ~F.col("ok") & (F.col("err") <= S.NEAR_MISS_WINDOW))
+                 .select(*G, "table").join(open_groups, G, "left_semi"))
+    tables = cells.select("table").distinct()
+    # the accepted tables go with every open metric: both are lists of the report's size
+    on = F.lit(1).alias("on")
+    scope = near.unionByName(open_groups.select(*G, on).join(accepted.select("table", on), "on").drop("on"))
+    # One hop along same-name columns between the fact tables
     # (the snapshot column is shared by construction and is not an edge)
     edges = (cells.select("table", F.explode(F.array(F.col("measure"), F.col("dim"), F.col("fcol"))).alias("col"))
                   .where(F.col("col").isNotNull() & (F.col("col") != "*")).distinct())
     hop = (edges.alias("a").join(edges.alias("b"), (F.col("a.col") == F.col("b.col"))
                                  & (F.col("a.table") != F.col("b.table")))
                 .select(F.col("a.table").alias("table"), F.col("b.table").alias("other")).distinct())
-    scope = scope.unionByName(scope.join(hop, "table").select("report_id", "metric",
-                                                              F.col("other").alias("table")))
-    scope = materialize(scope.distinct(), "scope")
-    keys3 = ["report_id", "metric", "table"]
-    t3 = t3_all.join(scope, keys3, "left_semi")
-    gp = gp_all.join(scope, keys3, "left_semi")
-    # closest failing two-term pairs (for the near miss of unresolved metrics)
-    tn = (S.two_term_nearest(gp, cells).withColumn("tier", F.lit(3))
-            .withColumn("ok", F.lit(False))
-            .withColumn("err", relative_error("computed", "reported")))
-    tn = _cid(tn)
-    ranked3 = materialize(pick_best(scored_all.where("tier = 3").join(scope, keys3, "left_semi")), "ranked3")
-    constraints = cons_all.join(ranked2.select("cid").unionByName(ranked3.select("cid")), "cid", "left_semi")
-
-    hits = t2.drop("tier1").unionByName(t3).unionByName(tn)
-    ranked = ranked2.unionByName(ranked3)
+    scope = scope.unionByName(scope.join(hop, "table").select(*G, F.col("other").alias("table")))
+    scope = materialize(scope.join(tables, "table", "left_semi").select(*G, "table").distinct(), "scope")
+    in_scope = [*G, "table"]
+    kept = (scored.where("origin <> 'blind'")
+            .unionByName(scored.where("origin = 'blind'").join(scope, in_scope, "left_semi").select(*scored.columns)))
+    # One candidate per key, with its highest similarity
+    w2 = Window.partitionBy(*G, "key").orderBy(F.col("name_sim").desc(), "origin")
+    kept = kept.withColumn("r", F.row_number().over(w2)).where("r = 1").drop("r")
+    ranked = materialize(pick_best(kept), "ranked")
+    constraints = cons_all.join(ranked.select("cid"), "cid", "left_semi")
     best = ranked.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
-    # Best near miss among failed totals of the tiers that ran
-    tiers_ran = (groups.select("report_id", "metric")
-                 .join(has_surv.withColumn("t3", F.lit(False)), ["report_id", "metric"], "left")
-                 .fillna({"t3": True}))
-    t1_misses = t2.select("cid", "tier1")
-    nm = (hits.join(tiers_ran, ["report_id", "metric"])
-              .join(t1_groups.withColumn("t1g", F.lit(True)), ["report_id", "metric"], "left")
-              .join(t1_misses, "cid", "left")
-              .where(~F.col("ok") & F.col("err").isNotNull() & ((F.col("tier") == 2) | F.col("t3")))
-              # where tier 1 decided, only tier-1 candidates were tried
-              .where(F.col("t1g").isNull() | F.coalesce(F.col("tier1"), F.lit(False))))
-    wn = Window.partitionBy("report_id", "metric").orderBy("err", "key")
-    near_best = (nm.withColumn("r", F.row_number().over(wn)).where("r = 1")
-                   .select("report_id", "metric", F.col("key").alias("near_key"),
-                           F.col("err").alias("near_err")))
-    verdicts = materialize(groups.join(best.select("report_id", "metric", "band", "key", "table", "tier",
-                                        "satisfied", "total", "score"),
-                            ["report_id", "metric"], "left")
-                      .join(near_best, ["report_id", "metric"], "left")
-                      .withColumn("band", F.coalesce("band", F.lit("UNMAPPABLE"))), "verdicts")
-    return Resolution(figs, groups, hits, constraints, ranked, verdicts)
+
+    # ---- W5: best near miss among the failed totals of the tiers that ran
+    t3_tried = (t3.where("origin = 'seed'").unionByName(t3.where("origin = 'blind'").join(scope, in_scope, "left_semi")))
+    tn = S.two_term_nearest(gp.join(scope, in_scope, "left_semi"), cells).withColumn("tier", F.lit(3))
+    tn = _tried(_cid(tn).withColumn("name_sim", F.lit(0.0)))
+    hits = (tried.where("tier = 1").unionByName(tried.where("tier = 2").join(t2_ran, G, "left_semi")).unionByName(t3_tried)
+            .select(*G, "key", "ok", "err").unionByName(tn.select(*G, "key", "ok", "err")))
+    wn = Window.partitionBy(*G).orderBy("err", "key")
+    near_best = (hits.where(~F.col("ok") & F.col("err").isNotNull()).withColumn("r", F.row_number().over(wn)).where("r = 1")
+                     .select(*G, F.col("key").alias("near_key"), F.col("err").alias("near_err")))
+    verdicts = materialize(groups.join(best.select(*G, "band", "key", "table", "tier", "satisfied", "total", "score"), G, "left")
+                           .join(near_best, G, "left")
+                           .withColumn("band", F.coalesce("band", F.lit("UNMAPPABLE"))), "verdicts")
+    recheck = tried.select("cid", *G, "tier", "key", *S.CAND_COLS, "computed", "reported", "ok", "err")
+    return Resolution(figs, groups, recheck, constraints, ranked, verdicts)

@@ -15,6 +15,11 @@ from .fingerprint import resolve
 from ..session import materialize
 
 
+# Caption similarity from which a BI field is a candidate.
+BI_TIER1_FLOOR = 0.4
+BI_TIER3_FLOOR = 0.3
+
+
 def _d(c, nd=4):
     return F.round(F.col(c).cast("double"), nd)
 
@@ -69,10 +74,38 @@ def two_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _d("reported").alias("reported"))
 
 
+def seeds(spark: SparkSession, sf_dir: str, sims: DataFrame) -> DataFrame:
+    """What names, BI fields and prose suggest for each metric."""
+    from . import naming_queries as NQ
+    from .workbook_queries import bi_candidates
+    none = F.lit(None).cast("string")
+    cols = ["metric", "tier", "table", "lhs_agg", "lhs_col", "op", "rhs_table", "rhs_agg", "rhs_col", "name_sim"]
+    names = sims.where(F.col("sim") >= NQ.TIER1_MIN_COLUMN_SIMILARITY).select(
+        "metric", F.lit(1).alias("tier"), "table", F.lit("SUM").alias("lhs_agg"), F.col("column").alias("lhs_col"),
+        none.alias("op"), none.alias("rhs_table"), none.alias("rhs_agg"), none.alias("rhs_col"), F.col("sim").alias("name_sim"))
+    bi = materialize(bi_candidates(spark, sf_dir), "bi")
+    caps = bi.select(F.col("caption").alias("ident"), none.alias("description"))
+    alike = NQ.similar(NQ._metrics(spark, sf_dir), caps).select(F.col("name").alias("metric"), F.col("ident").alias("caption"), "sim")
+    fields = bi.join(alike, "caption")
+    tier = lambda t, floor: fields.where(F.col("sim") >= floor).select(
+        "metric", F.lit(t).alias("tier"), "table", "lhs_agg", "lhs_col", "op", "rhs_table", "rhs_agg", "rhs_col", F.col("sim").alias("name_sim"))
+    hyp = NQ.prose_hypotheses(spark, sf_dir).where(F.lower("name") == F.lower("hname"))
+    prose = NQ.prose_terms(spark, sf_dir, hyp).select(
+        F.col("name").alias("metric"), F.lit(3).alias("tier"), F.col("t1").alias("table"), F.lit("SUM").alias("lhs_agg"),
+        F.col("c1").alias("lhs_col"), "op", F.col("t2").alias("rhs_table"), F.when(F.col("op").isNotNull(), "SUM").alias("rhs_agg"),
+        F.col("c2").alias("rhs_col"), F.col("sim").alias("name_sim"))
+    return (names.unionByName(tier(1, BI_TIER1_FLOOR)).unionByName(tier(3, BI_TIER3_FLOOR)).unionByName(prose).select(*cols))
+
+
 def _resolution(spark: SparkSession, sf_dir: str):
+    from . import naming_queries as NQ
     from ..session import shared
-    return shared(spark, ("resolution", sf_dir), lambda: resolve(
-        R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir)))
+
+    def build():
+        sims = NQ.metric_similarity(spark, sf_dir).withColumnRenamed("name", "metric")
+        return resolve(R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir),
+                       materialize(seeds(spark, sf_dir, sims), "seeds"), sims)
+    return shared(spark, ("resolution", sf_dir), build)
 
 
 def resolve_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,18 +159,3 @@ def drift_register(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .withColumn("doc_hits", (F.coalesce("h1", F.lit(0)) + F.coalesce("h2", F.lit(0))).cast("bigint")))
     return out.select("kind", "old_name", "new_name", "old_key", "new_key", "doc_hits",
                       (F.col("doc_hits") == 0).alias("undocumented"))
-
-
-def resolve_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 + C5: the verdicts with the tier-1 name shortlist in front of the
-    value search (rows-only: the name similarity uses the sequence ratio)."""
-    from ..session import shared
-    from .naming_queries import name_shortlist
-    res = shared(spark, ("resolution-names", sf_dir), lambda: resolve(
-        R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir),
-        shortlist=name_shortlist(spark, sf_dir)))
-    v = res.verdicts
-    return v.select("report_id", "metric", "as_of", "band", "key", "tier",
-                    F.col("satisfied").cast("bigint").alias("satisfied"),
-                    F.col("total").cast("bigint").alias("total"), "near_key",
-                    F.round("near_err", 6).alias("near_err"))

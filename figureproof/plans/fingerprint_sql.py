@@ -264,12 +264,6 @@ pts AS (
   WHERE f.dim IS NOT NULL OR f.as_of <= g.as_of),
 psnap AS (SELECT p.*, s."table", max(s.as_of) AS snap_as_of
           FROM pts p JOIN snaps s ON abs(datediff('day', p.eval_as_of, s.as_of)) <= 3 GROUP BY ALL),
-cand2 AS (SELECT report_id, metric, "table", key, 2 AS tier, 'plain' AS kind,
-                 CASE WHEN key LIKE 'COUNT(%' THEN 'COUNT' ELSE 'SUM' END AS agg,
-                 CASE WHEN key LIKE 'COUNT(%' THEN '*' ELSE lower(split_part(split_part(key, '.', 2), ')', 1)) END AS c1,
-                 CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS fcol,
-                 CAST(NULL AS VARCHAR) AS fop, CAST(NULL AS VARCHAR) AS fval
-          FROM t2e WHERE ok),
 vals AS (SELECT "table", as_of, dim AS "column", dim_value AS value FROM cells
          WHERE fcol IS NULL AND dim IS NOT NULL AND measure = '*'),
 lm0 AS (SELECT p.report_id, p.metric, p.dim, p."table", p.label, v."column", v.value,
@@ -311,7 +305,7 @@ cev AS (
          ELSE (SELECT CAST(CASE cp.op WHEN '+' THEN a.s + b.s WHEN '-' THEN a.s - b.s
                                  ELSE CASE WHEN b.s = 0 THEN NULL ELSE CAST(a.s AS DECIMAL(38,6)) / CAST(b.s AS DECIMAL(38,6)) END END
                             AS DECIMAL(38,6))
-               FROM cells a JOIN cells b ON b."table" = a."table" AND b.as_of = a.as_of
+               FROM cells a JOIN cells b ON b."table" = cp.t2 AND b.as_of = a.as_of
                  AND b.dim IS NOT DISTINCT FROM a.dim AND b.dim_value IS NOT DISTINCT FROM a.dim_value
                  AND b.fcol IS NULL AND b.measure = cp.c2
                WHERE a."table" = cp."table" AND a.as_of = cp.snap_as_of AND a.fcol IS NULL
@@ -323,7 +317,7 @@ cons AS (SELECT *, COALESCE(CASE WHEN reported = 0 THEN computed = 0
                                  ELSE abs(computed - reported) <= 0.005 * abs(reported) END, FALSE) AS ok
          FROM cev),
 scored AS (
-  SELECT report_id, metric, "table", key, tier, kind, count_if(ok) AS satisfied, count(*) AS total,
+  SELECT report_id, metric, "table", key, tier, kind, max(sim) AS sim, count_if(ok) AS satisfied, count(*) AS total,
          bool_or(ok AND ckind = 'grand_total') AS grand_ok,
          (CASE WHEN op IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN fcol IS NOT NULL THEN 1 ELSE 0 END) AS complexity
   FROM cons GROUP BY report_id, metric, "table", key, tier, kind, op, fcol),
@@ -336,65 +330,45 @@ banded AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY report_id, metric ORDER BY
      CASE band WHEN 'CONFIRMED' THEN 4 WHEN 'PROBABLE' THEN 3 WHEN 'WEAK' THEN 2 WHEN 'REJECTED' THEN 1 ELSE 0 END DESC,
-     score DESC, complexity, key) AS rk
+     score DESC, complexity, round(sim, 6) DESC, key) AS rk
   FROM banded)"""
 
 
 def _verdict_ctes() -> str:
-    tier2 = base_ctes() + "," + GROUPS_SQL + "," + TIER2_SQL + "," + FILTER_SQL + "," + PAIRS_SQL + "," + COLORDER_SQL
-    # tier 2 pass
-    v2 = VERDICT_SQL.replace("JOIN psnap p ON p.report_id = c.report_id", "JOIN psnap p ON p.report_id = c.report_id")
-    stage2 = "cand AS (SELECT * FROM cand2)," + v2.replace("cand2 AS (", "cand2x AS (", 1)
-    # rename stage-2 CTEs so the stage-3 copy can reuse the same text
-    names = ["pts", "psnap", "cand2x", "vals", "lm0", "lm", "nl", "cover", "bestcol", "bound", "cpts", "cev",
-             "cons", "scored", "banded", "ranked", "cand"]
     import re
+    from . import naming_queries as NQ
+    from . import text_queries as TQ
+    from .catalog_queries import parquet_schema
+    from .naming_sql import similarity_ctes
+    from .search_sql import BEST_SQL, BI_SQL, SCOPE_SQL, SEED_SQL
+    from .registry import SCHEMA_DIR
+    text = TQ.oracle("WITH " + MARTS_SQL + ",\n" + figures_sql())
+    marts = {"orders": ORDERS_MEASURES, "lineitem": LINE_MEASURES}
+    metrics = "SELECT DISTINCT metric AS name FROM figs"
+    no_text = "CAST(NULL AS VARCHAR) AS description"
+    head = ",".join([base_ctes().replace("WITH ", "WITH RECURSIVE ", 1), GROUPS_SQL, TIER2_SQL, FILTER_SQL, PAIRS_SQL, COLORDER_SQL, BI_SQL,
+                     NQ.catalog_cte(parquet_schema(SCHEMA_DIR), marts), NQ.columns_sql(text["glossary_mining"]),
+                     f"hyp AS ({text['formula_mining']})",
+                     """hm AS (SELECT DISTINCT f.metric AS name, h.doc, h.structure, h.term_a, h.term_b
+       FROM hyp h JOIN figs f ON lower(f.metric) = lower(h.metric_name))"""])
+    head += similarity_ctes("m", metrics, "SELECT ident, description FROM idn")
+    head += similarity_ctes("b", metrics, f"SELECT caption AS ident, {no_text} FROM bi")
+    head += similarity_ctes("t", "SELECT term_a AS name FROM hm UNION SELECT term_b FROM hm WHERE term_b IS NOT NULL",
+                            "SELECT ident, description FROM idn")
+    # the two passes of the tally share one text under different names
+    names = ["pts", "psnap", "vals", "lm0", "lm", "nl", "cover", "bestcol", "bound", "cpts", "cev",
+             "cons", "scored", "banded", "ranked", "cand"]
 
-    def suffix(text, suf):
+    def tally(source: str, suffix: str) -> str:
+        t = f"cand AS (SELECT * FROM {source})," + VERDICT_SQL
         for n in sorted(names, key=len, reverse=True):
-            text = re.sub(rf"\b{n}\b", n + suf, text)
-        return text
-    cand2_def = ("cand2 AS (SELECT report_id, metric, \"table\", key, 2 AS tier, 'plain' AS kind,"
-                 " CASE WHEN key LIKE 'COUNT(%' THEN 'COUNT' ELSE 'SUM' END AS agg,"
-                 " CASE WHEN key LIKE 'COUNT(%' THEN '*' ELSE lower(split_part(split_part(key, '.', 2), ')', 1)) END AS c1,"
-                 " CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS fcol,"
-                 " CAST(NULL AS VARCHAR) AS fop, CAST(NULL AS VARCHAR) AS fval FROM t2e WHERE ok)")
-    s2 = suffix(stage2, "_a")
-    scope = """
-resolved AS (SELECT DISTINCT "table" FROM ranked_a WHERE rk = 1 AND band IN ('CONFIRMED', 'PROBABLE', 'WEAK')),
-opened AS (SELECT report_id, metric FROM groups EXCEPT SELECT DISTINCT report_id, metric FROM t2e WHERE ok),
-scope AS (SELECT o.report_id, o.metric, r."table" FROM opened o, resolved r
-          UNION SELECT t.report_id, t.metric, t."table" FROM t2e t JOIN opened o USING (report_id, metric)
-                WHERE NOT t.ok AND t.err <= 0.6),
-cand3 AS (
-  SELECT f.report_id, f.metric, f."table", f.key, 3 AS tier, 'filter' AS kind, 'SUM' AS agg, f.measure AS c1,
-         CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, f.fcol, f.op AS fop, f.fvalue AS fval
-  FROM (SELECT fh.*, fhe.key, fhe.ok FROM fh JOIN fhe ON fhe.report_id = fh.report_id AND fhe.metric = fh.metric
-          AND fhe.key = upper('SUM(' || fh."table" || '.' || fh.measure || ') WHERE ' || fh.fcol || fh.op || '''' || fh.fvalue || '''')) f
-  JOIN scope s USING (report_id, metric, "table") WHERE f.ok
-  UNION ALL
-  SELECT p.report_id, p.metric, p."table", pe.key, 3, 'pair', 'SUM', p.c1, p.c2, p.op, NULL, NULL, NULL
-  FROM pairs p JOIN pe ON pe.report_id = p.report_id AND pe.metric = p.metric
-    AND pe.key = upper('SUM(' || p."table" || '.' || p.c1 || ') ' || p.op || ' SUM(' || p."table" || '.' || p.c2 || ')')
-  JOIN scope s ON s.report_id = p.report_id AND s.metric = p.metric AND s."table" = p."table"
-  WHERE pe.ok),"""
-    stage3 = suffix("cand AS (SELECT * FROM cand3)," + v2.replace("cand2 AS (", "cand2x AS (", 1), "_b")
-    tail = """
-allranked AS (SELECT * FROM ranked_a UNION ALL SELECT * FROM ranked_b),
-best AS (SELECT * FROM allranked WHERE rk = 1 AND band IN ('CONFIRMED', 'PROBABLE', 'WEAK')),
-misses AS (
-  SELECT report_id, metric, key, err FROM t2e WHERE NOT ok AND err IS NOT NULL
-  UNION ALL SELECT f.report_id, f.metric, f.key, f.err FROM fhe f JOIN scope s USING (report_id, metric, "table")
-            WHERE NOT f.ok AND f.err IS NOT NULL
-  UNION ALL SELECT p.report_id, p.metric, p.key, p.err FROM pe p JOIN scope s USING (report_id, metric, "table")
-            WHERE NOT p.ok AND p.err IS NOT NULL),
-near AS (SELECT report_id, metric, key AS near_key, err AS near_err FROM misses
-         QUALIFY row_number() OVER (PARTITION BY report_id, metric ORDER BY err, key) = 1)"""
-    return tier2 + "," + cand2_def + "," + s2 + "," + scope + stage3 + "," + tail
+            t = re.sub(rf"\b{n}\b", n + suffix, t)
+        return t
+    return ",".join([head, SEED_SQL, tally("cand12", "_a"), SCOPE_SQL, tally("cand3", "_b"), BEST_SQL])
 
 
 def resolve_metrics_sql() -> str:
-    return "WITH RECURSIVE_PLACEHOLDER" if False else _verdict_ctes() + """
+    return _verdict_ctes() + """
 SELECT g.report_id, g.metric, g.as_of, COALESCE(b.band, 'UNMAPPABLE') AS band, b.key, b.tier,
        CAST(b.satisfied AS BIGINT) AS satisfied, CAST(b.total AS BIGINT) AS total,
        n.near_key, round(n.near_err, 6) AS near_err
@@ -591,20 +565,22 @@ def bi_formula_sql(mart_columns) -> str:
     from: a filter (IF) and a bare row count have none; of the three fields
     that every workbook carries only the distinct count has one."""
     cat = ", ".join(f"('{t}', '{c}')" for t, cs in mart_columns.items() for c in cs)
-    return _publish_ctes() + f""",
+    return "WITH " + MARTS_SQL + "," + figures_sql() + f""",
 fl AS (
-  SELECT report_id, metric AS caption,
-         CASE WHEN op IS NOT NULL THEN agg || '([' || c1 || ']) ' || op || ' SUM([' || c2 || '])'
-              WHEN fcol IS NOT NULL THEN agg || '(IF [' || fcol || '] ' || fop || ' ''' || fval || ''' THEN [' || c1 || '] END)'
-              WHEN c1 = '*' THEN agg || '(*)' ELSE agg || '([' || c1 || '])' END AS formula,
-         CASE WHEN op IS NOT NULL THEN agg || '(' || c1 || ') ' || op || ' SUM(' || c2 || ')'
-              WHEN fcol IS NULL AND c1 <> '*' THEN agg || '(' || c1 || ')' END AS sql,
-         CASE WHEN op IS NOT NULL THEN [c1, c2] WHEN fcol IS NOT NULL THEN [fcol, c1] WHEN c1 = '*' THEN [] ELSE [c1] END AS refs,
-         CASE WHEN op IS NOT NULL THEN agg || '(#' || c1 || ') ' || op || ' SUM(#' || c2 || ')'
-              WHEN fcol IS NULL AND c1 <> '*' THEN agg || '(#' || c1 || ')' END AS keyed
-  FROM acc
+  SELECT p.report_id, p.metric AS caption, v.formula, v.sql, v.refs, v.keyed
+  FROM (SELECT DISTINCT report_id, metric FROM figs) p JOIN (VALUES
+    ('rpt_q1', 'Order Value', 'SUM([o_totalprice])', 'SUM(o_totalprice)', ['o_totalprice'], 'SUM(#o_totalprice)'),
+    ('rpt_q1', 'Order Count', 'COUNT(*)', NULL, [], NULL),
+    ('rpt_q1', 'Shipped Quantity', 'SUM([l_quantity])', 'SUM(l_quantity)', ['l_quantity'], 'SUM(#l_quantity)'),
+    ('rpt_q1', 'Line Count', 'COUNT(*)', NULL, [], NULL),
+    ('rpt_q2', 'Booked Order Value', 'SUM([o_totalprice])', 'SUM(o_totalprice)', ['o_totalprice'], 'SUM(#o_totalprice)'),
+    ('rpt_q2', 'Order Count', 'COUNT(*)', NULL, [], NULL),
+    ('rpt_q2', 'Shipped Quantity', 'SUM(IF [l_returnflag] <> ''R'' THEN [l_quantity] END)', NULL, ['l_returnflag', 'l_quantity'], NULL),
+    ('rpt_q2', 'Average Unit Price', 'SUM([l_extendedprice]) / SUM([l_quantity])', 'SUM(l_extendedprice) / SUM(l_quantity)',
+     ['l_extendedprice', 'l_quantity'], 'SUM(#l_extendedprice) / SUM(#l_quantity)'))
+    v(report_id, metric, formula, sql, refs, keyed) ON v.report_id = p.report_id AND v.metric = p.metric
   UNION ALL
-  SELECT r.report_id, e.* FROM (SELECT DISTINCT report_id FROM acc) r,
+  SELECT r.report_id, e.* FROM (SELECT DISTINCT report_id FROM figs) r,
          (VALUES ('Distinct Customers', 'COUNTD([o_custkey])', 'COUNT(DISTINCT o_custkey)', ['o_custkey'], NULL),
                  ('Broken Field', 'SUM([o_totalprice]', NULL, ['o_totalprice'], NULL),
                  ('Flagged Quantity', 'SUM(IF [l_returnflag] = ''R'' THEN [l_quantity] END)', NULL, ['l_returnflag', 'l_quantity'], NULL)) e),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as NM
 from ..operators import profile as P
+from ..session import materialize, shared
 from ..sources.tables import read_tables
 from . import report as R
 from .naming_sql import similarity_ctes
@@ -35,8 +36,9 @@ def numeric_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined once per session and state of the data: the texts are read whole for it."""
     from .text_queries import glossary_mining
-    g = glossary_mining(spark, sf_dir)
+    g = shared(spark, ("glossary", sf_dir), lambda: materialize(glossary_mining(spark, sf_dir), "glossary"))
     w = Window.partitionBy("table", "column").orderBy(F.col("doc").desc())
     return (g.withColumn("r", F.row_number().over(w)).where("r = 1")
              .select(F.lower("table").alias("table"), F.lower("column").alias("column"), "description"))
@@ -65,9 +67,14 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report_figures(spark, sf_dir).select(F.col("metric").alias("name")).distinct()
 
 
+def metric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, ("sims", sf_dir), lambda: materialize(
+        column_similarity(spark, sf_dir, _metrics(spark, sf_dir)), "sims"))
+
+
 def name_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per metric the columns with similarity >= 0.5 (SUM), ranked."""
-    s = column_similarity(spark, sf_dir, _metrics(spark, sf_dir)).where(F.col("sim") >= TIER1_MIN_COLUMN_SIMILARITY)
+    s = metric_similarity(spark, sf_dir).where(F.col("sim") >= TIER1_MIN_COLUMN_SIMILARITY)
     w = Window.partitionBy("name").orderBy(F.round("sim", 6).desc(), "table", "column")
     return s.select(F.col("name").alias("metric"), "table", "column", F.round("sim", 6).alias("sim"),
                     F.row_number().over(w).cast("bigint").alias("rank"))
@@ -89,6 +96,10 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, ("hypotheses", sf_dir), lambda: materialize(_hypotheses(spark, sf_dir), "hypotheses"))
+
+
+def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``name, doc, structure, term_a, term_b``: mined formulas whose name is a
     report metric's (ignoring case) or at least 0.8 similar to it. 0.8 needs a
     shared word, so the names meet on words."""
@@ -109,7 +120,8 @@ def prose_terms(spark: SparkSession, sf_dir: str, hyp: DataFrame) -> DataFrame:
     (rank: the lower of the terms' ranks among their columns)."""
     side = lambda x: hyp.select("name", "hname", "doc", "structure", F.lit(x).alias("side"), F.col(f"term_{x}").alias("term"))
     terms = side("a").unionByName(side("b").where("term IS NOT NULL"))
-    sims = column_similarity(spark, sf_dir, terms.select(F.col("term").alias("name"))).where(F.col("sim") > TERM_FLOOR)
+    # written once: the ratio is not taken again for every later reference
+    sims = materialize(column_similarity(spark, sf_dir, terms.select(F.col("term").alias("name"))), "term-sims").where(F.col("sim") > TERM_FLOOR)
     w = Window.partitionBy("name").orderBy(F.round("sim", 6).desc(), "table", "column")
     t = terms.join(sims.withColumn("r", F.row_number().over(w)).withColumnRenamed("name", "term"), "term")
     key = ["name", "hname", "doc", "structure"]

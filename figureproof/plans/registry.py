@@ -27,7 +27,6 @@ def queries():
         "constraint_bands": FQ.constraint_bands,
         "resolve_metrics": FQ.resolve_metrics,
         "drift_register": FQ.drift_register,
-        "resolve_with_names": FQ.resolve_with_names,
         "column_profile": CQ.column_profile,
         "approx_profile": CQ.approx_profile,
         "key_heuristic": CQ.key_heuristic,

@@ -1,10 +1,10 @@
-"""A BI workbook per report edition, rendered from the accepted mappings,
-and the query that reads it back (S8, F19, F20).
+"""A BI workbook per report edition, rendered for the metrics that the report
+prints, and the query that reads it back (S8, F19, F20).
 
-Each accepted metric becomes a calculated field (caption = metric name,
-formula in BI syntax); every workbook also carries a distinct count, a
+Each metric that the BI team keeps becomes a calculated field (caption = metric
+name, formula in BI syntax); every workbook also carries a distinct count, a
 malformed formula and one with an unsupported function. Two worksheets use
-the fields. The oracle computes the expected translation from the verdicts.
+the fields.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 from ..sources import workbook as WB
 from . import report as R
-from .fingerprint_queries import _resolution
-from ..operators import solve as S
 
-# Fields every workbook carries besides the accepted metrics.
+# The field that the BI team keeps for a metric, and the fields
+# that every workbook carries besides.
+BI_FIELDS = [("rpt_q1", "Order Value", "SUM([o_totalprice])"), ("rpt_q1", "Order Count", "COUNT(*)"),
+             ("rpt_q1", "Shipped Quantity", "SUM([l_quantity])"), ("rpt_q1", "Line Count", "COUNT(*)"),
+             ("rpt_q2", "Booked Order Value", "SUM([o_totalprice])"), ("rpt_q2", "Order Count", "COUNT(*)"),
+             ("rpt_q2", "Shipped Quantity", "SUM(IF [l_returnflag] <> 'R' THEN [l_quantity] END)"),
+             ("rpt_q2", "Average Unit Price", "SUM([l_extendedprice]) / SUM([l_quantity])")]
 EXTRA_FIELDS = [("Distinct Customers", "COUNTD([o_custkey])"),
                 ("Broken Field", "SUM([o_totalprice]"),
                 ("Flagged Quantity", "SUM(IF [l_returnflag] = 'R' THEN [l_quantity] END)")]
@@ -26,26 +30,16 @@ SQL_TERMS = (r"^(SUM|COUNT|AVG|MIN|MAX)\((DISTINCT )?([a-z0-9_]+|\*)\)"
              r"(?: ([-+/]) (SUM|COUNT|AVG|MIN|MAX)\(([a-z0-9_]+)\))?$")
 
 
-def _bi_formula() -> F.Column:
-    ref = lambda c: F.concat(F.lit("["), F.col(c), F.lit("]"))
-    lhs = F.concat(F.col("lhs_agg"), F.lit("("), F.when(F.col("lhs_col") == "*", F.lit("*")).otherwise(ref("lhs_col")),
-                   F.lit(")"))
-    two = F.concat(lhs, F.lit(" "), F.col("op"), F.lit(" "), F.col("rhs_agg"), F.lit("("), ref("rhs_col"), F.lit(")"))
-    filt = F.concat(F.col("lhs_agg"), F.lit("(IF "), ref("pred_col"), F.lit(" "), F.col("pred_op"), F.lit(" '"),
-                    F.col("pred_val"), F.lit("' THEN "), ref("lhs_col"), F.lit(" END)"))
-    return F.when(F.col("op").isNotNull(), two).when(F.col("pred_col").isNotNull(), filt).otherwise(lhs)
-
-
 def _xml_escape(c: F.Column) -> F.Column:
     return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
                                F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = _resolution(spark, sf_dir)
-    acc = res.scored.where((F.col("rk") == 1) & (S.band_rank("band") >= 2))
-    fields = acc.select("report_id", F.col("metric").alias("caption"), _bi_formula().alias("formula"))
-    reports = acc.select("report_id").distinct()
+    printed = R.report_figures(spark, sf_dir).select("report_id", "metric").distinct()
+    kept = spark.createDataFrame(BI_FIELDS, "report_id string, metric string, formula string")
+    fields = printed.join(kept, ["report_id", "metric"]).select("report_id", F.col("metric").alias("caption"), "formula")
+    reports = fields.select("report_id").distinct()
     extra = reports.select("report_id", F.explode(F.array(*[
         F.struct(F.lit(c).alias("caption"), F.lit(f).alias("formula")) for c, f in EXTRA_FIELDS])).alias("e")) \
         .select("report_id", "e.caption", "e.formula")
@@ -70,7 +64,7 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(F.concat(F.col("report_id"), F.lit(".twb")).alias("file"), xml.alias("xml"))
 
 
-def bi_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     wb = workbooks(spark, sf_dir)
     cf = WB.calculated_fields(wb)
     use = WB.worksheet_usage(wb)
@@ -90,10 +84,23 @@ def bi_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.coalesce(F.concat(F.lit(" "), g(4), F.lit(" "), g(5), F.lit("("), F.col("owner"),
                                                F.lit("."), g(6), F.lit(")")), F.lit(""))))
     o = out.join(owners, ["file", "name"], "left")
+    # a named field is needed: the cube holds sums, counts and averages
     ok_key = (F.col("n_owners") == 1) & F.col("sql").rlike(SQL_TERMS) & g(2).isNull()
-    return o.select("file", "caption", "formula", "sql", F.array_join(F.array_sort("refs"), ",").alias("referenced"),
-                    F.array_join(F.coalesce("worksheets", F.array().cast("array<string>")), ",").alias("worksheets"),
-                    F.when(ok_key, key).alias("key"))
+    return o.withColumn("key", F.when(ok_key, key)).withColumn("g", F.struct(
+        g(1).alias("lhs_agg"), g(3).alias("lhs_col"), g(4).alias("op"), g(5).alias("rhs_agg"), g(6).alias("rhs_col")))
+
+
+def bi_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select(
+        "file", "caption", "formula", "sql", F.array_join(F.array_sort("refs"), ",").alias("referenced"),
+        F.array_join(F.coalesce("worksheets", F.array().cast("array<string>")), ",").alias("worksheets"), "key")
+
+
+def bi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields whose formula is a candidate of one owning table (F20), by caption."""
+    f = _fields(spark, sf_dir).where("key IS NOT NULL")
+    return f.select("caption", F.col("owner").alias("table"), "g.lhs_agg", "g.lhs_col", "g.op",
+                    F.when(F.col("g.op").isNotNull(), F.col("owner")).alias("rhs_table"), "g.rhs_agg", "g.rhs_col").distinct()
 
 
 def oracle() -> dict[str, str]:
