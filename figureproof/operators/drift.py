@@ -4,8 +4,8 @@ Inputs are the verdicts of two editions (one row per metric with its
 resolved key). Renames pair disappeared with appeared names that resolve
 to the same expression (one-to-one, in name order); redefinitions are
 kept names whose expression changed, or whose old expression no longer
-reproduces the new figure. Documentation hits are counted by an equi-join
-of name word n-grams with document word n-grams (no text x name product).
+reproduces the new figure. A finding's documentation is the documents that
+contain one of its names, each counted once.
 """
 
 from __future__ import annotations
@@ -14,42 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def normalize_words(text) -> F.Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+def naming_documents(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """``name, doc_id`` of every document whose text contains the name,
+    whatever the case. One scan: the names (report-sized) are one array, the
+    value of a scalar subquery, and each text keeps those that it contains."""
+    listed = names.select("name").where("name IS NOT NULL").agg(F.collect_set("name").alias("n")).scalar()
+    text = docs.select("doc_id", F.lower("text").alias("t"), listed.alias("n"))
+    return (text.select("doc_id", F.explode(F.filter("n", lambda n: F.contains(F.col("t"), F.lower(n)))).alias("name"))
+                .distinct())
 
 
 def documentation_hits(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """Number of documents containing each name as a whole-word phrase.
-
-    ``names(name)``; ``docs(doc_id, text)``. Each document contributes its
-    word n-grams for the n that occur among the names; the match is an
-    equi-join on the phrase.
-    """
-    nm = (names.select("name").distinct()
-               .withColumn("phrase", normalize_words("name"))
-               .withColumn("n", F.size(F.split("phrase", " "))))
-    # names are report-sized: their lengths and first words drive the scan
-    meta = nm.select("n", F.element_at(F.split("phrase", " "), 1).alias("first")).distinct().collect()
-    ns = sorted({r["n"] for r in meta})
-    firsts = F.array(*[F.lit(w) for w in sorted({r["first"] for r in meta})])
-    words = docs.select("doc_id", F.split(normalize_words("text"), " ").alias("w"))
-    grams = None
-    for n in ns:
-        # only positions whose word starts some name can start a match
-        starts = F.filter(F.sequence(F.lit(0), F.size("w") - n),
-                          lambda i: F.array_contains(firsts, F.element_at("w", i + 1)))
-        g = words.where(F.size("w") >= n) \
-                 .select("doc_id", F.explode(starts).alias("i"), "w") \
-                 .select("doc_id", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("phrase")) \
-                 .distinct()
-        grams = g if grams is None else grams.unionByName(g)
-    if grams is None:
-        return nm.select("name", F.lit(0).cast("bigint").alias("doc_hits"))
-    hits = grams.join(nm.select("phrase").distinct(), "phrase").groupBy("phrase").agg(
-        F.countDistinct("doc_id").alias("doc_hits"))
-    return (nm.join(hits, "phrase", "left")
-              .select("name", F.coalesce("doc_hits", F.lit(0)).cast("bigint").alias("doc_hits")))
+    """Number of documents containing each name."""
+    hits = naming_documents(names, docs).groupBy("name").agg(F.count(F.lit(1)).alias("doc_hits"))
+    return (names.select("name").distinct().join(hits, "name", "left")
+                 .select("name", F.coalesce("doc_hits", F.lit(0)).cast("bigint").alias("doc_hits")))
 
 
 def last_two_editions(verdicts: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 ``profile`` is one aggregate pass per table: every statistic of every
 column is a partial aggregate (count, min, max, HyperLogLog sketch), so the
 pass is map-side combined and skew-free. The exact NDV variant unpivots the
-columns and counts distinct (table, column, value) keys, which shuffles the
-distinct values once; use it only where exactness is required.
+columns and counts distinct (column, hash of the value) keys, which shuffles
+16 bytes per distinct value once; use it only where exactness is required.
 """
 
 from __future__ import annotations
@@ -79,6 +79,10 @@ def role(column: Column, kind: Column) -> Column:
              .otherwise("unknown"))
 
 
+#: Relative standard error of an approximate distinct count.
+RSD = 0.01
+
+
 def _atomic(dt):
     return not isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
 
@@ -92,7 +96,7 @@ def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
         c = F.col(f.name)
         aggs.append(F.count(c).alias(f"nn{i}"))
         if not exact:
-            aggs.append(F.approx_count_distinct(c).alias(f"nd{i}") if _atomic(f.dataType)
+            aggs.append(F.approx_count_distinct(c, RSD).alias(f"nd{i}") if _atomic(f.dataType)
                         else F.lit(None).cast("bigint").alias(f"nd{i}"))
         num = isinstance(f.dataType, _NUM)
         txt = isinstance(f.dataType, T.StringType)
@@ -117,15 +121,18 @@ def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
 
 
 def exact_ndv(df: DataFrame, table: str) -> DataFrame:
-    """Exact distinct counts of the atomic columns: unpivot to (column,
-    value) and count distinct keys; the shuffle carries each distinct value
-    once per map task, and counting is spread over (column, value) keys."""
+    """Exact distinct counts of the atomic columns: unpivot to (column, 128-bit
+    hash of the value) and count distinct keys. The shuffle carries 16 bytes for
+    each distinct value of a map task, not the values; counting is spread over
+    the keys."""
     cols = [f for f in df.schema.fields if _atomic(f.dataType)]
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("v"))
-        for f in cols])).alias("kv")).select("kv.column", "kv.v").where(F.col("v").isNotNull())
-    return (stacked.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("ndv"))
-                   .withColumn("table", F.lit(table)))
+        F.struct(F.lit(i).alias("i"), F.when(F.col(f.name).isNotNull(), F.xxhash64(F.col(f.name))).alias("h"),
+                 F.xxhash64(F.lit(7), F.col(f.name)).alias("g"))
+        for i, f in enumerate(cols)])).alias("kv")).select("kv.i", "kv.h", "kv.g").where(F.col("h").isNotNull())
+    names = F.array(*[F.lit(f.name) for f in cols])
+    return (stacked.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("ndv"))
+                   .select(F.element_at(names, F.col("i") + 1).alias("column"), "ndv", F.lit(table).alias("table")))
 
 
 def key_candidates(prof: DataFrame) -> DataFrame:
@@ -148,35 +155,3 @@ def join_edges(catalog: DataFrame, strip_prefix: bool = False) -> DataFrame:
                   F.col("b.table").alias("t2"), F.col("b.column").alias("c2"),
                   F.col("a.name").alias("name")))
     return e
-
-
-def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """A11 for many tables in one job: every column of every table is
-    stacked as ``(table, column, value)`` and one grouped aggregate yields
-    row count, non-null count, distinct count (exact, or HyperLogLog), and
-    numeric / string min and max. Partial aggregation keeps the shuffle at
-    one row per (table, column) per task, except the distinct values of an
-    exact count."""
-    parts = []
-    for t, df in tables.items():
-        structs = []
-        for i, f in enumerate(df.schema.fields):
-            c = F.col(f.name)
-            atomic = _atomic(f.dataType)
-            num = isinstance(f.dataType, _NUM)
-            txt = isinstance(f.dataType, T.StringType)
-            structs.append(F.struct(
-                F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), c.isNotNull().alias("nn"),
-                (c.cast("string") if atomic else F.lit(None).cast("string")).alias("v"),
-                (c.cast("double") if num else F.lit(None).cast("double")).alias("num"),
-                (c if txt else F.lit(None).cast("string")).alias("txt")))
-        parts.append(df.select(F.lit(t).alias("table"), F.explode(F.array(*structs)).alias("s"))
-                       .select("table", "s.*"))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    ndv = F.countDistinct("v") if exact else F.approx_count_distinct("v")
-    return (stacked.groupBy("table", "column", "ordinal").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if("nn").alias("non_null"), ndv.alias("ndv"),
-        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
-        F.min("txt").alias("min_str"), F.max("txt").alias("max_str")))

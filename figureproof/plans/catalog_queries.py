@@ -12,10 +12,6 @@ from ..operators import profile as P
 from ..sources import snapshots as SN
 from ..sources.tables import DRIVER_TABLES, read_table, read_tables
 
-PROFILE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                  "events", "labels"]
-KEY_TABLES = ["events", "documents", "pages", "embeddings", "labels", "conversations", "benchmark"]
-
 
 def _profiles(spark, sf_dir, names, exact=True):
     tabs = read_tables(spark, sf_dir, names)
@@ -29,10 +25,8 @@ def _with_roles(spark, sf_dir, prof, names):
 
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # exact distinct counts: one pass per table plus a distinct shuffle (a
-    # single stacked job with countDistinct measured 2x slower: the distinct
-    # rewrite expands every stacked row)
-    prof = _with_roles(spark, sf_dir, _profiles(spark, sf_dir, PROFILE_TABLES), PROFILE_TABLES)
+    # exact distinct counts: one pass per table plus a distinct shuffle of hashes
+    prof = _with_roles(spark, sf_dir, _profiles(spark, sf_dir, DRIVER_TABLES), DRIVER_TABLES)
     return prof.select("table", "column", F.col("ordinal").cast("bigint").alias("ordinal"),
                        F.col("n_rows").cast("bigint").alias("n_rows"),
                        F.col("non_null").cast("bigint").alias("non_null"),
@@ -42,14 +36,22 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = P.profile_tables(read_tables(spark, sf_dir), exact=False)
-    return prof.select("table", "column", "n_rows", "non_null", "ndv")
+    """A11 with sketches: one plain aggregate per table. Set against the exact
+    counts, every distinct count must be within 5 %."""
+    tabs = read_tables(spark, sf_dir)
+    approx = _profiles(spark, sf_dir, DRIVER_TABLES, exact=False)
+    exact = reduce(DataFrame.unionByName, [P.exact_ndv(df, t) for t, df in tabs.items()]).withColumnRenamed("ndv", "exact")
+    near = F.abs(F.col("ndv") - F.col("exact")) <= 0.05 * F.col("exact")
+    return (approx.join(exact, ["table", "column"], "left")
+            .select("table", "column", F.col("n_rows").cast("bigint").alias("n_rows"), F.col("non_null").cast("bigint").alias("non_null"),
+                    F.col("exact").cast("bigint").alias("exact_ndv"),
+                    F.when(F.col("exact").isNull(), F.coalesce("ndv", F.lit(0)) == 0).otherwise(near).alias("within_5_percent")))
 
 
 def key_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only ``*_id`` columns can qualify, so only they are profiled
     (the exact distinct count is the expensive part at scale)."""
-    tabs = read_tables(spark, sf_dir, KEY_TABLES)
+    tabs = read_tables(spark, sf_dir)
     parts = []
     for t, df in tabs.items():
         ids = [f.name for f in df.schema.fields if f.name.lower().endswith("_id")]
@@ -82,8 +84,8 @@ def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10 with the prefix-stripping option, and the J1 guard computed from
     the data: is the target column unique (a safe one-hop join)?"""
     tabs = read_tables(spark, sf_dir)
-    cat = P.column_catalog(spark, tabs).where(F.col("kind") != "string")
-    edges = P.join_edges(cat, strip_prefix=True).where(~F.col("name").isin("name", "text"))
+    cat = P.column_catalog(spark, tabs)
+    edges = P.join_edges(cat, strip_prefix=True)
     # uniqueness is checked only for edge targets (catalog-sized list): an
     # exact distinct count of every column would shuffle every value at scale
     targets: dict[str, list[str]] = {}
@@ -163,7 +165,7 @@ def oracle(tables_schema: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
                 parts.append(
                     f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CAST({i} AS BIGINT) AS ordinal, "
                     f"CAST(count(*) AS BIGINT) AS n_rows, CAST(count({c}) AS BIGINT) AS non_null, "
-                    f"CAST(count(DISTINCT {c}) AS BIGINT) AS ndv, "
+                    f"{'CAST(NULL AS BIGINT)' if c == 'embedding' else f'CAST(count(DISTINCT {c}) AS BIGINT)'} AS ndv, "
                     f"{f'round(CAST(min({c}) AS DOUBLE), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS min_num, "
                     f"{f'round(CAST(max({c}) AS DOUBLE), 4)' if num else 'CAST(NULL AS DOUBLE)'} AS max_num, "
                     f"{f'min({c})' if txt else 'CAST(NULL AS VARCHAR)'} AS min_str, "
@@ -172,8 +174,12 @@ def oracle(tables_schema: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
         return " UNION ALL ".join(parts)
 
     out = {}
-    out["column_profile"] = prof_sql(PROFILE_TABLES)
-    out["key_heuristic"] = (f"SELECT \"table\", \"column\", n_rows, ndv FROM ({prof_sql(KEY_TABLES)}) p "
+    out["column_profile"] = prof_sql(DRIVER_TABLES)
+    out["approx_profile"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows, CAST(count({c}) AS BIGINT) AS non_null, "
+        + ("CAST(NULL AS BIGINT)" if c == "embedding" else f"CAST(nullif(count(DISTINCT {c}), 0) AS BIGINT)")
+        + f" AS exact_ndv, TRUE AS within_5_percent FROM {t}" for t in DRIVER_TABLES for c, _ in tables_schema[t])
+    out["key_heuristic"] = (f"SELECT \"table\", \"column\", n_rows, ndv FROM ({prof_sql(DRIVER_TABLES)}) p "
                             f"WHERE ends_with(lower(\"column\"), '_id') AND ndv >= n_rows AND non_null = n_rows")
     roles = []
     for t, cols in tables_schema.items():
@@ -185,8 +191,7 @@ def oracle(tables_schema: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
     uniq = []
     for t, cs in tables_schema.items():
         for c, kind in cs:
-            if kind != "string":
-                cols.append(f"('{t}', '{c}')")
+            cols.append(f"('{t}', '{c}')")
             if c != "embedding":
                 uniq.append(f"SELECT '{t}' AS t2, '{c}' AS c2, count(*) = count(DISTINCT {c}) AS unique_target FROM {t}")
     out["join_edges"] = (
@@ -195,7 +200,7 @@ def oracle(tables_schema: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
         f"u AS ({' UNION ALL '.join(uniq)}) "
         f"SELECT a.\"table\" AS t1, a.\"column\" AS c1, b.\"table\" AS t2, b.\"column\" AS c2, a.name, u.unique_target "
         f"FROM nm a JOIN nm b ON a.name = b.name AND a.\"table\" <> b.\"table\" "
-        f"JOIN u ON u.t2 = b.\"table\" AND u.c2 = b.\"column\" WHERE a.name NOT IN ('name', 'text')")
+        f"JOIN u ON u.t2 = b.\"table\" AND u.c2 = b.\"column\"")
     qe = "CAST(last_day(date_trunc('quarter', {d}) + INTERVAL 2 MONTH) AS DATE)"
     out["snapshot_as_of"] = f"""
 WITH reg AS (

@@ -152,10 +152,14 @@ def drift_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(D.diff(verd, recheck), "drift")
     names = (found.select(F.col("old_name").alias("name")).unionByName(found.select(F.col("new_name").alias("name")))
                   .where(F.col("name").isNotNull()))
-    hits = D.documentation_hits(names, read_table(spark, sf_dir, "documents"))
-    h_old = hits.select(F.col("name").alias("old_name"), F.col("doc_hits").alias("h1"))
-    h_new = hits.select(F.col("name").alias("new_name"), F.col("doc_hits").alias("h2"))
-    out = (found.join(h_old, "old_name", "left").join(h_new, "new_name", "left")
-                .withColumn("doc_hits", (F.coalesce("h1", F.lit(0)) + F.coalesce("h2", F.lit(0))).cast("bigint")))
+    hits = D.naming_documents(names, read_table(spark, sf_dir, "documents"))
+    # a document that has both names of a rename counts once
+    per = (found.select("kind", "old_name", "new_name", F.explode(F.array_compact(F.array("old_name", "new_name"))).alias("name"))
+                .join(hits, "name").groupBy("kind", F.col("old_name").alias("o"), F.col("new_name").alias("n"))
+                .agg(F.countDistinct("doc_id").alias("doc_hits")))
+    f = found.alias("f")
+    out = (f.join(per.withColumnRenamed("kind", "k"), (F.col("f.kind") == F.col("k")) & F.col("old_name").eqNullSafe(F.col("o"))
+                  & F.col("new_name").eqNullSafe(F.col("n")), "left")
+            .withColumn("doc_hits", F.coalesce("doc_hits", F.lit(0)).cast("bigint")))
     return out.select("kind", "old_name", "new_name", "old_key", "new_key", "doc_hits",
                       (F.col("doc_hits") == 0).alias("undocumented"))

@@ -412,16 +412,11 @@ found AS (
   SELECT * FROM ren UNION ALL SELECT * FROM redef
   UNION ALL SELECT 'appeared', NULL, name, NULL, new_key FROM came WHERE name NOT IN (SELECT new_name FROM ren)
   UNION ALL SELECT 'disappeared', name, NULL, old_key, NULL FROM gone WHERE name NOT IN (SELECT old_name FROM ren)),
-names AS (SELECT old_name AS name FROM found WHERE old_name IS NOT NULL
-          UNION SELECT new_name FROM found WHERE new_name IS NOT NULL),
-dn AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
-hits AS (SELECT n.name, count(DISTINCT d.doc_id) AS h FROM names n
-         LEFT JOIN dn d ON strpos(d.t, ' ' || trim(regexp_replace(lower(n.name), '[^a-z0-9]+', ' ', 'g')) || ' ') > 0
-         GROUP BY n.name)
-SELECT f.kind, f.old_name, f.new_name, f.old_key, f.new_key,
-       CAST(coalesce(h1.h, 0) + coalesce(h2.h, 0) AS BIGINT) AS doc_hits,
-       coalesce(h1.h, 0) + coalesce(h2.h, 0) = 0 AS undocumented
-FROM found f LEFT JOIN hits h1 ON h1.name = f.old_name LEFT JOIN hits h2 ON h2.name = f.new_name"""
+hits AS (SELECT f.kind, f.old_name, f.new_name, count(DISTINCT d.doc_id) AS h FROM found f
+         JOIN documents d ON strpos(lower(d.text), lower(f.old_name)) > 0 OR strpos(lower(d.text), lower(f.new_name)) > 0 GROUP BY ALL)
+SELECT f.kind, f.old_name, f.new_name, f.old_key, f.new_key, CAST(coalesce(h.h, 0) AS BIGINT) AS doc_hits,
+       coalesce(h.h, 0) = 0 AS undocumented
+FROM found f LEFT JOIN hits h ON h.kind = f.kind AND h.old_name IS NOT DISTINCT FROM f.old_name AND h.new_name IS NOT DISTINCT FROM f.new_name"""
 
 
 def _publish_ctes() -> str:

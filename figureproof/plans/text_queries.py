@@ -9,8 +9,6 @@ text per report and metric, a glossary appendix per report).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,21 +65,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(commentary(spark, sf_dir))
 
 
+def _match(pattern: int, structure: str, two: bool):
+    return lambda z, k: F.struct(
+        F.lit(pattern).alias("pattern"), k.alias("k"), F.lit(structure).alias("structure"), z["g1"].alias("name"),
+        z["g2"].alias("a"), (z["g3"] if two else F.lit(None).cast("string")).alias("b"))
+
+
 def formulas(c: DataFrame) -> DataFrame:
     """every formula sentence, deduplicated per (doc, name, structure)
     keeping the first (binary patterns before unary, then text order)."""
+    # all patterns' matches of a text in one array: the corpus is read once
     flat = c.select("doc", PR.flatten("text").alias("flat"))
-    parts = []
+    found = []
     for i, (pat, structure) in enumerate(PR.FORMULA_PATTERNS):
-        groups = [F.regexp_extract_all("flat", F.lit(pat), g) for g in ((1, 2, 3) if " B" in structure else (1, 2))]
-        z = flat.select("doc", F.posexplode(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)])).alias("k", "z"))
-        parts.append(z.select("doc", F.lit(i).alias("pattern"), "k",
-                              PR.clean_name("z.g0").alias("metric_name"), F.lit(structure).alias("structure"),
-                              PR.clean_term("z.g1").alias("term_a"),
-                              (PR.clean_term("z.g2") if " B" in structure else F.lit(None).cast("string")).alias("term_b")))
-    allf = reduce(DataFrame.unionByName, parts)
+        two = " B" in structure
+        groups = [F.regexp_extract_all("flat", F.lit(pat), g).alias(f"g{g}") for g in ((1, 2, 3) if two else (1, 2))]
+        found.append(F.transform(F.arrays_zip(*groups), _match(i, structure, two)))
+    z = flat.select("doc", F.explode(F.concat(*found)).alias("z")).select("doc", "z.*")
+    allf = z.select("doc", "pattern", "k", PR.clean_name("name").alias("metric_name"), "structure", PR.clean_term("a").alias("term_a"),
+                    F.when(F.col("b").isNotNull(), PR.clean_term("b")).alias("term_b"))
     w = Window.partitionBy("doc", "metric_name", "structure").orderBy("pattern", "k")
-    return allf.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "pattern", "k")
+    return (allf.withColumn("r", F.row_number().over(w)).where("r = 1")
+                .select("doc", "metric_name", "structure", "term_a", "term_b"))
 
 
 def statements(c: DataFrame) -> DataFrame:
@@ -132,14 +137,13 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     or one name a word-suffix of the other: the shorter wins); a group with
     more than one structure is a contradiction."""
     st = statements(corpus(spark, sf_dir)).where(F.col("structure").isNotNull())
-    names = st.select(F.lower("metric_name").alias("lname")).distinct() \
-              .withColumn("last", F.element_at(F.split("lname", " "), -1))
-    a, b = names.alias("a"), names.alias("b")
-    suf = (a.join(b, (F.col("a.last") == F.col("b.last"))
-                  & ((F.col("a.lname") == F.col("b.lname"))
-                     | F.col("a.lname").endswith(F.concat(F.lit(" "), F.col("b.lname")))))
-            .groupBy(F.col("a.lname").alias("lname"))
-            .agg(F.min_by(F.col("b.lname"), F.struct(F.length("b.lname"), F.col("b.lname"))).alias("gkey")))
+    names = st.select(F.lower("metric_name").alias("lname")).distinct()
+    # every word suffix of a name that is a name itself: an equi-join, linear in the names
+    words = F.split("lname", " ")
+    suffixes = names.select("lname", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(
+        F.slice(words, i, F.size(words) - i + 1), " "))).alias("suffix"))
+    suf = (suffixes.join(names.select(F.col("lname").alias("suffix")), "suffix").groupBy("lname")
+           .agg(F.min_by("suffix", F.struct(F.length("suffix"), F.col("suffix"))).alias("gkey")))
     g = st.withColumn("lname", F.lower("metric_name")).join(suf, "lname")
     out = (g.groupBy("gkey").agg(
         F.countDistinct("structure").alias("n_structures"),
