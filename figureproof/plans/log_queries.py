@@ -193,13 +193,13 @@ FROM sc"""
 # ----------------------------------------------------------------------- streaming
 
 def signal_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file read as a stream (availableNow), statements
-    deduplicated by shape in checkpointed state, merged by foreachBatch into
-    a Parquet table; the query returns the table's final state."""
-    from ..streaming.signals import run_available
+    """The events files read as a stream (availableNow); each statement
+    shape is emitted once, written by foreachBatch to the batch's folder; the
+    query returns what was emitted."""
+    from ..streaming import signals as SG
     schema = read_table(spark, sf_dir, "events").schema
-    sink = run_available(spark, f"{sf_dir}/events*.parquet", schema, render_events)
-    return spark.read.parquet(sink).select("shape_hash", "class")
+    sink = SG.run_available(spark, f"{sf_dir}/events*.parquet", schema, render_events)
+    return SG.read_sink(spark, sink, SG.SIGNAL).select("shape_hash", "class")
 
 
 def usage_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,17 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, ("manifest", sf_dir), build)
 
 
+def certified_metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's files read as a stream; every certified metric once,
+    though the stream is run twice over the same sink."""
+    from ..streaming import signals as SG
+    path = os.path.join(checkpoint_dir(spark), "figureproof", "manifest-stream-" + uuid.uuid4().hex)
+    render_nodes(spark, sf_dir).coalesce(1).write.text(path)
+    sink = SG.run_certified(spark, path)
+    SG.run_certified(spark, path, sink_dir=sink)
+    return SG.read_sink(spark, sink, SG.METRIC).select("metric", "expr", "model")
+
+
 def manifest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.model_columns(_nodes(spark, sf_dir))
 

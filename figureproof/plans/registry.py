@@ -67,6 +67,7 @@ def queries():
         "question_metrics": PQ.question_metrics,
         "manifest_models": MQ.manifest_models,
         "manifest_metrics": MQ.manifest_metrics,
+        "certified_metric_stream": MQ.certified_metric_stream,
         "certified_trust": MQ.certified_trust,
         "bi_formula": WQ.bi_formula,
     }
@@ -96,6 +97,7 @@ def oracle_sql():
     out.update(LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR), out["cell_evidence"], WQ.oracle()["bi_formula"]))
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
+    out["certified_metric_stream"] = out["manifest_metrics"]
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
     out.update(WQ.oracle())
     out["question_metrics"] = f"""
