@@ -1,7 +1,7 @@
 """A manifest rendered from the catalog and the mined log aggregates,
-written as JSON lines and read back through the manifest source (S6, S7).
+written as one JSON object and read back through the manifest source (S6, S7).
 
-Models: one per driver table, with its columns and types. Metrics: one per
+Models: one per driver table, with its columns, types and row count. Metrics: one per
 mined aggregate of the statement log (``COUNT(*)`` has no expression, so
 its name stands in), depending on a macro and then on the model of its
 table.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,43 +30,48 @@ def _metric_name() -> F.Column:
     return F.concat(F.lower("agg"), F.lit("_"), col)
 
 
-def render_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat = P.column_catalog(spark, read_tables(spark, sf_dir))
-    models = (cat.groupBy("table")
+def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows") for t, df in read_tables(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def render_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object with a ``nodes`` and a ``metrics`` map (catalog-sized)."""
+    cat = P.column_catalog(spark, read_tables(spark, sf_dir)).join(_row_counts(spark, sf_dir), "table")
+    models = (cat.groupBy("table", "rows")
                  .agg(F.map_from_entries(F.collect_list(F.struct(
                      "column", F.struct(F.col("column").alias("name"), F.col("spark_type").alias("data_type")))))
                       .alias("columns"))
-                 .select(F.to_json(F.struct(
-                     F.concat(F.lit(f"model.{PROJECT}."), F.col("table")).alias("unique_id"),
-                     F.lit("model").alias("resource_type"), F.col("table").alias("name"), "columns")).alias("value")))
+                 .select(F.concat(F.lit(f"model.{PROJECT}."), F.col("table")).alias("id"), F.struct(
+                     F.lit("model").alias("resource_type"), F.col("table").alias("name"), "columns", F.struct("rows").alias("meta")).alias("node")))
     aggs = log_aggregates(spark, sf_dir)
     expr = F.when(F.col("column") == "*", F.lit(None).cast("string")).otherwise(
         F.concat(F.regexp_replace("agg", "_DISTINCT$", ""), F.lit("("), F.when(F.col("is_distinct"), F.lit("DISTINCT ")).otherwise(F.lit("")),
                  F.col("column"), F.lit(")")))
-    mets = aggs.select(F.to_json(F.struct(
-        F.concat(F.lit(f"metric.{PROJECT}."), _metric_name()).alias("unique_id"),
-        F.lit("metric").alias("resource_type"), _metric_name().alias("name"),
-        F.struct(expr.alias("expr")).alias("type_params"),
+    mets = aggs.select(F.concat(F.lit(f"metric.{PROJECT}."), _metric_name()).alias("id"), F.struct(
+        _metric_name().alias("name"), F.struct(expr.alias("expr")).alias("type_params"),
         F.struct(F.array(F.lit(f"macro.{PROJECT}.fiscal_quarter"),
-                         F.concat(F.lit(f"model.{PROJECT}."), F.col("table"))).alias("nodes")).alias("depends_on")
-    )).alias("value"))
-    return models.unionByName(mets)
+                         F.concat(F.lit(f"model.{PROJECT}."), F.col("table"))).alias("nodes")).alias("depends_on")).alias("node"))
+    as_map = lambda df, name: df.agg(F.map_from_entries(F.collect_list(F.struct("id", "node"))).alias(name))
+    # one row each: the second is a scalar of the first
+    return as_map(models, "nodes").select(F.to_json(F.struct("nodes", as_map(mets, "metrics").scalar().alias("metrics"))).alias("value"))
+
+
+def _manifest_files(spark: SparkSession, sf_dir: str) -> str:
+    path = os.path.join(checkpoint_dir(spark), "figureproof", "manifest-" + uuid.uuid4().hex)
+    render_manifest(spark, sf_dir).coalesce(1).write.text(path)
+    return path
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        path = os.path.join(checkpoint_dir(spark), "figureproof", "manifest-" + uuid.uuid4().hex)
-        render_nodes(spark, sf_dir).write.mode("overwrite").text(path)
-        return M.read_nodes(spark, path)
-    return shared(spark, ("manifest", sf_dir), build)
+    return M.read_manifest(spark, shared(spark, ("manifest", sf_dir), lambda: _manifest_files(spark, sf_dir)))
 
 
 def certified_metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest's files read as a stream; every certified metric once,
     though the stream is run twice over the same sink."""
     from ..streaming import signals as SG
-    path = os.path.join(checkpoint_dir(spark), "figureproof", "manifest-stream-" + uuid.uuid4().hex)
-    render_nodes(spark, sf_dir).coalesce(1).write.text(path)
+    path = _manifest_files(spark, sf_dir)
     sink = SG.run_certified(spark, path)
     SG.run_certified(spark, path, sink_dir=sink)
     return SG.read_sink(spark, sink, SG.METRIC).select("metric", "expr", "model")
@@ -101,9 +107,10 @@ def oracle(log_aggregates_sql: str, schema_sf_dir: str) -> dict[str, str]:
     rows = []
     for t in DRIVER_TABLES:
         for f in pq.read_schema(f"{schema_sf_dir}/{t}.parquet"):
-            rows.append(f"('{t}', '{f.name}', '{spark_type(f.type)}')")
+            rows.append(f"SELECT '{t}' AS model, '{f.name}' AS \"column\", '{spark_type(f.type)}' AS data_type,"
+                        f" CAST(count(*) AS BIGINT) AS rows FROM {t}")
     return {
-        "manifest_models": f"SELECT * FROM (VALUES {', '.join(rows)}) v(model, \"column\", data_type)",
+        "manifest_models": " UNION ALL ".join(rows),
         "manifest_metrics": f"""
 WITH a AS ({log_aggregates_sql})
 SELECT lower(agg) || '_' || CASE WHEN "column" = '*' THEN 'rows' ELSE "column" END AS metric,

@@ -271,3 +271,29 @@ def question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("question").orderBy(F.col("jaccard").desc(), "name")
     return (scored.withColumn("r", F.row_number().over(w)).where("r = 1")
                   .select("question", F.col("name").alias("metric"), F.round("jaccard", 6).alias("jaccard")))
+
+
+# The published tables with the order of their files (W9, W10: by key, the semantic model by trust).
+SINKS = {"glossary": ("glossary_terms", ["metric"]), "tags": ("column_tags", ["table", "column"]),
+         "lineage": ("lineage_edges", []), "semantic_model": ("semantic_model_rows", ["table", "trust"]),
+         "conflicts": ("conflict_tables", []), "scorecard": ("scorecard", ["check"])}
+
+
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K4: every published table written as JSON below the shared folder and
+    read back: ``sink, n_rows, n_same`` (rows that the files give as they were)."""
+    import os
+    import uuid
+    from functools import reduce
+    from ..session import checkpoint_dir
+    from ..sinks import json_files as J
+    folder = os.path.join(checkpoint_dir(spark), "figureproof", "published-" + uuid.uuid4().hex)
+    parts = []
+    for name, (query, order) in SINKS.items():
+        df = globals()[query](spark, sf_dir)
+        J.write(df, folder, name, order or df.columns[:1])
+        back = J.read(spark, folder, name, df)
+        same = df.intersectAll(back).agg(F.count(F.lit(1)).alias("n_same"))
+        parts.append(back.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("sink"), "n_rows", same.scalar().alias("n_same")))
+    return reduce(DataFrame.unionByName, parts)

@@ -62,6 +62,7 @@ def queries():
         "semantic_model_rows": PQ.semantic_model_rows,
         "conflict_tables": PQ.conflict_tables,
         "scorecard": PQ.scorecard,
+        "published_files": PQ.published_files,
         "eval_metrics": PQ.eval_metrics,
         "guardrail": PQ.guardrail,
         "question_metrics": PQ.question_metrics,
@@ -97,6 +98,8 @@ def oracle_sql():
     out.update(LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR), out["cell_evidence"], WQ.oracle()["bi_formula"]))
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
+    out["published_files"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS sink, count(*) AS n_rows, count(*) AS n_same FROM ({out[query]})" for name, (query, _) in PQ.SINKS.items())
     out["certified_metric_stream"] = out["manifest_metrics"]
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
     out.update(WQ.oracle())

@@ -102,10 +102,10 @@ def run_certified(spark: SparkSession, source_dir: str, sink_dir: str | None = N
                   files_per_trigger: int | None = None, on_new=None) -> str:
     """Every certified metric of the manifest files once ever."""
     sink_dir = _sink(spark, "certified", sink_dir)
-    nodes = _source(spark, M.NODE_SCHEMA, files_per_trigger).json(source_dir)
+    manifests = _source(spark, M.MANIFEST_SCHEMA, files_per_trigger).option("multiLine", "true").json(source_dir)
     once = emit_once(["metric", "expr"], METRIC, sink_dir, on_new)
-    # a batch's metrics are resolved against its own models (the join of a file's nodes)
-    return _run(nodes, lambda batch, batch_id: once(M.metrics(batch), batch_id), sink_dir, continuous)
+    # a batch's metrics are resolved against its own models
+    return _run(manifests, lambda batch, batch_id: once(M.metrics(M.nodes_of(batch)), batch_id), sink_dir, continuous)
 
 
 USAGE = "window_start timestamp_ntz, shape_hash string, executions bigint"

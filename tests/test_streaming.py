@@ -72,13 +72,12 @@ def test_certified_metrics_and_rescoring(spark, tmp_path):
     from figureproof.operators import trust as TR
     src = tmp_path / "manifest"
     src.mkdir()
-    node = lambda n: json.dumps({"unique_id": f"metric.x.{n}", "resource_type": "metric", "name": n,
-                                 "type_params": {"expr": f"SUM({n})"}, "depends_on": {"nodes": ["model.x.sales"]}})
-    (src / "a.json").write_text(node("amount") + "\n" + json.dumps({"unique_id": "model.x.sales", "resource_type": "model", "name": "sales"}))
+    node = lambda n: {f"metric.x.{n}": {"name": n, "type_params": {"expr": f"SUM({n})"}, "depends_on": {"nodes": ["model.x.sales"]}}}
+    (src / "a.json").write_text(json.dumps({"nodes": {"model.x.sales": {"resource_type": "model", "name": "sales"}}, "metrics": node("amount")}, indent=1))
     evidence = lambda: TR.role_evidence(spark.createDataFrame([("sales", "amount", "measure_input")], "table string, column string, role string"))
     scores = str(tmp_path / "scores")
     sink = SG.run_certified(spark, str(src), str(tmp_path / "c"), on_new=SG.rescore(evidence, "2024-02-15 00:00:00", scores))
-    (src / "b.json").write_text(node("amount") + "\n" + node("tax"))
+    (src / "b.json").write_text(json.dumps({"metrics": node("amount") | node("tax")}))
     SG.run_certified(spark, str(src), sink, on_new=SG.rescore(evidence, "2024-02-15 00:00:00", scores))
     got = sorted((r["metric"], r["expr"], r["model"], r["batch_id"]) for r in SG.read_sink(spark, sink, SG.METRIC).collect())
     assert got == [("amount", "SUM(amount)", "sales", 0), ("tax", "SUM(tax)", None, 1)]
