@@ -26,8 +26,8 @@ gives no rows; other columns stay.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +114,21 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
+#: Readings of disguised tokens that a Python worker keeps.
+KEPT = 50_000
+_WORKER: dict[tuple, object] = {}
+
+
+def _in_worker(build, *parts):
+    """An unpickled model is one object per worker, not one per task: tasks of a stage share it and what it has learned."""
+    key = (build.__qualname__, *(hashlib.sha1(p.tobytes()).digest() if isinstance(p, np.ndarray) else None for p in parts))
+    if key not in _WORKER:
+        for old in [k for k in _WORKER if k[0] == key[0]]:
+            del _WORKER[old]
+        _WORKER[key] = build(*parts)
+    return _WORKER[key]
+
+
 class Model:
     """Costs -log P(c | a, b), interpolated with the shorter contexts, and the decoder over them."""
 
@@ -128,15 +143,30 @@ class Model:
         seen = n.sum(axis=2, keepdims=True)
         w3, w2 = seen / (seen + 20), (two.sum(axis=1) / (two.sum(axis=1) + 20))[None, :, None]
         p = w3 * tri + (1 - w3) * (w2 * bi[None] + (1 - w2) * uni[None, None])
-        self.__setstate__(-np.log(0.999 * p + 0.001 * uni[None, None]).astype(np.float32))
-
-    def __getstate__(self):
-        return self.cost
+        self._set(-np.log(0.999 * p + 0.001 * uni[None, None]).astype(np.float32))
 
-    def __setstate__(self, cost: np.ndarray):
+    def _set(self, cost: np.ndarray) -> None:
         self.cost = cost
         self._rows: dict[tuple[int, int], list[float]] = {}
-        self.restore = lru_cache(maxsize=100_000)(self._restore)
+        self._known: dict[str, str] = {}
+
+    @classmethod
+    def of_cost(cls, cost: np.ndarray) -> "Model":
+        out = cls.__new__(cls)
+        out._set(cost)
+        return out
+
+    def __reduce__(self):
+        return _in_worker, (Model.of_cost, self.cost)
+
+    def restore(self, token: str) -> str:
+        """The reading of least cost of one lower-case token; readings are kept, up to ``KEPT``."""
+        known = self._known
+        if token not in known:
+            if len(known) >= KEPT:
+                known.clear()
+            known[token] = self._restore(token)
+        return known[token]
 
     def _row(self, a: int, b: int) -> list[float]:
         if (a, b) not in self._rows:
@@ -171,7 +201,6 @@ class Model:
         return out
 
     def _restore(self, token: str) -> str:
-        """The reading of least cost of one lower-case token."""
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for arcs in self._lattice(token):
             step: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -313,9 +342,34 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray,
     return mean, scale, beta
 
 
+def _weights_of(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.float32)
+    out[at] = values
+    return out
+
+
+class Weights:
+    """Weights of the window buckets; those that are not 0 travel."""
+
+    def __init__(self, dense: np.ndarray):
+        self.dense = dense
+
+    @classmethod
+    def of_parts(cls, at: np.ndarray, values: np.ndarray) -> "Weights":
+        return cls(_weights_of(at, values))
+
+    def __reduce__(self):
+        at = np.flatnonzero(self.dense)
+        return _in_worker, (Weights.of_parts, at.astype(np.int32), self.dense[at])
+
+
 class Classifier:
     def __init__(self, model: Model, weights: np.ndarray, fit, base: float):
-        self.model, self.weights, self.fit, self.base = model, weights, fit, base
+        self.model, self._weights, self.fit, self.base = model, Weights(weights), fit, base
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self._weights.dense
 
     def score(self, text: str | None) -> float:
         if self.fit is None:
@@ -367,9 +421,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, *, id_col: s
     for half in (0, 1):
         w = weights(held.filter(F.col("half") == half), int(n[half, 1]), int(n[half, 0]))
 
-        def run(batches, w=w):
+        def run(batches, w=Weights(w)):
             for b in batches:
-                got = [features(t, model, w) for t in b.column(0).to_pylist()]
+                got = [features(t, model, w.dense) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
         for r in chosen.filter(F.col("half") != half).select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect():
             x.append(r.x)
