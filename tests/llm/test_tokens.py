@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +32,20 @@ def test_encoder_equals_library(text):
     assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'ab1é,.\u3000\xa0\x85\x1c ś漢½²\u0301"), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=30))
+def test_split_equals_the_pattern(text):
+    import public_tokenizers
+    import regex
+    from figureproof.llm.encoder import split
+    text = text.replace("'", "-")
+    got = split(text)
+    if any(unicodedata.category(c) == "Cn" for c in text):
+        assert got is None
+    else:
+        assert got == regex.findall(public_tokenizers.PATTERN, text)
+
+
 def brute(rows, end):
     enc, start, out = Encoder(Q._tokenizer()), 0, []
     for name, text in rows:
