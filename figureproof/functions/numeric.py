@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 TOLERANCE = 0.005              # |computed - reported| <= TOLERANCE * |reported|
 MEASURE_TYPE = "decimal(20,4)"  # input cast before SUM
 VALUE_TYPE = "decimal(38,6)"    # printed / reported values
-UNIT_SCALE = {"mm": 1_000_000, "bn": 1_000_000_000, "%": 1, "count": 1}
+UNIT_SCALE = {"mm": 1_000_000, "bn": 1_000_000_000, "USD millions": 1_000_000, "USD billions": 1_000_000_000, "%": 1, "count": 1}
 
 
 def _c(x) -> Column:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.numeric import parse_long_date, parse_number, raw_value
 
 # The patterns of titles, dates and footnotes.
-TITLE = r"^(.+?)( by (.+?))? \(([^)]*)\)$"
-AS_OF = r"as of ([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})"
+TITLE = r"^(?:Table\s+\d+:\s+)?(.+?)(\s+by\s+(.+?))?\s*\(([^)]*)\)\s*$"
+# the heading's date; one in brackets belongs to a footnote
+AS_OF = r"(?:As of|(?<!\()as of)\s+([A-Z][a-z]+\s+[0-9]{1,2},\s+[0-9]{4})"
 FOOTNOTE = r"Prior quarter \(([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})\) ([^:]+): ([-0-9,.]+)"
+NAMED_FOOTNOTE = (r"([A-Z][A-Za-z0-9 /&-]+?)\s+[—–-]+\s+prior quarter\s+\(as of\s+([^)]+)\):"
+                  r"\s+(-?[0-9,]+(?:\.[0-9]+)?)(?:\s+(USD millions|USD billions|%))?")
 CHILD_TOLERANCE = 0.005
 SUMMARY_TITLE = "Key figures"
 
@@ -71,15 +74,20 @@ def grid_figures(grid: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def footnote_figures(pages: DataFrame) -> DataFrame:
-    """prior-quarter footnotes -> earlier totals."""
-    parts = [F.regexp_extract_all("text", F.lit(FOOTNOTE), i) for i in (1, 2, 3)]
-    z = pages.select("report_id", "page_no",
-                     F.posexplode(F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)])).alias("k", "z"))
-    return z.select("report_id", "page_no", F.lit(10_000).alias("table_no"), "k",
-                    F.trim("z.g1").alias("metric"), F.lit(None).cast("string").alias("dim"),
-                    F.lit(None).cast("string").alias("label"), parse_number("z.g2").alias("value"),
-                    F.lit(None).cast("string").alias("unit"), parse_long_date("z.g0").alias("as_of"),
-                    F.lit(None).cast("string").alias("parent_total_id")).withColumnRenamed("k", "row_no")
+    """prior-quarter footnotes of either form -> earlier totals, with the
+    printed unit where there is one."""
+    def found(pattern, date, name, value, unit):
+        groups = [F.regexp_extract_all("text", F.lit(pattern), i).alias(f"g{i}") for i in range(1, 4 + (unit is not None))]
+        return F.transform(F.arrays_zip(*groups), lambda z: F.struct(
+            z[f"g{date}"].alias("date"), z[f"g{name}"].alias("metric"), z[f"g{value}"].alias("value"),
+            (F.nullif(z[f"g{unit}"], F.lit("")) if unit else F.lit(None).cast("string")).alias("unit")))
+    both = F.concat(found(FOOTNOTE, 1, 2, 3, None), found(NAMED_FOOTNOTE, 2, 1, 3, 4))
+    z = pages.select("report_id", "page_no", F.posexplode(both).alias("row_no", "z"))
+    return z.select("report_id", "page_no", F.lit(10_000).alias("table_no"), "row_no",
+                    F.trim("z.metric").alias("metric"), F.lit(None).cast("string").alias("dim"),
+                    F.lit(None).cast("string").alias("label"), parse_number("z.value").alias("value"),
+                    F.col("z.unit").alias("unit"), parse_long_date("z.date").alias("as_of"),
+                    F.lit(None).cast("string").alias("parent_total_id"))
 
 
 def extract(pages: DataFrame, grid: DataFrame) -> DataFrame:

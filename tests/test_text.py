@@ -39,3 +39,19 @@ def test_bi_formula_translation(spark):
     assert got == ["SUM(Sales) - SUM(Cost)", "COUNT(DISTINCT cust_id)", None, None, None]
     refs = df.select(WB.referenced("f")).first()[0]
     assert refs == ["sales", "cost"]
+
+
+def test_printed_titles_dates_and_footnotes(spark):
+    import datetime as dt
+    from figureproof.operators import figures as FG
+    pages = spark.createDataFrame([("r", 1, "Quarterly Report\nAs of June 30, 2026\nNet Exposure — prior quarter (as of March 31, 2026): 1,234.5 USD millions\n"
+                                    "Prior quarter (March 31, 2026) Order Count: 77"),
+                                   ("s", 1, "Report as of June 30, 2026")], "report_id string, page_no int, text string")
+    assert {r["report_id"]: r["as_of"] for r in FG.report_dates(pages).collect()} == {"r": dt.date(2026, 6, 30), "s": dt.date(2026, 6, 30)}
+    grid = spark.createDataFrame([("r", 1, 1, i, "Table 3: Net Exposure by asset class (USD millions)", c, v)
+                                  for i, (c, v) in enumerate([("Asset class", "Value"), ("Loans", "1.5"), ("Total", "1.5")])],
+                                 "report_id string, page_no int, table_no int, row_no int, title string, c0 string, c1 string")
+    got = {(r["metric"], r["dim"], r["label"], r["unit"], float(r["raw"]), r["as_of"]) for r in FG.extract(pages, grid).collect()}
+    now, before = dt.date(2026, 6, 30), dt.date(2026, 3, 31)
+    assert got == {("Net Exposure", "asset_class", "Loans", "USD millions", 1.5e6, now), ("Net Exposure", None, None, "USD millions", 1.5e6, now),
+                   ("Net Exposure", None, None, "USD millions", 1234.5e6, before), ("Order Count", None, None, None, 77.0, before)}
