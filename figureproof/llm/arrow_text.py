@@ -25,3 +25,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first, last = int(starts[0]), int(at[-1])
     return raw[first:last], starts - first, ends - first
+
+
+def text_slices(batches, at: int, size: int):
+    """Batches of about ``size`` bytes of text in the column ``at``, so that what is made of the texts stays small."""
+    for b in batches:
+        _, starts, ends = text_bytes(b.column(at % b.num_columns))
+        total, first = np.cumsum(ends - starts), 0
+        while first < b.num_rows:
+            before = total[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(total, before + size, side="right")))
+            yield b.slice(first, stop - first)
+            first = stop

@@ -37,6 +37,11 @@ def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def hash128(col):
+    """Two 64-bit hashes of a column under different seeds: what stands for a text where the text itself is too long."""
+    return F.xxhash64(col), F.xxhash64(F.lit(2024), col)
+
+
 def spread_rank(df: DataFrame, keys: list[str], order: list[str], out: str, per_task: int = 100_000) -> DataFrame:
     """Gapless rank from 0 of the rows of each key, without any key's rows meeting in one task.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import documents, new_path
 
 #: Vocabulary file of the token queries (a parameter of the operators).
@@ -77,9 +80,44 @@ def op10_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"))
 
 
+def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import TYPO_EVERY, variants
+    return variants(documents(spark, sf_dir), typo_every=TYPO_EVERY)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+    return report(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a text with the periodic tail that its doc_id asks for (null: none)."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+    found = periodic_runs(documents(spark, sf_dir), edit=planted_run)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    top = found.withColumn("best", best)
+    return top.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+                      (-F.col("best.minus")).alias("length"), F.col("best.period").alias("period"),
+                      F.expr("1000 * -best.minus div best.period").alias("exponent_milli"),
+                      F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op6_best_fit, op7_balanced_shards, op8_deobfuscate, op9_license_scan,
-                                     op10_order_min_hash)}
+    return {f.__name__: f for f in (op1_elias_fano, op2_gear_chunks, op3_phrase_index, op4_separator_scan, op5_simhash, op6_best_fit,
+                                    op7_balanced_shards, op8_deobfuscate, op9_license_scan, op10_order_min_hash,
+                                    op11_pivotal_grams, op12_line_dedup, op13_periodic_runs)}
 
 
 _WORDS_SQL = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
@@ -100,4 +138,5 @@ FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)"""
 
 
 def oracle_sql() -> dict:
-    return {"op3_phrase_index": OP3_SQL}
+    return {"op3_phrase_index": OP3_SQL, "op11_pivotal_grams": oracles.OP11_SQL, "op12_line_dedup": oracles.OP12_SQL,
+            "op13_periodic_runs": oracles.OP13_SQL}
