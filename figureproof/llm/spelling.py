@@ -21,6 +21,9 @@ Forms point to a word at least twice as frequent, hence chains of forms end;
 the roots are found by pointer doubling, in as many joins as the logarithm of the
 longest chain.
 
+Lists of common letters are long: they are cut into blocks, each joined with the
+pivots of its key by itself.
+
 The table of bigrams is broadcast: words are made of 90 different letters, so it has
 8,100 rows at most.
 
@@ -129,6 +132,11 @@ def _key(side: bytes, part: str) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
+#: Words of one list that meet the pivots of its key in one group; longer lists are cut into such blocks.
+LIST_BLOCK = 1024
+#: Keys of long lists that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
 _INDEX_DDL = "key bigint, pivot boolean, cut int, last int, word string, n bigint"
 
 
@@ -149,17 +157,26 @@ def _index(batches, order: dict):
                                              names=["key", "pivot", "cut", "last", "word", "n"])
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, na, b, nb): every pair of words that differ by one code point, once."""
+def near_pairs(words: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(a, na, b, nb): every pair of words that differ by one code point, once.
+
+    A list of more than ``block`` words is cut into blocks of about that size, each of which meets all pivots of its key.
+    """
     order = gram_order(words)
     rows = words.filter(F.char_length("word") >= 4).select("word", "n")
     entries = keep(rows.mapInArrow(lambda it: _index(it, order), _INDEX_DDL), "gram-lists")
     pivots = entries.filter("pivot").select("key", "cut", F.col("last").alias("la"), F.col("word").alias("a"), F.col("n").alias("na"))
     lists = entries.filter("not pivot").select("key", F.col("last").alias("lb"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    long = keep(lists.groupBy("key").count().filter(F.col("count") > block)
+                .select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "long-lists")
+    long = F.broadcast(long) if long.count() <= BROADCAST_KEYS else long
+    n = F.coalesce("blocks", F.lit(1))
+    lists = lists.join(long, "key", "left").withColumn("block", F.pmod(F.xxhash64("b"), n).cast("int")).drop("blocks")
+    pivots = pivots.join(long, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
     first = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
     length = F.abs(F.char_length("a") - F.char_length("b")) <= 1
     same = F.substr("a", F.lit(1), F.col("cut")) == F.substr("b", F.lit(1), F.col("cut"))
-    found = pivots.join(lists, "key").filter(first & length & same & (F.levenshtein("a", "b", 1) == 1))
+    found = pivots.join(lists, ["key", "block"]).filter(first & length & same & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "na", "b", "nb").distinct()
 
 

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -117,6 +118,17 @@ def test_dense_words_and_long_chains(spark):
     assert {r.root for r in got if r.word in chain} == {chain[-1]}
 
 
+@pytest.mark.parametrize("keys", [0, 10])
+def test_long_lists_in_blocks(spark, monkeypatch, keys):
+    monkeypatch.setattr(S, "BROADCAST_KEYS", keys)
+    rng = random.Random(8)
+    n = {"tho" + "".join(rng.choice("abc") for _ in range(rng.randint(2, 5))): 3 for _ in range(150)}
+    words = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = [tuple(sorted((r.a, r.b))) for r in S.near_pairs(words, block=4).collect()]
+    listed = sorted(n)
+    assert sorted(got) == [(a, b) for i, a in enumerate(listed) for b in listed[i + 1:] if near(a, b)]
+
+
 def test_letters_and_counts(spark):
     rows = [(1, "Straße straße STRAßE Étés étés wordsĀwords words1words"), (2, "words"), (None, "words" * 2 + " Words")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
