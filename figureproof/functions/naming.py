@@ -3,7 +3,8 @@
 
 All of it is array expressions of one row. The Ratcliff-Obershelp ratio (F5)
 has no Spark built-in (``levenshtein`` is a different measure); it is an
-aggregate over a stack of segments, applied to pairs that share a block.
+aggregate over a stack of segments, applied to pairs whose characters in common
+leave it a chance.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ STOPWORDS = ["the", "of", "by", "a", "an", "in", "for", "to", "and", "total",
 # Version / lifecycle tokens dropped from identifiers.
 NOISE_TOKENS = ["v1", "v2", "v3", "v4", "v5", "depr", "deprecated", "old",
                 "legacy", "bak", "tmp", "new"]
+# Fixed value: what the sequence ratio counts beside shared words.
+RATIO_WEIGHT = 0.8
 
 
 def _c(x) -> Column:
@@ -143,30 +146,34 @@ def seq_ratio(a, b) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * m / total)
 
 
-def blocks(words: Column) -> Column:
-    """What two names must share one of to be compared: a word, or three
-    characters in a row of their sorted words."""
-    text = joined_sorted(words)
-    grams = F.when(F.length(text) >= 3, F.transform(
-        F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.lit("#"), F.substring(text, i, F.lit(3))))).otherwise(
+def letters(text) -> Column:
+    """The characters of a text, each with its number among the equal ones: a
+    set whose overlap with that of another text is an upper bound of the
+    matched characters in ``seq_ratio``. Later occurrences come first."""
+    chars = F.split(_c(text), "")
+    counted = F.transform(chars, lambda c, i: F.struct(
+        (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("k"), c.alias("c")))
+    return F.when(F.length(_c(text)) > 0, F.transform(F.array_sort(counted), lambda t: F.concat(t["c"], t["k"].cast("string")))).otherwise(
         F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, grams))
+
+
+def description_words(description) -> Column:
+    return F.array_except(tokens(F.coalesce(_c(description), F.lit(""))), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def similarity(text, ident, description=None) -> Column:
     """F4 composite: ``max(F1, 0.8 * ratio, description F1)``; 0 when either
-    side has no words. The ratio is taken only where the lengths leave it a
-    chance to be the greatest."""
+    side has no words. The ratio is taken only where the characters in common
+    leave it a chance to be the greatest."""
     def of(w: Column) -> Column:
         bw, iw = w["bw"], w["iw"]
         words = F.greatest(token_f1(bw, iw), F.when(F.size(w["dw"]) > 0, token_f1(bw, w["dw"])).otherwise(F.lit(0.0)))
 
         def with_text(x: Column) -> Column:
-            cap = 2.0 * F.least(F.length(x["a"]), F.length(x["b"])) / (F.length(x["a"]) + F.length(x["b"]))
-            return F.when(cap * 0.8 > x["words"], F.greatest(x["words"], seq_ratio(x["a"], x["b"]) * 0.8)).otherwise(x["words"])
+            cap = 2.0 * F.size(F.array_intersect(letters(x["a"]), letters(x["b"]))) / (F.length(x["a"]) + F.length(x["b"]))
+            return F.when(cap * RATIO_WEIGHT > x["words"], F.greatest(x["words"], seq_ratio(x["a"], x["b"]) * RATIO_WEIGHT)).otherwise(x["words"])
         return F.when((F.size(bw) == 0) | (F.size(iw) == 0), F.lit(0.0)).otherwise(_let(F.struct(
             words.alias("words"), joined_sorted(bw).alias("a"), joined_sorted(iw).alias("b")), with_text))
 
-    described = F.array().cast("array<string>") if description is None else F.array_except(
-        tokens(F.coalesce(_c(description), F.lit(""))), F.array(*[F.lit(w) for w in STOPWORDS]))
+    described = F.array().cast("array<string>") if description is None else description_words(description)
     return _let(F.struct(business_words(text).alias("bw"), identifier_words(ident).alias("iw"), described.alias("dw")), of)

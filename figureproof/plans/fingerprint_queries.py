@@ -85,7 +85,7 @@ def seeds(spark: SparkSession, sf_dir: str, sims: DataFrame) -> DataFrame:
         none.alias("op"), none.alias("rhs_table"), none.alias("rhs_agg"), none.alias("rhs_col"), F.col("sim").alias("name_sim"))
     bi = materialize(bi_candidates(spark, sf_dir), "bi")
     caps = bi.select(F.col("caption").alias("ident"), none.alias("description"))
-    alike = NQ.similar(NQ._metrics(spark, sf_dir), caps).select(F.col("name").alias("metric"), F.col("ident").alias("caption"), "sim")
+    alike = NQ.similar(NQ._metrics(spark, sf_dir), caps, BI_TIER3_FLOOR).select(F.col("name").alias("metric"), F.col("ident").alias("caption"), "sim")
     fields = bi.join(alike, "caption")
     tier = lambda t, floor: fields.where(F.col("sim") >= floor).select(
         "metric", F.lit(t).alias("tier"), "table", "lhs_agg", "lhs_col", "op", "rhs_table", "rhs_agg", "rhs_col", F.col("sim").alias("name_sim"))

@@ -3,19 +3,21 @@ candidates (C3, J5, U3, W2).
 
 Metric names come from the published report, columns from the catalog of
 the driver tables, descriptions from the mined glossary. Names and columns
-meet on shared blocks only: a word of the identifier or of its description,
-or three characters in a row of the sorted words (an equi-join; a pair that
-shares none is no candidate). No list is cut; ranks are part of the result
-and the constraint tally decides.
+meet by similarity joins on words, description words and characters that lose
+no pair above the floor. No list is cut; ranks are part of the result and the
+constraint tally decides.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming as NM
 from ..operators import profile as P
+from ..operators import simjoin as SJ
 from ..session import materialize, shared
 from ..sources.tables import read_tables
 from . import report as R
@@ -44,23 +46,35 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.lower("table").alias("table"), F.lower("column").alias("column"), "description"))
 
 
-def similar(names: DataFrame, idents: DataFrame) -> DataFrame:
-    """names(name) and idents(ident, description, ...) that share a block, with
-    their similarity ``sim`` (F4)."""
-    n = names.select("name").distinct().withColumn("bw", NM.business_words("name"))
-    described = F.array_except(NM.tokens(F.coalesce("description", F.lit(""))), F.array(*[F.lit(w) for w in NM.STOPWORDS]))
-    i = idents.select("ident", "description").distinct().withColumn("iw", NM.identifier_words("ident"))
-    nb = n.select("name", F.explode(NM.blocks(F.col("bw"))).alias("block"))
-    ib = i.select("ident", "description", F.explode(F.array_distinct(F.concat(NM.blocks(F.col("iw")), described))).alias("block"))
-    met = nb.join(ib, "block").select("name", "ident", "description").distinct()
-    return met.withColumn("sim", NM.similarity(F.col("name"), F.col("ident"), F.col("description")))
+def similar(names: DataFrame, idents: DataFrame, floor: float) -> DataFrame:
+    """All pairs of names(name) and idents(ident, description) whose similarity
+    (F4) is at least ``floor``, with it as ``sim``.
+
+    The similarity is the greatest of three measures. Words and description
+    words that reach the floor are found by their own join; the ratio counts
+    ``RATIO_WEIGHT`` and is at most the Dice measure of the characters, so that one
+    joined at ``floor / RATIO_WEIGHT`` meets all pairs it could lift to the floor."""
+    # tokens are sorted: one order for both sides
+    n = names.select("name").distinct().withColumn("bw", F.array_sort(NM.business_words("name"))).where(F.size("bw") > 0)
+    i = (idents.select("ident", "description").distinct().withColumn("iw", F.array_sort(NM.identifier_words("ident")))
+         .withColumn("dw", F.array_sort(NM.description_words("description"))).where(F.size("iw") > 0))
+    met = [SJ.dice_pairs(n.select("name", F.col("bw").alias("toks")), i.select("ident", F.col(w).alias("toks")).distinct(), "name", "ident", floor)
+           for w in ("iw", "dw")]
+    if floor <= NM.RATIO_WEIGHT:
+        met.append(SJ.dice_pairs(n.select("name", NM.letters(NM.joined_sorted(F.col("bw"))).alias("toks")),
+                                 i.select("ident", NM.letters(NM.joined_sorted(F.col("iw"))).alias("toks")).distinct(),
+                                 "name", "ident", floor / NM.RATIO_WEIGHT))
+    pairs = reduce(DataFrame.unionByName, met).distinct().join(i.select("ident", "description"), "ident")
+    # an array of one, or none: the ratio is not taken again for the filter
+    sim = F.filter(F.array(NM.similarity(F.col("name"), F.col("ident"), F.col("description"))), lambda x: x >= floor)
+    return pairs.select("name", "ident", "description", F.explode(sim).alias("sim"))
 
 
 def column_similarity(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
-    """``name, table, column, sim`` of every name with the numeric columns it shares a block with."""
+    """``name, table, column, sim`` of every name with the numeric columns that are at least ``TERM_FLOOR`` similar."""
     cols = (numeric_catalog(spark, sf_dir).join(glossary(spark, sf_dir), ["table", "column"], "left")
             .select("table", "column", F.concat_ws(".", "table", "column").alias("ident"), "description"))
-    return similar(names, cols).join(cols.select("ident", "table", "column"), "ident").select("name", "table", "column", "sim")
+    return similar(names, cols, TERM_FLOOR).join(cols.select("ident", "table", "column"), "ident").select("name", "table", "column", "sim")
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +115,11 @@ def prose_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``name, doc, structure, term_a, term_b``: mined formulas whose name is a
-    report metric's (ignoring case) or at least 0.8 similar to it. 0.8 needs a
-    shared word, so the names meet on words."""
+    report metric's (ignoring case) or at least 0.8 similar to it."""
     hyp = formulas(corpus(spark, sf_dir)).select("doc", F.col("metric_name").alias("hname"), "structure", "term_a", "term_b")
     metrics = _metrics(spark, sf_dir)
-    mw = metrics.select("name", F.explode(NM.identifier_words("name")).alias("w"))
-    hw = hyp.select("hname", F.explode(NM.business_words("hname")).alias("w")).distinct()
-    met = mw.join(hw, "w").select("name", "hname").distinct()
-    close = met.where(NM.similarity(F.col("hname"), F.col("name")) >= HYPOTHESIS_NAME_FLOOR)
+    close = similar(hyp.select(F.col("hname").alias("name")), metrics.select(F.col("name").alias("ident"), F.lit(None).cast("string").alias("description")),
+                    HYPOTHESIS_NAME_FLOOR).select(F.col("ident").alias("name"), F.col("name").alias("hname"))
     same = metrics.join(hyp.select("hname").distinct(), F.lower("name") == F.lower("hname")).select("name", "hname")
     return close.unionByName(same).distinct().join(hyp, "hname")
 

@@ -1,8 +1,8 @@
 """DuckDB form of the name similarity, for the oracles.
 
-Words come from unnested rows, the sequence ratio from a recursive CTE that
-splits a pair of strings at its longest common block; nothing is shared with
-the Spark expressions but the fixed word lists.
+All pairs are compared. Words come from unnested rows, the sequence ratio from a
+recursive CTE that splits a pair of strings at its longest common block; nothing
+is shared with the Spark expressions but the fixed word lists.
 """
 
 from __future__ import annotations
@@ -30,11 +30,7 @@ def similarity_ctes(p: str, names: str, idents: str) -> str:
 {p}_dw AS (SELECT * FROM (SELECT DISTINCT ident, {toks.format(x="coalesce(description, '')")} AS w FROM {p}_i) WHERE w NOT IN ({stop})),
 {p}_nj AS (SELECT name, string_agg(w, ' ' ORDER BY w) AS a, count(*) AS n FROM {p}_nw GROUP BY name),
 {p}_ij AS (SELECT ident, string_agg(w, ' ' ORDER BY w) AS b, count(*) AS n FROM {p}_iw GROUP BY ident),
-{p}_nb AS (SELECT name, w AS blk FROM {p}_nw UNION
-           SELECT name, '#' || substr(a, k, 3) FROM (SELECT name, a, CAST(unnest(range(1, length(a) - 1)) AS INT) AS k FROM {p}_nj)),
-{p}_ib AS (SELECT ident, w AS blk FROM {p}_iw UNION SELECT ident, w FROM {p}_dw UNION
-           SELECT ident, '#' || substr(b, k, 3) FROM (SELECT ident, b, CAST(unnest(range(1, length(b) - 1)) AS INT) AS k FROM {p}_ij)),
-{p}_met AS (SELECT DISTINCT name, ident FROM {p}_nb JOIN {p}_ib USING (blk)),
+{p}_met AS (SELECT name, ident FROM {p}_nj, {p}_ij),
 {p}_prs AS (SELECT DISTINCT a, b FROM {p}_met JOIN {p}_nj USING (name) JOIN {p}_ij USING (ident)),
 {p}_seg(a, b, alo, ahi, blo, bhi, k) AS (
   SELECT a, b, 0, length(a), 0, length(b), 0 FROM {p}_prs
@@ -57,4 +53,4 @@ def similarity_ctes(p: str, names: str, idents: str) -> str:
                   2.0 * coalesce(d.shared, 0) / (nj.n + coalesce(dn.n, 0)) AS df1, nj.a, ij.b
            FROM {p}_met m JOIN {p}_nj nj USING (name) JOIN {p}_ij ij USING (ident) LEFT JOIN {p}_sh s USING (name, ident)
            LEFT JOIN {p}_ds d USING (name, ident) LEFT JOIN {p}_dn dn USING (ident)),
-{p}_sim AS (SELECT f.name, f.ident, greatest(f.f1, 0.8 * r.ratio, f.df1) AS sim FROM {p}_f1 f JOIN {p}_ratio r USING (a, b))"""
+{p}_sim AS (SELECT f.name, f.ident, greatest(f.f1, 0.8 * coalesce(r.ratio, 0.0), f.df1) AS sim FROM {p}_f1 f LEFT JOIN {p}_ratio r USING (a, b))"""

@@ -115,9 +115,7 @@ sc AS (SELECT question, name, len(list_intersect(qt, bag)) / len(list_distinct(l
        FROM qt, gb WHERE len(list_intersect(qt, bag)) > 0)
 SELECT question, name AS metric, round(jaccard, 6) AS jaccard FROM sc
 QUALIFY row_number() OVER (PARTITION BY question ORDER BY jaccard DESC, name) = 1"""
-    out["contradictions"] = f"""
-WITH c AS ({out['contradictions']}), g AS ({out['glossary_terms']})
-SELECT c.*, g.definition AS empirical_key FROM c LEFT JOIN g ON lower(g.metric) = c.metric"""
+    out["contradictions"] = TQ.oracle_contradictions(out["statement_mining"], out["approval_flags"], out["bi_formula"], out["glossary_terms"])
     return out
 
 

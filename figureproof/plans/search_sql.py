@@ -40,7 +40,7 @@ seede AS (SELECT *, COALESCE(CASE WHEN reported = 0 THEN computed = 0 ELSE abs(c
 fin AS (SELECT report_id, metric, min(tier) AS decided FROM (SELECT report_id, metric, tier FROM seede WHERE ok AND tier = 1
         UNION ALL SELECT report_id, metric, 2 FROM t2e WHERE ok) GROUP BY report_id, metric),
 dec AS (SELECT g.report_id, g.metric, coalesce(f.decided, 3) AS decided FROM groups g LEFT JOIN fin f USING (report_id, metric)),
-csim AS (SELECT name AS metric, "table", "column", sim FROM m_sim JOIN idn USING (ident)),
+csim AS (SELECT name AS metric, "table", "column", sim FROM m_sim JOIN idn USING (ident) WHERE sim >= 0.15),
 cand12 AS (
   SELECT s.report_id, s.metric, s."table", s.key, s.tier, CASE WHEN s.op IS NULL THEN 'plain' ELSE 'pair' END AS kind, s.agg, s.c1, s.c2, s.op,
          CAST(NULL AS VARCHAR) AS fcol, CAST(NULL AS VARCHAR) AS fop, CAST(NULL AS VARCHAR) AS fval, s.t2, s.sim

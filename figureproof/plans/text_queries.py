@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prose as PR
+from ..operators import contradictions as CO
+from ..session import materialize
 from ..sources.tables import read_table
 from . import report as R
 
@@ -124,43 +126,40 @@ def glossary_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def approval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10/P12/F16 over every text of the corpus."""
+    return corpus(spark, sf_dir).select("doc", PR.approval("text").alias("approved"), _source_type().alias("source_type"),
+                                        PR.doc_date("text").alias("doc_date"))
+
+
+def _source_type() -> F.Column:
+    return (F.when(F.col("kind") == "report", F.lit("pdf_report"))
+             .when(PR.approval("text"), F.lit("brd_approved")).otherwise(F.lit("brd_draft")))
+
+
+def evidence_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every source says about a metric: sentences of the corpus and the
+    fields of the BI workbooks, as ``contradictions.STATEMENT``."""
+    from .workbook_queries import bi_formula
     c = corpus(spark, sf_dir)
-    approved = PR.approval("text")
-    stype = (F.when(F.col("kind") == "report", F.lit("pdf_report"))
-              .when(approved, F.lit("brd_approved")).otherwise(F.lit("brd_draft")))
-    return c.select("doc", approved.alias("approved"), stype.alias("source_type"),
-                    PR.doc_date("text").alias("doc_date"))
+    # only texts that state something are classed and dated
+    said = statements(c).select("doc", "metric_name", F.col("sentence").alias("definition"), "structure")
+    told = c.join(said.select("doc").distinct(), "doc", "left_semi").select(
+        "doc", _source_type().alias("source_type"), PR.doc_date("text").alias("source_date"))
+    prose = said.join(told, "doc").withColumnRenamed("doc", "source")
+    bi = bi_formula(spark, sf_dir).where("sql IS NOT NULL").select(
+        F.col("caption").alias("metric_name"), F.col("sql").alias("definition"), F.col("file").alias("source"),
+        F.lit(None).cast("string").alias("source_date"), F.lit("tableau_calc").alias("source_type"),
+        CO.expression_structure(F.col("sql")).alias("structure"))
+    return prose.select(*CO.STATEMENT).unionByName(bi.select(*CO.STATEMENT))
 
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements grouped by metric name (equal ignoring case,
-    or one name a word-suffix of the other: the shorter wins); a group with
-    more than one structure is a contradiction."""
-    st = statements(corpus(spark, sf_dir)).where(F.col("structure").isNotNull())
-    names = st.select(F.lower("metric_name").alias("lname")).distinct()
-    # every word suffix of a name that is a name itself: an equi-join, linear in the names
-    words = F.split("lname", " ")
-    suffixes = names.select("lname", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(
-        F.slice(words, i, F.size(words) - i + 1), " "))).alias("suffix"))
-    suf = (suffixes.join(names.select(F.col("lname").alias("suffix")), "suffix").groupBy("lname")
-           .agg(F.min_by("suffix", F.struct(F.length("suffix"), F.col("suffix"))).alias("gkey")))
-    g = st.withColumn("lname", F.lower("metric_name")).join(suf, "lname")
-    out = (g.groupBy("gkey").agg(
-        F.countDistinct("structure").alias("n_structures"),
-        F.count(F.lit(1)).alias("n_statements"),
-        F.array_join(F.array_sort(F.collect_set("structure")), ", ").alias("structures"),
-        # the documents of a metric are unbounded: count them, keep the first and last
-        F.countDistinct("doc").alias("n_sources"), F.min("doc").alias("first_source"),
-        F.max("doc").alias("last_source")))
-    found = (out.where("n_structures > 1")
-                .select(F.col("gkey").alias("metric"), F.col("n_statements").cast("bigint").alias("n_statements"),
-                        "structures", F.col("n_sources").cast("bigint").alias("n_sources"), "first_source",
-                        "last_source"))
-    # What fingerprinting found for the same metric (latest edition)
+    """All sides of every metric that sources define differently."""
     from .publish_queries import glossary_terms
-    emp = glossary_terms(spark, sf_dir).select(F.lower("metric").alias("metric"),
-                                               F.col("definition").alias("empirical_key"))
-    return found.join(emp, "metric", "left")
+    said = materialize(evidence_statements(spark, sf_dir), "statements-of-sources")
+    accepted = glossary_terms(spark, sf_dir).select("metric", F.col("definition").alias("key"), "band")
+    found = CO.find(said, accepted)
+    return found.select("metric", "structures", F.col("n_sides").cast("bigint").alias("n_sides"), "trust_rank", "trust", "source_type",
+                        "source", "source_date", "metric_name", "definition", "structure", "empirical_key", "empirical_band")
 
 
 # ----------------------------------------------------------------------- oracle
@@ -235,16 +234,6 @@ SELECT doc, regexp_matches(text, {_sq(PR.APPROVAL)}) AS approved,
             ELSE 'brd_draft' END AS source_type,
        coalesce({dates}) AS doc_date
 FROM corpus"""
-    out["contradictions"] = st + """,
-sv AS (SELECT * FROM stx WHERE structure IS NOT NULL),
-nm AS (SELECT DISTINCT lower(metric_name) AS lname, string_split(lower(metric_name), ' ')[-1] AS last FROM sv),
-suf AS (SELECT a.lname, arg_min(b.lname, (length(b.lname), b.lname)) AS gkey FROM nm a JOIN nm b
-        ON a.last = b.last AND (a.lname = b.lname OR ends_with(a.lname, ' ' || b.lname)) GROUP BY a.lname),
-g AS (SELECT sv.*, suf.gkey FROM sv JOIN suf ON suf.lname = lower(sv.metric_name))
-SELECT gkey AS metric, CAST(count(*) AS BIGINT) AS n_statements,
-       array_to_string(list_sort(list_distinct(list(structure))), ', ') AS structures,
-       CAST(count(DISTINCT doc) AS BIGINT) AS n_sources, min(doc) AS first_source, max(doc) AS last_source
-FROM g GROUP BY gkey HAVING count(DISTINCT structure) > 1"""
     return out
 
 
@@ -315,3 +304,39 @@ SELECT doc, metric_name, CAST(n_words AS BIGINT) AS n_words, CAST(n_matched AS B
        CASE WHEN kind = 'COUNT' THEN 'COUNT(DISTINCT ' || best_col || ')' ELSE kind || '(' || best_col || ')' END AS expression,
        "table", conf < {GROUNDING_FLOOR} AS ambiguous
 FROM r"""}
+
+
+# ----------------------------------------------------------------------- contradictions
+
+def oracle_contradictions(statement_sql: str, approval_sql: str, bi_sql: str, glossary_sql: str) -> str:
+    """All pairs of names; groups by walking the links from every name."""
+    from ..operators.trust import SOURCE_AUTHORITY
+    from .naming_sql import similarity_ctes
+    trust = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_AUTHORITY.items())
+    names = "SELECT lname AS name FROM alln"
+    return f"""WITH RECURSIVE smt AS ({statement_sql}), apr AS ({approval_sql}), bif AS ({bi_sql}), gls AS ({glossary_sql}),
+said AS (
+  SELECT DISTINCT s.metric_name, s.sentence AS definition, s.doc AS source, a.doc_date AS source_date, a.source_type, s.structure
+  FROM smt s JOIN apr a USING (doc)
+  UNION
+  SELECT caption, sql, file, CAST(NULL AS VARCHAR), 'tableau_calc',
+         CASE WHEN sql LIKE '% - %' THEN 'A - B' WHEN sql LIKE '% + %' THEN 'A + B' WHEN sql LIKE '% / %' THEN 'A / B' ELSE 'SUM(A)' END
+  FROM bif WHERE sql IS NOT NULL),
+nms AS (SELECT DISTINCT lower(metric_name) AS lname FROM said),
+alln AS (SELECT lname FROM nms UNION SELECT lower(metric) FROM gls)""" + similarity_ctes(
+        "c", names, "SELECT lname AS ident, CAST(NULL AS VARCHAR) AS description FROM alln") + f""",
+lnk AS (SELECT a.lname AS a, b.lname AS b FROM nms a, nms b WHERE ends_with(a.lname, b.lname)
+        UNION SELECT name, ident FROM c_f1 WHERE f1 >= 0.85 AND name IN (FROM nms) AND ident IN (FROM nms)),
+two AS (SELECT a, b FROM lnk UNION SELECT b, a FROM lnk),
+walk AS (SELECT lname AS a, lname AS b FROM nms UNION SELECT w.a, t.b FROM walk w JOIN two t ON w.b = t.a),
+grp AS (SELECT a AS lname, arg_min(b, (length(b), b)) AS metric FROM walk GROUP BY a),
+sid AS (SELECT s.*, g.metric, CAST(CASE s.source_type {trust} ELSE 0.0 END AS DOUBLE) AS trust FROM said s JOIN grp g ON g.lname = lower(s.metric_name)),
+spl AS (SELECT metric, array_to_string(list_sort(list_distinct(list(structure) FILTER (WHERE structure IS NOT NULL))), ', ') AS structures,
+               CAST(count(*) AS BIGINT) AS n_sides FROM sid GROUP BY metric HAVING count(DISTINCT structure) > 1),
+emp AS (SELECT m.metric, arg_min(g.definition, (lower(g.metric), g.definition)) AS empirical_key,
+               arg_min(g.band, (lower(g.metric), g.definition)) AS empirical_band
+        FROM spl m JOIN gls g ON lower(g.metric) = m.metric OR EXISTS (SELECT 1 FROM c_f1 f WHERE f.name = lower(g.metric) AND f.ident = m.metric AND f.f1 >= 0.85)
+        GROUP BY m.metric)
+SELECT metric, structures, n_sides, CAST(dense_rank() OVER (PARTITION BY metric ORDER BY trust DESC) AS INT) AS trust_rank, trust, source_type,
+       source, source_date, metric_name, definition, structure, empirical_key, empirical_band
+FROM sid JOIN spl USING (metric) LEFT JOIN emp USING (metric)"""
