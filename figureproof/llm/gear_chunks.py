@@ -1,22 +1,28 @@
 """Substring deduplication by content-defined chunks (operator 2).
 
 A gear rolling hash over the last 16 bytes is taken at every byte of a text.
-A word start is a cut where the two upper bits are zero, any character start
-where ten are zero (for texts without white space). So a cut depends on 16
-bytes alone, and an insertion moves no cut behind it. Chunks of at least
-``MIN_BYTES`` are keyed by 96 bits of their digest; smaller ones have no key
-and belong to a repeat only between two chunks that do.
+A word start is a cut where its hash is less than those of the two word starts
+before and the two behind it, any character start where ten upper bits are zero
+(for texts without white space). So a cut depends on the words nearby alone,
+chunks are three words at least between such cuts (and ``MAX_WORDS`` at most), and
+an insertion moves no cut further on. Chunks of at least ``MIN_BYTES`` are keyed by 96 bits of their digest;
+smaller ones have no key and belong to a repeat only between two chunks that do.
 
 A key that two doc_ids share is a repeat. Keys are counted with partial
 aggregation first, and only then joined with the chunks (a join whose hot keys
 adaptive execution splits), so no key's rows meet in one task. Consecutive
 repeated chunks of at least ``MIN_WORDS`` words in all are a repeated passage.
-The least doc_id keeps it, all others lose it.
+The least doc_id keeps it, all others lose it. A passage loses to both sides what
+lies outside of its whole chunks: of those of 30 words nine in ten are found,
+of 40 words and more practically all (measured in tests/llm/test_gear.py).
+
+A text is told apart from others of its doc_id by 64 bits of hash.
 
 Defined results: a null or empty text has no chunks; a null doc_id counts as
 less than all others; repeats within one doc_id, in one text or in several rows,
-are left alone (such rows are one document); a long text is processed whole;
-an empty table gives no rows; other columns are ignored, and kept by ``remove``.
+are left alone (such rows are one document); rows equal in id and text are looked
+at once and all get the result; a long text is processed whole; an empty table gives
+no rows; other columns are ignored, and kept by ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import text_bytes
+from .arrow_text import text_bytes, text_slices
 
-MIN_BYTES = 20
+MIN_BYTES = 12
 MIN_WORDS = 16
-#: Upper bits that are zero at a cut: at a word start, and elsewhere.
-WORD_BITS, ANY_BITS = 2, 10
+#: Word starts to both sides that have a greater hash than a cut, and upper bits that are zero at a cut elsewhere.
+NEAR_WORDS, ANY_BITS = 2, 10
+#: Words from a cut to the next one at most, so that words repeated over and over are cut as well.
+MAX_WORDS = 12
 #: Text bytes that are looked at in one go.
 SLICE_BYTES = 4 << 20
 _WINDOW = 16
@@ -62,14 +70,27 @@ def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     word[starts[starts < ends]] = ~white[starts[starts < ends]]
     h = gear(data)
     at = np.zeros(len(data), bool)
-    before = h[:-1]
-    at[1:] = ((before >> np.uint32(32 - ANY_BITS)) == 0) & ((data[1:] & 0xC0) != 0x80)
-    at[1:] |= word[1:] & ((before >> np.uint32(32 - WORD_BITS)) == 0)
+    at[1:] = ((h[:-1] >> np.uint32(32 - ANY_BITS)) == 0) & ((data[1:] & 0xC0) != 0x80)
     for k in range(_WINDOW):  # a cut's 16 bytes are the row's own
         near = starts + k
         at[near[near < ends]] = False
-    at[starts[starts < ends]] = True
-    return np.flatnonzero(at), np.flatnonzero(word)
+    own = starts[starts < ends]
+    words = np.flatnonzero(word)
+    row = np.searchsorted(own, words, side="right") - 1
+    least = words - own[row] >= _WINDOW
+    value = np.where(least, h[np.maximum(words, 1) - 1], np.uint32(0xFFFFFFFF))
+    for k in range(1, NEAR_WORDS + 1):
+        apart = row[k:] != row[:-k]
+        least[k:] &= apart | (value[k:] < value[:-k])
+        least[:-k] &= apart | (value[:-k] <= value[k:])
+    at[words[least]] = True
+    # words since the last such cut, or the row's start
+    number = np.arange(len(words))
+    first = np.append(True, row[1:] != row[:-1]) if len(row) else least
+    since = number - np.maximum.accumulate(np.where(least | first, number, 0))
+    at[words[(since > 0) & (since % MAX_WORDS == 0)]] = True
+    at[own] = True
+    return np.flatnonzero(at), words
 
 
 def chunks(column: pa.Array):
@@ -93,23 +114,12 @@ def chunks(column: pa.Array):
     return row, np.arange(len(row)) - first, at - starts[row], stop - at, w, got
 
 
-_CHUNK_DDL = "hi bigint, lo int, doc_id bigint, crc int, seq int, pos int, len int, words int"
-
-
-def _slices(batches):
-    """Batches of about ``SLICE_BYTES`` of text, so that the arrays over their bytes stay small."""
-    for b in batches:
-        _, starts, ends = text_bytes(b.column(1))
-        size, at = np.cumsum(ends - starts), 0
-        while at < b.num_rows:
-            before = size[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
-            yield b.slice(at, stop - at)
-            at = stop
+# place: seq << 32 | pos, extent: len << 32 | words (few wide columns keep the shuffled rows short)
+_CHUNK_DDL = "hi bigint, lo int, doc_id bigint, tid bigint, place bigint, extent bigint"
 
 
 def _chunk_rows(batches):
-    for b in _slices(batches):
+    for b in text_slices(batches, 1, SLICE_BYTES):
         got = chunks(b.column(1))
         if got is None:
             continue
@@ -118,18 +128,15 @@ def _chunk_rows(batches):
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key[:, 0].astype(np.int64)), pa.array((key[:, 1] >> 32).astype(np.int32)),
-             b.column(0).take(take), b.column(2).take(take), pa.array(seq.astype(np.int32)), pa.array(pos.astype(np.int32)),
-             pa.array(length.astype(np.int32)), pa.array(words.astype(np.int32))],
-            names=["hi", "lo", "doc_id", "crc", "seq", "pos", "len", "words"])
-
-
-def _crc(text):
-    return (F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)) - F.lit(1 << 31)).cast("int")
+             b.column(0).take(take), b.column(2).take(take), pa.array(seq.astype(np.int64) << 32 | pos),
+             pa.array(length.astype(np.int64) << 32 | words)], names=["hi", "lo", "doc_id", "tid", "place", "extent"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text"), _crc(text_col).alias("crc"))
+    """(doc_id, text, tid, row): the text's identity within its doc_id, and the input row as a struct."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"),
+                       F.xxhash64(text).alias("tid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
 def _runs(found: list, min_words: int) -> dict:
@@ -164,9 +171,9 @@ def _runs(found: list, min_words: int) -> dict:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-_PASSAGES = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("shared_words", pa.int64()), ("spans", _SPAN),
+_PASSAGES = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("shared_words", pa.int64()), ("spans", _SPAN),
                        ("removed", _SPAN), ("first_docs", pa.list_(pa.int64()))])
-_PASSAGES_DDL = ("doc_id bigint, crc int, shared_words bigint, spans array<struct<start:int,stop:int>>,"
+_PASSAGES_DDL = ("doc_id bigint, tid bigint, shared_words bigint, spans array<struct<start:int,stop:int>>,"
                  " removed array<struct<start:int,stop:int>>, first_docs array<bigint>")
 
 
@@ -174,53 +181,56 @@ def _passage_rows(batches, min_words: int):
     for b in batches:
         out = []
         for r in b.to_pylist():
-            found = {(c["seq"], c["pos"], c["len"], c["words"], c["first"], c["first"] == r["doc_id"]) for c in r["found"]}
-            got = _runs(list(found), min_words)
+            low = 0xFFFFFFFF
+            found = [(c["place"] >> 32, c["place"] & low, c["extent"] >> 32, c["extent"] & low, c["first"], c["first"] == r["doc_id"])
+                     for c in r["found"]]
+            got = _runs(found, min_words)
             if got["spans"]:
-                out.append({"doc_id": r["doc_id"], "crc": r["crc"], **got})
+                out.append({"doc_id": r["doc_id"], "tid": r["tid"], **got})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_PASSAGES)
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts with repeated passages: doc_id (null: the least long), crc, their byte spans, those to remove, the keepers' ids."""
-    found = _rows(docs, id_col, text_col).mapInArrow(_chunk_rows, _CHUNK_DDL)
+    """Texts with repeated passages: doc_id (null: the least long), tid, their byte spans, those to remove, the keepers' ids.
+
+    A text's chunks are gathered as a set, so that rows equal in id and text count once.
+    """
+    found = _rows(docs, id_col, text_col).select("doc_id", "text", "tid").mapInArrow(_chunk_rows, _CHUNK_DDL)
     repeated = (found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                 .filter("first < last").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first"))
     hits = found.join(repeated, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
-    per_text = hits.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("seq", "pos", "len", "words", "first")).alias("found"))
+    per_text = hits.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("place", "extent", "first")).alias("found"))
     return per_text.mapInArrow(lambda it: _passage_rows(it, min_words), _PASSAGES_DDL)
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: how much of its text is repeated in other documents, where, and what would go."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _crc(text_col).alias("crc"),
-                        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
-    found = passages(docs, min_words, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "__id", "crc": "__crc"})
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = passages(plain, min_words, id_col="id")
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    joined = texts.join(found, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("__id")) & (F.col("crc") == F.col("__crc")), "left")
-    return joined.select(
-        "doc_id", "n_bytes", F.coalesce("shared_words", F.lit(0)).alias("shared_words"), F.col("spans").isNotNull().alias("repeated"),
+    rows = _rows(plain, "id", "text").select(
+        "doc_id", "tid", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    named = found.withColumnsRenamed({"doc_id": "i", "tid": "t"})
+    return rows.join(named, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left").select(
+        F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_bytes", F.coalesce("shared_words", F.lit(0)).alias("shared_words"),
+        F.col("spans").isNotNull().alias("repeated"),
         F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]), F.lit(0).cast("long")).alias("removed_bytes"),
         F.coalesce("spans", none).alias("spans"), F.coalesce("removed", none).alias("removed"),
         F.transform(F.coalesce("first_docs", F.array().cast("array<bigint>")), lambda i: F.nullif(i, F.lit(_NO_ID))).alias("first_docs"))
 
 
-def _cut(batches, at: int, schema: pa.Schema):
+def _cut(batches):
+    """Rows of (row, text, spans) -> (row, text without the spans)."""
     for b in batches:
         texts = []
-        for text, spans in zip(b.column(at), b.column(b.num_columns - 1).to_pylist()):
-            raw, keep, last = text.as_py(), [], 0
-            if spans and raw is not None:
-                raw = raw.encode("utf-8")
-                for s in spans:
-                    keep.append(raw[last:s["start"]])
-                    last = s["stop"]
-                raw = b"".join([*keep, raw[last:]]).decode("utf-8")
-            texts.append(raw)
-        cols = [*b.columns[:-1]]
-        cols[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+        for text, spans in zip(b.column(1), b.column(2).to_pylist()):
+            raw, keep, last = text.as_py().encode("utf-8"), [], 0
+            for s in spans:
+                keep.append(raw[last:s["start"]])
+                last = s["stop"]
+            texts.append(b"".join([*keep, raw[last:]]).decode("utf-8"))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text",
@@ -230,12 +240,16 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id
     ``length_col``, if given, becomes the number of characters of the new text.
     """
     found = (passages(docs, min_words, id_col=id_col, text_col=text_col).filter(F.size("removed") > 0)
-             .select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"), F.col("removed").alias("__removed")))
-    joined = docs.join(found, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__id"))
-                       & (_crc(text_col) == F.col("__crc")), "left").drop("__id", "__crc")
-    at = docs.columns.index(text_col)
-    changed = joined.filter("__removed is not null").mapInArrow(lambda it: _cut(it, at, None), docs.schema)
-    changed = changed.filter(F.col(text_col).rlike(r"\S"))
-    if length_col:
-        changed = changed.withColumn(length_col, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType))
-    return joined.filter("__removed is null").drop("__removed").unionByName(changed)
+             .select(F.col("doc_id").alias("i"), F.col("tid").alias("t"), "removed"))
+    joined = _rows(docs, id_col, text_col).join(found, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left")
+    row = joined.schema["row"].dataType.simpleString()
+    changed = (joined.filter("removed is not null").select("row", "text", "removed").mapInArrow(_cut, f"row {row}, text string")
+               .filter(F.col("text").rlike(r"\S")))
+    types = docs.schema
+
+    def of(c):
+        if c == text_col:
+            return F.col("text").cast(types[c].dataType)
+        return F.char_length("text").cast(types[c].dataType) if c == length_col else F.col("row")[c]
+    whole = joined.filter("removed is null").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return whole.unionByName(changed.select(*[of(c).alias(c) for c in docs.columns]))

@@ -88,7 +88,7 @@ def test_repeated_passages_are_found_and_left_once(spark):
 def test_slices_of_a_batch(monkeypatch):
     rng = random.Random(2)
     batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([words(rng, 60) for _ in range(50)]),
-                             pa.array([0] * 50, pa.int32())], names=["doc_id", "text", "crc"])
+                             pa.array([0] * 50, pa.int64())], names=["doc_id", "text", "tid"])
     whole = [r for b in G._chunk_rows([batch]) for r in b.to_pylist()]
     monkeypatch.setattr(G, "SLICE_BYTES", 900)
     assert [r for b in G._chunk_rows([batch]) for r in b.to_pylist()] == whole
@@ -100,7 +100,43 @@ def test_insertion_moves_no_later_cut():
     b = "new words in front " + a
     def keys(t):
         return {G.chunks(pa.array([t]))[5][16 * i:16 * i + 16] for i in range(len(G.chunks(pa.array([t]))[0]))}
-    assert len(keys(a) - keys(b)) <= 2
+    assert len(keys(a) - keys(b)) <= 3
+
+
+def longest_shared(a, b):
+    """Words of the longest run of consecutive chunks of ``a`` that ``b`` has as well."""
+    def of(t):
+        _, seq, _, _, w, digest = G.chunks(pa.array([t]))
+        return [(int(w[k]), digest[16 * k:16 * k + 12]) for k in range(len(seq))]
+    theirs, best, run = {k for _, k in of(b)}, 0, 0
+    for w, k in of(a):
+        run = run + w if k in theirs else 0
+        best = max(best, run)
+    return best
+
+
+def test_recall_by_passage_length():
+    rng, found = random.Random(17), {}
+    for n in (16, 20, 25, 30, 40, 51):
+        hits = 0
+        for _ in range(200):
+            p = words(rng, n)
+            a, b = (" ".join([words(rng, rng.randint(20, 80)), p, words(rng, rng.randint(20, 80))]) for _ in range(2))
+            hits += longest_shared(a, b) >= G.MIN_WORDS
+        found[n] = hits / 200
+    assert found[30] >= 0.85 and found[40] >= 0.97 and found[51] >= 0.99, found
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rng = random.Random(23)
+    p, other = words(rng, 60), words(rng, 60)
+    rows = [(1, p), (5, "in front " + p), (5, other), (None, other + " end"), (None, words(rng, 40))] + [(9, p + " tail")] * 40
+    docs = spark.createDataFrame(rows, "__id long, __removed string")
+    got = {(r["__id"], len(r["__removed"].split())) for r in G.remove(docs, id_col="__id", text_col="__removed").collect()}
+    whole = {(1, 60), (None, 61), (None, 40)}
+    assert whole <= got and all(n < 20 for i, n in got - whole if i == 5 or i == 9)
+    named = spark.createDataFrame([(1, p), (5, p + " x"), (5, other)], "i long, row string")
+    assert {(r.i, len(r.row.split())) for r in G.remove(named, id_col="i", text_col="row").collect()} >= {(1, 60), (5, 60)}
 
 
 def test_awkward_rows(spark):
