@@ -28,9 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import MapType
 
-from .common import keep
+from .common import hash128, keep
 from .components import components
 
 SEED = 42
@@ -84,12 +84,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long."""
+    return _prints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle)
+
+
+def _prints(rows: DataFrame, shingle: int) -> DataFrame:
+    """Columns of longs and, last, a text -> the longs and the text's fingerprint as ``fp``."""
+    kept = rows.columns[:-1]
+
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id bigint, fp bigint"))
+                [*b.columns[:-1], pa.array([fingerprint(t.as_py(), shingle) for t in b.columns[-1]], pa.int64())], names=[*kept, "fp"])
+    return rows.mapInArrow(run, ", ".join([*(f"{c} bigint" for c in kept), "fp bigint"]))
 
 
 def _budget(length: int, max_bits: int) -> int:
@@ -213,26 +219,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
                     text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: the least doc_id that its fingerprint reaches by links."""
     prints = keep(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes, max_bits))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = keep(rooted, "simhash-roots")
+    rooted = _rooted(prints, max_bits)
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, root): every fingerprint with its least doc_id and the least fingerprint of its component."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(links(nodes, max_bits))
+    return keep(nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
+                "simhash-roots")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, *, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the first document of each component; all columns stay.
+    """``docs`` with one row of each component of fingerprints; all columns stay.
 
-    First is the least doc_id; of several rows with that id, the one whose text has the least hash.
+    It is the row with the least doc_id (rows without one come last), the least hash of the text and the least hash
+    of all columns; of rows that are equal in all of this, one. Rows of one doc_id, and rows without, are told apart by
+    their texts: those in different components all stay.
     """
-    kept = (near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
-            .filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    return rows.withColumn("__row", F.row_number().over(one)).filter("__row = 1").drop("__row")
+    hashed = [docs[c] for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
+    t1, t2 = hash128(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.xxhash64(*hashed).alias("r"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    prints = keep(_prints(rows.select("doc_id", "t1", "t2", "r", "text"), shingle), "simhash")
+    rooted = _rooted(prints, max_bits).select(F.col("fp").alias("f"), "root")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2", "r")
+    # minima with partial aggregation: no component's rows meet in one task
+    first = (prints.groupBy("fp").agg(F.min(own).alias("own")).join(rooted, F.col("fp") == F.col("f"))
+             .groupBy("root").agg(F.min("own").alias("own")))
+    kept = first.select(F.col("own.doc_id").alias("i"), F.col("own.t1").alias("h1"), F.col("own.t2").alias("h2"), F.col("own.r").alias("hr"))
+    held = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2"))
+                     & (F.col("r") == F.col("hr")), "left_semi")
+    one = held.dropDuplicates(["doc_id", "t1", "t2", "r"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def hex16(col):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,7 +54,6 @@ def test_fingerprint(text):
 
 
 def test_hash_is_that_of_spark(spark):
-    from pyspark.sql import functions as F
     v = spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0]
     assert v & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c d", seed=42)
 
@@ -108,7 +108,18 @@ def test_awkward_rows(spark):
     by = {(r.doc_id, r.fp): r.component_id for r in got}
     assert by[(3, 0)] == by[(4, 0)] == by[(1, 0)] == 1 and {r.component_id for r in got if r.doc_id == 5} == {2}
     kept = S.keep_one(docs)
-    assert set(kept.columns) == set(docs.columns)
-    ids = sorted(r.doc_id or -1 for r in kept.collect())
-    assert ids == [-1, 1, 2, 7, 9, 12]
-    assert S.near_duplicates(docs.limit(0)).count() == 0
+    assert kept.columns == docs.columns
+    # one row of each component: all rows of AWKWARD that have a text of their own stay, whatever their id
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted(
+        (i or -1, t or "") for i, t in [AWKWARD[8], AWKWARD[6], AWKWARD[4], *AWKWARD[7:8], AWKWARD[3], *AWKWARD[9:]])
+    assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    rows = [(i, text()) for i in (None, None, None, 7, 7, 8)]
+    rows += [(9, rows[0][1]), (9, rows[0][1]), (3, rows[4][1]), (None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, row string").withColumn("r", F.lit(1))
+    got = sorted(((r.doc_id or -1, r.row) for r in S.keep_one(docs, text_col="row").collect()))
+    assert got == sorted([(9, rows[0][1]), (-1, rows[1][1]), (-1, rows[2][1]), (7, rows[3][1]), (3, rows[4][1]), (8, rows[5][1])])
