@@ -18,8 +18,7 @@ def brute(text):
                 start = body[:m.start()].count(" ") - 1
                 found.append((start, start + m.group().count(" ") + 1, p, n, label, c, base))
     kept = [a for a in found if a[6] or not any(
-        b[0] <= a[0] and a[1] <= b[1] and b[2] >= a[2] and b != a
-        and ((b[0], b[1]) != (a[0], a[1]) or b[2] > a[2] or b[3] < a[3]) for b in found)]
+        b[0] <= a[0] and a[1] <= b[1] and ((b[0], b[1]) != (a[0], a[1]) or (b[2], -b[3]) > (a[2], -a[3])) for b in found)]
     at = []
     for phrase, label in S.BASE:
         p = phrase.split(" ")
@@ -58,6 +57,19 @@ def test_labels(spark):
     assert got[108] == "mpl-2" and got[100] == "apache-2,cc-by-nc,cc-by-nc-sa,mit"
 
 
+def test_names_and_sentences_of_licenses(spark):
+    texts = ["GPLv3", "GNU GENERAL PUBLIC LICENSE Version 3", "Permission is hereby granted, free of charge, to any person obtaining a copy"
+             " of this software and associated documentation files (the Software)", "Redistribution and use in source and binary forms,"
+             " with or without modification, are permitted provided that the following conditions are met", "a general idea of the library"]
+    got = {r.doc_id: r.labels for r in S.report(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "gpl-3", 1: "gpl-3", 2: "mit", 3: "bsd", 4: ""}
+
+
+def test_unnamed_texts_are_told_apart(spark):
+    got = S.report(table(spark, [(None, "under the MIT license"), (None, "nothing at all"), (3, "CC BY-NC"), (3, "plain")])).collect()
+    assert sorted((r.doc_id or 0, r.n_base, r.labels) for r in got) == [(0, 0, ""), (0, 1, "mit"), (3, 0, ""), (3, 1, "cc-by-nc")]
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(Q.op9_license_scan(spark, SF)) == sorted([(i, *brute(t)) for i, t in docs], key=repr)
