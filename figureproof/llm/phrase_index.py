@@ -19,7 +19,8 @@ shuffled with their texts.
 
 Defined results: null and empty texts have no words; an item without words has
 no window; items with equal ids count once; a null item_id is left out; null and
-repeated doc_ids are kept, one row per input row; a very long text is a shard of
+repeated doc_ids are kept, one row per input row, told apart by 128 bits of hash of
+their texts where rows are removed; a very long text is a shard of
 its own; an empty table on either side gives no rows, or rows without hits;
 other columns are ignored, and kept by ``remove_contaminated``.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import text_bytes
-from .common import keep
+from .common import hash128, keep
 
 WINDOW = 13
 SLACK = 2
@@ -98,9 +99,9 @@ class Words:
         return [self.hashes[a:b] for a, b in zip(self.at[:-1], self.at[1:])]
 
 
-_INDEX_DDL = ("shard bigint, doc_ids array<bigint>, crcs array<int>, n_words array<int>, terms array<bigint>,"
+_INDEX_DDL = ("shard bigint, doc_ids array<bigint>, t1s array<bigint>, t2s array<bigint>, n_words array<int>, terms array<bigint>,"
               " counts array<int>, places binary")
-_INDEX = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("crcs", pa.list_(pa.int32())),
+_INDEX = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("t1s", pa.list_(pa.int64())), ("t2s", pa.list_(pa.int64())),
                     ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
                     ("places", pa.binary())])
 
@@ -137,22 +138,18 @@ def _shards(batches, vocabulary: np.ndarray | None, shard_bytes: int):
             terms, places = terms[order], places[order]
             kept, first = np.unique(terms, return_index=True)
             yield pa.RecordBatch.from_pylist([{
-                "shard": part << 32 | k, "doc_ids": rows.column(0).to_pylist(), "crcs": rows.column(2).to_pylist(),
-                "n_words": n_words.tolist(), "terms": kept.tolist(),
+                "shard": part << 32 | k, "doc_ids": rows.column(0).to_pylist(), "t1s": rows.column(2).to_pylist(),
+                "t2s": rows.column(3).to_pylist(), "n_words": n_words.tolist(), "terms": kept.tolist(),
                 "counts": np.diff(np.append(first, len(terms))).tolist(), "places": places.astype("<i4").tobytes()}], schema=_INDEX)
             at, k = stop, k + 1
 
 
-def crc(text: str):
-    return (F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)) - F.lit(1 << 31)).cast("int")
-
-
 def build_index(docs: DataFrame, vocabulary=None, *, id_col: str = "doc_id", text_col: str = "text",
                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the index of all words, or of the hashed words in ``vocabulary``, to the shared folder."""
     words = None if vocabulary is None else np.unique(np.asarray(vocabulary, np.int64))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       crc(text_col).alias("crc"))
+    t1, t2 = hash128(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), t1.alias("t1"), t2.alias("t2"))
     return keep(rows.mapInArrow(lambda it: _shards(it, words, shard_bytes), _INDEX_DDL), "phrase-index")
 
 
@@ -282,7 +279,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = SLACK, *, id_col: str = "doc_id",
                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                 shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, crc, n_words, n_hit, n_items, items_sha256, n_near_items.
+    """One row per input row: doc_id, t1, t2 (the text's hashes), n_words, n_hit, n_items, items_sha256, n_near_items.
 
     Items found by proximity have a window whose words all stand within ``slack`` places of where they should.
     """
@@ -297,17 +294,17 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack:
         hits = index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(
             lambda it, p=phrases: _lookup(it, p, slack),
             "shard bigint, ord int, spans array<int>, items array<string>, near array<string>")
-        listed = index.select("shard", "doc_ids", "crcs", "n_words") if out is None else listed
+        listed = index.select("shard", "doc_ids", "t1s", "t2s", "n_words") if out is None else listed
         out = hits if out is None else out.unionByName(hits)
     # the shards of all blocks are cut alike: same input, same bytes
     merged = (out.groupBy("shard", "ord").agg(*[F.collect_list(c).alias(c) for c in ("spans", "items", "near")])
               .mapInArrow(_verdict, "shard bigint, ord int, n_hit bigint, n_items bigint, items_sha256 string, n_near_items bigint"))
-    rows = (listed.select("shard", F.posexplode(F.arrays_zip("doc_ids", "crcs", "n_words")).alias("ord", "d"))
-            .select("shard", "ord", "d.doc_ids", "d.crcs", "d.n_words"))
+    rows = (listed.select("shard", F.posexplode(F.arrays_zip("doc_ids", "t1s", "t2s", "n_words")).alias("ord", "d"))
+            .select("shard", "ord", "d.doc_ids", "d.t1s", "d.t2s", "d.n_words"))
     none = hashlib.sha256(b"").hexdigest()
     zero = F.lit(0).cast("long")
     return rows.join(merged, ["shard", "ord"], "left").select(
-        F.col("doc_ids").alias("doc_id"), F.col("crcs").alias("crc"), F.col("n_words").cast("long").alias("n_words"),
+        F.col("doc_ids").alias("doc_id"), F.col("t1s").alias("t1"), F.col("t2s").alias("t2"), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), F.coalesce("n_near_items", zero).alias("n_near_items"))
 
@@ -318,6 +315,10 @@ def contaminated():
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` without the rows of which test windows cover a twentieth of the words or more."""
+    t1, t2 = hash128(F.col(text_col))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"),
+                        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     bad = (occurrences(docs, items, id_col=id_col, text_col=text_col, **kwargs).filter(contaminated())
-           .select(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).distinct())
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (crc(text_col) == F.col("__crc")), "left_anti")
+           .select(F.col("doc_id").alias("i"), F.col("t1").alias("h1"), F.col("t2").alias("h2")).distinct())
+    left = named.join(bad, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
