@@ -6,6 +6,13 @@
    document of which nothing is left goes. ``n_chars`` follows the text.
 4. decontamination: documents of which benchmark windows cover a twentieth go.
 5. packing: the rest is packed into training sequences; the rows are the pieces.
+
+Each stage bears what its operator bears: null and repeated doc_ids, null, empty
+and very long texts, ties, repeated rows, empty tables and further columns, with
+the results that the operator's docstring states. Rows of one doc_id are told apart
+by their texts; of rows equal in all columns the SimHash stage keeps one. Null and
+empty texts are equal there: one such row stays. All stages but packing return the
+columns they were given.
 """
 
 from __future__ import annotations
@@ -16,6 +23,10 @@ from figureproof.llm import best_fit, deobfuscate, gear_chunks, phrase_index, si
 from figureproof.llm.common import keep
 
 
+#: Words that the whole chunks of a repeated passage have at least: passages of about 40 words and more are found.
+SUBSTRING_WORDS = 24
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deobfuscate.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -25,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return gear_chunks.remove(docs, length_col="n_chars")
+    return gear_chunks.remove(docs, SUBSTRING_WORDS, length_col="n_chars")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
