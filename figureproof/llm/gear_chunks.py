@@ -132,11 +132,14 @@ def _chunk_rows(batches):
              pa.array(length.astype(np.int64) << 32 | words)], names=["hi", "lo", "doc_id", "tid", "place", "extent"])
 
 
+def _tid(text_col: str):
+    """A text's identity within its doc_id."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, tid, row): the text's identity within its doc_id, and the input row as a struct."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"),
-                       F.xxhash64(text).alias("tid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       _tid(text_col).alias("tid"))
 
 
 def _runs(found: list, min_words: int) -> dict:
@@ -196,7 +199,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_
 
     A text's chunks are gathered as a set, so that rows equal in id and text count once.
     """
-    found = _rows(docs, id_col, text_col).select("doc_id", "text", "tid").mapInArrow(_chunk_rows, _CHUNK_DDL)
+    found = _rows(docs, id_col, text_col).mapInArrow(_chunk_rows, _CHUNK_DDL)
     repeated = (found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                 .filter("first < last").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first"))
     hits = found.join(repeated, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
@@ -206,10 +209,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: how much of its text is repeated in other documents, where, and what would go."""
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = passages(plain, min_words, id_col="id")
+    found = passages(docs, min_words, id_col=id_col, text_col=text_col)
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    rows = _rows(plain, "id", "text").select(
+    rows = _rows(docs, id_col, text_col).select(
         "doc_id", "tid", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     named = found.withColumnsRenamed({"doc_id": "i", "tid": "t"})
     return rows.join(named, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left").select(
@@ -220,17 +222,13 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id
         F.transform(F.coalesce("first_docs", F.array().cast("array<bigint>")), lambda i: F.nullif(i, F.lit(_NO_ID))).alias("first_docs"))
 
 
-def _cut(batches):
-    """Rows of (row, text, spans) -> (row, text without the spans)."""
-    for b in batches:
-        texts = []
-        for text, spans in zip(b.column(1), b.column(2).to_pylist()):
-            raw, keep, last = text.as_py().encode("utf-8"), [], 0
-            for s in spans:
-                keep.append(raw[last:s["start"]])
-                last = s["stop"]
-            texts.append(b"".join([*keep, raw[last:]]).decode("utf-8"))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+def _without(text, removed):
+    """The text without the byte spans ``removed``, which are in order: what lies between them, put together."""
+    raw = text.cast("binary")
+    starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r["stop"]))
+    stops = F.concat(F.transform(removed, lambda r: r["start"]), F.array(F.octet_length(text)))
+    return F.transform(F.array(raw), lambda b: F.array_join(F.zip_with(
+        starts, stops, lambda s, e: F.substring(b, s + 1, e - s).cast("string")), ""))[0]
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text",
@@ -241,15 +239,14 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id
     """
     found = (passages(docs, min_words, id_col=id_col, text_col=text_col).filter(F.size("removed") > 0)
              .select(F.col("doc_id").alias("i"), F.col("tid").alias("t"), "removed"))
-    joined = _rows(docs, id_col, text_col).join(found, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left")
-    row = joined.schema["row"].dataType.simpleString()
-    changed = (joined.filter("removed is not null").select("row", "text", "removed").mapInArrow(_cut, f"row {row}, text string")
-               .filter(F.col("text").rlike(r"\S")))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), _tid(text_col).alias("tid"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(found, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left")
+    text = F.col("row")[text_col].cast("string")
+    left = joined.select("row", F.when(F.col("removed").isNotNull(), _without(text, F.col("removed"))).alias("new"))
     types = docs.schema
 
     def of(c):
-        if c == text_col:
-            return F.col("text").cast(types[c].dataType)
-        return F.char_length("text").cast(types[c].dataType) if c == length_col else F.col("row")[c]
-    whole = joined.filter("removed is null").select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    return whole.unionByName(changed.select(*[of(c).alias(c) for c in docs.columns]))
+        value = {text_col: F.col("new"), length_col: F.char_length("new")}.get(c)
+        return F.col("row")[c] if value is None else F.when(F.col("new").isNotNull(), value.cast(types[c].dataType)).otherwise(F.col("row")[c])
+    return left.filter(F.col("new").isNull() | F.col("new").rlike(r"\S")).select(*[of(c).alias(c) for c in docs.columns])
