@@ -1,9 +1,6 @@
-"""Statement-log text functions (S5, P11, F21-F23) as native regex
-expressions. Patterns are valid in both Java regex and RE2 (no lookaround,
-no backreferences).
-
-This is text mining of single-level statements, not a SQL parser: a
-statement with a subquery or CTE is flagged ``approximate``.
+"""Statement-log text functions (S5, P11, F21) as native expressions: splitting,
+classing, literal-free shapes. What is inside a statement, functions/scopes.py
+finds out.
 """
 
 from __future__ import annotations
@@ -20,23 +17,8 @@ AGGREGATES = ["sum", "count", "avg", "min", "max", "median", "mode", "quantile",
               "any_value", "array_agg", "string_agg", "listagg", "approx_count_distinct", "count_if", "bool_and", "bool_or"]
 _AGG = r"(?i)\b(" + "|".join(AGGREGATES) + ")"
 AGG_NAME = _AGG + r"\s*\("
-# a call with its argument text; one level of brackets inside it
-AGG_CALL = _AGG + r"\s*\(\s*(distinct\s+)?((?:[^()]|\([^()]*\))*)\)"
-COLUMN_REF = r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\b(?!\s*[(.])"
-FROM_TABLE = r"(?i)\b(from|join)\s+([a-z_][a-z0-9_]*)(\s+(as\s+)?([a-z_][a-z0-9_]*))?"
-# clauses of a statement whose white space is flattened
-CLAUSE_END = r"\s*(?:\bgroup by\b|\border by\b|\bhaving\b|\blimit\b|\bunion\b|\bintersect\b|\bexcept\b|$)"
-GROUP_BY = r"(?i)\bgroup by (.*?)" + CLAUSE_END
-WHERE = r"(?i)\bwhere (.*?)" + CLAUSE_END
 SET_OPERATION = r"(?i)\b(union|intersect|except)\b"
-# levels of brackets that are looked into for a set operation
-BRACKET_DEPTH = 12
 SELECT_START = r"(?is)^\s*(with|select)\b"
-# words that stand where a column could
-NO_COLUMN = ["and", "or", "not", "in", "is", "null", "like", "between", "case", "when", "then", "else", "end", "as", "distinct",
-             "true", "false", "asc", "desc", "exists", "select", "from", "date", "timestamp", "interval", "cast"]
-ALIAS_KEYWORDS = ["where", "group", "order", "join", "on", "inner", "left", "right", "full",
-                  "cross", "limit", "having", "union"]
 
 
 def _c(x) -> Column:
@@ -77,11 +59,15 @@ def without_literals(sql) -> Column:
 
 
 def set_operation(sql) -> Column:
-    """A UNION, INTERSECT or EXCEPT outside of all brackets."""
-    s = without_literals(sql)
-    for _ in range(BRACKET_DEPTH):
-        s = F.regexp_replace(s, r"\([^()]*\)", " ")
-    return s.rlike(SET_OPERATION)
+    """A UNION, INTERSECT or EXCEPT outside of all brackets: the parts between
+    brackets are looked at in turn, with the depth of each."""
+    parts = F.split(without_literals(sql), r"(?=[()])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"))
+
+    def step(acc, part):
+        depth = acc["depth"] + F.when(part.startswith("("), 1).when(part.startswith(")"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["found"] | ((depth == 0) & part.rlike(SET_OPERATION))).alias("found"))
+    return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
 def parsable(sql) -> Column:
@@ -102,17 +88,6 @@ def classify(sql) -> Column:
              .otherwise("noise"))
 
 
-def approximate(sql) -> Column:
-    """Subqueries / CTEs are outside the single-level grammar."""
-    s = _c(sql)
-    return s.rlike(r"(?is)^\s*with\b") | s.rlike(r"(?is)\(\s*select\b")
-
-# A JOIN with its whole ON clause, and the equalities of columns inside.
-JOIN_ON = (r"(?i)\b((?:(?:left|right|full|inner|cross) )?(?:outer )?)join ([a-z_][a-z0-9_]*)"
-           r"(?: (?:as )?(?!on\b|using\b)[a-z_][a-z0-9_]*)? on (.*?)"
-           r"(?=\s+(?:left|right|full|inner|cross|join|where|group|order|having|limit|union)\b|$)")
-EQUALITY = (r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\s*=\s*"
-            r"(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\b(?!\s*[(.])")
 # A candidate key ``AGG(T.C) [op AGG(T.C)] [WHERE C op 'V']``
 # (F20), read as the expression before `` WHERE `` and the predicate after.
 KEY_EXPR = (r"^(SUM|COUNT|AVG)\(([A-Z0-9_]+)\.([A-Z0-9_]+|\*)\)"

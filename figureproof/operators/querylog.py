@@ -3,9 +3,10 @@ aggregate calls, dimensions and joins resolved to catalog columns.
 
 The log itself is read once: split, classed, hashed and rolled up by shape with
 partial aggregation. Everything else works on the shapes, one row each, through
-their first statement; counts are weighted by the executions of the shape. The
-tables and aliases of a statement travel with each of its references as an
-array, so a reference is resolved within its row and meets only the catalog.
+their first statement; counts are weighted by the executions of the shape. A
+statement's scopes and their tables are arrays of its row (functions/scopes.py): a
+reference takes along the tables it may mean, those of its own scope first, then
+those of the scopes around it, and meets only the catalog.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scopes as SC
 from ..functions import sqltext as Q
 
 
@@ -42,68 +44,60 @@ def shapes(stmts: DataFrame) -> DataFrame:
 SHAPE = ["shape_hash", "execution_count", "distinct_users", "last_executed_at", "first_at"]
 
 
-def _tables(sql) -> F.Column:
-    """FROM/JOIN tables with their aliases, in order."""
-    t = F.regexp_extract_all(sql, F.lit(Q.FROM_TABLE), 2)
-    a = F.regexp_extract_all(sql, F.lit(Q.FROM_TABLE), 5)
-    return F.transform(F.arrays_zip(t.alias("t"), a.alias("a")), lambda z: F.struct(
-        F.lower(z["t"]).alias("tbl"),
-        F.when((z["a"] != "") & ~F.lower(z["a"]).isin(*Q.ALIAS_KEYWORDS), F.lower(z["a"])).alias("alias")))
-
-
 def _analytical(shape_rows: DataFrame) -> DataFrame:
-    sql = Q.flat("first_sql")
-    return (shape_rows.where("class = 'analytical'").select(*SHAPE, sql.alias("sql"))
-            .withColumn("tabs", _tables(F.col("sql"))))
+    return SC.scoped(shape_rows.where("class = 'analytical'").select(*SHAPE, Q.flat("first_sql").alias("sql")))
 
 
-def _columns_of(text) -> F.Column:
-    """Column references of an expression: (qual, col), literals and keywords left out."""
-    t = F.lower(Q.without_literals(text))
-    q = F.regexp_extract_all(t, F.lit(Q.COLUMN_REF), 1)
-    c = F.regexp_extract_all(t, F.lit(Q.COLUMN_REF), 2)
-    refs = F.transform(F.arrays_zip(q.alias("q"), c.alias("c")), lambda z: F.struct(
-        F.when(z["q"] != "", z["q"]).alias("qual"), z["c"].alias("col")))
-    return F.filter(refs, lambda r: ~r["col"].isin(*Q.NO_COLUMN))
+def _around(i, scope, qual, col) -> F.Column:
+    """The tables that a reference may mean, ``(level, tbl)``: level 0 are those of its own scope. A qualified one
+    means the alias, or the table without one; ``*`` the first table."""
+    def of(level, n):
+        own = F.filter("entries", lambda e: (e["scope"] == level) & (e["seg"] == SC.segment(F.col("kws"), level, i)))
+        meant = (F.when(col == "*", F.when(qual.isNull(), F.slice(own, 1, 1)).otherwise(F.filter(own, lambda e: F.coalesce(e["alias"], e["tbl"]) == qual)))
+                  .when(qual.isNotNull(), F.filter(own, lambda e: F.coalesce(e["alias"], e["tbl"]) == qual)).otherwise(own))
+        return F.transform(meant, lambda e: F.struct(n.alias("level"), e["tbl"].alias("tbl")))
+    return F.array_distinct(F.flatten(F.transform(SC.levels(scope), of)))
 
 
 def _resolve(refs: DataFrame, keys: list[str], catalog: DataFrame) -> DataFrame:
-    """Rows with ``qual, col, tabs`` -> (tbl, kind) of the catalog.
+    """Rows with ``qual, col, around`` -> (tbl, kind) of the catalog, at the first level where a table has the column.
 
-    A qualified reference resolves through the alias (or the table name); an
-    unqualified one if exactly one FROM table has the column; ``*`` is the
-    first FROM table. Others are dropped. ``keys`` tell the references apart.
+    There an unqualified name must belong to one table alone. Others are dropped. ``keys`` tell the references apart.
     """
     cat = catalog.select(F.lower("table").alias("c_tbl"), F.lower("column").alias("c_col"), "kind")
     cat = cat.unionByName(cat.select("c_tbl", F.lit("*").alias("c_col"), F.lit(None).cast("string").alias("kind")).distinct())
-    cands = (F.when(F.col("col") == "*", F.slice("tabs", 1, 1))
-              .when(F.col("qual").isNotNull(), F.filter("tabs", lambda t: (t["alias"] == F.col("qual"))
-                                                        | (t["alias"].isNull() & (t["tbl"] == F.col("qual")))))
-              .otherwise(F.col("tabs")))
-    x = refs.withColumn("tbl", F.explode(F.array_distinct(F.transform(cands, lambda t: t["tbl"])))).drop("tabs")
+    x = refs.withColumn("a", F.explode("around")).select("*", "a.level", "a.tbl").drop("a", "around")
     hit = x.join(cat, (F.col("tbl") == F.col("c_tbl")) & (F.col("col") == F.col("c_col"))).drop("c_tbl", "c_col")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return hit.withColumn("n", n).where(F.col("qual").isNotNull() | (F.col("n") == 1)).drop("n")
+    w = Window.partitionBy(*keys)
+    near = hit.withColumn("first", F.min("level").over(w)).where("level = first")
+    one = near.withColumn("n", F.count(F.lit(1)).over(w))
+    return one.where("n = 1").drop("n", "first", "level")
 
 
 def aggregate_calls(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """one row per aggregate call of an analytical shape: the shape's
     counts, ``cpos, agg`` (COUNT_DISTINCT is its own), ``is_distinct, tbl, col``
     (the first column of the argument; all must resolve) and ``filter``, the
-    WHERE text of the statement (NULL without one)."""
-    s = _analytical(shape_rows)
-    where = F.regexp_extract("sql", Q.WHERE, 1)
-    parts = [F.regexp_extract_all("sql", F.lit(Q.AGG_CALL), i).alias(f"g{i}") for i in (1, 2, 3)]
-    calls = (s.select(*SHAPE, "tabs", F.when(where != "", where).alias("filter"), F.posexplode(F.arrays_zip(*parts)).alias("cpos", "z"))
-              .select(*SHAPE, "tabs", "filter", "cpos", (F.col("z.g2") != "").alias("is_distinct"), F.upper("z.g1").alias("fn"),
-                      F.trim("z.g3").alias("arg")))
-    calls = calls.withColumn("agg", F.when(F.col("is_distinct") & (F.col("fn") == "COUNT"), "COUNT_DISTINCT").otherwise(F.col("fn")))
-    star = F.struct(F.lit(None).cast("string").alias("qual"), F.lit("*").alias("col"))
-    refs = (calls.withColumn("refs", F.when(F.col("arg") == "*", F.array(star)).otherwise(_columns_of("arg")))
-                 .withColumn("n_refs", F.size("refs")))
-    keys = ["shape_hash", "cpos", "rpos"]
-    exploded = refs.select(*SHAPE, "tabs", "filter", "cpos", "agg", "is_distinct", "n_refs", F.posexplode("refs").alias("rpos", "r"))
-    found = _resolve(exploded.select("*", "r.qual", "r.col").drop("r"), keys, catalog)
+    WHERE text of the call's own SELECT (NULL without one)."""
+    s = _analytical(shape_rows).withColumn("refs", SC.references())
+    raw = F.col("raw")
+    names = F.filter(F.transform(raw, lambda t, i: F.struct(F.lower(t).alias("fn"), i.alias("i"))), lambda x: x["fn"].isin(*Q.AGGREGATES))
+    opened = F.transform(names, lambda x: F.struct(x["fn"].alias("fn"), x["i"].alias("i"), SC._next(raw, x["i"]).alias("open")))
+    calls = (s.withColumn("call", F.explode(F.filter(opened, lambda x: F.get(raw, x["open"]) == "("))).select("*", "call.fn", "call.i", "call.open").drop("call")
+             .withColumn("close", F.get(F.transform(F.filter("spans", lambda b: b["open"] == F.col("open")), lambda b: b["close"]), F.lit(0)))
+             .withColumn("scope", SC._innermost(F.col("scopes"), F.col("i"))).withColumn("cpos", F.col("i")))
+    first = SC._next(raw, F.col("open"))
+    calls = calls.withColumn("is_distinct", SC._word(raw, first) == "distinct")
+    first = F.when(F.col("is_distinct"), SC._next(raw, first)).otherwise(first).cast("int")
+    inside = F.filter("refs", lambda r: (r["i"] > F.col("open")) & (r["i"] < F.col("close")))
+    star = F.array(F.struct(first.alias("i"), F.lit(None).cast("string").alias("qual"), F.lit("*").alias("col"), F.col("scope").alias("scope")))
+    calls = (calls.withColumn("agg", F.when(F.col("is_distinct") & (F.col("fn") == "count"), "COUNT_DISTINCT").otherwise(F.upper("fn")))
+             .withColumn("args", F.when(F.get(raw, first) == "*", star).otherwise(inside)).withColumn("n_refs", F.size("args"))
+             .withColumn("filter", SC.clause_text(F.col("scope"), SC.segment(F.col("kws"), F.col("scope"), F.col("i")), "where")))
+    keep = [*SHAPE, "filter", "cpos", "agg", "is_distinct", "n_refs"]
+    refs = calls.select(*keep, "entries", "kws", "scopes", "spans", "raw", F.posexplode("args").alias("rpos", "r")).select(
+        *keep, "rpos", "r.qual", "r.col", _around(F.col("r.i"), F.col("r.scope"), F.col("r.qual"), F.col("r.col")).alias("around"))
+    found = _resolve(refs, ["shape_hash", "cpos", "rpos"], catalog)
     w = Window.partitionBy("shape_hash", "cpos")
     return (found.withColumn("got", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("rpos")))
                  .where("got = n_refs AND k = 1")
@@ -111,31 +105,62 @@ def aggregate_calls(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def dimension_columns(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """columns of GROUP BY and WHERE of an analytical shape, with the time flag."""
+    """columns within GROUP BY and WHERE of every SELECT of an analytical shape, those of a subquery
+    there and of a FILTER's WHERE among them, with the time flag."""
     s = _analytical(shape_rows)
-    text = F.concat_ws(" , ", F.regexp_extract("sql", Q.GROUP_BY, 1), F.regexp_extract("sql", Q.WHERE, 1))
-    refs = s.select(*SHAPE, "tabs", F.posexplode(_columns_of(text)).alias("rpos", "r")).select("*", "r.qual", "r.col").drop("r")
+    raw = F.col("raw")
+
+    def of_dimension(r):
+        filtered = F.exists("spans", lambda b: (b["open"] < r["i"]) & (r["i"] < b["close"]) & (SC._word(raw, SC._next(raw, b["open"])) == "where"))
+        within = F.exists(SC.levels(r["scope"]), lambda level: SC.clause(F.col("kws"), level, r["i"]).isin("where", "group"))
+        return within | filtered
+    refs = s.select("*", F.posexplode(F.filter(SC.references(), of_dimension)).alias("rpos", "r")).select(
+        *SHAPE, "rpos", "r.qual", "r.col", _around(F.col("r.i"), F.col("r.scope"), F.col("r.qual"), F.col("r.col")).alias("around"))
     return (_resolve(refs, ["shape_hash", "rpos"], catalog)
             .select(*SHAPE, "tbl", "col", (F.col("kind") == "time").alias("is_time")).distinct())
 
 
+# What may stand before and behind an equality that is a condition of its own.
+BEFORE_EQUALITY = ["on", "and", "or", "not", "("]
+BEHIND_EQUALITY = ["", "and", "or", ")", *SC.CLAUSES, *SC.JOIN_WORDS]
+
+
 def join_conditions(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every ``a.x = b.y`` of each JOIN ... ON, both sides resolved through
     the aliases, oriented from the existing table to the introduced one."""
     s = _analytical(shape_rows)
-    j = [F.regexp_extract_all("sql", F.lit(Q.JOIN_ON), i).alias(f"g{i}") for i in (1, 2, 3)]
-    e = s.select(*SHAPE, "tabs", F.posexplode(F.arrays_zip(*j)).alias("j", "z"))
-    on = F.lower(Q.without_literals("z.g3"))
-    q = [F.regexp_extract_all(on, F.lit(Q.EQUALITY), i).alias(f"e{i}") for i in (1, 2, 3, 4)]
-    base = (e.select(*SHAPE, "tabs", "j", F.upper(F.trim("z.g1")).alias("kind_of"), F.lower("z.g2").alias("introduced"),
-                     F.posexplode(F.arrays_zip(*q)).alias("e", "y"))
-             .withColumn("join_type", F.when(F.col("kind_of") == "", "INNER").otherwise(F.col("kind_of"))))
-    side = lambda x, q_, c: F.struct(F.lit(x).alias("side"), F.when(F.col(q_) != "", F.col(q_)).alias("qual"), F.col(c).alias("col"))
-    sides = (base.select(*SHAPE, "tabs", "j", "e", "join_type", "introduced", F.explode(F.array(
-        side("l", "y.e1", "y.e2"), side("r", "y.e3", "y.e4"))).alias("x")).select("*", "x.side", "x.qual", "x.col").drop("x"))
-    keys = ["shape_hash", "j", "e"]
-    both = (_resolve(sides, [*keys, "side"], catalog)
-            .groupBy(*SHAPE, "j", "e", "join_type", "introduced").agg(
+    raw, kws = F.col("raw"), F.col("kws")
+
+    def joined(k):
+        before = F.filter(kws, lambda j: (j["scope"] == k["scope"]) & (j["i"] < k["i"]) & (j["w"] == "join"))
+        behind = F.filter(kws, lambda j: (j["scope"] == k["scope"]) & (j["i"] > k["i"]))
+        end = F.get(F.transform(F.filter("spans", lambda b: b["open"] == k["scope"]), lambda b: b["close"]), F.lit(0))
+        return F.struct(k["i"].alias("on"), k["scope"].alias("scope"), F.get(before, F.size(before) - 1)["i"].alias("join"),
+                        F.coalesce(F.get(behind, F.lit(0))["i"], end, F.size(raw)).alias("stop"))
+    ons = F.filter(F.transform(F.filter("kws", lambda k: k["w"] == "on"), joined), lambda j: j["join"].isNotNull())
+    e = s.withColumn("j", F.explode(ons)).select("*", "j.on", "j.scope", "j.join", "j.stop").drop("j")
+    # words before JOIN, up to three of them
+    p1 = SC._prev(raw, F.col("join"))
+    p2 = SC._prev(raw, p1)
+    p3 = SC._prev(raw, p2)
+    is_join = lambda p: F.coalesce(SC._word(raw, p), F.lit("")).isin(*SC.JOIN_WORDS)
+    words = F.concat_ws(" ", F.when(is_join(p1) & is_join(p2) & is_join(p3), SC._word(raw, p3)),
+                        F.when(is_join(p1) & is_join(p2), SC._word(raw, p2)), F.when(is_join(p1), SC._word(raw, p1)))
+    item = SC._next(raw, F.col("join"))
+    e = (e.withColumn("join_type", F.when(words == "", "INNER").otherwise(F.upper(words)))
+          .withColumn("introduced", F.when(SC._is_name(F.get(raw, item)), SC.last_part(F.get(raw, item)))).where("introduced IS NOT NULL"))
+    equals = F.filter(F.transform(raw, lambda t, i: F.struct(t.alias("t"), i.alias("i"), SC._prev(raw, i).alias("l"), SC._next(raw, i).alias("r"))),
+                      lambda x: (x["t"] == "=") & (x["i"] > F.col("on")) & (x["i"] < F.col("stop")) & SC._is_name(F.get(raw, x["l"]))
+                      & SC._is_name(F.get(raw, x["r"])) & SC._word(raw, SC._prev(raw, x["l"])).isin(*BEFORE_EQUALITY)
+                      & F.coalesce(SC._word(raw, SC._next(raw, x["r"])), F.lit("")).isin(*BEHIND_EQUALITY))
+    base = e.select("*", F.explode(equals).alias("q")).select("*", F.explode(F.array(
+        F.struct(F.lit("l").alias("side"), F.col("q.l").alias("i")), F.struct(F.lit("r").alias("side"), F.col("q.r").alias("i")))).alias("x"))
+    t = F.get(raw, F.col("x.i"))
+    named = base.withColumns({"side": F.col("x.side"), "qual": SC.qualifier(t), "col": SC.last_part(t), "at": F.col("q.i")})
+    sides = named.select(*SHAPE, "at", "join_type", "introduced", "side", "qual", "col",
+                         _around(F.col("x.i"), F.col("scope"), F.col("qual"), F.col("col")).alias("around"))
+    both = (_resolve(sides, ["shape_hash", "at", "side"], catalog)
+            .groupBy(*SHAPE, "at", "join_type", "introduced").agg(
                 *[F.max(F.when(F.col("side") == x, F.col(c))).alias(x + c[0]) for x in ("l", "r") for c in ("tbl", "col")])
             .where("lt IS NOT NULL AND rt IS NOT NULL"))
     flip = F.col("rt") != F.col("introduced")

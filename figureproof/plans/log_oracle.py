@@ -22,6 +22,12 @@ stmt AS (
          'SELECT USER_ID, COUNT(*) FROM EVENTS WHERE VALUE > ? GROUP BY USER_ID',
          'SELECT user_id, COUNT(*) FROM events WHERE value > ' || fv || ' GROUP BY user_id', 'value > ' || fv
          FROM e1 WHERE event_type = 'view'
+  UNION ALL SELECT event_type, 1, 'analytical', n, u, t, first_id,
+         'SELECT Q.USER_ID, SUM(COALESCE(ROUND(Q.VALUE), ?)) FILTER (WHERE Q.EVENT_TYPE <> ?) AS KEPT FROM'
+         || ' (SELECT USER_ID, VALUE, EVENT_TYPE FROM "EVENTS" WHERE EVENT_ID > ?) Q GROUP BY Q.USER_ID',
+         'SELECT q.user_id, SUM(COALESCE(ROUND(q.value), 0)) FILTER (WHERE q.event_type <> ''limit 3'') AS kept' || chr(10)
+         || 'FROM (SELECT user_id, value, event_type FROM "events" WHERE event_id > ' || fi || ') q GROUP BY q.user_id', NULL
+         FROM e1 WHERE event_type = 'view'
   UNION ALL SELECT event_type, 0, 'analytical', n, u, t, first_id,
          'SELECT C.C_MKTSEGMENT, AVG(O.O_TOTALPRICE), COUNT(DISTINCT O.O_CUSTKEY) FROM ORDERS O JOIN CUSTOMER C'
          || ' ON O.O_CUSTKEY = C.C_CUSTKEY WHERE O.O_ORDERSTATUS = ? AND O.O_TOTALPRICE > ? GROUP BY C.C_MKTSEGMENT',
@@ -38,12 +44,14 @@ stmt AS (
   UNION ALL SELECT event_type, 0, 'noise', n, u, t, first_id, 'SELECT * FROM EVENTS WHERE EVENT_ID = ?',
          'SELECT * FROM events WHERE event_id = ' || fi, NULL FROM e1 WHERE event_type = 'error'),
 call AS (SELECT * FROM (VALUES
-  ('click', 'events', 'value', 'SUM', FALSE, FALSE), ('view', 'events', '*', 'COUNT', FALSE, FALSE),
-  ('purchase', 'orders', 'o_totalprice', 'AVG', FALSE, TRUE), ('purchase', 'orders', 'o_custkey', 'COUNT_DISTINCT', TRUE, TRUE),
-  ('signup', 'events', '*', 'COUNT', FALSE, FALSE)) v(event_type, "table", "column", agg, is_distinct, is_complex)),
-used AS (SELECT c.*, s.n, s.u, s.t, s.first_id, s.pos, s.filt FROM call c JOIN stmt s USING (event_type) WHERE s.class = 'analytical'),
+  ('click', 0, 'events', 'value', 'SUM', FALSE, FALSE), ('view', 0, 'events', '*', 'COUNT', FALSE, FALSE),
+  ('view', 1, 'events', 'value', 'SUM', FALSE, FALSE),
+  ('purchase', 0, 'orders', 'o_totalprice', 'AVG', FALSE, TRUE), ('purchase', 0, 'orders', 'o_custkey', 'COUNT_DISTINCT', TRUE, TRUE),
+  ('signup', 1, 'events', '*', 'COUNT', FALSE, FALSE)) v(event_type, pos, "table", "column", agg, is_distinct, is_complex)),
+used AS (SELECT c.*, s.n, s.u, s.t, s.first_id, s.filt FROM call c JOIN stmt s USING (event_type, pos)),
 dim AS (SELECT * FROM (VALUES
   ('click', 'events', 'event_type'), ('click', 'events', 'user_id'), ('view', 'events', 'user_id'), ('view', 'events', 'value'),
+  ('view', 'events', 'user_id'), ('view', 'events', 'event_type'), ('view', 'events', 'event_id'),
   ('purchase', 'customer', 'c_mktsegment'), ('purchase', 'orders', 'o_orderstatus'), ('purchase', 'orders', 'o_totalprice'),
   ('signup', 'events', 'event_type'), ('signup', 'events', 'user_id')) v(event_type, "table", "column"))"""
 

@@ -17,7 +17,9 @@ from . import log_oracle as O
 TEMPLATES = {
     "click": "-- click report for user {u}\nSELECT e.event_type, SUM(e.value) AS total FROM events e "
              "WHERE e.user_id = {u} GROUP BY e.event_type;",
-    "view": "SELECT user_id, COUNT(*) FROM events WHERE value > {v} GROUP BY user_id;",
+    "view": "SELECT user_id, COUNT(*) FROM events WHERE value > {v} GROUP BY user_id;\n"
+            "SELECT q.user_id, SUM(COALESCE(ROUND(q.value), 0)) FILTER (WHERE q.event_type <> 'limit 3') AS kept\n"
+            "FROM (SELECT user_id, value, event_type FROM \"events\" WHERE event_id > {i}) q GROUP BY q.user_id;",
     "purchase": "SELECT c.c_mktsegment, AVG(o.o_totalprice), COUNT(DISTINCT o.o_custkey) FROM orders o "
                 "JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F' "
                 "AND o.o_totalprice > {v} GROUP BY c.c_mktsegment;",

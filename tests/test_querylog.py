@@ -1,5 +1,6 @@
 """Statement classes, aggregate calls, dimensions and joins on statements written by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from figureproof.functions import sqltext as Q
@@ -40,9 +41,8 @@ def test_calls_with_expressions_distinct_and_filters(spark):
     calls = L.aggregate_calls(shapes, cat)
     got = {(r.tbl, r.col, r.agg, r.filter) for r in calls.collect()}
     where = "s.region = 'group by x' AND s.tax > 1"
-    # a clause word within a literal ends the clause early: the text before it is kept
     assert {(t, c, a) for t, c, a, _ in got} == {("sales", "amount", "SUM"), ("sales", "shop_id", "COUNT_DISTINCT"), ("sales", "shop_id", "COUNT")}
-    assert None in {f for t, c, a, f in got if a == "SUM"} and any(f and where.startswith(f) for *_, f in got)
+    assert {f for t, c, a, f in got if a == "SUM"} == {None, where}
     use = {(r.tbl, r.col, r.agg): (r.calls, r.statements, r.users) for r in L.usage_rollup(calls).collect()}
     assert use[("sales", "amount", "SUM")] == (3, 3, 3) and use[("sales", "shop_id", "COUNT")] == (1, 1, 1)
     bundle = {(r.column, r.agg): r for r in TR.bundle(TR.log_evidence(calls)).collect()}
@@ -84,3 +84,59 @@ def test_document_evidence(spark):
     got = {(r.table, r.column, r.agg, r.source) for r in TR.document_evidence(e, cat).collect()}
     assert got == {("sales", "amount", "SUM", "excel_formula"), ("sales", "shop_id", "COUNT_DISTINCT", "tableau_calc"),
                    ("shops", "shop_id", "COUNT_DISTINCT", "tableau_calc")}
+
+
+def mined(spark, sql):
+    """What is mined from one statement: calls with filters, dimensions, joins."""
+    shapes, cat = shapes_of(spark, [sql])
+    calls = sorted((r.agg, r.tbl, r.col, r.filter) for r in L.aggregate_calls(shapes, cat).collect())
+    dims = sorted((r.tbl, r.col) for r in L.dimension_columns(shapes, cat).collect())
+    joins = sorted((r.join_type, r.from_table, r.from_column, r.to_table, r.to_column) for r in L.join_conditions(shapes, cat).collect())
+    return calls, dims, joins
+
+
+SUM = ("SUM", "sales", "amount", None)
+
+
+@pytest.mark.parametrize("sql, calls, dims, joins", [
+    ("SELECT SUM(COALESCE(ROUND(amount), 0)) FROM sales", [SUM], [], []),
+    ("SELECT SUM(amount) FROM shop.sales", [SUM], [], []),
+    ('SELECT SUM(amount) FROM "sales"', [SUM], [], []),
+    ('SELECT SUM(s."amount") FROM db.shop."sales" AS s', [SUM], [], []),
+    ("SELECT SUM(amount) FROM (SELECT amount FROM sales) s", [SUM], [], []),
+    ("SELECT SUM(s.amount) FROM (SELECT amount FROM sales) AS s", [SUM], [], []),
+    ("SELECT SUM(amount) FILTER (WHERE tax = 2) FROM sales", [SUM], [("sales", "tax")], []),
+    ("SELECT SUM(amount) FROM sales WHERE region = 'x limit 3' AND shop_id = 4",
+     [("SUM", "sales", "amount", "region = 'x limit 3' AND shop_id = 4")], [("sales", "region"), ("sales", "shop_id")], []),
+    ("WITH c AS (SELECT region, SUM(amount) AS a FROM sales WHERE tax > 1 GROUP BY region) SELECT MAX(c.a) FROM c WHERE c.region = 'n'",
+     [("SUM", "sales", "amount", "tax > 1")], [("sales", "region"), ("sales", "tax")], []),
+    ("WITH c AS (SELECT * FROM sales), d AS (SELECT * FROM c) SELECT COUNT(*), AVG(d.amount) FROM d",
+     [("AVG", "sales", "amount", None), ("COUNT", "sales", "*", None)], [], []),
+    ("SELECT SUM(amount) FROM sales s WHERE shop_id IN (SELECT shop_id FROM shops WHERE name = 'a' AND tax > 0 GROUP BY name)",
+     [("SUM", "sales", "amount", "shop_id IN (SELECT shop_id FROM shops WHERE name = 'a' AND tax > 0 GROUP BY name)")],
+     [("sales", "shop_id"), ("sales", "tax"), ("shops", "name"), ("shops", "shop_id")], []),
+    ("SELECT x FROM (SELECT MAX(amount) AS x FROM sales WHERE tax = 1 UNION ALL SELECT MIN(region_id) FROM shops WHERE name = 'q') u",
+     [("MAX", "sales", "amount", "tax = 1"), ("MIN", "shops", "region_id", "name = 'q'")], [("sales", "tax"), ("shops", "name")], []),
+    ("SELECT EXTRACT(year FROM sold_at), SUM(amount) OVER (ORDER BY sold_at) FROM sales GROUP BY sold_at, EXTRACT(year FROM sold_at)",
+     [SUM], [("sales", "sold_at")], []),
+    ("SELECT SUM(a.amount) FROM sales a, shops b WHERE a.shop_id = b.shop_id", [("SUM", "sales", "amount", "a.shop_id = b.shop_id")],
+     [("sales", "shop_id"), ("shops", "shop_id")], []),
+    ("SELECT SUM(shop_id) FROM sales, shops", [], [], []),
+    ("SELECT SUM(CAST(amount AS decimal(10, 2)) * 1.5) FROM sales WHERE sold_at > date '2024-01-01' - interval '3' day ORDER BY region LIMIT 3",
+     [("SUM", "sales", "amount", "sold_at > date '2024-01-01' - interval '3' day")], [("sales", "sold_at")], []),
+    ("SELECT COUNT(*) FROM sales s FULL OUTER JOIN shop.shops AS p ON (p.shop_id = s.shop_id AND s.tax = p.region_id + 1) WHERE s.tax = s.amount",
+     [("COUNT", "sales", "*", "s.tax = s.amount")], [("sales", "amount"), ("sales", "tax")],
+     [("FULL OUTER", "sales", "shop_id", "shops", "shop_id")]),
+    ("SELECT SUM(t.amount) FROM shops JOIN (SELECT * FROM sales) t ON t.shop_id = shops.shop_id", [SUM], [], []),
+    ("SELECT SUM(nowhere), SUM(1), COUNT(DISTINCT s.region) FROM sales s", [("COUNT_DISTINCT", "sales", "region", None)], [], []),
+    ("SELECT SUM(x) FROM no_table", [], [], []),
+])
+def test_scopes(spark, sql, calls, dims, joins):
+    assert mined(spark, sql) == (calls, dims, joins)
+
+
+def test_depth_of_brackets_is_not_limited(spark):
+    deep = "(" * 40 + "SELECT 1 UNION SELECT 2" + ")" * 40
+    assert classes(spark, [f"SELECT SUM(a) FROM t WHERE x IN {deep}", "SELECT SUM(" + "(" * 40 + "a" + ")" * 40 + ") FROM t UNION SELECT 1"]) == [
+        "analytical", "structural"]
+    assert mined(spark, "SELECT SUM(" + "abs(" * 40 + "amount" + ")" * 40 + ") FROM sales")[0] == [SUM]
