@@ -32,6 +32,7 @@ class Resolution:
     constraints: DataFrame  # constraint rows of every survivor
     scored: DataFrame       # one row per survivor with band
     verdicts: DataFrame     # one row per (report, metric)
+    bindings: DataFrame     # the column and value that each breakdown label is bound to, per table
 
 
 def _cid(df: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def seeded_hits(seeds: DataFrame, gp: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells: DataFrame,
-                    col_order: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All constraints of every survivor, tallied and banded."""
+                    col_order: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All constraints of every survivor, tallied and banded; and the bindings of the labels."""
     surv = surv.select("cid", "report_id", "metric", "key", "tier", *S.CAND_COLS,
                        "computed", "reported", "name_sim")
     grand = surv.join(points.where("kind = 'grand_total'").select(
@@ -88,7 +89,7 @@ def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells:
               .select("report_id", "metric", "dim", "table", "snap_as_of", "label"))
     vals = distinct_values(cells).select("table", F.col("as_of").alias("snap_as_of"),
                                          "column", "value")
-    bound = S.bind_dimensions(lab, vals, col_order)
+    bound = materialize(S.bind_dimensions(lab, vals, col_order), "bindings")
     bp = (surv.select("cid", "report_id", "metric", "table")
               .join(brk, ["report_id", "metric"])
               .join(snaps, ["eval_as_of", "table"], "left")
@@ -121,7 +122,7 @@ def score_survivors(surv: DataFrame, points: DataFrame, snaps: DataFrame, cells:
     scored = (surv.join(tally, "cid")
                   .withColumn("band", S.band("satisfied", "total", "grand_ok"))
                   .withColumn("score", F.col("satisfied") / F.col("total")))
-    return cons, scored
+    return cons, scored, bound
 
 
 def pick_best(scored: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame, seeds: D
 
     # one constraint pass scores the survivors of every tier
     surv = plain.where("ok").unionByName(t3.where("ok"))
-    cons_all, scored = score_survivors(surv, points, snaps, cells, col_order)
+    cons_all, scored, bindings = score_survivors(surv, points, snaps, cells, col_order)
     scored = materialize(scored.join(surv.select("cid", "origin"), "cid"), "scored")
 
     # ---- tier-3 scope of blind candidates: accepted tables, this metric's near misses, one hop
@@ -211,4 +212,4 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame, seeds: D
                            .join(near_best, G, "left")
                            .withColumn("band", F.coalesce("band", F.lit("UNMAPPABLE"))), "verdicts")
     recheck = tried.select("cid", *G, "tier", "key", *S.CAND_COLS, "computed", "reported", "ok", "err")
-    return Resolution(figs, groups, recheck, constraints, ranked, verdicts)
+    return Resolution(figs, groups, recheck, constraints, ranked, verdicts, bindings)

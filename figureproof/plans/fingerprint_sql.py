@@ -434,25 +434,41 @@ mtype AS (SELECT *, CASE WHEN op = '/' THEN 'ratio' WHEN op IN ('+', '-') THEN '
              FROM latest)"""
 
 
+def _statement_sql() -> str:
+    from . import text_queries as TQ
+    return TQ.oracle("WITH " + MARTS_SQL + ",\n" + figures_sql())["statement_mining"]
+
+
 def publish_sql() -> dict[str, str]:
     base = _publish_ctes()
     out = {}
     out["glossary_terms"] = base + """
 SELECT metric, slug, key AS definition, band, CAST(trust AS DOUBLE) AS trust, trust < 0.85 AS review_required,
        metric_type, report_id FROM mtype"""
-    out["column_tags"] = base + """,
-tg AS (SELECT "table", c1 AS "column", 'measure' AS tag FROM acc WHERE c1 <> '*'
+    grouping = """,
+edge AS (SELECT * FROM (VALUES ('orders', 'c_mktsegment', 'o_custkey', 'customer', 'c_custkey')) v("table", "column", from_column, to_table, to_column)),
+bnd AS (SELECT DISTINCT b.report_id, b.metric, b.dim, b."table", b."column" FROM (SELECT * FROM bound_a UNION ALL SELECT * FROM bound_b) b
+        JOIN acc USING (report_id, metric, "table"))"""
+    out["column_tags"] = base + grouping + """,
+tg AS (SELECT coalesce(e.to_table, b."table") AS "table", b."column", 'grouping' AS tag FROM bnd b LEFT JOIN edge e USING ("table", "column") UNION ALL
+       SELECT "table", c1 AS "column", 'measure' AS tag FROM acc WHERE c1 <> '*'
        UNION ALL SELECT "table", c2, 'measure' FROM acc WHERE c2 IS NOT NULL
        UNION ALL SELECT "table", fcol, 'filter' FROM acc WHERE fcol IS NOT NULL)
 SELECT "table", "column", array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags FROM tg GROUP BY ALL"""
-    out["semantic_model_rows"] = base + """,
+    out["semantic_model_rows"] = base + grouping + """,
+bl AS (SELECT DISTINCT b."table", b.dim, b."column", e.from_column, e.to_table, e.to_column FROM bnd b JOIN latest l USING (report_id, metric)
+       LEFT JOIN edge e ON e."table" = b."table" AND e."column" = b."column"),
 ms AS (SELECT DISTINCT "table", agg, c1 AS "column" FROM mtype
        UNION SELECT "table", 'SUM', c2 FROM mtype WHERE c2 IS NOT NULL)
 SELECT "table", 'measure' AS kind,
        CASE WHEN "column" = '*' THEN 'row_count' ELSE lower(agg) || '_' || "column" END AS name, agg,
        CASE WHEN "column" = '*' THEN '1' ELSE "column" END AS expr, CAST(NULL AS DOUBLE) AS trust FROM ms
 UNION ALL
-SELECT "table", 'metric', slug, metric_type, key, CAST(trust AS DOUBLE) FROM mtype"""
+SELECT "table", 'metric', slug, metric_type, key, CAST(trust AS DOUBLE) FROM mtype
+UNION ALL SELECT "table", 'dimension', dim, 'categorical', "column", NULL FROM bl WHERE to_table IS NULL
+UNION ALL (SELECT DISTINCT "table", 'entity', from_column, 'foreign', from_column, CAST(NULL AS DOUBLE) FROM bl WHERE to_table IS NOT NULL)
+UNION ALL (SELECT DISTINCT "table", 'relationship', to_table, 'INNER', "table" || '.' || from_column || ' = ' || to_table || '.' || to_column, CAST(NULL AS DOUBLE)
+           FROM bl WHERE to_table IS NOT NULL)"""
     out["conflict_tables"] = base + """,
 allcons AS (SELECT * FROM cons_a UNION ALL SELECT * FROM cons_b),
 top AS (SELECT * FROM allranked WHERE rk = 1),
@@ -460,13 +476,37 @@ brk AS (SELECT t.report_id, t.metric,
                count_if(c.ckind = 'breakdown' AND c.ok) AS bok, count_if(c.ckind = 'breakdown') AS bn,
                count_if(c.ckind = 'prior_period' AND c.ok) AS pok
         FROM top t JOIN allcons c ON c.report_id = t.report_id AND c.metric = t.metric AND c.key = t.key
-        GROUP BY ALL)
+        GROUP BY ALL),
+dok AS (SELECT t.report_id, t.metric, c.pdim, count(*) AS n
+        FROM top t JOIN allcons c ON c.report_id = t.report_id AND c.metric = t.metric AND c.key = t.key
+        WHERE c.ckind = 'breakdown' AND c.ok GROUP BY ALL),
+dtx AS (SELECT report_id, metric, string_agg(n || ' ' || pdim || ' breakdowns', ', ' ORDER BY pdim) AS dims FROM dok GROUP BY ALL)
 SELECT g.report_id, g.metric,
        CASE WHEN b.band IS NULL THEN 'unmappable' ELSE lower(b.band) END AS section, b.key, n.near_key,
        CAST(coalesce(k.bok, 0) AS BIGINT) AS breakdowns_ok, CAST(coalesce(k.bn, 0) AS BIGINT) AS breakdowns,
-       CAST(coalesce(k.pok, 0) AS BIGINT) AS priors_ok
+       CAST(coalesce(k.pok, 0) AS BIGINT) AS priors_ok,
+       CASE WHEN b.satisfied IS NOT NULL THEN b.satisfied || '/' || b.total || ' figures reproduced' || CASE WHEN d.dims IS NOT NULL OR k.pok > 0 THEN ', incl. '
+            || concat_ws(', ', d.dims, CASE WHEN k.pok > 0 THEN k.pok || ' prior-period figure' || CASE WHEN k.pok > 1 THEN 's' ELSE '' END END)
+            ELSE '' END END AS constraints
 FROM groups g LEFT JOIN best b USING (report_id, metric) LEFT JOIN near n USING (report_id, metric)
-LEFT JOIN brk k USING (report_id, metric)"""
+LEFT JOIN brk k USING (report_id, metric) LEFT JOIN dtx d USING (report_id, metric)"""
+    drift = drift_register_sql()
+    drift = drift[len(_verdict_ctes()):]
+    out["glossary_payloads"] = base + f""",
+dreg AS (WITH {drift.lstrip(",").strip()}),
+syn AS (SELECT new_name AS metric, string_agg(DISTINCT old_name, ',' ORDER BY old_name) AS synonyms FROM dreg WHERE kind = 'renamed' GROUP BY ALL),
+allcons AS (SELECT * FROM cons_a UNION ALL SELECT * FROM cons_b),
+plc AS (SELECT report_id, metric, key, string_agg('#' || pos, ',' ORDER BY pos) AS places
+        FROM (SELECT DISTINCT report_id, metric, key, pos FROM allcons WHERE ok) GROUP BY ALL),
+smt AS ({_statement_sql()}),
+hnt AS (SELECT m.report_id, m.metric, min(s.sentence) AS hint FROM mtype m JOIN smt s
+        ON lower(s.metric_name) = lower(m.metric) AND s.doc LIKE 'cmt-' || m.report_id || '-%' GROUP BY ALL)
+SELECT m.slug AS name, m.metric AS display_name,
+       coalesce(h.hint, m.metric || ', as published in report ' || m.report_id || '; reproduced by ' || m.key || '.') AS description,
+       coalesce(y.synonyms, '') AS synonyms, m.band, m.key, m.report_id, CAST(m.satisfied AS BIGINT) AS n_satisfied,
+       CAST(m.total AS BIGINT) AS n_total, coalesce(p.places, '') AS source_locators
+FROM mtype m LEFT JOIN hnt h USING (report_id, metric) LEFT JOIN syn y ON y.metric = m.metric
+LEFT JOIN plc p ON p.report_id = m.report_id AND p.metric = m.metric AND p.key = m.key"""
     out["lineage_edges"] = base + """,
 allcons AS (SELECT * FROM cons_a UNION ALL SELECT * FROM cons_b),
 prov AS (SELECT report_id, metric, key, count(*) AS n, list_sort(list_distinct(list(ckind))) AS kinds

@@ -70,6 +70,18 @@ def _latest(df: DataFrame) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _grouping(spark, sf_dir) -> DataFrame:
+    """``report_id, metric, dim, table, column``: the columns that the breakdowns of accepted mappings are bound to."""
+    b = _resolution(spark, sf_dir).bindings.select("report_id", "metric", "dim", "table", "column").distinct()
+    return b.join(_accepted(spark, sf_dir).select("report_id", "metric", "table"), ["report_id", "metric", "table"], "left_semi")
+
+
+def _joined_edges(spark) -> DataFrame:
+    """Columns of a mart that come from a reference table, with the edge they come by."""
+    return spark.createDataFrame([(t, c, *e) for (t, c), e in R.JOINED_EDGES.items()],
+                                 "table string, column string, from_column string, to_table string, to_column string")
+
+
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: one glossary term per metric (latest edition), with trust and the
     review flag (P8, P13, F25)."""
@@ -95,9 +107,35 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.array_join("kinds", ",").alias("kinds")))
 
 
+def glossary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the glossary terms as a catalog takes them: the sentence of the
+    report's commentary as description (else what reproduces the metric), the
+    names that a rename left behind as synonyms, and the provenance: constraints
+    met and the places of the report they stand at (J20)."""
+    from .fingerprint_queries import drift_register
+    from .text_queries import commentary, statements
+    res = _resolution(spark, sf_dir)
+    a = _latest(_accepted(spark, sf_dir))
+    said = statements(commentary(spark, sf_dir)).select(F.col("doc"), F.lower("metric_name").alias("lname"), "sentence")
+    hint = (a.select("report_id", "metric").join(said, (F.lower("metric") == F.col("lname"))
+                                                 & F.col("doc").startswith(F.concat(F.lit("cmt-"), F.col("report_id"), F.lit("-"))))
+             .groupBy("report_id", "metric").agg(F.min("sentence").alias("hint")))
+    old = (drift_register(spark, sf_dir).where("kind = 'renamed'").groupBy(F.col("new_name").alias("metric"))
+           .agg(F.array_join(F.array_sort(F.collect_set("old_name")), ",").alias("synonyms")))
+    places = (res.constraints.where("ok").join(res.figures.select("figure_id", "pos"), "figure_id")
+              .groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_set("pos")), lambda p: F.concat(F.lit("#"), p.cast("string"))), ",").alias("places")))
+    x = a.join(hint, ["report_id", "metric"], "left").join(old, "metric", "left").join(places, "cid", "left")
+    plain = F.concat("metric", F.lit(", as published in report "), "report_id", F.lit("; reproduced by "), "key", F.lit("."))
+    return x.select(_slug("metric").alias("name"), F.col("metric").alias("display_name"), F.coalesce("hint", plain).alias("description"),
+                    F.coalesce("synonyms", F.lit("")).alias("synonyms"), "band", "key", "report_id",
+                    F.col("satisfied").cast("bigint").alias("n_satisfied"), F.col("total").cast("bigint").alias("n_total"),
+                    F.coalesce("places", F.lit("")).alias("source_locators"))
+
+
 def column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of physical columns: measure (used by an accepted mapping),
-    filter (its predicate), grouping (bound to a report dimension)."""
+    filter (its predicate), grouping (bound to a report dimension; of a joined
+    column, the one of the reference table)."""
     a = _accepted(spark, sf_dir)
     meas = (a.select("table", F.col("lhs_col").alias("column"))
              .unionByName(a.where(F.col("rhs_col").isNotNull()).select(F.col("rhs_table").alias("table"),
@@ -105,14 +143,19 @@ def column_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
              .where(F.col("column") != "*").withColumn("tag", F.lit("measure")))
     filt = (a.where(F.col("pred_col").isNotNull()).select("table", F.col("pred_col").alias("column"))
              .withColumn("tag", F.lit("filter")))
-    return (meas.unionByName(filt).groupBy("table", "column")
+    grp = (_grouping(spark, sf_dir).join(_joined_edges(spark), ["table", "column"], "left")
+           .select(F.coalesce("to_table", "table").alias("table"), "column", F.lit("grouping").alias("tag")))
+    return (meas.unionByName(filt).unionByName(grp).groupBy("table", "column")
                 .agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags")))
 
 
 def semantic_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures (deduplicated per table, column and aggregation) and
-    metrics (latest edition, by trust) per table."""
+    """K3/F31 per table: measures (deduplicated per table, column and
+    aggregation), metrics (latest edition), dimensions (breakdowns bound to a
+    column of the table), entities and relationships (the keys by which bound
+    columns are joined)."""
     a = _latest(_accepted(spark, sf_dir))
+    none = F.lit(None).cast("double")
     m1 = a.select("table", F.col("lhs_agg").alias("agg"), F.col("lhs_col").alias("column"))
     m2 = a.where(F.col("rhs_col").isNotNull()).select(F.col("rhs_table").alias("table"),
                                                       F.col("rhs_agg").alias("agg"), F.col("rhs_col").alias("column"))
@@ -121,10 +164,19 @@ def semantic_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.when(F.col("column") == "*", F.lit("row_count"))
                            .otherwise(F.concat(F.lower("agg"), F.lit("_"), F.col("column"))).alias("name"),
                           "agg", F.when(F.col("column") == "*", F.lit("1")).otherwise(F.col("column")).alias("expr"),
-                          F.lit(None).cast("double").alias("trust")))
+                          none.alias("trust")))
     metrics = a.select("table", F.lit("metric").alias("kind"), _slug("metric").alias("name"),
                        _metric_type().alias("agg"), F.col("key").alias("expr"), _trust("band").alias("trust"))
-    return measures.unionByName(metrics)
+    bound = (_grouping(spark, sf_dir).join(a.select("report_id", "metric"), ["report_id", "metric"], "left_semi")
+             .select("table", "dim", "column").distinct().join(_joined_edges(spark), ["table", "column"], "left"))
+    dims = bound.where("to_table IS NULL").select("table", F.lit("dimension").alias("kind"), F.col("dim").alias("name"),
+                                                  F.lit("categorical").alias("agg"), F.col("column").alias("expr"), none.alias("trust"))
+    keys = bound.where("to_table IS NOT NULL").select("table", "from_column", "to_table", "to_column").distinct()
+    entities = keys.select("table", F.lit("entity").alias("kind"), F.col("from_column").alias("name"), F.lit("foreign").alias("agg"),
+                           F.col("from_column").alias("expr"), none.alias("trust"))
+    rel = keys.select("table", F.lit("relationship").alias("kind"), F.col("to_table").alias("name"), F.lit("INNER").alias("agg"),
+                      F.concat("table", F.lit("."), "from_column", F.lit(" = "), "to_table", F.lit("."), "to_column").alias("expr"), none.alias("trust"))
+    return measures.unionByName(metrics).unionByName(dims).unionByName(entities).unionByName(rel)
 
 
 def conflict_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +189,24 @@ def conflict_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.count_if((F.col("kind") == "breakdown") & F.col("ok")).cast("bigint").alias("breakdowns_ok"),
                    F.count_if(F.col("kind") == "breakdown").cast("bigint").alias("breakdowns"),
                    F.count_if((F.col("kind") == "prior_period") & F.col("ok")).cast("bigint").alias("priors_ok")))
-    v = res.verdicts.join(brk, ["report_id", "metric"], "left")
+    # Breakdowns reproduced per dimension, prior figures
+    met = (res.constraints.where("ok").join(best.select("cid", "report_id", "metric"), ["cid", "report_id", "metric"])
+              .join(res.figures.select("figure_id", "dim"), "figure_id"))
+    per = (met.where("kind = 'breakdown'").groupBy("report_id", "metric", "dim").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("report_id", "metric").agg(F.array_sort(F.collect_list(F.struct("dim", "n"))).alias("dims")))
+    v = res.verdicts.join(brk, ["report_id", "metric"], "left").join(per, ["report_id", "metric"], "left")
+    priors = F.coalesce("priors_ok", F.lit(0))
+    extras = F.concat(F.transform(F.coalesce("dims", F.array().cast("array<struct<dim:string,n:bigint>>")),
+                                  lambda d: F.concat(d["n"].cast("string"), F.lit(" "), d["dim"], F.lit(" breakdowns"))),
+                      F.when(priors > 0, F.array(F.concat(priors.cast("string"), F.lit(" prior-period figure"),
+                                                          F.when(priors > 1, F.lit("s")).otherwise(F.lit(""))))).otherwise(F.array().cast("array<string>")))
+    head = F.concat(F.col("satisfied").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" figures reproduced"))
+    summary = F.when(F.col("satisfied").isNotNull(), F.when(F.size(extras) > 0, F.concat(head, F.lit(", incl. "), F.array_join(extras, ", "))).otherwise(head))
     section = F.when(F.col("band") == "UNMAPPABLE", "unmappable").otherwise(F.lower("band"))
     return v.select("report_id", "metric", section.alias("section"), "key", "near_key",
                     F.coalesce("breakdowns_ok", F.lit(0)).cast("bigint").alias("breakdowns_ok"),
                     F.coalesce("breakdowns", F.lit(0)).cast("bigint").alias("breakdowns"),
-                    F.coalesce("priors_ok", F.lit(0)).cast("bigint").alias("priors_ok"))
+                    F.coalesce("priors_ok", F.lit(0)).cast("bigint").alias("priors_ok"), summary.alias("constraints"))
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,27 +337,88 @@ def question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .select("question", F.col("name").alias("metric"), F.round("jaccard", 6).alias("jaccard")))
 
 
-# The published tables with the order of their files (W9, W10: by key, the semantic model by trust).
-SINKS = {"glossary": ("glossary_terms", ["metric"]), "tags": ("column_tags", ["table", "column"]),
-         "lineage": ("lineage_edges", []), "semantic_model": ("semantic_model_rows", ["table", "trust"]),
-         "conflicts": ("conflict_tables", []), "scorecard": ("scorecard", ["check"])}
+# The published tables with the order of their files: terms by name, metrics by trust (W10), what nobody documented first.
+SINKS = {"glossary": ("glossary_payloads", ["name"]), "tags": ("column_tags", ["table", "column"]),
+         "lineage": ("lineage_edges", ["report_id", "metric", "table", "column"]),
+         "semantic_model": ("semantic_model_rows", ["table", "kind", "trust desc", "name", "expr"]),
+         "confirmed": ("conflict_tables", ["report_id", "metric"]), "scorecard": ("scorecard", ["check"]),
+         "drift": ("drift_register", ["undocumented desc", "kind", "new_name", "old_name"]),
+         "contradictions": ("contradictions", ["metric", "trust_rank", "source", "definition"])}
 
 
-def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1-K4: every published table written as JSON below the shared folder and
-    read back: ``sink, n_rows, n_same`` (rows that the files give as they were)."""
+# Columns of the published tables, for the oracle (double or other).
+SINK_COLUMNS = {n: {c: "double" if c in ("trust", "value") else "other" for c in cols.split()} for n, cols in {
+    "glossary": "name display_name description synonyms band key report_id n_satisfied n_total source_locators",
+    "tags": "table column tags", "lineage": "report_id metric table column n_satisfied kinds",
+    "semantic_model": "table kind name agg expr trust",
+    "confirmed": "report_id metric section key near_key breakdowns_ok breakdowns priors_ok constraints",
+    "scorecard": "check value passed", "drift": "kind old_name new_name old_key new_key doc_hits undocumented",
+    "contradictions": "metric structures n_sides trust_rank trust source_type source source_date metric_name definition structure"
+                      " empirical_key empirical_band"}.items()}
+
+
+def sink_table(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[str]]:
+    from . import fingerprint_queries as FQ
+    from . import text_queries as TQ
+    query, order = SINKS[name]
+    of = next(m for m in (globals(), vars(FQ), vars(TQ)) if query in m)
+    return of[query](spark, sf_dir), order
+
+
+def row_digest(df: DataFrame) -> F.Column:
+    """A sum over the rows that any changed value changes: the first 60 bits of the md5 of each row's text, columns by name."""
+    def text(c):
+        t = df.schema[c].dataType.simpleString()
+        v = F.col(c).cast("decimal(18,6)") if t == "double" else F.col(c)
+        return F.coalesce(v.cast("string"), F.lit("-"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[text(c) for c in sorted(df.columns)])), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.sum(bits), F.lit(0)).cast("string")
+
+
+def _published(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """K1-K4: the tables published as JSON below the shared folder and read back through the pointer: ``sink, n_rows,
+    digest`` of what the files hold."""
     import os
     import uuid
     from functools import reduce
     from ..session import checkpoint_dir
     from ..sinks import json_files as J
-    folder = os.path.join(checkpoint_dir(spark), "figureproof", "published-" + uuid.uuid4().hex)
+    root = os.path.join(checkpoint_dir(spark), "figureproof", "published-" + uuid.uuid4().hex)
+    tables = {n: sink_table(spark, sf_dir, n) for n in names}
+    J.publish(spark, root, tables)
     parts = []
-    for name, (query, order) in SINKS.items():
-        df = globals()[query](spark, sf_dir)
-        J.write(df, folder, name, order or df.columns[:1])
-        back = J.read(spark, folder, name, df)
-        same = df.intersectAll(back).agg(F.count(F.lit(1)).alias("n_same"))
-        parts.append(back.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("sink"), "n_rows", same.scalar().alias("n_same")))
+    for name, (df, _) in tables.items():
+        back = J.read(spark, root, name, df)
+        parts.append(back.agg(F.count(F.lit(1)).alias("n_rows"), row_digest(back).alias("digest")).select(F.lit(name).alias("sink"), "n_rows", "digest"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, [n for n in SINKS if n not in ("drift", "contradictions")])
+
+
+def published_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, ["drift"])
+
+
+def published_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, ["contradictions"])
+
+
+def published_sql(sqls: dict, columns: dict, names: list[str]) -> str:
+    """The same figures from the tables' own SQL; tables of one common beginning share it, so that it is computed once."""
+    def digest(cols):
+        cell = ", ".join("coalesce(" + (f'CAST(CAST("{c}" AS DECIMAL(18,6)) AS VARCHAR)' if t == "double" else f'CAST("{c}" AS VARCHAR)') + ", '-')"
+                         for c, t in sorted(cols.items()))
+        return f"CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {cell})), 1, 15) AS BIGINT)), 0) AS VARCHAR)"
+    import os
+    texts = {n: sqls[SINKS[n][0]] for n in names}
+    head = os.path.commonprefix(list(texts.values())) if len(texts) > 1 else ""
+    # cut behind the last whole expression that they share
+    head = head[:head.rfind("),\n") + 1] if head else ""
+    out = []
+    for n, sql in texts.items():
+        rest = sql[len(head):].lstrip(",").strip() if head else sql
+        body = rest if not head or rest.upper().startswith("SELECT") else "WITH " + rest
+        out.append(f"SELECT '{n}' AS sink, count(*) AS n_rows, {digest(columns[n])} AS digest FROM ({body})")
+    return (head + "\n" if head else "") + " UNION ALL ".join(out)

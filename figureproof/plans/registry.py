@@ -63,6 +63,9 @@ def queries():
         "conflict_tables": PQ.conflict_tables,
         "scorecard": PQ.scorecard,
         "published_files": PQ.published_files,
+        "published_drift": PQ.published_drift,
+        "published_contradictions": PQ.published_contradictions,
+        "glossary_payloads": PQ.glossary_payloads,
         "eval_metrics": PQ.eval_metrics,
         "guardrail": PQ.guardrail,
         "question_metrics": PQ.question_metrics,
@@ -98,8 +101,6 @@ def oracle_sql():
     out.update(LQ.oracle_evidence(CQ.parquet_schema(SCHEMA_DIR), out["cell_evidence"], WQ.oracle()["bi_formula"]))
     out["guardrail"] = _guardrail_sql(out, CQ.parquet_schema(SCHEMA_DIR))
     out.update(MQ.oracle(out["log_aggregates"], SCHEMA_DIR))
-    out["published_files"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS sink, count(*) AS n_rows, count(*) AS n_same FROM ({out[query]})" for name, (query, _) in PQ.SINKS.items())
     out["certified_metric_stream"] = out["manifest_metrics"]
     out["certified_trust"] = MQ.oracle_certified(out["trust_score"], out["manifest_metrics"])
     out.update(WQ.oracle())
@@ -116,6 +117,9 @@ sc AS (SELECT question, name, len(list_intersect(qt, bag)) / len(list_distinct(l
 SELECT question, name AS metric, round(jaccard, 6) AS jaccard FROM sc
 QUALIFY row_number() OVER (PARTITION BY question ORDER BY jaccard DESC, name) = 1"""
     out["contradictions"] = TQ.oracle_contradictions(out["statement_mining"], out["approval_flags"], out["bi_formula"], out["glossary_terms"])
+    kept = [n for n in PQ.SINKS if n not in ("drift", "contradictions")]
+    for key, names in (("published_files", kept), ("published_drift", ["drift"]), ("published_contradictions", ["contradictions"])):
+        out[key] = PQ.published_sql(out, PQ.SINK_COLUMNS, names)
     return out
 
 

@@ -70,6 +70,8 @@ MART_DIMS = {
 }
 # Columns of the mart that come from a one-hop join (for binding order).
 JOINED_COLUMNS = {"orders": ["c_mktsegment"]}
+# The edge that a joined column comes by: (own key, reference table, its key).
+JOINED_EDGES = {("orders", "c_mktsegment"): ("o_custkey", "customer", "c_custkey")}
 
 
 def marts(spark: SparkSession, sf_dir: str, snaps=None) -> dict[str, DataFrame]:
