@@ -9,10 +9,14 @@ columns and counts distinct (column, hash of the value) keys, which shuffles
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # Identifier / flag / measure / time suffixes and flag
 # prefixes, tested in this order (an identifier suffix wins, so ``_num`` is
 # always an identifier).
@@ -135,6 +139,56 @@ def exact_ndv(df: DataFrame, table: str) -> DataFrame:
                    .select(F.element_at(names, F.col("i") + 1).alias("column"), "ndv", F.lit(table).alias("table")))
 
 
+def sample_text(f: T.StructField) -> F.Column:
+    """A value as text, the same for every reader: numbers with a fraction to four places, times to the second."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        c = c.cast("decimal(24,4)")
+    elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return c.cast("string")
+
+
+def _place(text: F.Column) -> F.Column:
+    """A value's place in [0, 2 ** 60): the first 15 hex digits of its md5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+SPACE = 1 << 60
+
+
+def samples(df: DataFrame, table: str, k: int = 5) -> DataFrame:
+    """``table, column, samples``: of each column the ``k`` different values with the least places.
+
+    These do not depend on how the rows are partitioned. A sketch tells how many values a column has; then one
+    scan keeps those below the place where some 4 k of them are expected, as (column, place, value) keys with partial
+    aggregation. Columns with fewer than ``k`` found are looked at again with 16 times the bound, until it covers
+    all places: no value is missed, and the values themselves are not shuffled.
+    """
+    fields = [f for f in df.schema.fields if _atomic(f.dataType)]
+    rough = df.agg(*[F.approx_count_distinct(f.name, 0.05).alias(f"d{i}") for i, f in enumerate(fields)]).first()
+    bound = {i: min(SPACE, SPACE * 4 * k // max(rough[f"d{i}"], 1)) for i in range(len(fields))}
+    done = []
+    while bound:
+        kept = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _place(sample_text(fields[i])).alias("h"), sample_text(fields[i]).alias("v"))
+                                             for i in bound])).alias("x")).select("x.*")
+        most = F.lit(None).cast("bigint")
+        for i, b in bound.items():
+            most = F.when(F.col("i") == i, F.lit(b)).otherwise(most)
+        found = kept.where(F.col("h") < most).groupBy("i", "h", "v").agg(F.count(F.lit(1)).alias("n")).select("i", "h", "v")
+        w = Window.partitionBy("i").orderBy("h", "v")
+        least = materialize(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k), "samples")
+        n = {r["i"]: r["n"] for r in least.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+        ready = [i for i, b in bound.items() if b == SPACE or n.get(i, 0) >= k]
+        if ready:
+            done.append(least.where(F.col("i").isin(ready)))
+        bound = {i: min(SPACE, b * 16) for i, b in bound.items() if i not in ready}
+    names = F.array(*[F.lit(f.name) for f in fields])
+    rows = reduce(DataFrame.unionByName, done)
+    return rows.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("s")).select(
+        F.lit(table).alias("table"), F.element_at(names, F.col("i") + 1).alias("column"), F.transform("s", lambda x: x["v"]).alias("samples"))
+
+
 def key_candidates(prof: DataFrame) -> DataFrame:
     """A column named ``*_id`` whose distinct count reaches the row count
     (no duplicates, no NULLs) is a key."""

@@ -95,6 +95,17 @@ def bind_snapshots(dates: DataFrame, registry: DataFrame,
 
 # --------------------------------------------------------------------------- candidates
 
+def grammar_fault() -> F.Column:
+    """Why a candidate's parts (``CAND_COLS``) are no candidate; NULL if they are one: an operator goes with a right
+    side, a predicate with one term, ``*`` with COUNT."""
+    two, pred = F.col("op").isNotNull(), F.col("pred_col").isNotNull()
+    star = lambda agg, col: (F.col(col) == "*") & (F.col(agg) != "COUNT")
+    return (F.when(F.col("lhs_agg").isNull() | F.col("lhs_col").isNull(), "no aggregate of the grammar")
+             .when(two != F.col("rhs_col").isNotNull(), "operator and right side do not go together")
+             .when(pred & two, "predicate on two terms")
+             .when(star("lhs_agg", "lhs_col") | F.coalesce(star("rhs_agg", "rhs_col"), F.lit(False)), "star outside of COUNT"))
+
+
 def canonical_key(prefix: str = "") -> F.Column:
     """P5: ``AGG(TABLE.COL) [op AGG(TABLE.COL)] [WHERE COL op 'V']`` upper-cased."""
     p = prefix

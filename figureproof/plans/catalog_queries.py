@@ -116,8 +116,72 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table", "requested", "snap_as_of", F.col("seq").cast("bigint").alias("seq"), "error")
 
 
+# Fixed values of the written snapshots: every so many quarters one is restated, committed last, dated a day earlier.
+RESTATED_EVERY = 4
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2/S3 on a table written by ``as_of`` with a commit log whose order differs from the dates: the quarter
+    snapshots of ``orders`` in date order, then restated ones (without cancelled rows) for every fourth quarter, dated
+    the day before. A request for each quarter end and each date two days later reads the last commit within
+    three days; what it reads is counted and summed."""
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    o = read_table(spark, sf_dir, "orders").withColumn("as_of", SN.quarter_end("o_orderdate"))
+    first = SN.registry(read_table(spark, sf_dir, "orders"), "orders", "o_orderdate")
+    late = first.where(F.col("seq") % RESTATED_EVERY == 0).select(F.col("as_of").alias("quarter"))
+    folder = os.path.join(checkpoint_dir(spark), "figureproof", "orders-by-date-" + uuid.uuid4().hex)
+    SN.commit(o, folder)
+    SN.commit(o.join(late, F.col("as_of") == F.col("quarter")).where("o_orderstatus <> 'P'").drop("quarter").withColumn("as_of", F.date_sub("as_of", 1)), folder)
+    n = first.agg(F.max("seq")).first()[0] or 0
+    log = first.select("table", "snapshot_id", "as_of", "seq").unionByName(
+        first.where(F.col("seq") % RESTATED_EVERY == 0).select(
+            "table", F.xxhash64("snapshot_id").alias("snapshot_id"), F.date_sub("as_of", 1).alias("as_of"), (F.col("seq") + n).alias("seq")))
+    asked = first.select("table", F.explode(F.array("as_of", F.date_add("as_of", 2))).alias("as_of"))
+    rows = SN.read_as_of(spark.read.parquet(folder), asked, log, "orders")
+    return rows.groupBy("requested", "as_of").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")).cast("double"), 2).alias("total"))
+
+
+def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five different values of every column, in the order of their places; long texts are shown by their first 80 characters."""
+    parts = [P.samples(df, t) for t, df in read_tables(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts).select(
+        "table", "column", F.array_join(F.transform("samples", lambda v: F.left(v, F.lit(80))), " | ").alias("samples"))
+
+
 # ----------------------------------------------------------------------- oracle
 
+def oracle_samples(sf_dir: str) -> str:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    parts = []
+    for t in DRIVER_TABLES:
+        for f in pq.read_schema(f"{sf_dir}/{t}.parquet"):
+            if pa.types.is_nested(f.type):
+                continue
+            c = f'"{f.name}"'
+            text = (f"CAST(CAST({c} AS DECIMAL(24,4)) AS VARCHAR)" if pa.types.is_floating(f.type) else
+                    f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if pa.types.is_timestamp(f.type) else f"CAST({c} AS VARCHAR)")
+            parts.append(f"""SELECT '{t}' AS "table", '{f.name}' AS "column", string_agg(left(v, 80), ' | ' ORDER BY h, v) AS samples FROM (
+  SELECT v, CAST('0x' || substr(md5(v), 1, 15) AS BIGINT) AS h FROM (SELECT DISTINCT {text} AS v FROM {t} WHERE {c} IS NOT NULL) ORDER BY h, v LIMIT 5)
+HAVING count(*) > 0""")
+    return " UNION ALL ".join(parts)
+
+
+SNAPSHOT_ROWS_SQL = f"""
+WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS d, o_orderstatus, o_totalprice FROM orders),
+n AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM (SELECT DISTINCT d FROM q)),
+lg AS (SELECT d AS as_of, d, seq, FALSE AS late FROM n UNION ALL SELECT d - 1, d, seq + (SELECT max(seq) FROM n), TRUE FROM n WHERE seq % {RESTATED_EVERY} = 0),
+rq AS (SELECT d AS requested FROM n UNION SELECT d + 2 FROM n),
+bd AS (SELECT requested, as_of, d, late FROM rq JOIN lg ON abs(datediff('day', requested, as_of)) <= 3
+       QUALIFY row_number() OVER (PARTITION BY requested ORDER BY seq DESC) = 1)
+SELECT CAST(requested AS DATE) AS requested, CAST(as_of AS DATE) AS as_of, CAST(count(*) AS BIGINT) AS n_rows,
+       round(CAST(sum(CAST(o_totalprice AS DECIMAL(20,4))) AS DOUBLE), 2) AS total
+FROM bd JOIN q USING (d) WHERE NOT late OR o_orderstatus <> 'P' GROUP BY ALL"""
+
+
 def parquet_schema(sf_dir: str) -> dict[str, list[tuple[str, str]]]:
     """table -> [(column, kind)] read from the Parquet footers (no data)."""
     import pyarrow as pa

@@ -139,9 +139,10 @@ G = ["report_id", "metric"]
 
 
 def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame, seeds: DataFrame | None = None,
-            sims: DataFrame | None = None) -> Resolution:
+            sims: DataFrame | None = None, hops: DataFrame | None = None) -> Resolution:
     """``seeds``: candidates of tiers 1 and 3 by metric name (see ``seeded_hits``);
-    ``sims`` (``metric, table, column, sim``): name similarity of the columns."""
+    ``sims`` (``metric, table, column, sim``): name similarity of the columns;
+    ``hops`` (``table, other``): the tables one join away from a table (J11, see ``joingraph.paths``)."""
     # report-sized inputs are written once so later self-joins start from a scan
     figs = materialize(S.prepare(figures), "figures")
     groups = materialize(S.metric_groups(figs), "groups")
@@ -180,14 +181,8 @@ def resolve(figures: DataFrame, cells: DataFrame, col_order: DataFrame, seeds: D
     # the accepted tables go with every open metric: both are lists of the report's size
     on = F.lit(1).alias("on")
     scope = near.unionByName(open_groups.select(*G, on).join(accepted.select("table", on), "on").drop("on"))
-    # One hop along same-name columns between the fact tables
-    # (the snapshot column is shared by construction and is not an edge)
-    edges = (cells.select("table", F.explode(F.array(F.col("measure"), F.col("dim"), F.col("fcol"))).alias("col"))
-                  .where(F.col("col").isNotNull() & (F.col("col") != "*")).distinct())
-    hop = (edges.alias("a").join(edges.alias("b"), (F.col("a.col") == F.col("b.col"))
-                                 & (F.col("a.table") != F.col("b.table")))
-                .select(F.col("a.table").alias("table"), F.col("b.table").alias("other")).distinct())
-    scope = scope.unionByName(scope.join(hop, "table").select(*G, F.col("other").alias("table")))
+    if hops is not None:
+        scope = scope.unionByName(scope.join(hops, "table").select(*G, F.col("other").alias("table")))
     scope = materialize(scope.join(tables, "table", "left_semi").select(*G, "table").distinct(), "scope")
     in_scope = [*G, "table"]
     kept = (scored.where("origin <> 'blind'")

@@ -104,7 +104,8 @@ def _resolution(spark: SparkSession, sf_dir: str):
     def build():
         sims = NQ.metric_similarity(spark, sf_dir).withColumnRenamed("name", "metric")
         return resolve(R.report_figures(spark, sf_dir), R.report_cube(spark, sf_dir), R.column_order(spark, sf_dir),
-                       materialize(seeds(spark, sf_dir, sims), "seeds"), sims)
+                       materialize(seeds(spark, sf_dir, sims), "seeds"), sims,
+                       spark.createDataFrame(R.MART_HOPS, "table string, other string"))
     return shared(spark, ("resolution", sf_dir), build)
 
 

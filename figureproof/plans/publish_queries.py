@@ -223,6 +223,8 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = j.agg(
         (F.count_if(correct) / F.count_if(mappable)).alias("mapping_recall"),
         (F.count_if(conf & (F.col("key") == F.col("gold_key"))) / F.count_if(conf)).alias("precision_confirmed"),
+        F.try_divide(F.count_if((F.col("band") == "PROBABLE") & (F.col("key") == F.col("gold_key"))),
+                     F.count_if(F.col("band") == "PROBABLE")).alias("precision_probable"),
         (F.count_if(~mappable & (F.col("band") == "UNMAPPABLE")) / F.count_if(~mappable)).alias("unmappable_accuracy"),
         F.count_if(F.col("key").isin(*TRAP_KEYS)).alias("traps_chosen"))
     gd = spark.createDataFrame(GOLD_DRIFT, "kind string, old_name string, new_name string")
@@ -236,12 +238,16 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = m.select(F.explode(F.array(
         chk("mapping_recall", F.col("mapping_recall"), F.col("mapping_recall") == 1),
         chk("precision_confirmed", F.col("precision_confirmed"), F.col("precision_confirmed") == 1),
+        chk("precision_probable", F.col("precision_probable"), F.coalesce(F.col("precision_probable") == 1, F.lit(True))),
         chk("unmappable_accuracy", F.col("unmappable_accuracy"), F.col("unmappable_accuracy") == 1),
         chk("traps_rejected", F.lit(len(TRAP_KEYS)) - F.col("traps_chosen"), F.col("traps_chosen") == 0),
     )).alias("c")).select("c.*")
     checks = checks.unionByName(d.select(F.lit("drift_found").alias("check"),
                                          F.col("drift_found").cast("double").alias("value"),
                                          (F.col("drift_found") == len(GOLD_DRIFT)).alias("passed")))
+    from .report_text import extraction_recall
+    x = extraction_recall(spark, sf_dir).agg(F.try_divide(F.sum("found"), F.sum("published")).alias("v"))
+    checks = checks.unionByName(x.select(F.lit("extraction_recall").alias("check"), F.col("v").cast("double").alias("value"), (F.col("v") >= 0.95).alias("passed")))
     return checks.select("check", F.round("value", 6).alias("value"), "passed")
 
 
@@ -290,6 +296,36 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.coalesce("n_diff", F.lit(0)) == 0).alias("equal")))
 
 
+def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics whose result sets equal the gold ones, of all evaluated."""
+    e = eval_metrics(spark, sf_dir)
+    return e.agg(F.count(F.lit(1)).cast("bigint").alias("n_metrics"), F.count_if("equal").cast("bigint").alias("n_equal")).select(
+        "n_metrics", "n_equal", F.round(F.try_divide("n_equal", "n_metrics"), 6).alias("accuracy"))
+
+
+def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence that may be proposed: trust above the threshold,
+    the most trusted first (``rank``; as many rows as the catalog has columns at most)."""
+    from ..operators.trust import DROP
+    from .log_queries import trust_score
+    t = trust_score(spark, sf_dir).where(F.col("total") > DROP)
+    w = Window.orderBy(F.col("total").desc(), "table", "column", "agg")
+    return t.select("table", "column", "agg", "total", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+def candidate_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate that a source writes down, with the reason why the grammar refuses it: keys of the search's
+    survivors, keys of BI fields, and the aggregates of the statement log."""
+    from .log_queries import log_aggregates
+    from .workbook_queries import bi_formula
+    res = _resolution(spark, sf_dir)
+    tried = res.scored.select(F.lit("search").alias("source"), "key")
+    bi = bi_formula(spark, sf_dir).where("key IS NOT NULL").select(F.lit("bi").alias("source"), "key")
+    log = log_aggregates(spark, sf_dir).select(F.lit("log").alias("source"), F.upper(F.concat("agg", F.lit("("), "table", F.lit("."), "column", F.lit(")"))).alias("key"))
+    keys = parse_keys(tried.unionByName(bi).unionByName(log).distinct(), "key")
+    return keys.select("source", "key", S.grammar_fault().alias("fault"))
+
+
 def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column a proposal names (semantic-model measures, mined
     glossary lines, mined log aggregates) must exist in a physical table;

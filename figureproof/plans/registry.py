@@ -12,6 +12,7 @@ from . import text_queries as TQ
 from . import workbook_queries as WQ
 from . import fingerprint_queries as FQ
 from . import fingerprint_sql as FS
+from . import graph_queries as GQ
 
 # Any scale factor has the same schemas; the oracle reads only the footers.
 SCHEMA_DIR = "/root/testdata/sf0.001"
@@ -27,6 +28,9 @@ def queries():
         "constraint_bands": FQ.constraint_bands,
         "resolve_metrics": FQ.resolve_metrics,
         "drift_register": FQ.drift_register,
+        "join_paths": GQ.join_paths,
+        "graph_cube": GQ.graph_cube,
+        "graph_hits": GQ.graph_hits,
         "column_profile": CQ.column_profile,
         "approx_profile": CQ.approx_profile,
         "key_heuristic": CQ.key_heuristic,
@@ -34,6 +38,8 @@ def queries():
         "join_edges": CQ.join_edges,
         "snapshot_as_of": CQ.snapshot_as_of,
         "schema_rename_union": CQ.schema_rename_union,
+        "snapshot_rows": CQ.snapshot_rows,
+        "column_samples": CQ.column_samples,
         "query_shapes": LQ.query_shapes,
         "log_aggregates": LQ.log_aggregates,
         "log_dimensions": LQ.log_dimensions,
@@ -67,6 +73,9 @@ def queries():
         "published_contradictions": PQ.published_contradictions,
         "glossary_payloads": PQ.glossary_payloads,
         "eval_metrics": PQ.eval_metrics,
+        "eval_accuracy": PQ.eval_accuracy,
+        "evidence_gate": PQ.evidence_gate,
+        "candidate_grammar": PQ.candidate_grammar,
         "guardrail": PQ.guardrail,
         "question_metrics": PQ.question_metrics,
         "manifest_models": MQ.manifest_models,
@@ -117,6 +126,19 @@ sc AS (SELECT question, name, len(list_intersect(qt, bag)) / len(list_distinct(l
 SELECT question, name AS metric, round(jaccard, 6) AS jaccard FROM sc
 QUALIFY row_number() OVER (PARTITION BY question ORDER BY jaccard DESC, name) = 1"""
     out["contradictions"] = TQ.oracle_contradictions(out["statement_mining"], out["approval_flags"], out["bi_formula"], out["glossary_terms"])
+    out["snapshot_rows"] = CQ.SNAPSHOT_ROWS_SQL
+    out["column_samples"] = CQ.oracle_samples(SCHEMA_DIR)
+    out["eval_accuracy"] = f"""SELECT CAST(count(*) AS BIGINT) AS n_metrics, CAST(count_if("equal") AS BIGINT) AS n_equal,
+       round(count_if("equal") / nullif(count(*), 0), 6) AS accuracy FROM ({out['eval_metrics']})"""
+    out["evidence_gate"] = f"""SELECT "table", "column", agg, total, row_number() OVER (ORDER BY total DESC, "table", "column", agg) AS rank
+FROM ({out['trust_score']}) WHERE total > 0.5"""
+    # the keys are the grammar's own but for what the log aggregates otherwise
+    out["candidate_grammar"] = FS._verdict_ctes() + f""",
+ky AS (SELECT 'search' AS source, key FROM allranked
+       UNION SELECT 'bi', key FROM ({out['bi_formula']}) WHERE key IS NOT NULL
+       UNION SELECT 'log', upper(agg || '(' || "table" || '.' || "column" || ')') FROM ({out['log_aggregates']}))
+SELECT source, key, CASE WHEN key NOT LIKE 'SUM(%' AND key NOT LIKE 'COUNT(%' AND key NOT LIKE 'AVG(%' THEN 'no aggregate of the grammar'
+       WHEN key LIKE '%SUM(%.*)%' OR key LIKE '%AVG(%.*)%' THEN 'star outside of COUNT' END AS fault FROM ky"""
     kept = [n for n in PQ.SINKS if n not in ("drift", "contradictions")]
     for key, names in (("published_files", kept), ("published_drift", ["drift"]), ("published_contradictions", ["contradictions"])):
         out[key] = PQ.published_sql(out, PQ.SINK_COLUMNS, names)
@@ -132,6 +154,8 @@ def _oracle_sql():
         **RT.oracle_cells("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
         **TQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql()),
         **TQ.oracle_grounding("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR)),
+        **GQ.oracle("WITH " + FS.MARTS_SQL + ",\n" + FS.figures_sql(), CQ.parquet_schema(SCHEMA_DIR),
+                    {t: [c for c, k in cs if k == "number"] for t, cs in CQ.parquet_schema(SCHEMA_DIR).items()}),
         "report_figures": FS.report_figures_sql(),
         "measure_cube": FS.measure_cube_sql(),
         "value_space_hits": FS.value_space_hits_sql(),

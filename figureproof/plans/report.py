@@ -72,6 +72,8 @@ MART_DIMS = {
 JOINED_COLUMNS = {"orders": ["c_mktsegment"]}
 # The edge that a joined column comes by: (own key, reference table, its key).
 JOINED_EDGES = {("orders", "c_mktsegment"): ("o_custkey", "customer", "c_custkey")}
+# The marts that one join connects (l_orderkey = o_orderkey), in both directions.
+MART_HOPS = [("lineitem", "orders"), ("orders", "lineitem")]
 
 
 def marts(spark: SparkSession, sf_dir: str, snaps=None) -> dict[str, DataFrame]:

@@ -54,9 +54,11 @@ cand12 AS (
 SCOPE_SQL = """
 resolved AS (SELECT DISTINCT "table" FROM ranked_a WHERE rk = 1 AND band IN ('CONFIRMED', 'PROBABLE', 'WEAK')),
 opened AS (SELECT report_id, metric FROM dec WHERE decided = 3),
-scope AS (SELECT o.report_id, o.metric, r."table" FROM opened o, resolved r
-          UNION SELECT t.report_id, t.metric, t."table" FROM t2e t JOIN opened o USING (report_id, metric)
-                WHERE NOT t.ok AND t.err <= 0.6),
+scope0 AS (SELECT o.report_id, o.metric, r."table" FROM opened o, resolved r
+           UNION SELECT t.report_id, t.metric, t."table" FROM t2e t JOIN opened o USING (report_id, metric)
+                 WHERE NOT t.ok AND t.err <= 0.6),
+scope AS (FROM scope0 UNION SELECT s.report_id, s.metric, h.other FROM scope0 s
+          JOIN (VALUES ('lineitem', 'orders'), ('orders', 'lineitem')) h("table", other) USING ("table")),
 cand3a AS (
   SELECT f.report_id, f.metric, f."table", f.key, 3 AS tier, 'filter' AS kind, 'SUM' AS agg, f.measure AS c1,
          CAST(NULL AS VARCHAR) AS c2, CAST(NULL AS VARCHAR) AS op, f.fcol, f.op AS fop, f.fvalue AS fval,

@@ -70,25 +70,26 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _match(pattern: int, structure: str, two: bool):
     return lambda z, k: F.struct(
         F.lit(pattern).alias("pattern"), k.alias("k"), F.lit(structure).alias("structure"), z["g1"].alias("name"),
-        z["g2"].alias("a"), (z["g3"] if two else F.lit(None).cast("string")).alias("b"))
+        z["g2"].alias("a"), (z["g3"] if two else F.lit(None).cast("string")).alias("b"), F.trim(z["g0"]).alias("said"))
 
 
 def formulas(c: DataFrame) -> DataFrame:
     """every formula sentence, deduplicated per (doc, name, structure)
-    keeping the first (binary patterns before unary, then text order)."""
+    keeping the first (binary patterns before unary, then text order), with
+    the words of the text that state it (``said``)."""
     # all patterns' matches of a text in one array: the corpus is read once
     flat = c.select("doc", PR.flatten("text").alias("flat"))
     found = []
     for i, (pat, structure) in enumerate(PR.FORMULA_PATTERNS):
         two = " B" in structure
-        groups = [F.regexp_extract_all("flat", F.lit(pat), g).alias(f"g{g}") for g in ((1, 2, 3) if two else (1, 2))]
+        groups = [F.regexp_extract_all("flat", F.lit(pat), g).alias(f"g{g}") for g in ((0, 1, 2, 3) if two else (0, 1, 2))]
         found.append(F.transform(F.arrays_zip(*groups), _match(i, structure, two)))
     z = flat.select("doc", F.explode(F.concat(*found)).alias("z")).select("doc", "z.*")
     allf = z.select("doc", "pattern", "k", PR.clean_name("name").alias("metric_name"), "structure", PR.clean_term("a").alias("term_a"),
-                    F.when(F.col("b").isNotNull(), PR.clean_term("b")).alias("term_b"))
+                    F.when(F.col("b").isNotNull(), PR.clean_term("b")).alias("term_b"), "said")
     w = Window.partitionBy("doc", "metric_name", "structure").orderBy("pattern", "k")
     return (allf.withColumn("r", F.row_number().over(w)).where("r = 1")
-                .select("doc", "metric_name", "structure", "term_a", "term_b"))
+                .select("doc", "metric_name", "structure", "term_a", "term_b", "said"))
 
 
 def statements(c: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ flat AS (SELECT doc, kind, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
     parts = []
     for i, (pat, structure) in enumerate(PR.FORMULA_PATTERNS):
         binary = " B" in structure
-        gs = [f"regexp_extract_all(flat, {_sq(pat)}, {g})" for g in ((1, 2, 3) if binary else (1, 2, 2))]
+        gs = [f"regexp_extract_all(flat, {_sq(pat)}, {g})" for g in ((1, 2, 3, 0) if binary else (1, 2, 2, 0))]
         parts.append(f"""SELECT doc, {i} AS pattern, generate_subscripts(z, 1) AS k, unnest(z) AS p, '{structure}' AS structure,
                         {'TRUE' if binary else 'FALSE'} AS is_binary FROM (SELECT doc, list_zip({', '.join(gs)}) AS z FROM flat)""")
     struct_case = "CASE " + " ".join(
@@ -210,8 +211,8 @@ flat AS (SELECT doc, kind, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
     fm = base + f""",
 raw AS ({' UNION ALL '.join(parts)}),
 fm AS (SELECT doc, pattern, k, {clean_name('p[1]')} AS metric_name, structure, {clean_term('p[2]')} AS term_a,
-              CASE WHEN is_binary THEN {clean_term('p[3]')} END AS term_b FROM raw)
-SELECT doc, metric_name, structure, term_a, term_b FROM fm
+              CASE WHEN is_binary THEN {clean_term('p[3]')} END AS term_b, trim(p[4]) AS said FROM raw)
+SELECT doc, metric_name, structure, term_a, term_b, said FROM fm
 QUALIFY row_number() OVER (PARTITION BY doc, metric_name, structure ORDER BY pattern, k) = 1"""
     out["formula_mining"] = fm
     st = base + f""",

@@ -27,9 +27,21 @@ def with_snapshot(df: DataFrame, date_col: str, name: str = "as_of") -> DataFram
     return df.withColumn(name, quarter_end(date_col))
 
 
-def read_as_of(df: DataFrame, as_of, col: str = "as_of") -> DataFrame:
-    """Rows of one snapshot (partition filter, pushed to the scan)."""
-    return df.filter(F.col(col) == F.lit(as_of).cast("date"))
+def commit(rows: DataFrame, folder: str, col: str = "as_of") -> None:
+    """Add snapshots to a table laid out by ``as_of``: each date of ``rows`` is a partition folder, replaced as a whole
+    if it is there already (dynamic overwrite); the others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(folder)
+
+
+def read_as_of(df: DataFrame, requests: DataFrame, snaps: DataFrame, table: str, col: str = "as_of",
+               window_days: int = SNAPSHOT_WINDOW_DAYS) -> DataFrame:
+    """The rows that each requested date of ``requests(table, as_of)`` means, with ``requested``.
+
+    The dates are bound to snapshots first; the join with their few dates prunes the partitions of the table
+    when it is read (dynamic partition pruning), so only the bound snapshots are scanned.
+    """
+    bound = resolve(requests.where(F.col("table") == table), snaps, window_days).where("error IS NULL")
+    return df.join(bound.select(F.col("snap_as_of").alias(col), "requested"), col)
 
 
 def registry(df: DataFrame, table: str, date_col: str) -> DataFrame:
@@ -57,14 +69,13 @@ def resolve(requests: DataFrame, snaps: DataFrame,
     nearest). Requests with no snapshot keep NULL ids and
     ``error = 'no snapshot within window'``.
 
-    The registry is catalog-sized (one row per snapshot), the request list
-    report-sized, so the range join is cheap; it is expressed as an equi-join
-    on ``table`` plus a date band so Spark never plans a cartesian product.
+    Each request probes the dates of its window: an equi-join on (table, date), so no
+    request meets the snapshots of other dates.
     """
-    r = requests.select("table", F.col("as_of").alias("requested"))
+    r = requests.select("table", F.col("as_of").alias("requested")).distinct()
     s = snaps.select("table", "snapshot_id", F.col("as_of").alias("snap_as_of"), "seq")
-    cand = (r.join(s, on="table", how="left")
-              .where(F.abs(F.datediff("snap_as_of", "requested")) <= window_days))
+    probe = r.withColumn("snap_as_of", F.explode(F.sequence(F.date_sub("requested", window_days), F.date_add("requested", window_days))))
+    cand = probe.join(s, ["table", "snap_as_of"])
     w = Window.partitionBy("table", "requested").orderBy(F.col("seq").desc())
     best = (cand.withColumn("rk", F.row_number().over(w)).where("rk = 1")
                 .drop("rk"))
