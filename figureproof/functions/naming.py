@@ -46,7 +46,12 @@ def tokens(text) -> Column:
 
 
 def _abbrev_map() -> Column:
-    return F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
+    # as text: one expression to parse instead of a call per entry
+    return F.expr("map(" + ", ".join(f"'{x}'" for kv in ABBREVIATIONS.items() for x in kv) + ")")
+
+
+def _listed(words: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
 
 
 def expand(toks: Column) -> Column:
@@ -58,12 +63,12 @@ def expand(toks: Column) -> Column:
 
 
 def business_words(text) -> Column:
-    return F.array_except(expand(tokens(text)), F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.array_except(expand(tokens(text)), _listed(STOPWORDS))
 
 
 def identifier_words(ident) -> Column:
-    t = F.array_except(tokens(ident), F.array(*[F.lit(w) for w in NOISE_TOKENS]))
-    return F.array_except(expand(t), F.array(*[F.lit(w) for w in STOPWORDS]))
+    t = F.array_except(tokens(ident), _listed(NOISE_TOKENS))
+    return F.array_except(expand(t), _listed(STOPWORDS))
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -158,7 +163,7 @@ def letters(text) -> Column:
 
 
 def description_words(description) -> Column:
-    return F.array_except(tokens(F.coalesce(_c(description), F.lit(""))), F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.array_except(tokens(F.coalesce(_c(description), F.lit(""))), _listed(STOPWORDS))
 
 
 def similarity(text, ident, description=None) -> Column:

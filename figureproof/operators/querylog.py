@@ -81,7 +81,7 @@ def aggregate_calls(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     WHERE text of the call's own SELECT (NULL without one)."""
     s = _analytical(shape_rows).withColumn("refs", SC.references())
     raw = F.col("raw")
-    names = F.filter(F.transform(raw, lambda t, i: F.struct(F.lower(t).alias("fn"), i.alias("i"))), lambda x: x["fn"].isin(*Q.AGGREGATES))
+    names = F.filter(F.transform(raw, lambda t, i: F.struct(F.lower(t).alias("fn"), i.alias("i"))), lambda x: SC.among(x["fn"], Q.AGGREGATES))
     opened = F.transform(names, lambda x: F.struct(x["fn"].alias("fn"), x["i"].alias("i"), SC._next(raw, x["i"]).alias("open")))
     calls = (s.withColumn("call", F.explode(F.filter(opened, lambda x: F.get(raw, x["open"]) == "("))).select("*", "call.fn", "call.i", "call.open").drop("call")
              .withColumn("close", F.get(F.transform(F.filter("spans", lambda b: b["open"] == F.col("open")), lambda b: b["close"]), F.lit(0)))
@@ -143,7 +143,7 @@ def join_conditions(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     p1 = SC._prev(raw, F.col("join"))
     p2 = SC._prev(raw, p1)
     p3 = SC._prev(raw, p2)
-    is_join = lambda p: F.coalesce(SC._word(raw, p), F.lit("")).isin(*SC.JOIN_WORDS)
+    is_join = lambda p: SC.among(F.coalesce(SC._word(raw, p), F.lit("")), SC.JOIN_WORDS)
     words = F.concat_ws(" ", F.when(is_join(p1) & is_join(p2) & is_join(p3), SC._word(raw, p3)),
                         F.when(is_join(p1) & is_join(p2), SC._word(raw, p2)), F.when(is_join(p1), SC._word(raw, p1)))
     item = SC._next(raw, F.col("join"))
@@ -151,8 +151,8 @@ def join_conditions(shape_rows: DataFrame, catalog: DataFrame) -> DataFrame:
           .withColumn("introduced", F.when(SC._is_name(F.get(raw, item)), SC.last_part(F.get(raw, item)))).where("introduced IS NOT NULL"))
     equals = F.filter(F.transform(raw, lambda t, i: F.struct(t.alias("t"), i.alias("i"), SC._prev(raw, i).alias("l"), SC._next(raw, i).alias("r"))),
                       lambda x: (x["t"] == "=") & (x["i"] > F.col("on")) & (x["i"] < F.col("stop")) & SC._is_name(F.get(raw, x["l"]))
-                      & SC._is_name(F.get(raw, x["r"])) & SC._word(raw, SC._prev(raw, x["l"])).isin(*BEFORE_EQUALITY)
-                      & F.coalesce(SC._word(raw, SC._next(raw, x["r"])), F.lit("")).isin(*BEHIND_EQUALITY))
+                      & SC._is_name(F.get(raw, x["r"])) & SC.among(SC._word(raw, SC._prev(raw, x["l"])), BEFORE_EQUALITY)
+                      & SC.among(F.coalesce(SC._word(raw, SC._next(raw, x["r"])), F.lit("")), BEHIND_EQUALITY))
     base = e.select("*", F.explode(equals).alias("q")).select("*", F.explode(F.array(
         F.struct(F.lit("l").alias("side"), F.col("q.l").alias("i")), F.struct(F.lit("r").alias("side"), F.col("q.r").alias("i")))).alias("x"))
     t = F.get(raw, F.col("x.i"))
