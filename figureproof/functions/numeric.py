@@ -60,7 +60,7 @@ def raw_value(value, unit) -> Column:
 
 
 # Fixed value: a printed number.
-NUMBER_PATTERN = r"^-?[0-9,]+(\.[0-9]+)?$"
+NUMBER_PATTERN = r"^-?[\d,]+(?:\.\d+)?$"
 
 
 def parse_number(text) -> Column:

@@ -18,7 +18,7 @@ TITLE = r"^(?:Table\s+\d+:\s+)?(.+?)(\s+by\s+(.+?))?\s*\(([^)]*)\)\s*$"
 AS_OF = r"(?:As of|(?<!\()as of)\s+([A-Z][a-z]+\s+[0-9]{1,2},\s+[0-9]{4})"
 FOOTNOTE = r"Prior quarter \(([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})\) ([^:]+): ([-0-9,.]+)"
 NAMED_FOOTNOTE = (r"([A-Z][A-Za-z0-9 /&-]+?)\s+[—–-]+\s+prior quarter\s+\(as of\s+([^)]+)\):"
-                  r"\s+(-?[0-9,]+(?:\.[0-9]+)?)(?:\s+(USD millions|USD billions|%))?")
+                  r"\s+(-?[\d,]+(?:\.\d+)?)(?:\s+(USD millions|USD billions|%))?")
 CHILD_TOLERANCE = 0.005
 SUMMARY_TITLE = "Key figures"
 
