@@ -55,3 +55,33 @@ def test_printed_titles_dates_and_footnotes(spark):
     now, before = dt.date(2026, 6, 30), dt.date(2026, 3, 31)
     assert got == {("Net Exposure", "asset_class", "Loans", "USD millions", 1.5e6, now), ("Net Exposure", None, None, "USD millions", 1.5e6, now),
                    ("Net Exposure", None, None, "USD millions", 1234.5e6, before), ("Order Count", None, None, None, 77.0, before)}
+
+
+def test_formulas_and_statements_of_cut_texts_are_those_of_whole_texts(spark):
+    import random
+    from figureproof.plans import text_queries as TQ
+    rng = random.Random(9)
+    bits = ["Net Exposure", "The Risk Total", " is defined as", " is  calculated\nas", " gross exposure", " less eligible", " less", " collateral held", ",", ".", ";",
+            " measured before", " represents", " represent the sum of", " is the sum of", " weighted assets", " aggregates", " across", " é", "🙂", " plus", " x", "\t", " divided by",
+            " during", " Total Fee", " is derived as the aggregate", "(", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["Net Exposure is calculated as gross exposure less eligible collateral held, measured daily. Fee represents all that is paid.", "", None,
+              "One two\nFee Total\n\nis   derived as fees plus dues.", "Fee aggregates x1 across desks"]
+    df = spark.createDataFrame([(str(i), t, "document") for i, t in enumerate(texts)], "doc string, text string, kind string")
+    flat = df.select("doc", PR.flatten("text").alias("flat"))
+    got = {(r.doc, r.structure, r.said) for r in TQ.formulas(df).collect()}
+    whole = set()
+    for pat, structure in PR.FORMULA_PATTERNS:
+        whole |= {(r.doc, structure, r.m.strip(" ")) for r in flat.select("doc", F.explode(F.regexp_extract_all("flat", F.lit(pat), 0)).alias("m")).collect()}
+    assert {(d, s) for d, s, _ in got} == {(d, s) for d, s, _ in whole} and got <= whole and len(got) > 20
+    said = sorted((r.doc, r.sentence) for r in TQ.statements(df).collect())
+    every = flat.select("doc", F.explode(F.regexp_extract_all("flat", F.lit(PR.STATEMENT), 0)).alias("m")).collect()
+    assert said == sorted((r.doc, r.m.strip(" ")) for r in every) and len(said) > 20
+    # what states nothing does not reach the patterns
+    dull = spark.createDataFrame([("Some words here, and more. " * 50 + "Fee represents all dues.",)], "flat string")
+    assert dull.select(PR.stating("flat", PR.STATEMENT_END)).first()[0].strip() == "Fee represents all dues."
+
+
+def test_hypotheses_mine_the_texts_once(spark):
+    from figureproof.plans import naming_queries as NQ
+    assert not [f for f in NQ._hypotheses(spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
