@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scopes as SC
 from ..functions import sqltext as Q
+from ..session import materialize
 
 
 def statements(log: DataFrame) -> DataFrame:
@@ -30,15 +31,26 @@ def statements(log: DataFrame) -> DataFrame:
 def shapes(stmts: DataFrame) -> DataFrame:
     """Roll-up per literal-stripped shape of the parsable statements:
     executions, first statement in log order, distinct users, last execution.
-    ``countDistinct`` per shape shuffles on (shape, user) pairs, so a hot shape
-    is spread over its users rather than landing in one task."""
-    return (stmts.where(Q.parsable("sql")).groupBy("shape_hash").agg(
-        F.count(F.lit(1)).alias("execution_count"),
-        F.min_by("sql", F.struct("stmt_id", "pos")).alias("first_sql"),
-        F.countDistinct("user_id").alias("distinct_users"),
-        F.max("ts").alias("last_executed_at"),
-        F.min(F.struct("stmt_id", "pos")).alias("first_at"),
-        F.min_by("class", F.struct("stmt_id", "pos")).alias("class")))
+    Whether a statement is parsable, and its class, show in its shape: both are
+    found from the first statement. The rows are counted per (shape, user) first,
+    in numbers alone, so no text is sorted and a hot shape is spread over its users;
+    the text is fetched for the first places only."""
+    # a missing id comes first
+    part = stmts.groupBy("shape_hash", "user_id", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.min("stmt_id").alias("id"), F.max(F.col("stmt_id").isNull()).alias("no_id"))
+    rolled = part.groupBy("shape_hash").agg(
+        F.sum("n").alias("execution_count"), F.countDistinct("user_id").alias("distinct_users"), F.max("last").alias("last_executed_at"),
+        F.min(F.struct(F.when(~F.col("no_id"), F.col("id")).alias("stmt_id"), "pos")).alias("first_at"))
+    rolled = materialize(rolled, "shape-counts")
+    at = rolled.select("shape_hash", "first_at.stmt_id", "first_at.pos").alias("f")
+    same_id = F.col("s.stmt_id").eqNullSafe(F.col("f.stmt_id"))
+    # the entries are found by their ids before they are split
+    of_first = stmts.select("stmt_id", "pos", "sql").alias("s").join(at, same_id, "left_semi")
+    said = of_first.join(at, same_id & (F.col("s.pos") == F.col("f.pos")))
+    # an id may be repeated: only a statement of the shape counts
+    first = materialize(said.where(Q.shape_hash("sql") == F.col("shape_hash")).groupBy("shape_hash").agg(F.min("sql").alias("first_sql")), "shape-texts")
+    return (rolled.join(first, "shape_hash").where(Q.parsable("first_sql")).withColumn("class", Q.classify("first_sql"))
+                  .select("shape_hash", "execution_count", "first_sql", "distinct_users", "last_executed_at", "first_at", "class"))
 
 
 SHAPE = ["shape_hash", "execution_count", "distinct_users", "last_executed_at", "first_at"]

@@ -54,14 +54,6 @@ def render_events(ev: DataFrame) -> DataFrame:
     return ev.select(F.col("event_id").alias("stmt_id"), "user_id", "ts", text.alias("text"))
 
 
-def _statements(spark, sf_dir):
-    """Parsed statements of the log, written once per session and data
-    folder: every log query reads them instead of re-running the regexes."""
-    from ..session import materialize, shared
-    return shared(spark, ("statements", sf_dir),
-                  lambda: materialize(L.statements(log_table(spark, sf_dir)), "statements"))
-
-
 def _catalog(spark, sf_dir):
     return P.column_catalog(spark, read_tables(spark, sf_dir))
 
@@ -69,7 +61,7 @@ def _catalog(spark, sf_dir):
 def _shapes(spark, sf_dir):
     """The log's shapes, one row each: all mining works on them."""
     from ..session import materialize, shared
-    return shared(spark, ("shapes", sf_dir), lambda: materialize(L.shapes(_statements(spark, sf_dir)), "shapes"))
+    return shared(spark, ("shapes", sf_dir), lambda: materialize(L.shapes(L.statements(log_table(spark, sf_dir))), "shapes"))
 
 
 def query_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

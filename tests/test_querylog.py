@@ -140,3 +140,16 @@ def test_depth_of_brackets_is_not_limited(spark):
     assert classes(spark, [f"SELECT SUM(a) FROM t WHERE x IN {deep}", "SELECT SUM(" + "(" * 40 + "a" + ")" * 40 + ") FROM t UNION SELECT 1"]) == [
         "analytical", "structural"]
     assert mined(spark, "SELECT SUM(" + "abs(" * 40 + "amount" + ")" * 40 + ") FROM sales")[0] == [SUM]
+
+
+def test_shapes_of_repeated_and_missing_ids(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    rows = [(2, 7, t, "SELECT sum(a) FROM t WHERE b = 5; select 'x"), (1, 7, t, "SELECT sum(a) FROM t WHERE b = 3"), (1, 8, t, "SELECT sum(a) FROM t WHERE b = 1"),
+            (1, 8, t, "SELECT c FROM u"), (None, 9, t, "SELECT c  FROM u"), (3, None, None, "SELECT sum(a) FROM t WHERE b = 'it''s'; SELECT c FROM u;")]
+    found = L.shapes(L.statements(spark.createDataFrame(rows, "stmt_id long, user_id long, ts timestamp, text string")))
+    got = {(r.first_sql, r.execution_count, r.distinct_users, r.last_executed_at, tuple(r.first_at), r["class"]) for r in found.collect()}
+    assert got == {("SELECT sum(a) FROM t WHERE b = 1", 4, 2, t, (1, 0), "analytical"), ("SELECT c  FROM u", 3, 2, t, (None, 0), "noise")}
+    # no text is carried along with every row
+    rolled = L.shapes(L.statements(spark.range(9).selectExpr("id AS stmt_id", "id AS user_id", "timestamp_seconds(id) AS ts", "'SELECT 1' AS text")))
+    assert "partial_min_by" not in rolled._jdf.queryExecution().executedPlan().toString()
