@@ -129,3 +129,22 @@ def test_late_commit_of_an_older_date_wins_and_partitions_are_pruned(spark, tmp_
     assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString().lower()
     missing = SN.resolve(ask, log).where("error IS NOT NULL").collect()
     assert [str(r.requested) for r in missing] == ["2024-06-30"]
+
+
+def test_cube_sums_are_those_of_the_decimals(spark):
+    from decimal import Decimal
+    from figureproof.operators.cube import measure_cube
+    rng = random.Random(3)
+    odd = [0.00005, -0.00005, 1.00005, 2.675, 0.1 + 0.2, 123456789.12345, 9e10, 9007199254740993.0, -9999999999999998.0, 1e-9, None, -0.0, 4503599627370497.5]
+    rows = [(rng.choice("ab"), rng.choice(odd + [round(rng.uniform(-1e7, 1e7), 2), rng.uniform(-1e6, 1e6)]), rng.choice([None, 1, -7, 10**15, -(10**16) + 1, 2**33]),
+             rng.choice([None, -3, 2**31 - 1]), Decimal(rng.randint(-10**9, 10**9)).scaleb(-3), float(rng.randint(-9, 9)) / 8) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, d double, l long, i int, m decimal(18,3), f float").withColumn("as_of", F.lit("2024-03-31").cast("date"))
+    cube = measure_cube(df, "t", "as_of", ["g"])
+    got = {(r.dim_value, r.measure): (r.s, r.n) for r in cube.collect()}
+    for m in ("d", "l", "i", "m", "f"):
+        sums = df.groupBy("g").agg(F.sum(F.col(m).cast("decimal(20,4)")).alias("s"), F.count(m).alias("n")).collect()
+        for r in sums:
+            assert got[r.g, m] == (r.s, r.n)
+    # no decimal is cast once per grouping set
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert "decimal(20,4)" not in " ".join(x for x in plan.splitlines() if "partial_sum" in x)
