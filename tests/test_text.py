@@ -85,3 +85,20 @@ def test_formulas_and_statements_of_cut_texts_are_those_of_whole_texts(spark):
 def test_hypotheses_mine_the_texts_once(spark):
     from figureproof.plans import naming_queries as NQ
     assert not [f for f in NQ._hypotheses(spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
+
+
+def test_printed_lines_read_the_marts_once(spark):
+    from figureproof.plans import report as R
+    figs = R._publish(spark, "/root/testdata/sf0.001")
+    assert not [f for f in figs.inputFiles() if "lineitem" in f or "orders" in f]
+    assert figs.count() == R.report_figures(spark, "/root/testdata/sf0.001").count() > 20
+
+
+def test_a_formula_of_many_texts_is_spread_over_the_columns_once(spark):
+    from figureproof.plans import naming_queries as NQ
+    def hyp(n):
+        return spark.createDataFrame([("Fee", "Fee", f"d{i}", "A / B", "extended price", "line quantity") for i in range(n)]
+                                     + [("Fee", "The Fee", f"d{i}", "SUM(A)", "total price", None) for i in range(n)],
+                                     "name string, hname string, doc string, structure string, term_a string, term_b string")
+    one, many = (sorted(map(str, NQ.prose_terms(spark, "/root/testdata/sf0.001", hyp(n)).collect())) for n in (1, 30))
+    assert many == one and len(set(one)) == len(one) > 2
