@@ -206,6 +206,23 @@ def test_shared_tables_follow_their_files(spark, tmp_path):
     assert read() == 8
 
 
+def test_a_registered_query_lists_its_folder_once(spark, tmp_path, monkeypatch):
+    from figureproof import session
+    from figureproof.plans import publish_queries, registry
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    listed, state = [], session._state
+    monkeypatch.setattr(session, "_state", lambda *a: listed.append(a) or state(*a))
+
+    def probe(spark, sf_dir):
+        return [session.shared(spark, (n, sf_dir), lambda: spark.read.parquet(path).count()) for n in ("a", "b", "a")]
+    monkeypatch.setattr(publish_queries, "scorecard", probe)
+    query = registry.queries()["scorecard"]
+    assert query(spark, str(tmp_path)) == [3, 3, 3] and len(listed) == 1
+    spark.range(5).write.mode("append").parquet(path)
+    assert query(spark, str(tmp_path)) == [8, 8, 8] and len(listed) == 2
+
+
 WORKBOOK = """<workbook>
   <datasources><datasource name="shop">
     <column name="[C1]" datatype="real">
