@@ -110,15 +110,17 @@ def _readings(dims, filters):
     return out
 
 
-def cells_sql() -> str:
+def cells_sql(whole: bool = False) -> str:
+    """``cells``, at the snapshots that the figures bind to; ``whole``: ``allcells``, totals and filtered totals at
+    every snapshot."""
     parts = []
     for table, src, dims, measures in (("orders", "om", ORDERS_DIMS, ORDERS_MEASURES),
                                        ("lineitem", "lm", LINE_DIMS, LINE_MEASURES)):
-        for d, f in _readings(dims, dims):
+        near = [] if whole else ["EXISTS (SELECT 1 FROM figs WHERE abs(datediff('day', figs.as_of, "
+                                 f"{src}.as_of)) <= 3)"]
+        for d, f in _readings([] if whole else dims, dims):
             keys = ["as_of"] + [c for c in (d, f) if c]
-            where = " AND ".join([f"{c} IS NOT NULL" for c in (d, f) if c]
-                                 + ["EXISTS (SELECT 1 FROM figs WHERE abs(datediff('day', figs.as_of, "
-                                    f"{src}.as_of)) <= 3)"])
+            where = " AND ".join([f"{c} IS NOT NULL" for c in (d, f) if c] + near) or "TRUE"
             dv = f"CAST({d} AS VARCHAR)" if d else "CAST(NULL AS VARCHAR)"
             fv = f"CAST({f} AS VARCHAR)" if f else "CAST(NULL AS VARCHAR)"
             for m in measures + ["*"]:
@@ -131,7 +133,7 @@ def cells_sql() -> str:
                     f"{dv} AS dim_value, {repr(f) if f else 'CAST(NULL AS VARCHAR)'} AS fcol, {fv} AS fvalue, "
                     f"'{m}' AS measure, {sv} AS s, {nv} AS n FROM {src} WHERE {where} "
                     f"GROUP BY {', '.join(keys)}")
-    return "cells AS (" + "\nUNION ALL ".join(parts) + ")"
+    return ("allcells" if whole else "cells") + " AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
 def base_ctes() -> str:
@@ -551,16 +553,18 @@ UNION ALL SELECT 'traps_rejected', CAST({len(traps)} - traps_chosen AS DOUBLE),
 UNION ALL SELECT 'drift_found', CAST(n AS DOUBLE), n = {len(gold_drift)} FROM dh"""
 
 
-def eval_metrics_sql(gold) -> str:
-    """Gold vs found expression at every snapshot, by brute-force
-    evaluation of both keys over the cube cells."""
+def eval_metrics_sql(gold, whole: bool = False) -> str:
+    """Gold vs found expression at the snapshots that the figures bind to
+    (``whole``: at every snapshot), by brute-force evaluation of both keys
+    over the cube cells."""
     def lit(x):
         return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
     g = ", ".join(f"({lit(r)}, {lit(m)}, {lit(k)})" for r, m, k in gold if k)
     from ..functions.sqltext import KEY_EXPR, KEY_PRED
     kp = "'" + KEY_EXPR.replace("'", "''") + "'"
     pp = "'" + KEY_PRED.replace("'", "''") + "'"
-    return _verdict_ctes() + f""",
+    cells = "allcells" if whole else "cells"
+    return _verdict_ctes() + (",\n" + cells_sql(whole=True) if whole else "") + f""",
 gold AS (SELECT * FROM (VALUES {g}) v(report_id, metric, gold_key)),
 gpairs AS (SELECT gold.*, b.key FROM gold JOIN best b USING (report_id, metric)),
 sides AS (SELECT report_id, metric, 'gold' AS side, gold_key AS k FROM gpairs
@@ -571,19 +575,19 @@ pk AS (SELECT *, nullif(regexp_extract(e, {kp}, 1), '') AS agg, lower(regexp_ext
               lower(regexp_extract(e, {kp}, 3)) AS c1, nullif(regexp_extract(e, {kp}, 4), '') AS op,
               nullif(lower(regexp_extract(e, {kp}, 7)), '') AS c2, nullif(lower(regexp_extract(pr, {pp}, 1)), '') AS fcol,
               nullif(regexp_extract(pr, {pp}, 2), '') AS fop, nullif(regexp_extract(pr, {pp}, 3), '') AS fval FROM sk),
-sn AS (SELECT DISTINCT "table", as_of FROM cells),
+sn AS (SELECT DISTINCT "table", as_of FROM {cells}),
 ev AS (
   SELECT p.report_id, p.metric, p.side, sq.as_of,
     CASE WHEN p.op IS NULL AND p.fcol IS NULL THEN (SELECT CAST(CASE WHEN p.agg = 'COUNT' THEN x.n ELSE x.s END AS DECIMAL(38,6))
-              FROM cells x WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol IS NULL AND x.dim IS NULL AND x.measure = p.c1)
-         WHEN p.fcol IS NOT NULL AND p.fop = '=' THEN (SELECT CAST(x.s AS DECIMAL(38,6)) FROM cells x
+              FROM {cells} x WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol IS NULL AND x.dim IS NULL AND x.measure = p.c1)
+         WHEN p.fcol IS NOT NULL AND p.fop = '=' THEN (SELECT CAST(x.s AS DECIMAL(38,6)) FROM {cells} x
               WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol = p.fcol AND x.fvalue = p.fval AND x.dim IS NULL AND x.measure = p.c1)
-         WHEN p.fcol IS NOT NULL THEN (SELECT CAST(CASE WHEN sum(x.n) > 0 THEN sum(x.s) END AS DECIMAL(38,6)) FROM cells x
+         WHEN p.fcol IS NOT NULL THEN (SELECT CAST(CASE WHEN sum(x.n) > 0 THEN sum(x.s) END AS DECIMAL(38,6)) FROM {cells} x
               WHERE x."table" = p.tbl AND x.as_of = sq.as_of AND x.fcol = p.fcol AND x.fvalue <> p.fval AND x.dim IS NULL AND x.measure = p.c1)
          ELSE (SELECT CAST(CASE p.op WHEN '+' THEN a.s + b.s WHEN '-' THEN a.s - b.s
                               ELSE CASE WHEN b.s = 0 THEN NULL ELSE CAST(a.s AS DECIMAL(38,6)) / CAST(b.s AS DECIMAL(38,6)) END END
                           AS DECIMAL(38,6))
-               FROM cells a JOIN cells b ON b."table" = a."table" AND b.as_of = a.as_of AND b.dim IS NULL AND b.fcol IS NULL
+               FROM {cells} a JOIN {cells} b ON b."table" = a."table" AND b.as_of = a.as_of AND b.dim IS NULL AND b.fcol IS NULL
                  AND b.measure = p.c2
                WHERE a."table" = p.tbl AND a.as_of = sq.as_of AND a.dim IS NULL AND a.fcol IS NULL AND a.measure = p.c1)
     END AS v
